@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from detectlake.llm import pipeline as stages
 from detectlake.llm.common import materialise, table
-from detectlake.llm.pipeline import dedup_stage, mixing_stage, packing_stage, pii_stage, quality_stage
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", dedup_stage),
-    ("pii", pii_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("mixing", stages.mixing_stage),
+    ("packing", stages.packing_stage),
 ]
 
 #: The classifier, the tagger and the tokeniser can't be written in SQL; each stage is tested by itself.
