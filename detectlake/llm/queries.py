@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import topk
+from .ann import op5_nearest
+from .chat import op9_chat
 from .mixing import op2_mixing
 from .packing import op10_packing
+from .quality import op1_quality
 from .sharding import op4_sharding
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_sharding": op4_sharding, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
+    "op4_sharding": op4_sharding,
+    "op5_nearest": op5_nearest,
+    "op8_topk": topk.op8_topk,
+    "op9_chat": op9_chat,
+    "op10_packing": op10_packing,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_topk": topk.ORACLE}
