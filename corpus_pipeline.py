@@ -9,6 +9,8 @@ from detectlake.llm.common import materialise, table
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
+    ("quality", stages.quality_stage),
+    ("near_duplicates", stages.dedup_stage),
     ("mixing", stages.mixing_stage),
     ("packing", stages.packing_stage),
 ]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,27 +78,60 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in joined texts.
-
-    ``data``: the bytes (already lower-case) of all texts one after another; ``starts``: where each text
-    begins. Returns a hash for each word and the number of the text it is in. A word never crosses texts.
-    """
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def _hash_piece(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word in one piece of joined texts."""
     inside = ~SPACE[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
-    begin = starts[starts < len(data)]
-    opens[begin] = inside[begin]
+    opens[starts] = inside[starts]
     first = np.flatnonzero(opens)
     if not len(first):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    place = np.arange(len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))[: len(data)] if first[0] == 0 else None
-    if place is None:
-        lead = first[0]
-        place = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))])
-    powers = _powers(int(place.max()) + 1)
-    value = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
+        return np.empty(0, np.uint64), first
+    place = np.arange(len(data))
+    place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(data))))
+    place[~inside] = 0
+    value = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
     value[~inside] = 0
-    return mix64(np.add.reduceat(value, first)), np.searchsorted(starts, first, "right") - 1
+    return mix64(np.add.reduceat(value, first)), first
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of joined texts, and the number of the text that each is in.
+
+    ``data``: the lower-case bytes of all texts, one after another; ``starts``: where each text begins. A
+    word never crosses texts. The bytes are worked off in pieces that end at white space or at a text's
+    end, so that memory follows the longest word and not the longest text.
+    """
+    hashes, firsts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + piece)
+        while end < len(data) and not SPACE[data[end]]:
+            ahead = np.flatnonzero(SPACE[data[end : end + piece]])
+            later = starts[np.searchsorted(starts, end) :]
+            stop = end + (int(ahead[0]) if len(ahead) else min(piece, len(data) - end))
+            end = min(stop, int(later[0])) if len(later) and later[0] >= end else stop
+            if len(later) and later[0] == end:
+                break
+        own = starts[(starts >= at) & (starts < end)] - at
+        h, f = _hash_piece(data[at:end], own)
+        hashes.append(h)
+        firsts.append(f + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.searchsorted(starts, np.concatenate(firsts), "right") - 1
+
+
+def text_slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``most`` bytes: number of the first, lower-case bytes, and where each begins.
+
+    The starts have one more entry, the number of bytes. Null counts as empty; a longer text is a run alone.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, LOWER[data[ends[at] : ends[to]]], (ends[at : to + 1] - ends[at])
+        at = to

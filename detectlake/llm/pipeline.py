@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table, word_count
 from .mixing import mix_sources
+from .neardup import near_duplicates, row_hash
 from .packing import pack_documents
+from .quality import THRESHOLD, train
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts, learnt from the labels beside the corpus."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, "text", "__quality").where(F.col("__quality") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, and all without words."""
+    found = near_duplicates(docs).where(F.col("kept") & (F.col("n_shingles") > 0))
+    # rows that share an id can be one group; one of them stays
+    chosen = found.groupBy("component_id").agg(F.min("row_hash").alias("chosen_hash")).select(F.col("component_id").alias("chosen_id"), "chosen_hash")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__row", row_hash())
+    same = F.col("chosen_id").eqNullSafe(F.col("doc_id")) & (F.col("chosen_hash") == F.col("__row"))
+    one = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__row"])
+    return one.select(*columns).unionByName(docs.where(word_count(F.col("text")) == 0).select(*columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

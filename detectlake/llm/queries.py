@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import neardup, topk
 from .ann import op5_nearest
 from .chat import op9_chat
 from .mixing import op2_mixing
@@ -15,9 +15,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
     "op5_nearest": op5_nearest,
+    "op7_neardup": neardup.op7_neardup,
     "op8_topk": topk.op8_topk,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op8_topk": topk.ORACLE}
+ORACLES = {"op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE}
