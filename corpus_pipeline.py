@@ -11,6 +11,7 @@ from detectlake.llm.common import materialise, table
 STAGES = [
     ("quality", stages.quality_stage),
     ("near_duplicates", stages.dedup_stage),
+    ("pii", stages.pii_stage),
     ("mixing", stages.mixing_stage),
     ("packing", stages.packing_stage),
 ]

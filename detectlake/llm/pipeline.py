@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .common import table, word_count
 from .mixing import mix_sources
 from .neardup import near_duplicates, row_hash
@@ -22,20 +23,27 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, and all without words."""
     found = near_duplicates(docs).where(F.col("kept") & (F.col("n_shingles") > 0))
     # rows that share an id can be one group; one of them stays
-    chosen = found.groupBy("component_id").agg(F.min("row_hash").alias("chosen_hash")).select(F.col("component_id").alias("chosen_id"), "chosen_hash")
+    chosen = found.groupBy("component_id").agg(F.min("row_hash").alias("__hash")).select(F.col("component_id").alias("__id"), "__hash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("__row", row_hash())
-    same = F.col("chosen_id").eqNullSafe(F.col("doc_id")) & (F.col("chosen_hash") == F.col("__row"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__row"))
     one = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__row"])
     return one.select(*columns).unionByName(docs.where(word_count(F.col("text")) == 0).select(*columns))
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind in brackets; n_chars follows the text."""
+    crf = pii.train(docs)
+    clean = docs.withColumn("text", pii.redacted(F.col("text"), crf))
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a document that it doesn't take goes."""
-    mix = mix_sources(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("mix_id"), F.col("row_hash").alias("mix_hash"), "copies")
-    mix = mix.groupBy("mix_id", "mix_hash").agg(F.max("copies").alias("copies"))
-    same = F.col("mix_id").eqNullSafe(F.col("doc_id")) & (F.col("mix_hash") == F.xxhash64("doc_id", "text"))
-    taken = docs.join(mix, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    mix = mix_sources(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "copies")
+    mix = mix.groupBy("__id", "__hash").agg(F.max("copies").alias("__copies"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("doc_id", "text"))
+    taken = docs.join(mix, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -7,14 +7,18 @@ from .ann import op5_nearest
 from .chat import op9_chat
 from .mixing import op2_mixing
 from .packing import op10_packing
+from .pii import op6_pii
+from .ppm import op3_ppm
 from .quality import op1_quality
 from .sharding import op4_sharding
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_ppm": op3_ppm,
     "op4_sharding": op4_sharding,
     "op5_nearest": op5_nearest,
+    "op6_pii": op6_pii,
     "op7_neardup": neardup.op7_neardup,
     "op8_topk": topk.op8_topk,
     "op9_chat": op9_chat,
