@@ -139,3 +139,38 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return digests(chat_windows(rows.unionByName(extra)))
+
+
+#: The same rows: digests from the turns themselves, and the windows' lengths by the rules above.
+ORACLE = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), tok AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 3 AS tokens,
+    27 - 7 + length(regexp_replace(role, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) AS chars FROM raw
+), pre AS (
+  SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tok
+), head AS (
+  SELECT conv_id, tokens AS reserve, chars FROM pre WHERE start = 0 AND role = 'system'
+), cel AS (
+  SELECT p.*, greatest(832 - coalesce(reserve, 0), 256) / 2.0 AS cell FROM pre p LEFT JOIN head h ON p.conv_id IS NOT DISTINCT FROM h.conv_id
+), win AS (
+  SELECT *, CAST(floor(start / cell) * 2 AS BIGINT) + CASE WHEN tokens > cell THEN 1 ELSE 0 END AS w FROM cel
+), span AS (
+  SELECT conv_id, w, min(start) AS f FROM win GROUP BY ALL
+), part AS (
+  SELECT conv_id, chars FROM win
+  UNION ALL SELECT a.conv_id, a.chars FROM win a JOIN span s ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND s.w > a.w
+    AND s.w <= greatest(CAST(floor((a.start + a.tokens + 192) / a.cell) * 2 + 1 AS BIGINT), a.w + 1)
+    WHERE a.tokens <= 192 AND a.start >= s.f - 192 AND a.start < s.f AND NOT (a.start = 0 AND a.role = 'system')
+  UNION ALL SELECT s.conv_id, h.chars FROM head h JOIN span s ON h.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.f > 0
+), size AS (
+  SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM part GROUP BY 1
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY start, tokens)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY start) FILTER (role = 'assistant'), '') AS learnt FROM win GROUP BY 1
+)
+SELECT said.conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM said JOIN size ON said.conv_id IS NOT DISTINCT FROM size.conv_id
+"""

@@ -109,3 +109,37 @@ def mix_sources(
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same rows, with each source sorted as a whole.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+      / coalesce(greatest(0.05, pow(1.0 - len(regexp_extract_all(text, '[|!#$%&*<>{}\[\]=_~^@\\/+]')) / greatest(length(text), 1), 2)), 1.0) AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY 1
+), c AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM c
+), t AS (
+  SELECT source, source_size, CASE WHEN cap <= w * rate THEN cap ELSE w * (SELECT arg_min(rate, cap / w) FROM l WHERE cap > w * rate) END AS target FROM l
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), r AS (
+  SELECT d.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS budget,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), h AS (
+  SELECT source, coalesce(max(upto) FILTER (upto <= budget), 0) AS held FROM r GROUP BY 1
+), n AS (
+  SELECT r.source, arg_min({'doc_id': doc_id, 'upto': upto}, {'off': abs(budget - held - size), 'draw': draw}) AS best
+  FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source WHERE upto > budget AND size > 0 AND abs(budget - held - size) < budget - held GROUP BY 1
+)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+  r.size * (r.epochs + CASE WHEN (r.upto <= r.budget AND r.size > 0) OR coalesce(n.best.doc_id = r.doc_id AND n.best.upto = r.upto, false) THEN 1 ELSE 0 END) AS taken
+FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source
+"""

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from . import neardup, topk
+from . import chat, mixing, neardup, topk
 from .ann import op5_nearest
-from .chat import op9_chat
-from .mixing import op2_mixing
 from .packing import op10_packing
 from .pii import op6_pii
 from .ppm import op3_ppm
@@ -14,15 +12,15 @@ from .sharding import op4_sharding
 
 QUERIES = {
     "op1_quality": op1_quality,
-    "op2_mixing": op2_mixing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_ppm": op3_ppm,
     "op4_sharding": op4_sharding,
     "op5_nearest": op5_nearest,
     "op6_pii": op6_pii,
     "op7_neardup": neardup.op7_neardup,
     "op8_topk": topk.op8_topk,
-    "op9_chat": op9_chat,
+    "op9_chat": chat.op9_chat,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE}
