@@ -36,7 +36,8 @@ def weighted_rule(data: Column, coded: bool = False) -> Column:
         rows = [None if v is None else parse_rule(bytes(v), coded) for v in values]
         return pd.DataFrame({"threshold": [r and r["threshold"] for r in rows], "subrules": [r and r["subrules"] for r in rows]})
 
-    return parse(data)
+    parsed = parse(data)
+    return F.when(parsed["subrules"].isNotNull(), parsed)
 
 
 def total_weight(rule: Column) -> Column:

@@ -66,7 +66,7 @@ def read_scripts(spark: SparkSession, folder: str, most: int = 100_000) -> DataF
 def clean_scripts(raw: DataFrame, most: int = 100_000) -> DataFrame:
     """Blank sources go; the hash is that of the whole cleaned source."""
     whole = F.translate("source", "\x00\x13\x0f", "")
-    kept = raw.withColumn("source", whole).where(F.length(F.trim("source")) > 0)
+    kept = raw.withColumn("source", whole).where(F.col("source").rlike(r"\S"))
     return kept.withColumn("content_hash", F.sha2("source", 256)).withColumn("source", F.substring("source", 1, most))
 
 
@@ -92,7 +92,7 @@ def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with size and time, and how many lie in each folder; contents aren't read."""
+    """Files with size and time, and how many lie in each folder; contents aren't read, and files without any are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     files = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     counts = files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
