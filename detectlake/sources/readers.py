@@ -70,9 +70,12 @@ def clean_scripts(raw: DataFrame, most: int = 100_000) -> DataFrame:
     return kept.withColumn("content_hash", F.sha2("source", 256)).withColumn("source", F.substring("source", 1, most))
 
 
-def read_entity_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities from category/family/_combined.sig texts; a missing id becomes a hash of category and family."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "_combined.sig").text(folder, wholetext=True)
+def read_entity_listing(spark: SparkSession, folder: str, name: str = "combined.sig") -> DataFrame:
+    """Entities from category/family/combined.sig texts; a missing id becomes a hash of category and family.
+
+    Spark's readers skip file names that begin with an underscore, so listings must be named without one.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder, wholetext=True)
     parts = F.split(F.input_file_name(), "/")
     named = raw.select("value", F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("family"))
     field = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))

@@ -263,10 +263,10 @@ def test_readers(spark, tmp_path):
     assert [r.source for r in readers.read_scripts(spark, str(tmp_path / "s")).collect()] == ["xy"]
     place = tmp_path / "l" / "Trojan" / "Foo"
     place.mkdir(parents=True)
-    (place / "_combined.sig").write_text("Threat ID: 42\nThreat Name: Trojan:Win32/Foo\nSignatures: 3\n")
+    (place / "combined.sig").write_text("Threat ID: 42\nThreat Name: Trojan:Win32/Foo\nSignatures: 3\n")
     other = tmp_path / "l" / "Worm" / "Bar"
     other.mkdir(parents=True)
-    (other / "_combined.sig").write_text("no header")
+    (other / "combined.sig").write_text("no header")
     got = {r.family: r for r in readers.read_entity_listing(spark, str(tmp_path / "l")).collect()}
     assert got["Foo"].signature_id == 42 and got["Foo"].signature_count == 3 and got["Bar"].threat_name == "Worm/Bar"
 
