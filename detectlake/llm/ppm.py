@@ -27,7 +27,7 @@ from .common import fold_of, materialise, table, text_slices, word_hashes
 ORDER = 5
 #: Symbols are bytes and one end of text, in nine bits below the context's bytes.
 END, SYMBOL_BITS, SYMBOLS = 256, 9, 257
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 40 << 20
 #: Word keys have the sign bit of a long, gram keys haven't.
 WORD_BIT = np.uint64(1 << 63)
 
@@ -68,10 +68,12 @@ class Counter:
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
 
-    def add(self, keys: np.ndarray, learn: bool) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts if learn else np.zeros(len(keys), np.int64)))
-        if sum(len(p[0]) for p in self.parts[1:]) > max(1 << 21, len(self.parts[0][0])):
+    def add(self, keys: np.ndarray, learn: np.ndarray) -> None:
+        """Keys with whether each of them counts; one that doesn't is listed with 0."""
+        for part, counts in ((keys[learn], True), (keys[~learn], False)):
+            found, n = np.unique(part, return_counts=True)
+            self.parts.append((found, n if counts else np.zeros(len(found), np.int64)))
+        if sum(len(p[0]) for p in self.parts[1:]) > max(1 << 19, len(self.parts[0][0])):
             self.parts = [merged(self.parts)]
 
 
@@ -79,45 +81,55 @@ class Lookup:
     """Values by key in an open-addressed table over arrays; every key asked for must be there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        slot, at, wait = np.full(1 << bits, -1, np.int64), self._first(keys), np.arange(len(keys))
+        slot, at, wait = np.full(1 << bits, -1, np.int32), self._first(keys), np.arange(len(keys), dtype=np.int32)
         while len(wait):
             free = wait[slot[at[wait]] < 0]
             slot[at[free]] = free
             wait = wait[slot[at[wait]] != wait]
             at[wait] = (at[wait] + 1) & self.mask
-        used = slot >= 0
-        self.keys, self.values, self.used = np.zeros(len(slot), np.uint64), np.zeros(len(slot)), used
-        self.keys[used], self.values[used] = keys[slot[used]], values[slot[used]]
+        self.slot = slot
 
     def _first(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = self._first(keys)
-        wrong = np.flatnonzero((self.keys[at] != keys) | ~self.used[at])
+        found = self.slot[at]
+        wrong = np.flatnonzero((found < 0) | (self.keys[found] != keys)) if len(self.keys) else np.arange(len(keys))
         while len(wrong):
-            if not self.used[at[wrong]].all():
+            if (found[wrong] < 0).any():
                 raise KeyError("a gram or word that its chunk didn't list")
             at[wrong] = (at[wrong] + 1) & self.mask
-            wrong = wrong[(self.keys[at[wrong]] != keys[wrong]) | ~self.used[at[wrong]]]
-        return self.values[at]
+            found[wrong] = self.slot[at[wrong]]
+            wrong = wrong[(found[wrong] < 0) | (self.keys[found[wrong]] != keys[wrong])]
+        return self.values[found]
+
+
+def runs_of(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``text_slices`` over small parts of a column, so that only these are copied; number of the first text in the column."""
+    base = 0
+    for part in texts.chunks:
+        for low in range(0, len(part), 512):
+            for first, data, starts in text_slices(part.slice(low, 512)):
+                yield base + low + first, data, starts
+        base += len(part)
 
 
 def chunk_counts(docs: DataFrame, order: int) -> DataFrame:
     """(chunk, key, n): each chunk's distinct grams and words, n counting those of training documents."""
 
     def count(group: pa.Table) -> pa.Table:
-        grams = Counter()
-        for learn in (True, False):
-            part = group.filter(group["learn"] if learn else pa.compute.invert(group["learn"]))
-            for texts in part["text"].chunks:
-                for _, data, starts in text_slices(texts):
-                    for keys, _ in gram_runs(data, starts, order):
-                        grams.add(keys, learn)
-                    grams.add(word_hashes(data, starts[:-1])[0] | WORD_BIT, learn)
-        keys, counts = merged(grams.parts)
+        listed, learn = Counter(), group["learn"].to_numpy()
+        for first, data, starts in runs_of(group["text"]):
+            own = learn[first : first + len(starts) - 1]
+            for keys, of in gram_runs(data, starts, order):
+                listed.add(keys, own[of])
+            hashes, of = word_hashes(data, starts[:-1])
+            listed.add(hashes | WORD_BIT, own[of])
+        keys, counts = merged(listed.parts)
         chunk = group["chunk"][0].as_py() if len(group) else 0
         return pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
@@ -196,18 +208,17 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, chunk_by
     def score(group: pa.Table, answer: pa.Table) -> pa.Table:
         look = Lookup(answer["key"].to_numpy().view(np.uint64), answer["value"].to_numpy())
         sums, known, length, base = [], [], [], []
-        for texts in group["text"].chunks:
-            for _, data, starts in text_slices(texts):
-                n = len(starts) - 1
-                total_log = np.zeros(n)
-                for keys, of in gram_runs(data, starts, order):
-                    total_log += np.bincount(of, look(keys), n)
-                hashes, of = word_hashes(data, starts[:-1])
-                count = look(hashes | WORD_BIT) if len(hashes) else np.empty(0)
-                sums.append(total_log)
-                length.append(np.bincount(of, minlength=n) + 1)
-                known.append(np.bincount(of, count > 0, n).astype(np.int64) + (ends > 0))
-                base.append(np.bincount(of, np.log10((count + 0.5) / below), n) + end_score)
+        for _, data, starts in runs_of(group["text"]):
+            n = len(starts) - 1
+            total_log = np.zeros(n)
+            for keys, of in gram_runs(data, starts, order):
+                total_log += np.bincount(of, look(keys), n)
+            hashes, of = word_hashes(data, starts[:-1])
+            count = look(hashes | WORD_BIT) if len(hashes) else np.empty(0)
+            sums.append(total_log)
+            length.append(np.bincount(of, minlength=n) + 1)
+            known.append(np.bincount(of, count > 0, n).astype(np.int64) + (ends > 0))
+            base.append(np.bincount(of, np.log10((count + 0.5) / below), n) + end_score)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         return pa.table({"doc_id": group["doc_id"], "learn": group["learn"], "n_tokens": join(length, np.int64), "n_known": join(known, np.int64), "train_tokens": np.full(len(group), total, np.int64), "base_score": join(base, float), "score": join(sums, float)})
 
