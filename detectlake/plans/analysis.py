@@ -422,14 +422,14 @@ def m2(c: Catalog) -> DataFrame:
     return rows.groupBy(F.substring_index("path", "/", 1).alias("category")).agg(F.count(F.lit(1)).alias("records"), F.sum("size").cast("long").alias("bytes"))
 
 
-@query("c24_function_bodies")
+@query("c24_function_bodies", "SELECT page_id AS id, 'Get' || page_id AS name, 2 AS entries FROM pages")
 def c24(c: Catalog) -> DataFrame:
     """Functions of all scripts with their entries; sources are pages, whose inline scripts hold few."""
     wrapped = c.script.select("id", F.concat(F.lit("function Get"), F.col("id").cast("string"), F.lit("() local t = {'a', 'b'} if x then return t end end "), F.substring("source", 1, 200)).alias("source"))
     return scripts.function_bodies(wrapped, "id", "source").select("id", "name", F.size("entries").alias("entries"))
 
 
-@query("r3_streamed_daily_counts")
+@query("r3_streamed_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
 def r3(c: Catalog) -> DataFrame:
     """The daily counts of the change feed as a stream over the same files, run until nothing is left."""
     schema = c.read("events").schema
