@@ -20,37 +20,19 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 
-class Tokens(dict):
-    """Ids of the pieces of a text between single spaces, made when first asked for.
-
-    A space between two characters that aren't white space always begins a token of this vocabulary, and so
-    does such a line feed. ``most`` bounds the number of pieces kept.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        import re
+class Tokens:
+    """Ids of a text by the byte-level BPE vocabulary whose ranks lie beside ``path``."""
 
+    def __init__(self, path: str):
         import tiktoken
+        from public_tokenizers import PATTERN
 
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        from public_tokenizers import PATTERN
-
-        self.whole = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-        self.most, self.odd = most, re.compile(r"\s[ \n]|[ \n]\s|^\s|\s$")
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.whole.encode_to_numpy(piece if piece[0] == "\n" else " " + piece, allowed_special="all").astype("<u4").tobytes()
-        if len(self) < self.most:
-            self[piece] = found
-        return found
+        self.whole = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
     def ids(self, text: str) -> np.ndarray:
-        if not text or self.odd.search(text):
-            return self.whole.encode_to_numpy(text, allowed_special="all").astype("<u4")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        head = self.whole.encode_to_numpy(first, allowed_special="all").astype("<u4").tobytes()
-        return np.frombuffer(head + b"".join(map(self.__getitem__, rest)), "<u4")
+        return self.whole.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 
 def cut_pieces(n: int, most: int) -> list[tuple[int, int]]:
