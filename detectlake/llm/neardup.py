@@ -1,18 +1,21 @@
 """Near-duplicate groups by a signature-coordinate inverted join over MinHash signatures.
 
 Documents with equal shingle sets form a class. A class is posted under the coordinate-value pairs of its
-signature; two classes that agree in at least ``match`` of ``hashes`` coordinates must share one of the
+signature, each coordinate two MinHash values in one, so that chance agreements stay rare as the corpus
+grows; two classes that agree in at least ``match`` of ``hashes`` coordinates must share one of the
 ``hashes - match + 1`` first pairs in any fixed order of all pairs, so only those are posted, rarest first.
 Very common pairs (passages that many documents share) thus are skipped unless little else is there. In a
-list, members first meet two members chosen by hash; what those links leave in different components then
-meets pair by pair. Candidates are kept if enough coordinates agree, and links are confirmed on whole sets.
+short list all members meet, in a long one each meets two members chosen by hash; candidates are kept if
+enough coordinates agree. What those links leave in different components of a long list meets by the rarest
+shingles of its whole sets. All links are confirmed on whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,16 @@ from .common import materialise, mix64, table, text_slices, word_hashes
 from .components import connected_components
 
 HASHES = 64
+#: MinHash values in a coordinate.
+ROWS = 2
+#: One-bit MinHash values that pairs are held against before whole sets are.
+BITS = 1024
 #: Buckets in which coordinate-value pairs are counted to order them by rarity.
 RARITY_BUCKETS = 1 << 16
+#: Up to this length, all members of a list meet.
+SHORT_LIST = 8
 _RANDOM = np.random.default_rng(7)
-_FACTORS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64)
+_FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS + BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -50,12 +58,27 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield rolled[:0]
 
 
+def least_values(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
+    """The smallest value of each of ``count`` hash functions over a set."""
+    least = np.full(count, 0xFFFFFFFF, np.uint64)
+    factors, shifts = _FACTORS[first : first + count], _SHIFTS[first : first + count]
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[at : at + 2048, None] * factors + shifts) >> np.uint64(32)).min(0))
+    return least
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, ((shingles[at : at + 4096, None] * _FACTORS + _SHIFTS) >> np.uint64(32)).min(0))
-    return least.astype(np.uint32)
+    """The coordinates of a set: each a hash of ROWS smallest values."""
+    values = least_values(shingles, 0, HASHES * ROWS).reshape(HASHES, ROWS)
+    whole = np.zeros(HASHES, np.uint64)
+    for j in range(ROWS):
+        whole = mix64(whole + values[:, j])
+    return (whole >> np.uint64(32)).astype(np.uint32)
+
+
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """BITS one-bit MinHash values as longs."""
+    return np.packbits((least_values(shingles, HASHES * ROWS, BITS) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -64,10 +87,16 @@ def class_of(shingles: np.ndarray) -> int:
 
 def match_threshold(percent: int, hashes: int = HASHES) -> int:
     """Coordinates in which a pair at the similarity bound agrees but once in about a million times not."""
-    p = percent / 100
+    p = (percent / 100) ** ROWS
     return max(1, math.floor(hashes * p - 4.75 * math.sqrt(hashes * p * (1 - p))))
 
 
+def bit_threshold(percent: int) -> int:
+    """Bits in which sketches of a pair at the similarity bound differ at most, but once in about a million times."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(BITS * p + 4.75 * math.sqrt(BITS * p * (1 - p)))
+
+
 def row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -94,26 +123,29 @@ def pair_keys(signatures: pa.Array) -> np.ndarray:
     return mix64((np.arange(HASHES, dtype=np.uint64) << np.uint64(32)) + values + np.uint64(1))
 
 
-def rarity(classes: DataFrame) -> np.ndarray:
-    """How often pairs occur over all classes, in RARITY_BUCKETS buckets (a fixed size, whatever the input)."""
+def bucket_counts(rows: DataFrame, column: str, keys: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+    """How often the keys of a column occur over all rows, in RARITY_BUCKETS buckets (a fixed size, whatever the input)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BUCKETS, np.int64)
         for batch in batches:
             if len(batch):
-                total += np.bincount((pair_keys(batch.column(0)) % np.uint64(RARITY_BUCKETS)).astype(np.int64).ravel(), minlength=RARITY_BUCKETS)
+                total += np.bincount((keys(batch.column(0)) % np.uint64(RARITY_BUCKETS)).astype(np.int64).ravel(), minlength=RARITY_BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
-    counted = classes.select("signature").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select(column).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(RARITY_BUCKETS, np.int64)
     out[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return out
 
 
 def postings(classes: DataFrame, match: int) -> DataFrame:
-    """(key, cls) for the rarest ``HASHES - match + 1`` pairs of each class, where another class has the key too."""
-    seen, prefix = rarity(classes), HASHES - match + 1
+    """(key, cls, n, hub1, hub2) for the rarest ``HASHES - match + 1`` pairs of each class, in lists of n > 1 classes.
+
+    The hubs are two members of the list, chosen by two hashes.
+    """
+    seen, prefix = bucket_counts(classes, "signature", pair_keys), HASHES - match + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +158,8 @@ def postings(classes: DataFrame, match: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rare.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), prefix))], ["key", "cls"])
 
     posted = classes.select("cls", "signature").mapInArrow(post, "key long, cls long")
-    shared = posted.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where(F.col("low") != F.col("high")).select("key")
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(i), "cls"), "cls"))["cls"].alias(f"hub{i}") for i in (1, 2)]
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *hubs).where(F.col("n") > 1)
     return materialise(posted.join(shared, "key"), "postings")
 
 
@@ -142,13 +175,11 @@ def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough; sets are made again for the classes in question."""
-    pairs = materialise(pairs, "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    asked = asked.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
+def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cls, shingles) of the classes asked for, made again from one text of each."""
+    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "text")
-    texts = keyed.join(asked, (F.col("row_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text")
+    texts = keyed.join(reps, (F.col("row_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +188,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "shingles"])
 
     # equal rows of a class give equal sets
-    whole = texts.mapInArrow(sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    whole = materialise(whole, "sets")
+    return materialise(texts.mapInArrow(sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,37 +203,68 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    sides = [whole.select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    sides = [sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    return materialise(found, "links")
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (cls, root) with different roots that whole sets don't rule out.
+
+    A set is posted under its rarest shingles, as many as two sets can differ in at the bound, plus one. Of
+    a similar pair, the first shared one leaves enough shingles behind it in both: that condition is part of
+    the join, and it rules out what only shares the body of a text with a dense group. One-bit sketches, in
+    the join too, rule out most of what else has a rare shingle in common.
+    """
+    seen = bucket_counts(sets, "shingles", lambda column: np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in column]))
+    names = [f"s{i}" for i in range(BITS // 64)]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, root, value in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+                own = np.frombuffer(value.as_buffer(), np.uint64)
+                n = len(own)
+                first = own[np.lexsort((own, seen[(own % np.uint64(RARITY_BUCKETS)).astype(np.int64)]))][: n - (-(-n * percent // 100)) + 1]
+                k = len(first)
+                same = [np.full(k, x) for x in (cls, root, n, *bit_sketch(own).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), n - np.arange(k), *same)], ["shingle", "rest", "cls", "root", "n", *names])
+
+    schema = "shingle long, rest long, cls long, root long, n long, " + ", ".join(f"{s} long" for s in names)
+    posted = materialise(members.join(sets, "cls").select("cls", "root", "shingles").mapInArrow(post, schema), "prefixes")
+    x, y = posted.alias("x"), posted.alias("y")
+    enough = F.least("x.rest", "y.rest") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names))
+    near = (F.col("x.shingle") == F.col("y.shingle")) & apart & enough & (differ <= bit_threshold(percent))
+    return x.join(y, near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of classes; classes without links are absent.
 
-    First each list's members meet two of them, chosen by two hashes, which joins most of a dense group
-    with as many pairs as members. Then, in lists that still hold different components, every member outside
-    the first chosen one's component meets all members of other components: no link between components is
-    lost, and pairs inside a component aren't made.
+    In short lists all members meet. In others each member meets two of them, which joins most of a dense
+    group with as many pairs as members. Members of long lists that still hold different components then
+    meet across components: every link has a list in common, so none between components is lost, and pairs
+    inside a component, which may be as many as the square of its size, aren't made.
     """
     match = match_threshold(percent)
     lists = postings(classes, match)
-    chosen = [F.min(F.struct(F.xxhash64(F.lit(i), "cls"), "cls"))["cls"].alias(f"hub{i}") for i in (1, 2)]
-    hubs = lists.groupBy("key").agg(*chosen)
-    ordered = [F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")]
-    star = lists.join(hubs, "key").select("cls", F.explode(F.array("hub1", "hub2")).alias("hub")).where(F.col("cls") != F.col("hub")).select(*ordered).distinct()
-    first = materialise(confirmed(agreeing(star, classes, match), classes, docs, words, percent), "links")
-    roots = connected_components(first)
-    named = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    short, long = lists.where(F.col("n") <= SHORT_LIST), lists.where(F.col("n") > SHORT_LIST)
+    x, y = short.alias("x"), short.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    star = long.select("cls", F.explode(F.array("hub1", "hub2")).alias("hub")).where(F.col("cls") != F.col("hub"))
+    star = star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+    near = materialise(agreeing(pairs.unionByName(star).distinct(), classes, match), "candidates")
+    asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
+    sets = whole_sets(asked, classes, docs, words)
+    roots = connected_components(confirmed(near, sets, percent))
+    named = long.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     named = materialise(named, "named")
-    mixed = named.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(1), "cls"), "root"))["root"].alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    left = named.join(mixed.select("key", "main"), "key")
-    outside = left.where(F.col("root") != F.col("main")).select("key", F.col("cls").alias("other"), F.col("root").alias("other_root"))
-    # two outsiders meet once, from the smaller one
-    apart = (F.col("root") != F.col("other_root")) & ((F.col("root") == F.col("main")) | (F.col("cls") > F.col("other")))
-    crossed = outside.join(left.alias("l"), (outside["key"] == F.col("l.key")) & apart).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-    crossed = crossed.join(star, ["a", "b"], "left_anti")
-    second = materialise(confirmed(agreeing(crossed, classes, match), classes, docs, words, percent), "links")
-    # contract the first round's components: only their roots and the new links are joined
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("key")
+    members = materialise(named.join(mixed, "key").select("cls", "root").distinct(), "members")
+    crossed = across(members, sets, percent).join(near, ["a", "b"], "left_anti")
+    second = confirmed(crossed, sets, percent)
+    # the first round's components become single nodes: only their roots and the new links are joined
     names = roots.withColumnRenamed("root", "r")
     both = second.join(names.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b").join(names.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
     if both.isEmpty():
