@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -24,31 +25,54 @@ TREES, DEPTH, LASSO = 24, 3, 0.001
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; null counts as empty."""
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in a whole text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    at_least_one = lambda c: F.greatest(c, F.lit(1)).cast("double")
-    chars, words, lines = F.length(text), count(WORD), F.split(text, "\n")
-    tokens = F.split(text, r"[\x20\x09-\x0D]+")
+    lines = F.split(text, "\n")
+    return {
+        "chars": F.length(text),
+        "words": count(WORD),
+        "distinct": F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))),
+        "repeats": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))"),
+        "symbols": count(r"[!#$%&*+/<=>@\\^_`{|}~]"),
+        "lone_symbols": count(r"(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+(?![^\x20\x09-\x0D])"),
+        "symbol_ends": count(r"[A-Za-z.,][!#$%&*]+"),
+        "capitals": count(r"[A-Z]"),
+        "digits": count(r"[0-9]"),
+        "stops": count(r"[.?](?=[\x20\x09-\x0D]|$)"),
+        "commas": count(r","),
+        "lines": F.size(lines),
+        "distinct_lines": F.size(F.array_distinct(lines)),
+    }
+
+
+def ratios(n: Mapping[str, Column]) -> dict[str, Column]:
+    """The statistics that rules compare, from counts."""
+    some = lambda c: F.greatest(n[c], F.lit(1)).cast("double")
+    log = lambda c: F.log1p(n[c].cast("double"))
     return {
-        "log_chars": F.log1p(chars.cast("double")),
-        "log_words": F.log1p(words.cast("double")),
-        "word_length": chars / at_least_one(words),
-        "distinct_words": F.log1p(F.size(F.array_distinct(tokens)).cast("double")) / at_least_one(F.log1p(words.cast("double"))),
-        "repeats": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))") / at_least_one(words),
-        "symbols": count(r"[!#$%&*+/<=>@\\^_`{|}~]") / at_least_one(chars),
-        "lone_symbols": count(r"(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+(?![^\x20\x09-\x0D])") / at_least_one(words),
-        "symbol_ends": count(r"[A-Za-z.,][!#$%&*]+") / at_least_one(words),
-        "capitals": count(r"[A-Z]") / at_least_one(chars),
-        "digits": count(r"[0-9]") / at_least_one(chars),
-        "stops": count(r"[.?](?=[\x20\x09-\x0D]|$)") / at_least_one(words),
-        "commas": count(r",") / at_least_one(words),
-        "words_per_line": words / at_least_one(F.size(lines)),
-        "distinct_lines": F.size(F.array_distinct(lines)) / at_least_one(F.size(lines)),
+        "log_chars": log("chars"),
+        "log_words": log("words"),
+        "word_length": n["chars"] / some("words"),
+        "distinct_words": log("distinct") / F.greatest(log("words"), F.lit(1.0)),
+        "repeats": n["repeats"] / some("words"),
+        "symbols": n["symbols"] / some("chars"),
+        "lone_symbols": n["lone_symbols"] / some("words"),
+        "symbol_ends": n["symbol_ends"] / some("words"),
+        "capitals": n["capitals"] / some("chars"),
+        "digits": n["digits"] / some("chars"),
+        "stops": n["stops"] / some("words"),
+        "commas": n["commas"] / some("words"),
+        "words_per_line": n["words"] / some("lines"),
+        "distinct_lines": n["distinct_lines"] / some("lines"),
     }
 
 
+def statistics(text: Column) -> dict[str, Column]:
+    return ratios(counts(text))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Comparisons (statistic, whether above, threshold) that must all hold, and the weight if they do."""
@@ -83,12 +107,21 @@ class RuleModel:
     rules: tuple[Rule, ...]
 
     def score(self, docs: DataFrame, text: str, into: str) -> DataFrame:
-        """Adds the column ``into``; all other columns stay as they are."""
-        made = {f"__{into}_{k}": v for k, v in statistics(F.col(text)).items()}
-        total = F.lit(self.intercept)
-        for rule in self.rules:
-            total = total + F.when(rule.holds({k: F.col(f"__{into}_{k}") for k in statistics(F.col(text))}), F.lit(rule.weight)).otherwise(F.lit(0.0))
-        return docs.withColumns(made).withColumn(into, F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop(*made)
+        """Adds the column ``into``; all other columns stay as they are.
+
+        Everything is counted once, in a struct that the rules see as a lambda's variable: a filter on the
+        score that is pushed below it then doesn't repeat the counts for every comparison.
+        """
+        found = counts(F.col(text))
+
+        def total(n: Column) -> Column:
+            values = ratios({k: n[k] for k in found})
+            sum_ = F.lit(self.intercept)
+            for rule in self.rules:
+                sum_ = sum_ + F.when(rule.holds(values), F.lit(rule.weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum_))
+
+        return docs.withColumn(into, F.transform(F.array(F.struct(*(v.alias(k) for k, v in found.items()))), total)[0])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
