@@ -280,18 +280,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Reads doc_id and text. Words are runs of anything but ASCII white space, A-Z lower-cased; a document's
     set holds its distinct shingles of ``words`` words, or its whole sequence if it has fewer. Two documents
     are linked if 100 times their intersection is at least ``percent`` times their union. Returns doc_id,
-    row_hash (of id and text), n_shingles, component_id (the smallest doc_id reachable, itself included) and
-    kept (doc_id is component_id). Rows without words or text are linked with nothing; a null doc_id is
-    never the smallest unless all are null; repeated rows each get a row. An empty table gives no rows.
+    row_hash (of id and text), n_shingles, component_id (the smallest doc_id reachable, itself included),
+    kept (doc_id is component_id) and root, which names the component whatever ids it holds: components
+    without an id, or with the same smallest id, differ in it. Rows without words or text are linked with
+    nothing and have no root; a null doc_id is never the smallest unless all are null; repeated rows each
+    get a row. An empty table gives no rows.
     """
     rows = materialise(signed(docs, words), "signed")
     classes = materialise(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least")), "classes")
     roots = materialise(class_links(classes, docs, words, percent), "roots")
     placed = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("cls").alias("name"), "component")
+    names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("cls").alias("name"), "component", "root")
     found = rows.join(names, F.col("cls") == F.col("name"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

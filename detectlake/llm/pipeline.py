@@ -21,9 +21,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, and all without words."""
-    found = near_duplicates(docs).where(F.col("kept") & (F.col("n_shingles") > 0))
-    # rows that share an id can be one group; one of them stays
-    chosen = found.groupBy("component_id").agg(F.min("row_hash").alias("__hash")).select(F.col("component_id").alias("__id"), "__hash")
+    found = near_duplicates(docs).where(F.col("n_shingles") > 0)
+    # ids can be null or repeated, so a group goes by its root; one row of it stays, of the smallest id
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")))
+    chosen = found.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("__id"), F.col("x.hash").alias("__hash"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("__row", row_hash())
     same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__row"))

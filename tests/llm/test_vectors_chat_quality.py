@@ -214,3 +214,15 @@ def test_pipeline_on_nothing(spark, corpus, tmp_path):
     docs.where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     labels.where("doc_id < 0").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_stage_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
+    text = lambda k, n=20: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0))]  # six texts without an id, one of them twice
+    rows += [(7, text(10)), (7, text(11)), (7, text(12)), (9, text(12)), (None, text(12))]  # one id on three unlinked texts
+    rows += [(None, text(20, 60)), (None, text(20, 60) + " tail"), (8, ""), (8, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, pipeline.dedup_stage(spark, docs, "").collect()))
+    near = [(None, text(20, 60)), (None, text(20, 60) + " tail")]
+    assert sum(got.pop(x, 0) for x in near) == 1
+    assert got == Counter([(None, text(k)) for k in range(6)] + [(7, text(k)) for k in (10, 11, 12)] + [(8, ""), (8, None), (None, None)])
