@@ -2,8 +2,8 @@
 
 The CRF labels the tokens that hold a digit or an at sign. Neighbours in a run of such tokens share
 potentials, and so do distant tokens of equal text or equal shape, each linked to its next occurrence, so
-that a document has no more links than tokens. Loopy belief propagation makes labels agree across the
-document. Weights are learnt by pseudo-likelihood from a bounded sample in which the patterns give the
+that links are linear in tokens. Loopy belief propagation, in sweeps from end to end, makes labels agree
+across the whole document. Weights are learnt by pseudo-likelihood from a bounded sample in which the patterns give the
 labels; a token is added if its kind is nearly sure and its shape was seen with that kind. Spans found by
 the patterns stay as they are.
 """
@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import mul, truediv
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ LABELS = len(KINDS) + 1
 SAMPLE_DOCS, SAMPLE_TOKENS = 2_000, 100_000
 #: Added tokens need this probability.
 SURE = 0.95
-ROUNDS = 10
+#: Messages that change by less than this share aren't sent again; after so many rounds without an end, steps are halved.
+TOLERANCE, PATIENCE = 1e-6, 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,9 +78,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def short(name: str, most: int) -> str:
+    """The name itself, or a digest of all of it if it is longer."""
+    return name if len(name) <= most else "#" + hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def shape(token: str) -> str:
-    """Runs of letters as a, of digits as their length, other signs as they are; at most 24 characters."""
-    return re.sub(r"[0-9]+", lambda m: f"{min(len(m[0]), 20)};", re.sub(r"[^\W\d_]+", "a", token))[:24]
+    """Runs of letters as a, of digits as their length, other signs as they are; a digest beyond 24 characters."""
+    return short(re.sub(r"[0-9]+", lambda m: f"{len(m[0])};", re.sub(r"[^\W\d_]+", "a", token)), 24)
 
 
 def bucket(n: int) -> int:
@@ -116,7 +123,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Document:
     covered = sorted((s, e, k + 1) for k, s, e in base)
     at, end_before = 0, -9
     for start, end in marked_tokens(text):
-        token, i = text[start : min(end, start + 200)], len(doc.spans)
+        token, i = text[start:end], len(doc.spans)
         while at < len(covered) and covered[at][1] <= start:
             at += 1
         doc.labels.append(next((k for s, e, k in covered[at : at + 4] if s < end and e > start), 0))
@@ -126,7 +133,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Document:
         doc.features.append(["bias", f"shape {form}", f"digits {bucket(digits)}", f"length {bucket(len(token))}", f"dots {bucket(token.count('.'))}", f"at {token.count('@') > 0}", f"plus {token[0] == '+'}", f"dash {bucket(token.count('-'))}", f"only {digits == len(token)}", f"run {start - end_before <= 2}"])
         if i and start - end_before <= 2:
             doc.links.append((i - 1, i, 0))
-        for kind, key in enumerate((token, form)):
+        for kind, key in enumerate((short(token, 200), form)):
             if (j := last[kind].get(key)) is not None and (i - 1 > j or not doc.links or doc.links[-1][:2] != (j, i)):
                 doc.links.append((j, i, kind + 1))
             last[kind][key] = i
@@ -150,32 +157,62 @@ class Crf:
         return out
 
     def marginals(self, doc: Document) -> np.ndarray:
-        """Label probabilities by sum-product messages over the links, damped, in at most ROUNDS rounds."""
+        """Label probabilities by sum-product messages over the links."""
         unary = self.unary(doc)
-        if doc.links:
-            a, b, kind = np.array(doc.links).T
-            pair = np.exp(self.links[kind])
-            message = np.zeros((2, len(a), LABELS))
-            for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, b, message[0])
-                np.add.at(belief, a, message[1])
-                new = np.empty_like(message)
-                for way, ends, weights in ((0, a, pair), (1, b, pair.transpose(0, 2, 1))):
-                    sent = belief[ends] - message[1 - way]
-                    sent = np.exp(sent - sent.max(1, keepdims=True))
-                    got = np.log(np.einsum("ei,eij->ej", sent, weights) + 1e-300)
-                    new[way] = 0.5 * message[way] + 0.5 * (got - got.max(1, keepdims=True))
-                done = np.abs(new - message).max() < 1e-4
-                message = new
-                if done:
-                    break
-            unary = unary.copy()
-            np.add.at(unary, b, message[0])
-            np.add.at(unary, a, message[1])
         p = np.exp(unary - unary.max(1, keepdims=True))
+        if doc.links:
+            p = np.array(self.swept(p.tolist(), doc.links))
         return p / p.sum(1, keepdims=True)
 
+    def swept(self, local: list[list[float]], links: list[tuple[int, int, int]]) -> list[list[float]]:
+        """Beliefs (not normed) of tokens after messages have gone forward and backward until they stay.
+
+        A sweep takes the tokens in order, so that a message crosses the document in it, however many links
+        it has; tokens that have heard nothing new are passed over. On chains two sweeps are exact. Should
+        messages of a document with loops swing, steps that get shorter bring them to rest.
+        """
+        pair = np.exp(self.links - self.links.max((1, 2), keepdims=True))
+        # for each kind of link and label of the receiver, the weights of the sender's labels
+        weights = pair.transpose(0, 2, 1).tolist(), pair.tolist()
+        sends: tuple[list, list] = [[] for _ in local], [[] for _ in local]
+        for e, (a, b, kind) in enumerate(links):
+            sends[0][a].append((e, b, weights[0][kind]))
+            sends[1][b].append((e, a, weights[1][kind]))
+        message = [[1.0] * LABELS] * len(links), [[1.0] * LABELS] * len(links)
+
+        def belief(i: int) -> list[float]:
+            out = local[i]
+            for way in (0, 1):
+                for e, _, _ in sends[1 - way][i]:
+                    out = list(map(mul, out, message[way][e]))
+            return out
+
+        todo = bytearray(b"\1") * len(local), bytearray(b"\1") * len(local)
+        orders, rounds = (range(len(local)), range(len(local) - 1, -1, -1)), 0
+        while any(todo[0]) or any(todo[1]):
+            step = 0.5 ** (rounds // PATIENCE)
+            rounds += 1
+            for way in (0, 1):
+                for i in orders[way]:
+                    if not todo[way][i]:
+                        continue
+                    todo[way][i] = 0
+                    if not sends[way][i]:
+                        continue
+                    own = belief(i)
+                    for e, to, columns in sends[way][i]:
+                        old, rest = message[way][e], list(map(truediv, own, message[1 - way][e]))
+                        new = [sum(map(mul, rest, c)) for c in columns]
+                        top = max(new)
+                        new = [x / top for x in new]
+                        if step < 1:
+                            new = [x**step * y ** (1 - step) for x, y in zip(new, old, strict=True)]
+                        if any(abs(x - y) > TOLERANCE * y for x, y in zip(new, old, strict=True)):
+                            message[way][e] = new
+                            todo[0][to] = todo[1][to] = 1
+                            todo[way][i] |= step < 1
+        return [belief(i) for i in range(len(local))]
+
     def added(self, doc: Document) -> list[tuple[int, int, int]]:
         """(kind, start, end) of tokens that no pattern has and that are nearly sure to be of a kind."""
         if not doc.spans or all(doc.labels):

@@ -329,3 +329,50 @@ def test_labels_agree_across_a_document():
                 exact[1, b] += p
                 exact[2, c] += p
     assert np.allclose(crf.marginals(doc), exact / exact.sum(1, keepdims=True), atol=0.02)
+
+
+@pytest.mark.parametrize("sure_at", [0, 49])
+def test_labels_reach_fifty_copies(sure_at):
+    """A sure token decides all copies of it in a long document, from either end, as exact inference says."""
+    n = 50
+    weights = np.zeros((2, pii.LABELS))
+    weights[1, 1] = 6.0
+    links = np.zeros((3, pii.LABELS, pii.LABELS))
+    links[1] = 8.0 * np.eye(pii.LABELS)
+    crf = pii.Crf({"bias": 0, "sure": 1}, weights, links, frozenset())
+    features = [["bias", "sure"] if i == sure_at else ["bias"] for i in range(n)]
+    p = crf.marginals(pii.Document([(0, 1)] * n, features, [""] * n, [(i, i + 1, 1) for i in range(n - 1)], [0] * n))
+    assert (p.argmax(1) == 1).all() and p[:, 1].min() > 0.85
+    local = np.exp([weights[1] if i == sure_at else weights[0] for i in range(n)])
+    step, left, right = np.exp(links[1]), [np.ones(pii.LABELS)], [np.ones(pii.LABELS)]
+    for i in range(n - 1):
+        x, y = (left[-1] * local[i]) @ step, step @ (right[-1] * local[n - 1 - i])
+        left.append(x / x.sum())
+        right.append(y / y.sum())
+    exact = np.array(left) * local * np.array(right[::-1])
+    assert np.allclose(p, exact / exact.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_messages_come_to_rest_on_loops():
+    """Links of all kinds in loops, repelling ones too: an end and probabilities, near to exact ones where links are weak."""
+    rng = np.random.default_rng(8)
+    for strength in (0.3, 6.0):
+        n, links = 6, strength * rng.standard_normal((3, pii.LABELS, pii.LABELS))
+        weights = rng.standard_normal((n, pii.LABELS))
+        crf = pii.Crf({str(i): i for i in range(n)}, weights, links, frozenset())
+        edges = [(0, 1, 0), (1, 2, 0), (0, 2, 1), (2, 3, 2), (3, 4, 0), (1, 4, 2), (4, 5, 1), (0, 5, 2)]
+        p = crf.marginals(pii.Document([(0, 1)] * n, [[str(i)] for i in range(n)], [""] * n, edges, [0] * n))
+        assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
+        if strength < 1:
+            every = np.array(np.meshgrid(*[range(pii.LABELS)] * n)).reshape(n, -1)
+            mass = np.exp(sum(weights[i, every[i]] for i in range(n)) + sum(links[k, every[a], every[b]] for a, b, k in edges))
+            exact = np.array([[mass[every[i] == x].sum() for x in range(pii.LABELS)] for i in range(n)]) / mass.sum()
+            assert np.abs(p - exact).max() < 0.02
+
+
+def test_long_tokens_are_told_apart():
+    one, other = "x" * 300 + "1", "x" * 300 + "2"
+    assert [k for *_, k in pii.candidates(f"{one} and {other}", []).links] == [2]  # equal shapes, different texts
+    assert [k for *_, k in pii.candidates(f"{one} and {one}", []).links] == [1]
+    long = "-".join(["a1"] * 20)
+    assert pii.shape(long + "-b") == pii.shape(long + "-c") != pii.shape(long + "+c") and len(pii.shape(long)) < 30
