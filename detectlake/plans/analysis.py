@@ -435,7 +435,7 @@ def r3(c: Catalog) -> DataFrame:
     schema = c.read("events").schema
     stream = jobs.file_stream(c.spark, f"{c.folder}/events.parquet*", schema)
     changes = stream.select(F.col("ts").cast("timestamp").alias("changed_at"))
-    return jobs.run_to_memory(jobs.daily_counts(changes), "daily_counts").select(F.col("day").cast("string").alias("day"), "n")
+    return jobs.run_to_files(jobs.daily_counts(changes), "daily_counts").select(F.col("day").cast("string").alias("day"), "n")
 
 
 @query("w8_top_sizes", over("item", sql=", s AS (SELECT category, size, count(*) AS n FROM item GROUP BY ALL) SELECT category, size, n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, size) AS r FROM s) WHERE r <= 20"))

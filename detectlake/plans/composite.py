@@ -251,7 +251,7 @@ def m17(c: Catalog) -> DataFrame:
 def r5(c: Catalog) -> DataFrame:
     stream = jobs.file_stream(c.spark, f"{c.folder}/events.parquet*", c.read("events").schema)
     changes = stream.select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("changed_at"))
-    return jobs.run_to_memory(jobs.entity_state(changes), "entity_state").select("entity_type", "entity_id", "n")
+    return jobs.run_to_files(jobs.entity_state(changes), "entity_state").select("entity_type", "entity_id", "n")
 
 
 @query("k9_rule_lines", over("entity", sql="SELECT category, CAST(sum(length('rule ' || regexp_replace(threat_name, '[^A-Za-z0-9_]', '_', 'g'))) AS BIGINT) AS characters, count(*) AS rules FROM entity GROUP BY 1"))

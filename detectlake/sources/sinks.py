@@ -36,9 +36,29 @@ def indicator_map(indicators: DataFrame, names: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "value").agg(F.array_join(F.array_sort(F.collect_list("name")), ";").alias("names"))
 
 
-def rule_corpus(scripts: DataFrame, by: str, most: int | None = None) -> DataFrame:
-    """Scripts under each of their rules with a header line, numbered by id; at most ``most`` a rule if given."""
-    rows = scripts.withColumn("rule", F.explode(by)).withColumn("number", F.row_number().over(Window.partitionBy("rule").orderBy("id")))
+def id_bounds(rows: DataFrame, parts: int, sample: int = 10_000) -> list:
+    """At most ``parts`` - 1 sorted ids that cut the rows into ranges of about equal size, from the ``sample`` least hashes."""
+    known = rows.select("id").where(F.col("id").isNotNull())
+    ids = sorted({r.id for r in known.orderBy(F.xxhash64("id"), "id").limit(sample).collect()})
+    return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
+
+
+def rule_corpus(scripts: DataFrame, by: str, most: int | None = None, parts: int = 256) -> DataFrame:
+    """Scripts under each of their rules with a header line, numbered by id; at most ``most`` a rule if given.
+
+    A rule can hold any share of all scripts, so none is sorted in one task: ids fall into ranges, counts by
+    range give the offset of each, and only within a range of a rule are rows numbered.
+    """
+    bounds = id_bounds(scripts, parts)
+    kind = scripts.schema["id"].dataType
+    part = F.size(F.filter(F.array(*(F.lit(x).cast(kind) for x in bounds)), lambda x: x <= F.col("id"))) if bounds else F.lit(0)
+    rows = scripts.withColumns({"part": part}).withColumn("rule", F.explode(by))
+    before = Window.partitionBy("rule").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("rule", "part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(F.col("rule").alias("of_rule"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("rule", "part").orderBy("id")))
+    placed = placed.join(offsets, F.col("rule").eqNullSafe(F.col("of_rule")) & (F.col("part") == F.col("of_part")))
+    rows = placed.withColumn("number", (F.col("offset") + F.col("place")).cast("int"))
     rows = rows if most is None else rows.where(F.col("number") <= most)
     return rows.select("rule", "number", "id", F.concat(F.lit("-- script "), F.col("id").cast("string"), F.lit("\n"), F.col("source")).alias("value"))
 

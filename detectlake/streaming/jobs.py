@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +74,37 @@ def publish_unchanged(results: DataFrame, inputs: DataFrame, pending: str = "pen
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete", timeout: int = 120) -> DataFrame:
-    """Run a stream over all that is there into an in-memory table; for tests and small reports."""
+    """Run a stream over all that is there into an in-memory table; for tests and small reports only, as the driver holds all rows."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(name)
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Run a complete-mode stream over all that is there, however long it takes, and read its last result from Parquet.
+
+    Result and checkpoint lie in the folder that driver and executors share (``spark.checkpoint.dir``; a
+    temporary one only where it is unset) and are deleted when the application ends. Each batch replaces the
+    result of the one before.
+    """
+    spark = stream.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/detectlake-checkpoints"
+    folder = f"{shared}/detectlake-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written: list[str] = []
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        path = f"{folder}/{name}/{epoch}"
+        df.write.mode("overwrite").parquet(path)
+        for old in written:
+            if old != path:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+        written[:] = [path]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    files.deleteOnExit(place)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)

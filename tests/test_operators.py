@@ -281,6 +281,42 @@ def test_streams_end_as_batches(spark, tmp_path):
     assert state == {(0, 14), (1, 13), (2, 13)}
 
 
+def test_streamed_results_lie_in_files(spark, tmp_path):
+    """Results of streams are Parquet files of the last batch, beside the checkpoint; none without input."""
+    changes = spark.createDataFrame([("a", i % 3, f"2024-01-0{1 + i % 4} 10:00:00") for i in range(40)], "entity_type string, entity_id long, at string").withColumn("changed_at", F.to_timestamp("at")).drop("at")
+    changes.repartition(3).write.parquet(f"{tmp_path}/changes")
+    changes.where("entity_id > 5").write.parquet(f"{tmp_path}/none")
+    state = jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/changes", changes.schema, 1)), "t_state")
+    assert {(r.entity_id, r.n) for r in state.collect()} == {(0, 14), (1, 13), (2, 13)}
+    assert state.inputFiles() and all("/t_state/2/" in f for f in state.inputFiles())
+    assert jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/none", changes.schema)), "t_none").count() == 0
+
+
+def test_streamed_queries_hold_nothing_in_the_driver(spark):
+    from detectlake.plans import analysis, composite, registry  # noqa: F401
+
+    for name in ("r3_streamed_daily_counts", "r5_streamed_entity_state"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_rule_corpus_sorts_no_rule_in_one_task(spark):
+    """Numbers follow the ids of each rule, and rows are numbered in ranges of a rule only."""
+    ids = [None, *range(-500, 500), 10**12]
+    rows = [(i, ["r", f"s{(i or 0) % 2}", None], "x") for i in ids]
+    scripts = spark.createDataFrame(rows, "id long, rules array<string>, source string").repartition(5)
+    made = sinks.rule_corpus(scripts, "rules")
+    want = set()
+    for rule in ("r", "s0", "s1", None):
+        own = sorted((i for i, rules, _ in rows if rule in rules), key=lambda i: (i is not None, i))
+        want |= {(rule, n + 1, i) for n, i in enumerate(own)}
+    assert {(r.rule, r.number, r.id) for r in made.collect()} == want
+    assert {(r.rule, r.number) for r in sinks.rule_corpus(scripts, "rules", 2).collect()} == {(k, n) for k in ("r", "s0", "s1", None) for n in (1, 2)}
+    plan = made._jdf.queryExecution().analyzed().toString()
+    numbered = [line for line in plan.splitlines() if "row_number()" in line and "windowspecdefinition(" in line]
+    assert numbered and all("part#" in line.split("windowspecdefinition(")[1] for line in numbered)
+    assert sinks.rule_corpus(scripts.where("id = 7777"), "rules").count() == 0
+
+
 def test_ingest_skips_known_versions(spark, tmp_path):
     spark.createDataFrame([("v1", 1), ("v2", 2)], "version string, x int").write.parquet(f"{tmp_path}/in")
     stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
