@@ -17,6 +17,10 @@ from .common import table
 
 #: Lists are read in steps of a sixteenth of their length: first to this depth, then on to the others; dense vectors leave few rows after ten.
 STEPS, FIRST, LATER = 16, 10, (13,)
+#: What rounding can make of a sum of products, as a share of the norms' product; bounds are wider by it.
+ROUNDING = 1e-11
+#: Products of norms from here on are summed in Python's integers, below it in longs.
+LONG = float(2**62)
 
 
 class SortedLists:
@@ -31,7 +35,8 @@ class SortedLists:
         np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
         self.down, self.up = (rank // self.length).astype(np.uint8), ((n - 1 - rank) // self.length).astype(np.uint8)
         self.sorted = np.take_along_axis(self.rows, order, 0)
-        self.square = (self.rows**2).sum(1)
+        with np.errstate(over="ignore"):
+            self.square = (self.rows**2).sum(1)
 
     def frontier(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The next value that a reader from the top, and one from the bottom, would meet in each list."""
@@ -48,23 +53,50 @@ class SortedLists:
         pos, neg = np.maximum(queries, 0).T, np.minimum(queries, 0).T
         high, bottom = self.frontier(depth)
         seen = (top * rows) @ pos + (low * rows) @ neg
-        left = self.square[which][:, None] - (top * rows**2) @ (pos > 0) - (low * rows**2) @ (neg < 0)
+        square = self.square[which][:, None]
+        left = np.maximum(square - (top * rows**2) @ (pos > 0) - (low * rows**2) @ (neg < 0), 0) + ROUNDING * square
         unread = (~top).astype(float), (~low).astype(float)
-        reach = np.sqrt(np.maximum(left, 0) * np.maximum(unread[0] @ pos**2 + unread[1] @ neg**2, 0))
+        reach = np.sqrt(left * np.maximum(unread[0] @ pos**2 + unread[1] @ neg**2, 0))
         most = unread[0] @ (pos * high[:, None]) + unread[1] @ (neg * bottom[:, None])
         least = unread[0] @ (pos * self.sorted[-1][:, None]) + unread[1] @ (neg * self.sorted[0][:, None])
-        return seen + np.maximum(least, -reach), seen + np.minimum(most, reach)
+        slack = ROUNDING * np.sqrt(square) * np.sqrt((pos**2 + neg**2).sum(0))
+        # what is too large even for doubles has no bound
+        return np.nan_to_num(seen + np.maximum(least, -reach) - slack, nan=-np.inf, posinf=-np.inf, neginf=-np.inf), np.nan_to_num(seen + np.minimum(most, reach) + slack, nan=np.inf, posinf=np.inf, neginf=np.inf)
+
+
+class ExactProducts:
+    """Exact inner products of whole numbers held as doubles: in longs where they fit, else in Python's integers."""
+
+    def __init__(self, rows: np.ndarray, square: np.ndarray):
+        self.rows, self.norm, self.small = rows, np.sqrt(square), self.longs(rows)
+
+    @staticmethod
+    def longs(values: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(values) < LONG, values, 0).astype(np.int64)
+
+    def __call__(self, which: np.ndarray, query: np.ndarray) -> np.ndarray | list[int]:
+        """The products of some rows with a query; a list if there is one that longs may not hold."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            wide = ~(self.norm[which] * np.sqrt((query.astype(np.float64) ** 2).sum()) < LONG)
+        fits = self.small[which] @ self.longs(query)
+        if not wide.any():
+            return fits
+        whole = [int(x) for x in query.tolist()]
+        return [sum(int(x) * y for x, y in zip(self.rows[i].tolist(), whole, strict=True)) if w else s for i, w, s in zip(which.tolist(), wide.tolist(), fits.tolist(), strict=True)]
 
 
 def best_by_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of query and row, and exact integer scores, of the k best rows for each query.
 
-    Ties go to smaller ids; a row with the query's own id isn't a candidate.
+    Ties go to smaller ids; a row with the query's own id isn't a candidate. Fails if the score of one of the
+    k best doesn't fit a long.
     """
     lists, out = SortedLists(rows), []
+    products = ExactProducts(rows, lists.square)
     for start in range(0, len(queries), 128):
         some = queries[start : start + 128].astype(np.float64)
-        lower, upper = lists.bounds(slice(None), some, FIRST)
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower, upper = lists.bounds(slice(None), some, FIRST)
         for j, q in enumerate(some):
             alive = np.flatnonzero(ids != query_ids[start + j])
             low, high = lower[alive, j], upper[alive, j]
@@ -75,10 +107,16 @@ def best_by_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
                 alive = alive[high >= bar - 1e-9 * max(1.0, abs(bar)) - 0.5]
                 if depth is None or len(alive) <= 4 * k:  # the rest of so few entries is read at once
                     break
-                low, high = (x[:, 0] for x in lists.bounds(alive, q[None], depth))
-            exact = rows[alive] @ queries[start + j]
-            order = np.lexsort((ids[alive], -exact))[:k]
-            out.append((np.full(len(order), start + j), alive[order], exact[order]))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    low, high = (x[:, 0] for x in lists.bounds(alive, q[None], depth))
+            exact = products(alive, queries[start + j])
+            if isinstance(exact, list):
+                order = np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], ids[alive[i]]))[:k], np.int64)
+                scores = np.array([exact[i] for i in order], np.int64)
+            else:
+                order = np.lexsort((ids[alive], -exact))[:k]
+                scores = exact[order]
+            out.append((np.full(len(order), start + j), alive[order], scores))
     return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
 
 
@@ -87,15 +125,18 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
 
     Components are floor(scale * x), x as double. Queries are the rows whose id is divisible by
     ``query_every``; candidates are all rows with another id, ties to smaller ids. Rows whose id or vector is
-    null, or whose vector holds a null, a non-finite component or one beyond 2^28 after scaling (sums of
-    those don't fit a long), take no part; only vectors of equal length meet. Repeated rows count each for
+    null, or whose vector holds a null or a non-finite component, take no part; only vectors of equal length
+    meet. Products are exact whatever the size of components; a score among the k best of a block that
+    doesn't fit a long fails the job, as it would in SQL. Repeated rows count each for
     itself. Fewer candidates than k give fewer rows; an empty table gives none.
     """
     x = F.transform(embedding, lambda v: v.cast("double"))
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale < 2**28))
-    scaled = vectors.where(usable).where(fine).select(F.col(vec_id).alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
-    return search_blocks(scaled, F.col("vec_id") % query_every == 0, k, "int64", best_by_lists, np.int64, block_rows, query_rows)
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    # whole numbers as doubles, which hold them exactly: from 2^53 on a double has no fraction
+    whole = lambda v: F.when(F.abs(v * scale) < 2**53, F.floor(v * scale).cast("double")).otherwise(v * scale)
+    scaled = vectors.where(usable).where(fine).select(F.col(vec_id).alias("vec_id"), F.transform(x, whole).alias("v"))
+    return search_blocks(scaled, F.col("vec_id") % query_every == 0, k, "int64", best_by_lists, np.float64, block_rows, query_rows)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

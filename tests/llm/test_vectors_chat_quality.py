@@ -49,6 +49,29 @@ def test_exact_topk(vectors, block):
     assert topk.exact_topk(vectors.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("block", [16_384, 40])
+def test_exact_topk_keeps_large_components(spark, block):
+    """Large finite components take part, and products beyond doubles' whole numbers are exact."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(6).astype(np.float32)]) for i in range(200)]
+    rows += [(300 + i, [float(np.float32(s * 2.0**e)) for s in rng.standard_normal(6)]) for i, e in enumerate([19, 20, 20, 21, 21, 21] * 3)]  # products near 2^58
+    rows += [(400, [2.0**21] * 6), (401, [2.0**21] * 5 + [2.0**21 + 1]), (402, [2.0**21 + 0.25] + [2.0**21] * 5)]
+    rows += [(500, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (501, [-1.0] + [0.0] * 5)]
+    rows += [(601, [0.0, -(2.0**60), 2.0**60, 0.0, 0.0, 0.0]), (650, [1.0, 1.0, 1.0, 2.0, 0.0, 0.0])]  # sums that cancel
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id < 600")
+    scaled = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    product = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = brute([x for x in scaled if x[0] < 600], 50, 5, product)
+    assert Counter(map(tuple, topk.exact_topk(df, block_rows=block, query_rows=7).collect())) == want
+    assert any(c >= 300 for _, _, c, _ in want)
+    some = spark.createDataFrame([r for r in rows if r[0] in (601, 650) or r[0] < 5], "vec_id long, embedding array<double>").where("vec_id <> 0")
+    got = [tuple(r) for r in topk.exact_topk(some, k=2, block_rows=block).where("query_id = 650").orderBy("rank").collect()]
+    near = sorted((-product(dict(scaled)[650], v), i) for i, v in scaled if i in (601, 1, 2, 3, 4))[:2]
+    assert got == [(650, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    with pytest.raises(Exception, match="long|large|Overflow"):
+        topk.exact_topk(spark.createDataFrame([(0, [2.0**60]), (1, [2.0**60])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_list_bounds_hold():
     rng = np.random.default_rng(2)
     rows, queries = rng.integers(-400, 400, (300, 9)), rng.integers(-400, 400, (20, 9)).astype(float)
