@@ -6,8 +6,10 @@ grows; two classes that agree in at least ``match`` of ``hashes`` coordinates mu
 ``hashes - match + 1`` first pairs in any fixed order of all pairs, so only those are posted, rarest first.
 Very common pairs (passages that many documents share) thus are skipped unless little else is there. In a
 short list all members meet, in a long one each meets two members chosen by hash; candidates are kept if
-enough coordinates agree. What those links leave in different components of a long list meets by the rarest
-shingles of its whole sets. All links are confirmed on whole sets.
+enough coordinates agree. Then come rounds in which the members of a list that still holds several components
+meet members of other components only, so that a dense group grows together by as many pairs as it has
+members. What rounds no longer join meets by the rarest shingles of whole sets, again across components only.
+Sketches of sets rule pairs out before whole sets are compared; all links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,17 @@ from .components import connected_components
 HASHES = 64
 #: MinHash values in a coordinate.
 ROWS = 2
-#: One-bit MinHash values that pairs are held against before whole sets are.
+#: Bits of the sketch that pairs are held against before whole sets are, and its columns.
 BITS = 1024
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
+#: Sets up to this size have parities as their sketch, larger ones one-bit MinHash values.
+SMALL_SET = 1024
 #: Buckets in which coordinate-value pairs are counted to order them by rarity.
 RARITY_BUCKETS = 1 << 16
 #: Up to this length, all members of a list meet.
 SHORT_LIST = 8
+#: Rounds between components, and more as long as each leaves fewer of them in mixed lists by more than a share.
+ROUNDS, FRUITFUL = 3, 0.02
 _RANDOM = np.random.default_rng(7)
 _FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS + BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -77,12 +85,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """BITS one-bit MinHash values as longs."""
-    return np.packbits((least_values(shingles, HASHES * ROWS, BITS) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    """BITS bits of a set as longs.
+
+    A small set gives the parity of its number of shingles in each of BITS buckets: as many parities of two
+    sets differ as shingles are in one of them only, or fewer. A large one gives one-bit MinHash values.
+    """
+    if len(shingles) <= SMALL_SET:
+        bits = np.bincount((shingles >> np.uint64(64 - 10)).astype(np.int64), minlength=BITS) & 1
+    else:
+        bits = least_values(shingles, HASHES * ROWS, BITS) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two longs."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def match_threshold(percent: int, hashes: int = HASHES) -> int:
@@ -92,29 +110,45 @@ def match_threshold(percent: int, hashes: int = HASHES) -> int:
 
 
 def bit_threshold(percent: int) -> int:
-    """Bits in which sketches of a pair at the similarity bound differ at most, but once in about a million times."""
+    """One-bit MinHash values in which a pair at the similarity bound differs at most, but once in about a million times."""
     p = (1 - percent / 100) / 2
     return math.ceil(BITS * p + 4.75 * math.sqrt(BITS * p * (1 - p)))
 
 
+def not_ruled_out(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches of two sets, in columns behind the prefixes ``x`` and ``y``, allow a link.
+
+    Sets at the bound differ in (100 - percent) / (100 + percent) of the sum of their sizes, so in no more
+    parities. Sketches of different kinds say nothing.
+    """
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH))
+    small = F.greatest(n, m) <= SMALL_SET
+    large = F.least(n, m) > SMALL_SET
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & F.when(small, differ * (100 + percent) <= (n + m) * (100 - percent)).when(large, differ <= bit_threshold(percent)).otherwise(True)
+
+
 def row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_hash, n_shingles, cls (null without words) and signature of each row."""
+    """doc_id, row_hash, n_shingles, set_hi, set_lo (null without words) and signature of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, signatures = [], [], []
             for s in shingle_sets(batch.column(2), words):
                 sizes.append(len(s))
-                classes.append(class_of(s) if len(s) else None)
+                classes.append(class_of(s) if len(s) else (None, None))
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "row_hash", "n_shingles", "cls", "signature"])
+            high, low = zip(*classes, strict=True) if classes else ((), ())
+            made = [pa.array(x, t) for x, t in ((sizes, pa.int64()), (high, pa.int64()), (low, pa.int64()), (signatures, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "row_hash", "n_shingles", "set_hi", "set_lo", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(sign, "doc_id long, row_hash long, n_shingles long, cls long, signature binary")
+    return rows.mapInArrow(sign, "doc_id long, row_hash long, n_shingles long, set_hi long, set_lo long, signature binary")
 
 
 def pair_keys(signatures: pa.Array) -> np.ndarray:
@@ -176,19 +210,28 @@ def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
 
 
 def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(cls, shingles) of the classes asked for, made again from one text of each."""
-    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
+    """(cls, n, sketch columns, shingles) of the classes asked for, made again from one text of each."""
+    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "text")
-    texts = keyed.join(reps, (F.col("row_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text")
+    texts = keyed.join(reps, (F.col("row_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                made = list(shingle_sets(batch.column(0)[at : at + 256], words))
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "shingles"])
+                some = batch.slice(at, 256)
+                made = list(shingle_sets(some.column(1), words))
+                bits = np.stack([bit_sketch(s) for s in made])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array(x) for x in bits.T.copy()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "n", *SKETCH, "shingles"])
+
+    schema = "cls long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", shingles binary"
+    # rows that are equal in id and text give equal sets
+    return materialise(texts.mapInArrow(sets, schema).dropDuplicates(["cls"]), "sets")
 
-    # equal rows of a class give equal sets
-    return materialise(texts.mapInArrow(sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    sides = [sets.select(*(F.col(c).alias(k if c == "cls" else f"{k}{c}") for c in ("cls", "n", *SKETCH))) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(not_ruled_out("a", "b", percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,44 +251,79 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(found, "links")
 
 
+def ordered(x: str | Column, y: str | Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def mixed_lists(named: DataFrame) -> DataFrame:
+    """The rows (key, cls, root) of lists that hold several roots."""
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("key")
+    return named.join(mixed, "key")
+
+
+def between_components(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members of different roots: two for each member (key, cls, root) of a list at most.
+
+    The roots of a list that come first and last by a hash each send one member, and all members of other
+    roots meet it. The hashes differ by ``turn``.
+    """
+    by = F.struct(F.xxhash64(F.lit(turn), "root").alias("r"), F.xxhash64(F.lit(turn), "cls").alias("c"), "root", "cls")
+    sent = named.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"))
+    met = named.join(sent, "key").select("cls", "root", F.explode(F.array("low", "high")).alias("other")).where(F.col("root") != F.col("other.root"))
+    return met.select(*ordered("cls", "other.cls")).distinct()
+
+
 def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (cls, root) with different roots that whole sets don't rule out.
 
     A set is posted under its rarest shingles, as many as two sets can differ in at the bound, plus one. Of
     a similar pair, the first shared one leaves enough shingles behind it in both: that condition is part of
-    the join, and it rules out what only shares the body of a text with a dense group. One-bit sketches, in
-    the join too, rule out most of what else has a rare shingle in common.
+    the join, and it rules out what only shares the body of a text with a dense group. Sketches, in the join
+    too, rule out most of what else has a rare shingle in common. Under a shingle, only what isn't of its
+    commonest root meets all others, so that a large component isn't held against itself.
     """
     seen = bucket_counts(sets, "shingles", lambda column: np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in column]))
-    names = [f"s{i}" for i in range(BITS // 64)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, root, value in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+            for row, value in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.column(batch.num_columns - 1), strict=True):
                 own = np.frombuffer(value.as_buffer(), np.uint64)
                 n = len(own)
                 first = own[np.lexsort((own, seen[(own % np.uint64(RARITY_BUCKETS)).astype(np.int64)]))][: n - (-(-n * percent // 100)) + 1]
                 k = len(first)
-                same = [np.full(k, x) for x in (cls, root, n, *bit_sketch(own).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), n - np.arange(k), *same)], ["shingle", "rest", "cls", "root", "n", *names])
-
-    schema = "shingle long, rest long, cls long, root long, n long, " + ", ".join(f"{s} long" for s in names)
-    posted = materialise(members.join(sets, "cls").select("cls", "root", "shingles").mapInArrow(post, schema), "prefixes")
-    x, y = posted.alias("x"), posted.alias("y")
-    enough = F.least("x.rest", "y.rest") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names))
-    near = (F.col("x.shingle") == F.col("y.shingle")) & apart & enough & (differ <= bit_threshold(percent))
-    return x.join(y, near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), n - np.arange(k), *(np.full(k, x) for x in row))], ["shingle", "rest", *batch.schema.names[:-1]])
+
+    columns = ["cls", "root", "n", *SKETCH]
+    posted = members.join(sets, "cls").select(*columns, "shingles").mapInArrow(post, ", ".join(f"{c} long" for c in ("shingle", "rest", *columns)))
+    posted = materialise(posted, "prefixes")
+    counted = posted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+    common = counted.agg(F.max(F.struct("k", "root"))["root"].alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", "common")
+    rows = materialise(posted.join(common, "shingle"), "mixed")
+    name = lambda p: rows.select(F.col("shingle"), *(F.col(c).alias(f"{p}{c}") for c in ("common", "rest", *columns)))
+    x, y = name("x").where(F.col("xroot") != F.col("xcommon")), name("y").withColumnRenamed("shingle", "other")
+    enough = F.least("xrest", "yrest") * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
+    once = (F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("ycommon")) | (F.col("xcls") < F.col("ycls")))
+    pairs = x.join(y, (F.col("shingle") == F.col("other")) & once & enough & not_ruled_out("x", "y", percent))
+    return pairs.select(*ordered("xcls", "ycls")).distinct()
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of components after further links (a, b): the old components become single nodes."""
+    names = roots.withColumnRenamed("root", "r")
+    both = links.join(names.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
+    both = both.join(names.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
+    again = connected_components(both).withColumnRenamed("root", "top")
+    moved = roots.join(again.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialise(moved.unionByName(again.withColumnRenamed("top", "root").join(moved.select("node"), "node", "left_anti")), "merged")
 
 
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of classes; classes without links are absent.
 
-    In short lists all members meet. In others each member meets two of them, which joins most of a dense
-    group with as many pairs as members. Members of long lists that still hold different components then
-    meet across components: every link has a list in common, so none between components is lost, and pairs
-    inside a component, which may be as many as the square of its size, aren't made.
+    In short lists all members meet. In others each member meets two of them, then, round by round, members
+    of components other than its own, as long as that finds links. Members of long lists that hold different
+    components even then meet in an exact join: every link has a list in common, so none between components
+    is lost, and pairs inside a component, which may be as many as the square of its size, aren't made.
     """
     match = match_threshold(percent)
     lists = postings(classes, match)
@@ -253,25 +331,24 @@ def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     x, y = short.alias("x"), short.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     star = long.select("cls", F.explode(F.array("hub1", "hub2")).alias("hub")).where(F.col("cls") != F.col("hub"))
-    star = star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-    near = materialise(agreeing(pairs.unionByName(star).distinct(), classes, match), "candidates")
+    near = materialise(agreeing(pairs.unionByName(star.select(*ordered("cls", "hub"))).distinct(), classes, match), "candidates")
     asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
     sets = whole_sets(asked, classes, docs, words)
-    roots = connected_components(confirmed(near, sets, percent))
-    named = long.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    named = materialise(named, "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    members = materialise(named.join(mixed, "key").select("cls", "root").distinct(), "members")
-    crossed = across(members, sets, percent).join(near, ["a", "b"], "left_anti")
-    second = confirmed(crossed, sets, percent)
-    # the first round's components become single nodes: only their roots and the new links are joined
-    names = roots.withColumnRenamed("root", "r")
-    both = second.join(names.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b").join(names.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
-    if both.isEmpty():
-        return roots
-    again = connected_components(both).withColumnRenamed("root", "top")
-    moved = roots.join(again.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return moved.unionByName(again.withColumnRenamed("top", "root").join(moved.select("node"), "node", "left_anti"))
+    roots = materialise(connected_components(confirmed(near, sets, percent)), "roots")
+    tried, named, left = near, long.select("key", "cls"), None
+    for turn in count():
+        found = named.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        named = materialise(mixed_lists(found), "named")
+        before, left = left, named.select("root").distinct().count()
+        if not left:
+            return roots
+        if before == left or (turn >= ROUNDS and left > (1 - FRUITFUL) * before):
+            break
+        met = materialise(plausible(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), sets, percent), "met")
+        roots, tried = merged(roots, confirmed(met, sets, percent)), tried.unionByName(met)
+    members = materialise(named.select("cls", "root").distinct(), "members")
+    links = confirmed(across(members, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent)
+    return roots if links.isEmpty() else merged(roots, links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -287,12 +364,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     get a row. An empty table gives no rows.
     """
     rows = materialise(signed(docs, words), "signed")
-    classes = materialise(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least")), "classes")
-    roots = materialise(class_links(classes, docs, words, percent), "roots")
-    placed = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("cls").alias("name"), "component", "root")
-    found = rows.join(names, F.col("cls") == F.col("name"), "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    of_set = rows.where(F.col("set_hi").isNotNull()).groupBy("set_hi", "set_lo")
+    classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least"))
+    # a class goes by a number of its own, kept with the written table
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    roots = class_links(classes, docs, words, percent)
+    placed = classes.select("cls", "set_hi", "set_lo", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("set_hi", "set_lo", "least", F.coalesce("root", "cls").alias("root"))
+    names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root")
+    found = rows.join(names, ["set_hi", "set_lo"], "left")
+    component = F.when(F.col("set_hi").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return found.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
 

@@ -202,6 +202,64 @@ def test_dense_group_and_shared_passage(spark):
     assert got == components(rows, 3, 85)
 
 
+def near_bound(n, words=120, edits=2, seed=1):
+    """Copies of one text that are edited so often that pairs lie around the bound."""
+    import random
+
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        own = [f"w{j}" for j in range(words)]
+        for _ in range(edits):
+            own[r.randrange(words)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("edits", "sizes"), [(2, (500, 1000, 2000)), (3, (400, 800))])
+def test_pairs_grow_in_proportion(spark, monkeypatch, edits, sizes):
+    """In groups of copies at the bound, what is compared grows as the copies do, and nothing is lost."""
+    made, write = Counter(), neardup.materialise
+
+    def count(df, name):
+        out = write(df, name)
+        made[n] += out.count() if name in ("candidates", "met", "links", "mixed") else 0
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", count)
+    for n in sizes:
+        rows = near_bound(n, edits=edits)
+        got = Counter((x.doc_id, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+        index, at = {}, []
+        for _, t in rows:
+            w = t.split()
+            at.append(sorted({index.setdefault(tuple(w[i : i + 3]), len(index)) for i in range(len(w) - 2)}))
+        sets = np.zeros((n, len(index)), np.float32)
+        for i, x in enumerate(at):
+            sets[i, x] = 1
+        both, size = sets @ sets.T, sets.sum(1)
+        linked = 100 * both >= 85 * (size[:, None] + size[None] - both)
+        least = np.arange(n)
+        while (lower := np.where(linked, least[None], n).min(1)).tolist() != least.tolist():
+            least = lower
+        assert got == Counter(enumerate(least.tolist()))
+    assert all(made[b] < 2.6 * made[a] for a, b in zip(sizes, sizes[1:], strict=False)), made
+
+
+def test_sketches_rule_out_no_link(spark):
+    """Pairs of sets of all sizes at the bound pass sizes and sketches; far ones of few shingles don't."""
+    rng = np.random.default_rng(4)
+    rows, far = [], []
+    for size in [*rng.integers(1, 900, 60).tolist(), *rng.integers(950, 1_100, 30).tolist(), *rng.integers(1_100, 3_000, 10).tolist()]:
+        pool = rng.integers(0, 1 << 63, 4 * size, dtype=np.int64).astype(np.uint64)
+        out = int(size * 15 / 185)  # so many on each side leave 85 in 100
+        for a, b, into in ((pool[: size + out], np.concatenate([pool[:size], pool[size + out : size + 2 * out]]), rows), (pool[:size], pool[size // 2 : size // 2 + size], far)):
+            if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) or into is far:
+                into.append((len(a), *neardup.bit_sketch(a).tolist(), len(b), *neardup.bit_sketch(b).tolist()))
+    names = [f"{p}{c} long" for p in "ab" for c in ("n", *neardup.SKETCH)]
+    left = [spark.createDataFrame(x, ", ".join(names)).where(neardup.not_ruled_out("a", "b", 85)).count() for x in (rows, far)]
+    assert left[0] == len(rows) > 80 and left[1] <= len([r for r in far if r[0] < 20])
+
+
 def test_word_hashes_follow_words_only():
     texts = [b"a bb  ccc", b"", b"bb", b"   ", b"ccc a" + b"x" * 5000 + b" bb"]
     data = np.frombuffer(b"".join(texts), np.uint8)
