@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field (CRF) that adds to them.
 
 The CRF labels the tokens that hold a digit or an at sign. Neighbours in a run of such tokens share
-potentials, and so do distant tokens of equal text or equal shape, each linked to its next occurrence, so
-that links are linear in tokens. Loopy belief propagation, in sweeps from end to end, makes labels agree
-across the whole document. Weights are learnt by pseudo-likelihood from a bounded sample in which the patterns give the
-labels; a token is added if its kind is nearly sure and its shape was seen with that kind. Spans found by
-the patterns stay as they are.
+potentials, and so do distant tokens of equal text, of equal shape, or of equal letters and digits, each
+linked to its next occurrence, so that links are linear in tokens. Tokens that a pattern covers are held to
+its kind, and loopy belief propagation, in sweeps from end to end, carries that to what repeats or resembles
+them anywhere in the document. Weights are learnt by pseudo-likelihood from a bounded sample in which the
+patterns give the labels; there, mentions are repeated in broken forms that no pattern matches, and forms are
+masked, so that words around a token and its links carry weight. A token is added if its kind is nearly
+sure. Spans found by the patterns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-#: About so many documents with candidate tokens are learnt from, and at most so many of their tokens.
+#: About so many documents with candidate tokens are learnt from, by the order of a hash, and at most so many of
+#: their tokens; a document with more than a fiftieth of them isn't learnt from.
 SAMPLE_DOCS, SAMPLE_TOKENS = 2_000, 100_000
 #: Added tokens need this probability.
 SURE = 0.95
@@ -92,17 +95,34 @@ def bucket(n: int) -> int:
     return next(i for i, top in enumerate((0, 1, 2, 3, 4, 7, 11, 15, 19, 40, 1 << 60)) if n <= top)
 
 
+#: Links: neighbours, equal texts, equal shapes, equal letters and digits. Cores shorter than this link nothing.
+LINKS, CORE = 4, 4
+#: The features of a token that don't come from its form.
+AROUND = ("bias", "run", "before", "after")
+
+
 @dataclass
 class Document:
     """The candidate tokens of a text: spans, features (names), links (from, to, type) and pattern labels."""
 
     spans: list[tuple[int, int]] = field(default_factory=list)
     features: list[list[str]] = field(default_factory=list)
-    shapes: list[str] = field(default_factory=list)
     links: list[tuple[int, int, int]] = field(default_factory=list)
     labels: list[int] = field(default_factory=list)
 
 
+def core(token: str) -> str:
+    """Letters and digits, lower-cased, of what stands before an at sign, written as a sign or in brackets."""
+    return re.sub(r"[\W_]", "", re.split(r"@|[(\[]at[)\]]", token, maxsplit=1)[0].lower())
+
+
+def near_word(text: str, start: int, end: int, last: bool) -> str:
+    """The letters of the last, or first, word in a stretch of text; words with digits count as one."""
+    found = text[max(0, start) : end].split()
+    word = (found[-1] if last else found[0]) if found else ""
+    return "0" if re.search("[0-9]", word) else re.sub(r"[\W_]", "", word.lower())[:12]
+
+
 def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
     """Tokens between white space with a digit or an at sign, without signs around them; linear in any text."""
     done = 0
@@ -119,7 +139,7 @@ def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Document:
-    doc, last = Document(), [{}, {}]
+    doc, last = Document(), [{}, {}, {}]
     covered = sorted((s, e, k + 1) for k, s, e in base)
     at, end_before = 0, -9
     for start, end in marked_tokens(text):
@@ -127,28 +147,65 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Document:
         while at < len(covered) and covered[at][1] <= start:
             at += 1
         doc.labels.append(next((k for s, e, k in covered[at : at + 4] if s < end and e > start), 0))
-        form, digits = shape(token), sum(c.isdigit() for c in token)
+        form, digits, run = shape(token), sum(c.isdigit() for c in token), start - end_before <= 2
         doc.spans.append((start, end))
-        doc.shapes.append(form)
-        doc.features.append(["bias", f"shape {form}", f"digits {bucket(digits)}", f"length {bucket(len(token))}", f"dots {bucket(token.count('.'))}", f"at {token.count('@') > 0}", f"plus {token[0] == '+'}", f"dash {bucket(token.count('-'))}", f"only {digits == len(token)}", f"run {start - end_before <= 2}"])
-        if i and start - end_before <= 2:
+        around = [f"run {run}", f"before {near_word(text, start - 30, start, True)}", f"after {near_word(text, end, end + 30, False)}"]
+        doc.features.append(["bias", f"shape {form}", f"digits {bucket(digits)}", f"length {bucket(len(token))}", f"dots {bucket(token.count('.'))}", f"at {token.count('@') > 0}", f"plus {token[0] == '+'}", f"dash {bucket(token.count('-'))}", f"only {digits == len(token)}", *around])
+        linked = set()
+        if i and run:
             doc.links.append((i - 1, i, 0))
-        for kind, key in enumerate((short(token, 200), form)):
-            if (j := last[kind].get(key)) is not None and (i - 1 > j or not doc.links or doc.links[-1][:2] != (j, i)):
+            linked.add(i - 1)
+        own = core(token)
+        for kind, key in enumerate((short(token, 200), form, short(own, 200) if len(own) >= CORE else None)):
+            if key is None:
+                continue
+            if (j := last[kind].get(key)) is not None and j not in linked:
                 doc.links.append((j, i, kind + 1))
+                linked.add(j)
             last[kind][key] = i
         end_before = end
     return doc
 
 
+#: How a mention of each kind is broken: all its forms, from the text that a pattern matched.
+BROKEN = (
+    lambda m: [m.split("@")[0], m.replace("@", "(at)"), m.replace("@", " @ ")],
+    lambda m: [m.replace(".", "[.]"), m.replace(".", "-")],
+    lambda m: [".".join(re.sub("[^0-9]", "", m)[i : i + 4] for i in range(0, 20, 4)).rstrip("."), "/".join(re.sub("[^0-9]", "", m)[i : i + 4] for i in range(0, 20, 4)).rstrip("/")],
+    lambda m: [m.lstrip("+"), re.sub(r"[^0-9]+", "/", m.lstrip("+")), m],
+)
+
+
+def with_broken(text: str, base: list[tuple[int, int, int]], seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with some mentions repeated behind it in forms that no pattern matches, and all spans.
+
+    Each stands between the words that it stood between; a phone number may also stand whole in front of an
+    address, which its pattern takes for more of its digits.
+    """
+    parts, spans, at = [text], list(base), len(text)
+    address = next((text[s:e] for k, s, e in base if k == 1), "192.0.2.17")
+    for n, (kind, start, end) in enumerate(base[:40]):
+        forms = BROKEN[kind](text[start:end])
+        form = forms[(seed + n) % len(forms)]
+        before, after = text[max(0, start - 30) : start].split()[-1:], text[end : end + 30].split()[:1]
+        lead = "\n" + "".join(f"{w} " for w in before)
+        at += len(lead)
+        spans.append((kind, at, at + len(form)))
+        if form == text[start:end]:
+            spans.append((1, at + len(form) + 1, at + len(form) + 1 + len(address)))
+            after = [address, *after]
+        parts += [lead, form, "".join(f" {w}" for w in after)]
+        at += sum(map(len, parts[-2:]))
+    return "".join(parts), spans
+
+
 @dataclass(frozen=True)
 class Crf:
-    """Weights by feature and label, of links by type (label by label), and the shapes seen with each kind."""
+    """Weights by feature and label, and of links by type (label by label)."""
 
     index: dict[str, int]
     weights: np.ndarray
     links: np.ndarray
-    shapes: frozenset[tuple[int, str]]
 
     def unary(self, doc: Document) -> np.ndarray:
         out = np.zeros((len(doc.spans), LABELS))
@@ -157,9 +214,12 @@ class Crf:
         return out
 
     def marginals(self, doc: Document) -> np.ndarray:
-        """Label probabilities by sum-product messages over the links."""
+        """Label probabilities by sum-product messages over the links; what a pattern covers has its label for sure."""
         unary = self.unary(doc)
         p = np.exp(unary - unary.max(1, keepdims=True))
+        for i, label in enumerate(doc.labels):
+            if label:
+                p[i] = np.eye(LABELS)[label]
         if doc.links:
             p = np.array(self.swept(p.tolist(), doc.links))
         return p / p.sum(1, keepdims=True)
@@ -220,7 +280,7 @@ class Crf:
         p = self.marginals(doc)
         out: list[tuple[int, int, int]] = []
         for i, best in enumerate(p.argmax(1).tolist()):
-            if best and not doc.labels[i] and p[i, best] >= SURE and (best, doc.shapes[i]) in self.shapes:
+            if best and not doc.labels[i] and p[i, best] >= SURE:
                 start, end = doc.spans[i]
                 if out and out[-1][0] == best - 1 and start - out[-1][2] <= 1:
                     start = out.pop()[1]
@@ -228,21 +288,27 @@ class Crf:
         return out
 
 
-def fit(docs: list[Document], steps: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> Crf | None:
-    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels."""
+def fit(docs: list[Document], steps: int = 200, rate: float = 0.5, ridge: float = 3e-3) -> Crf | None:
+    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels.
+
+    All documents are gone over twice, the second time with the forms of every other token masked.
+    """
     if not any(any(d.labels) for d in docs):
         return None
-    index: dict[str, int] = {}
+    index: dict[str, int] = {"masked": 0}
     rows, labels, links, base = [], [], [], 0
-    for d in docs:
-        rows += [[index.setdefault(f, len(index)) for f in names] for names in d.features]
-        labels += d.labels
-        links += [(a + base, b + base, k) for a, b, k in d.links]
-        base += len(d.spans)
+    for masked in (False, True):
+        for d in docs:
+            for i, names in enumerate(d.features):
+                hide = masked and (i + base) % 2
+                rows.append([0 if hide and f.split(" ")[0] not in AROUND else index.setdefault(f, len(index)) for f in names])
+            labels += d.labels
+            links += [(a + base, b + base, k) for a, b, k in d.links]
+            base += len(d.spans)
     x, y = np.array(rows), np.array(labels)
     a, b, kind = np.array(links, dtype=np.int64).reshape(-1, 3).T
     target = np.eye(LABELS)[y]
-    weights, pair = np.zeros((len(index), LABELS)), np.zeros((3, LABELS, LABELS))
+    weights, pair = np.zeros((len(index), LABELS)), np.zeros((LINKS, LABELS, LABELS))
     squares = [np.full_like(weights, 1e-6), np.full_like(pair, 1e-6)]
     for _ in range(steps):
         z = weights[x].sum(1)
@@ -255,37 +321,44 @@ def fit(docs: list[Document], steps: int = 150, rate: float = 0.5, ridge: float
         np.add.at(both, (kind, y[a]), off[b])
         np.add.at(both.transpose(0, 2, 1), (kind, y[b]), off[a])
         agree = np.eye(LABELS, dtype=bool)
-        for k in (1, 2):  # distant links share one weight for agreement
+        for k in range(1, LINKS):  # distant links share one weight for agreement
             both[k] = np.where(agree, both[k][agree].mean(), 0.0)
         for w, g, s in ((weights, flat + ridge * weights / 10, squares[0]), (pair, both + ridge * pair, squares[1])):
             s += g**2
             w -= rate * g / np.sqrt(s)
-    seen = frozenset((k, s) for d in docs for k, s in zip(d.labels, d.shapes, strict=True) if k)
-    return Crf(index, weights, pair, seen)
+    return Crf(index, weights, pair)
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> Crf | None:
-    """A CRF learnt from about ``sample_docs`` documents with candidate tokens, chosen by hash; None if no pattern matches there."""
+    """A CRF learnt from about ``sample_docs`` documents with candidate tokens; None if no pattern matches there.
+
+    They are chosen by a hash of id and text and taken in its order, so that another partitioning learns the
+    same. Those with more than ``sample_tokens / 50`` tokens aren't learnt from, and the last ones neither if
+    tokens would be more than ``sample_tokens``: both bound what is learnt from, not what is tagged.
+    """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("text").rlike("[0-9@]"))
     every = max(1, rows.count() // sample_docs)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [d for d in (candidates(t.as_py(), base_spans(t.as_py())) for t in batch.column(0)) if d.spans]
-            for d in made:
-                parts = [pa.array([x], t) for x, t in ((len(d.spans), pa.int64()), (d.features, pa.list_(pa.list_(pa.string()))), (d.shapes, pa.list_(pa.string())), ([list(k) for k in d.links], pa.list_(pa.list_(pa.int64()))), (d.labels, pa.list_(pa.int64())))]
-                if len(d.spans) <= sample_tokens // 50:
-                    yield pa.RecordBatch.from_arrays(parts, ["n", "features", "shapes", "links", "labels"])
-
-    schema = "n long, features array<array<string>>, shapes array<string>, links array<array<long>>, labels array<long>"
-    picked = rows.where(F.pmod("h", F.lit(every)) == 0).select("text").mapInArrow(tokens, schema).limit(2 * sample_docs)
-    out, total = [], 0
-    for r in picked.collect():
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                base = base_spans(text)
+                doc = candidates(*with_broken(text, base, h)) if base else candidates(text, base)
+                if 0 < len(doc.spans) <= sample_tokens // 50:
+                    parts = ((h, pa.int64()), (len(doc.spans), pa.int64()), (doc.features, pa.list_(pa.list_(pa.string()))), ([list(k) for k in doc.links], pa.list_(pa.list_(pa.int64()))), (doc.labels, pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in parts], ["h", "n", "features", "links", "labels"])
+
+    schema = "h long, n long, features array<array<string>>, links array<array<long>>, labels array<long>"
+    picked = materialise(rows.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(tokens, schema), "tokens")
+    last, total = None, 0
+    for r in picked.select("h", "n").orderBy("h", "n").limit(2 * sample_docs).collect():
         total += r.n
         if total > sample_tokens:
             break
-        out.append(Document([(0, 0)] * r.n, r.features, r.shapes, [tuple(k) for k in r.links], r.labels))
-    return fit(out)
+        last = r.h
+    out = picked.where(F.col("h") <= last).orderBy("h", "n").limit(2 * sample_docs).collect() if last is not None else []
+    return fit([Document([(0, 0)] * r.n, r.features, [tuple(k) for k in r.links], r.labels) for r in out])
 
 
 def find_spans(text: str, crf: Crf | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -305,7 +378,7 @@ def find_pii(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """doc_id, counts of the patterns' spans by kind, base_sha256 and spans for each row.
 
     Null text counts as empty; offsets are code points; repeated rows get a row each; an empty table gives
-    none. Other columns aren't read.
+    none. Texts of any length are read whole. Other columns aren't read.
     """
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
