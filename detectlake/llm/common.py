@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +21,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary folder in local mode; on a cluster, where executors wouldn't see it, that fails.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"{tempfile.gettempdir()}/detectlake-checkpoints"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The folder is deleted when the application ends.
+    The folder is deleted when the application ends, or at the end of the ``settled`` around the call.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/detectlake-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if _SCRATCH:
+        _SCRATCH[-1].append(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What to delete at the end of each ``settled`` that is under way, the innermost last.
+_SCRATCH: list[list] = []
+
+
+def settled(df: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``df()`` gives, then delete all tables that were materialised for it: nothing reads them any more."""
+    _SCRATCH.append([])
+    try:
+        made = df()
+    finally:
+        inner = _SCRATCH.pop()
+    out = materialise(made, name)
+    for place in inner:
+        place.getFileSystem(out.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return out
+
+
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id written as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, table, text_slices, word_hashes
+from .common import materialise, mix64, settled, table, text_slices, word_hashes
 from .components import connected_components
 
 HASHES = 64
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least"))
     # a class goes by a number of its own, kept with the written table
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    roots = class_links(classes, docs, words, percent)
+    roots = settled(lambda: class_links(classes, docs, words, percent), "roots")
     placed = classes.select("cls", "set_hi", "set_lo", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("set_hi", "set_lo", "least", F.coalesce("root", "cls").alias("root"))
     names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root")
     found = rows.join(names, ["set_hi", "set_lo"], "left")
