@@ -11,14 +11,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import search_blocks
+from .blocks import DIMENSIONS, Method, norms, projected, search_blocks
 from .common import table
 
-#: Projected dimensions (an even number), certainty of the stopping test, points in a leaf, seed.
-DIMENSIONS, SURE, LEAF, SEED = 10, 0.9, 64, 20
+#: Certainty of the stopping test, and points in a leaf of a block's own tree.
+SURE, LEAF = 0.9, 64
 
 
 def chi_square_quantile(share: float, dims: int) -> float:
@@ -54,61 +55,77 @@ def inner_products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest_by_projection(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of query and row, and inner products, of about the k best rows for each query.
+def box_gaps(points: np.ndarray, floor: np.ndarray, roof: np.ndarray) -> np.ndarray:
+    """Squared distances of points (first axis) from boxes (second)."""
+    return sum(np.maximum(0, np.maximum(floor[:, j] - points[:, j, None], points[:, j, None] - roof[:, j])) ** 2 for j in range(points.shape[1]))
 
-    Largest inner product becomes smallest distance by one more component, sqrt(M^2 - |x|^2), with M the
-    block's largest norm: for a query of norm M the squared distance is 2 M^2 minus twice the product.
+
+def best_in_boxes(queries: np.ndarray, most: float, floor: np.ndarray, roof: np.ndarray) -> np.ndarray:
+    """The inner products below which the stopping test holds for boxes: no point in them is likely to be better.
+
+    A point at squared distance D of the unit sphere has a projected one of more than ``stop * D`` with
+    probability 1 - SURE only, so a box that far away is passed over once the k-th best is nearer than D.
     """
-    norm = np.sqrt((rows**2).sum(1))
-    most = norm.max()
-    unit = np.column_stack([rows / most, np.sqrt(np.maximum(0, 1 - (norm / most) ** 2))])
-    asked = np.column_stack([queries / np.sqrt((queries**2).sum(1))[:, None], np.zeros(len(queries))])
-    onto = np.random.default_rng(SEED).standard_normal((unit.shape[1], DIMENSIONS))
-    low, looked = unit @ onto, asked @ onto
-    leaves = kd_leaves(low, LEAF)
-    width = max(map(len, leaves))
-    member = np.full((len(leaves), width), -1)
-    for i, leaf in enumerate(leaves):
-        member[i, : len(leaf)] = leaf
-    floor, roof = np.stack([low[x].min(0) for x in leaves]), np.stack([low[x].max(0) for x in leaves])
-    flat, stop = unit.astype(np.float32), chi_square_quantile(SURE, DIMENSIONS)
-    out = []
-    for j, q in enumerate(looked):
-        gap = (np.maximum(0, np.maximum(floor - q, q - roof)) ** 2).sum(1)
-        order = np.argsort(gap)
-        line, at, step = asked[j].astype(np.float32), 0, 8
-        pool, value, bar = np.empty(0, np.int64), np.empty(0, np.float32), -np.inf
-        while at < len(order) and (bar == -np.inf or gap[order[at]] < stop * max(1e-9, 2 - 2 * bar)):
-            new = member[order[at : at + step]].ravel()
-            new = new[new >= 0]
-            new = new[ids[new] != query_ids[j]]
-            product = flat[new] @ line
-            keep = product >= bar - 1e-5
-            pool, value = np.concatenate([pool, new[keep]]), np.concatenate([value, product[keep]])
-            if len(value) >= k:
-                bar = float(np.partition(value, len(value) - k)[len(value) - k])
-            at, step = at + step, step * 2 if at < 32 else step
-        pool = pool[value >= bar - 1e-5]
-        exact = inner_products(rows[pool], queries[j])
-        best = np.lexsort((ids[pool], -exact))[:k]
-        out.append((np.full(len(best), j), pool[best], exact[best]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384, query_rows: int = 2_048) -> DataFrame:
+    gaps = box_gaps(projected(queries, most, query=True)[1], floor, roof)
+    return (1 - gaps / (2 * chi_square_quantile(SURE, DIMENSIONS))) * most * norms(queries)[:, None]
+
+
+class ProjectedTree:
+    """A block's rows by a kd-tree of their projections."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, most: float):
+        self.ids, self.rows, self.most = ids, rows, most
+        unit, low = projected(rows, most)
+        leaves = kd_leaves(low, LEAF)
+        self.member = np.full((len(leaves), max(map(len, leaves))), -1)
+        for i, leaf in enumerate(leaves):
+            self.member[i, : len(leaf)] = leaf
+        self.floor, self.roof = np.stack([low[x].min(0) for x in leaves]), np.stack([low[x].max(0) for x in leaves])
+        self.flat, self.stop = unit.astype(np.float32), chi_square_quantile(SURE, DIMENSIONS)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """About the k best rows for each query, with exact products; leaves are read in order until the stopping test holds."""
+        asked, looked = projected(queries, self.most, query=True)
+        scale, out = norms(queries) * self.most, []
+        for j, q in enumerate(queries):
+            gap = box_gaps(looked[j : j + 1], self.floor, self.roof)[0]
+            order = np.argsort(gap)
+            line, at, step = asked[j].astype(np.float32), 0, 8
+            pool, value, bar = np.empty(0, np.int64), np.empty(0, np.float32), bars[j] / scale[j]
+            while at < len(order) and (bar == -np.inf or gap[order[at]] < self.stop * max(1e-9, 2 - 2 * bar)):
+                new = self.member[order[at : at + step]].ravel()
+                new = new[new >= 0]
+                new = new[self.ids[new] != query_ids[j]]
+                product = self.flat[new] @ line
+                keep = product >= bar - 1e-5
+                pool, value = np.concatenate([pool, new[keep]]), np.concatenate([value, product[keep]])
+                if len(value) >= k:
+                    bar = max(bar, float(np.partition(value, len(value) - k)[len(value) - k]))
+                at, step = at + step, step * 2 if at < 32 else step
+            pool = pool[value >= bar - 1e-5]
+            exact = inner_products(self.rows[pool], q)
+            best = np.lexsort((self.ids[pool], -exact))[:k]
+            out.append((np.full(len(best), j), self.ids[pool[best]], exact[best]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+METHOD = Method(points=lambda rows, most: projected(rows, most)[1], reach=best_in_boxes, index=ProjectedTree, score=(pa.float64(), "double"))
+
+
+def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384, query_rows: int = 65_536) -> DataFrame:
     """About the k rows with the largest inner product for each query row, with exact scores.
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows with another id,
     ties to smaller ids. Rows whose id or vector is null, or whose vector is zero or holds null or
-    non-finite components, take no part; only vectors of equal length meet. Every row is indexed: each block
-    of rows has its own tree, and the stopping test holds in each block. Repeated rows count each for
-    itself. An empty table gives no rows.
+    non-finite components, take no part; only vectors of equal length meet. Every row is indexed: a tree over
+    all rows, made from a bounded sample, has blocks as its leaves, and each block a tree of its own. The
+    stopping test decides which blocks a query goes to and where it stops in each. Repeated rows count each
+    for itself. An empty table gives no rows.
     """
     x = F.transform(embedding, lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     usable = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(fine).select(F.col(vec_id).alias("vec_id"), x.alias("v"))
-    return search_blocks(usable, F.col("vec_id") % query_every == 0, k, "double", nearest_by_projection, np.float64, block_rows, query_rows)
+    return search_blocks(usable, F.col("vec_id") % query_every == 0, k, METHOD, block_rows, query_rows)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,67 +1,26 @@
 """Exact top-k search by inner product with no-random-access (NRA) aggregation.
 
-Each dimension has its rows in a list sorted by value, and a query reads the lists from the end that its
-sign favours. After some depth each row has a lower and an upper bound of its score; a row whose upper bound
-is below the k-th lower bound can't qualify. Reading goes on for the rows that remain, until all of their
-entries are seen and their scores are exact.
+Each dimension has a block's rows in a list sorted by value, and a query reads all lists in step from the
+ends that its signs favour. What was read of a row so far gives a lower and an upper bound of its score.
+Rows that no list has shown can't qualify once the lists' frontiers are too low; shown ones are dropped as
+their upper bounds fall below the k-th best lower bound. Reading goes on for those that remain until their
+last entries are met, which resolves their scores. No row is ever looked up.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import search_blocks
+from .blocks import Method, norms, search_blocks
 from .common import table
 
-#: Lists are read in steps of a sixteenth of their length: first to this depth, then on to the others; dense vectors leave few rows after ten.
-STEPS, FIRST, LATER = 16, 10, (13,)
 #: What rounding can make of a sum of products, as a share of the norms' product; bounds are wider by it.
 ROUNDING = 1e-11
-#: Products of norms from here on are summed in Python's integers, below it in longs.
-LONG = float(2**62)
-
-
-class SortedLists:
-    """The sorted lists of one block of rows: for every entry the step at which each end's reader meets it."""
-
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows.astype(np.float64)
-        n, d = rows.shape
-        self.length = -(-n // STEPS)
-        order = np.argsort(-rows, axis=0, kind="stable")
-        rank = np.empty((n, d), np.int64)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-        self.down, self.up = (rank // self.length).astype(np.uint8), ((n - 1 - rank) // self.length).astype(np.uint8)
-        self.sorted = np.take_along_axis(self.rows, order, 0)
-        with np.errstate(over="ignore"):
-            self.square = (self.rows**2).sum(1)
-
-    def frontier(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The next value that a reader from the top, and one from the bottom, would meet in each list."""
-        at = min(depth * self.length, len(self.rows) - 1)
-        return self.sorted[at], self.sorted[len(self.rows) - 1 - at]
-
-    def bounds(self, which: slice | np.ndarray, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores of rows (first axis) for queries (second), read to ``depth``.
-
-        What a row hasn't shown lies between the lists' far ends and their frontiers, and, by Cauchy-Schwarz,
-        within the norms that remain of row and query; a row's whole norm is known with any of its entries.
-        """
-        rows, top, low = self.rows[which], self.down[which] < depth, self.up[which] < depth
-        pos, neg = np.maximum(queries, 0).T, np.minimum(queries, 0).T
-        high, bottom = self.frontier(depth)
-        seen = (top * rows) @ pos + (low * rows) @ neg
-        square = self.square[which][:, None]
-        left = np.maximum(square - (top * rows**2) @ (pos > 0) - (low * rows**2) @ (neg < 0), 0) + ROUNDING * square
-        unread = (~top).astype(float), (~low).astype(float)
-        reach = np.sqrt(left * np.maximum(unread[0] @ pos**2 + unread[1] @ neg**2, 0))
-        most = unread[0] @ (pos * high[:, None]) + unread[1] @ (neg * bottom[:, None])
-        least = unread[0] @ (pos * self.sorted[-1][:, None]) + unread[1] @ (neg * self.sorted[0][:, None])
-        slack = ROUNDING * np.sqrt(square) * np.sqrt((pos**2 + neg**2).sum(0))
-        # what is too large even for doubles has no bound
-        return np.nan_to_num(seen + np.maximum(least, -reach) - slack, nan=-np.inf, posinf=-np.inf, neginf=-np.inf), np.nan_to_num(seen + np.minimum(most, reach) + slack, nan=np.inf, posinf=np.inf, neginf=np.inf)
+#: Whole numbers below it add up exactly in doubles, and in longs below the other.
+DOUBLE, LONG = float(2**53), float(2**62)
 
 
 class ExactProducts:
@@ -85,42 +44,108 @@ class ExactProducts:
         return [sum(int(x) * y for x, y in zip(self.rows[i].tolist(), whole, strict=True)) if w else s for i, w, s in zip(which.tolist(), wide.tolist(), fits.tolist(), strict=True)]
 
 
-def best_by_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of query and row, and exact integer scores, of the k best rows for each query.
+class SortedLists:
+    """The sorted lists of one block of rows, each entry with its row's number."""
 
-    Ties go to smaller ids; a row with the query's own id isn't a candidate. Fails if the score of one of the
-    k best doesn't fit a long.
-    """
-    lists, out = SortedLists(rows), []
-    products = ExactProducts(rows, lists.square)
-    for start in range(0, len(queries), 128):
-        some = queries[start : start + 128].astype(np.float64)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, most: float):
+        self.ids, self.rows, self.norm = ids, rows, norms(rows)
+        self.entry = np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32))
+        self.value = np.take_along_axis(np.ascontiguousarray(rows.T), self.entry.astype(np.int64), 1)
+        with np.errstate(over="ignore"):
+            self.square = (rows**2).sum(1)
+
+    def depths(self) -> list[int]:
+        """Where reading stops to look at bounds: at 1, 2, 4 ... entries, then after each sixteenth of the lists."""
+        n = len(self.rows)
+        step = max(1, n // 16)
+        return [*(1 << i for i in range(step.bit_length() - 1)), *range(step, n, step), n]
+
+    def read(self, query: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, values and weights of entries ``a`` to ``b`` of every list, from the end its weight favours."""
+        n, up, down = len(self.rows), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        row = np.concatenate([self.entry[up, a:b].ravel(), self.entry[down, n - b : n - a].ravel()])
+        value = np.concatenate([self.value[up, a:b].ravel(), self.value[down, n - b : n - a].ravel()])
+        return row, value, np.repeat(query[np.concatenate([up, down])], b - a)
+
+    def frontier(self, query: np.ndarray, at: int) -> float:
+        """The most that entries from depth ``at`` on can add up to in all lists together."""
+        if at >= len(self.rows):
+            return 0.0
+        ahead = np.where(query > 0, self.value[:, at], self.value[:, len(self.rows) - 1 - at]) * query
+        return float(ahead[ahead > 0].sum())
+
+    def best(self, own: int, query: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, list[int] | np.ndarray]:
+        """Numbers and exact scores of the rows that may be among the k best and reach the bar."""
+        n, length, whole = len(self.rows), float(norms(query[None])[0]), float((query**2).sum())
+        slack = ROUNDING * length * self.norm
+        place, live = None, np.flatnonzero(self.ids != own)  # all rows may qualify at first
+        seen, square, weight = np.zeros(n), np.zeros(n), np.zeros(n)
+        top, at = float(self.norm.max()), 0
+        for to in self.depths():
+            row, value, by = self.read(query, at, to)
+            if place is not None:
+                row = place[row]
+                mine = row >= 0
+                row, value, by = row[mine], value[mine], by[mine]
+            for total, what in ((seen, value * by), (square, value * value), (weight, by * by)):
+                total += np.bincount(row, what, len(total))
+            at = to
+            now = live if place is None else slice(None)
+            left = np.maximum(self.square[live] - square[now], 0) + ROUNDING * self.square[live]
+            ahead = np.sqrt(left * np.maximum(whole - weight[now], 0)) if at < n else np.zeros(len(live))
+            frontier = self.frontier(query, at)
+            lower, upper = seen[now] - ahead - slack[live], seen[now] + np.minimum(ahead, frontier) + slack[live]
+            lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+            if len(live) >= k:
+                bar = max(bar, float(np.partition(lower, len(live) - k)[len(live) - k]))
+            floor = bar - ROUNDING * abs(bar) - 0.5
+            keep = upper >= floor
+            if place is None and min(frontier, length * top) + ROUNDING * length * top >= floor and at < n:
+                continue  # rows that no list has shown may qualify yet
+            if keep.all() and place is not None:
+                continue
+            # from here on entries of other rows are passed over
+            seen, square, weight = (x[now][keep] for x in (seen, square, weight))
+            live = live[keep]
+            place = np.full(n, -1, np.int32)
+            place[live] = np.arange(len(live))
+            if not len(live):
+                break
+        if not length * float(self.norm[live].max(initial=0.0)) < DOUBLE:
+            return live, ExactProducts(self.rows, self.square)(live, query)
+        return live, np.rint(seen).astype(np.int64)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best rows for each query that reach its bar; ties go to smaller ids.
+
+        Fails if the score of one of them doesn't fit a long.
+        """
+        out = []
         with np.errstate(over="ignore", invalid="ignore"):
-            lower, upper = lists.bounds(slice(None), some, FIRST)
-        for j, q in enumerate(some):
-            alive = np.flatnonzero(ids != query_ids[start + j])
-            low, high = lower[alive, j], upper[alive, j]
-            for depth in (*LATER, None):
-                if len(alive) <= k:
-                    break
-                bar = np.partition(low, len(low) - k)[len(low) - k]
-                alive = alive[high >= bar - 1e-9 * max(1.0, abs(bar)) - 0.5]
-                if depth is None or len(alive) <= 4 * k:  # the rest of so few entries is read at once
-                    break
-                with np.errstate(over="ignore", invalid="ignore"):
-                    low, high = (x[:, 0] for x in lists.bounds(alive, q[None], depth))
-            exact = products(alive, queries[start + j])
-            if isinstance(exact, list):
-                order = np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], ids[alive[i]]))[:k], np.int64)
-                scores = np.array([exact[i] for i in order], np.int64)
-            else:
-                order = np.lexsort((ids[alive], -exact))[:k]
-                scores = exact[order]
-            out.append((np.full(len(order), start + j), alive[order], scores))
-    return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
-
-
-def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384, query_rows: int = 2_048) -> DataFrame:
+            for j, q in enumerate(queries):
+                live, exact = self.best(query_ids[j], q, float(bars[j]), k)
+                if isinstance(exact, list):
+                    order = np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], self.ids[live[i]]))[:k], np.int64)
+                    scores = np.array([exact[i] for i in order], np.int64)
+                else:
+                    order = np.lexsort((self.ids[live], -exact))[:k]
+                    scores = exact[order]
+                out.append((np.full(len(order), j), self.ids[live[order]], scores))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def most_in_boxes(queries: np.ndarray, most: float, floor: np.ndarray, roof: np.ndarray) -> np.ndarray:
+    """Upper bounds of the products of queries (first axis) with rows of boxes (second); the last dimension is the norm."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        box = np.maximum(queries, 0) @ roof[:, :-1].T + np.minimum(queries, 0) @ floor[:, :-1].T
+        far = norms(queries)[:, None] * roof[:, -1]
+    return np.minimum(np.nan_to_num(box, nan=np.inf), far) + ROUNDING * far + 0.5
+
+
+METHOD = Method(points=lambda rows, most: np.column_stack([rows, norms(rows)]), reach=most_in_boxes, index=SortedLists, score=(pa.int64(), "long"))
+
+
+def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384, query_rows: int = 65_536) -> DataFrame:
     """The k rows with the largest integer inner product for each query row.
 
     Components are floor(scale * x), x as double. Queries are the rows whose id is divisible by
@@ -136,7 +161,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
     # whole numbers as doubles, which hold them exactly: from 2^53 on a double has no fraction
     whole = lambda v: F.when(F.abs(v * scale) < 2**53, F.floor(v * scale).cast("double")).otherwise(v * scale)
     scaled = vectors.where(usable).where(fine).select(F.col(vec_id).alias("vec_id"), F.transform(x, whole).alias("v"))
-    return search_blocks(scaled, F.col("vec_id") % query_every == 0, k, "int64", best_by_lists, np.float64, block_rows, query_rows)
+    return search_blocks(scaled, F.col("vec_id") % query_every == 0, k, METHOD, block_rows, query_rows)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
