@@ -43,27 +43,29 @@ def shard_of(key: Column, shards: int) -> Column:
     return shard(F.coalesce(key.cast("long"), F.lit(-1)))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots_by: int = 256) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots_by: int = 4_096, run: int = 10_000) -> DataFrame:
     """Shard, and a gapless slot in the shard, for each row.
 
     Returns key, size (UTF-8 bytes plus 1; null text: 1), text_crc32 (null text counts as empty), law
     (``key``), shard, slot and grown_shard (with one more shard). The key and the shard count alone decide
-    the shard. Rows that are equal in all of this are counted before they are dealt out and numbered as a
-    run, so that no key, however frequent, gathers in one task. Slots follow the hash of the rows, so equal
-    input gives equal slots; other columns of ``docs`` aren't read. An empty table gives no rows.
+    the shard, also of a null key. Rows that are equal in all of this are counted, and runs of at most ``run``
+    of them are dealt to the ``slots_by`` parts of the shard and numbered there, so that no row, however
+    often repeated, gathers in one task. Slots follow the hash of the rows, so equal input gives equal
+    slots; other columns of ``docs`` aren't read. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
     )
-    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    placed = counted.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots_by)).cast("int"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("all"))
+    runs = counted.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(run).cast("long"))))
+    placed = runs.withColumn("n", F.least(F.col("all") - F.col("at"), F.lit(run))).withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "at"), F.lit(slots_by)).cast("int"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # shards * slots_by rows at most, whatever the input
     offsets = placed.groupBy("shard", "part").agg(F.sum("n").alias("rows")).select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32", "at").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
     runs = placed.join(F.broadcast(offsets), ["shard", "part"]).withColumn("first", first)
     return runs.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard")
