@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import materialise, table, word_count
 
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (5, 2, 1)
@@ -56,7 +56,9 @@ def mix_sources(
     source: str = "source",
     weights: tuple[float, ...] = CYCLE,
     most_epochs: int = 3,
-    buckets: int = 256,
+    quality: str | None = None,
+    buckets: int = 4_096,
+    run: int = 10_000,
     seed: str = "mix-1",
 ) -> DataFrame:
     """How often each document is taken so that each source meets its target of words.
@@ -64,25 +66,29 @@ def mix_sources(
     Returns doc_id, source, size, source_size, target, copies, taken (``size * copies``) and row_hash (of id
     and text). Copies are the complete epochs that fit the target, plus one for the sorted prefix that fits
     the rest and for the one further document that brings the sum nearest to the target. Keys come from
-    hashes, so reruns agree. Null text has size 0; documents without words take part in complete epochs only
-    by count. Null sources are a source of their own, sorted last. An empty table gives no rows.
-
-    No source is sorted in one task: keys fall into ``buckets`` equal-probability ranges, sums by range give
-    the offset of each, and only within a range are keys sorted.
+    hashes, so reruns agree. Weights are those in the column ``quality`` (null counts as 1, less than 0.05 as
+    that), or ``quality_weight`` of the text. Null text has size 0; documents without words take part in
+    complete epochs only by count. Null sources are a source of their own, sorted last. An empty table gives
+    no rows.
+
+    No source is sorted in one task: keys fall into ``buckets`` ranges, sums by range give the offset of
+    each, and only within a range are keys sorted. Rows that are equal in all of this are counted and sorted
+    as runs of at most ``run``, each run with a key of its own, so that a row that is repeated very often
+    doesn't gather in one range.
     """
     # 52 bits of a digest of id and text: alike on every run and in every engine
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
-    uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    keyed = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
-        (-F.log(uniform) / quality_weight(F.col(text))).alias("draw"),
-        F.xxhash64(doc_id, text).alias("row_hash"),
-    )
+    weight = F.greatest(F.lit(0.05), F.coalesce(F.col(quality).cast("double"), F.lit(1.0))) if quality else quality_weight(F.col(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digest.alias("digest"), weight.alias("weight"), F.xxhash64(doc_id, text).alias("row_hash"))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"))
+    runs = counted.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(run).cast("long")))).withColumn("n", F.least(F.col("rows") - F.col("at"), F.lit(run)))
+    own = F.when(F.col("at") == 0, F.col("digest")).otherwise(F.md5(F.concat("digest", F.col("at").cast("string"))))
+    uniform = (F.conv(F.substring(own, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    keyed = runs.select("doc_id", "source", "size", "row_hash", "at", "n", (-F.log(uniform) / F.col("weight")).alias("draw"))
     # e^-key is uniform at weight 1 and nearer to 0 below it; ranges needn't be even, only in order
-    keyed = keyed.withColumn("part", F.floor((F.lit(1.0) - F.exp(-F.col("draw") / 2)) * buckets).cast("int"))
-    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    keyed = materialise(keyed.withColumn("part", F.floor((F.lit(1.0) - F.exp(-F.col("draw") / 2)) * buckets).cast("int")), "keyed")
+    words = F.col("size") * F.col("n")
+    parts = keyed.groupBy("source", "part").agg(F.sum(words).alias("words"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most_epochs)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -90,21 +96,26 @@ def mix_sources(
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     rows = keyed.alias("k").join(plan.alias("q"), F.col("k.source").eqNullSafe(F.col("q.source")) & (F.col("k.part") == F.col("q.part")))
-    rows = rows.select("doc_id", "k.source", "size", "draw", "row_hash", "k.part", "offset", "source_size", "target", "epochs", "budget")
-    within = Window.partitionBy("source", "part").orderBy("draw", "doc_id", "row_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.col("offset") + F.sum("size").over(within))
-    rows = rows.withColumn("chosen", (F.col("upto") <= F.col("budget")) & (F.col("size") > 0))
+    rows = rows.select("doc_id", "k.source", "size", "n", "at", "draw", "row_hash", "k.part", "offset", "source_size", "target", "epochs", "budget")
+    within = Window.partitionBy("source", "part").orderBy("draw", "doc_id", "row_hash", "size", "at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.col("offset") + F.coalesce(F.sum(words).over(within), F.lit(0)))
+    # so many rows of the run fit the budget
+    fit = F.when(F.col("size") > 0, F.least(F.col("n"), F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("before")) / F.col("size")).cast("long")))).otherwise(F.lit(0))
+    rows = rows.withColumn("fit", fit)
     # One document a source closes what the prefix leaves open, if it makes the sum nearer. The prefix ends
     # inside one part; what it holds is a maximum of running sums, so both are plain aggregates.
-    gap = rows.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))).alias("held"))
-    rest = rows.where((F.col("upto") > F.col("budget")) & (F.col("size") > 0)).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    upto = F.col("before") + F.col("size") * F.col("fit")
+    gap = rows.groupBy("source").agg(F.max(F.when(upto <= F.col("budget"), upto)).alias("held"))
+    rest = rows.where((F.col("fit") < F.col("n")) & (F.col("size") > 0)).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
     off = F.abs(F.col("budget") - F.coalesce(F.col("held"), F.lit(0)) - F.col("size"))
-    nearer = rest.where(off < F.col("budget") - F.coalesce(F.col("held"), F.lit(0))).groupBy("r.source").agg(F.min(F.struct(off.alias("off"), "draw", "doc_id", "row_hash", "upto")).alias("close"))
+    nearer = rest.where(off < F.col("budget") - F.coalesce(F.col("held"), F.lit(0))).groupBy("r.source").agg(F.min(F.struct(off.alias("off"), "draw", "doc_id", "row_hash", "at", "before")).alias("close"))
     rows = rows.alias("r").join(nearer.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")), "left")
-    closes = (F.col("close.row_hash") == F.col("r.row_hash")) & F.col("close.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("close.upto") == F.col("r.upto"))
-    extra = (F.col("chosen") | F.coalesce(closes, F.lit(False))).cast("long")
-    rows = rows.withColumn("copies", F.col("epochs") + extra)
-    return rows.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row_hash")
+    closes = (F.col("close.row_hash") == F.col("r.row_hash")) & F.col("close.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("close.before") == F.col("r.before")) & (F.col("close.at") == F.col("r.at"))
+    once_more = F.col("fit") + F.coalesce(closes, F.lit(False)).cast("long")
+    shares = F.array(F.struct(F.col("epochs").alias("copies"), (F.col("r.n") - once_more).alias("n")), F.struct((F.col("epochs") + 1).alias("copies"), once_more.alias("n")))
+    rows = rows.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "row_hash", F.explode(F.filter(shares, lambda x: x["n"] > 0)).alias("x"))
+    each = rows.select("*", F.col("x.copies").alias("copies"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.n"))))
+    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row_hash")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
