@@ -41,14 +41,22 @@ def cut_pieces(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, head), *((k, most) for k in range(head, n, most))]
 
 
-def tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
+#: Columns of a piece, and the one for its token ids where they are asked for.
+PIECE = (("doc_id", "long", pa.int64()), ("piece", "int", pa.int32()), ("start", "long", pa.int64()), ("length", "long", pa.int64()), ("ids_crc32", "long", pa.int64()))
+IDS = ("ids", "array<int>", pa.list_(pa.int32()))
+
+
+def tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, most: int, columns: tuple) -> Iterator[pa.RecordBatch]:
     tokens = Tokens(vocabulary)
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.append(tokens.ids(text.as_py() or ""), np.uint32(end)).astype("<u4")
-            rows += ((doc, k, start, length, zlib.crc32(ids[start : start + length].data)) for k, (start, length) in enumerate(cut_pieces(len(ids), most)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for k, (start, length) in enumerate(cut_pieces(len(ids), most)):
+                own = ids[start : start + length]
+                rows.append((doc, k, start, length, zlib.crc32(own.data), *([own.astype(np.int32)] if IDS in columns else [])))
+        made = zip(*rows, strict=True) if rows else [()] * len(columns)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(made, columns, strict=True)], [n for n, _, _ in columns])
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +88,37 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text", group_rows: int = 50_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text", group_rows: int = 50_000, with_ids: bool = False) -> DataFrame:
     """Place every token of every document in sequences of at most ``capacity`` tokens.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text counts as empty: one
-    piece that holds only the end token. Equal rows are packed each for itself. A group holds about
-    ``group_rows`` short pieces, dealt evenly by a stored row number, so that memory doesn't grow with the
-    input; each group leaves a few sequences part-filled. An empty table gives no rows.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for. Null text
+    counts as empty: one piece that holds only the end token. Equal rows are packed each for itself. A group
+    holds about ``group_rows`` short pieces, dealt evenly by a stored row number, so that memory doesn't grow
+    with the input; each group leaves a few sequences part-filled. Very long texts are cut into as many
+    pieces as it takes. An empty table gives no rows.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    made = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lambda b: tokenised(b, vocabulary, end, capacity), schema)
+    columns = (*PIECE, IDS) if with_ids else PIECE
+    schema = ", ".join(f"{n} {t}" for n, t, _ in columns)
+    made = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lambda b: tokenised(b, vocabulary, end, capacity, columns), schema)
     pieces = materialise(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, math.ceil(short.count() / group_rows))
-    full = pieces.where(F.col("length") == capacity).select(*pieces.columns[:-1], (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = [n for n, _, _ in columns]
+    full = pieces.where(F.col("length") == capacity).select(*names, (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("row", "ascending")])
         bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
         ids = bins + (key[0].as_py() << 32)
-        return group.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
+        return group.select(["row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)) if with_ids else group.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     # the row number's low bits run on within a task and its high bits number the tasks
     dealt = short.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return full.unionByName(dealt.groupBy("group").applyInArrow(place, schema + ", sequence_id long, offset long"))
+    if not with_ids:
+        return full.unionByName(dealt.groupBy("group").applyInArrow(place, schema + ", sequence_id long, offset long"))
+    # ids stay where they are; only lengths go to groups, and places come back by row number
+    placed = dealt.select("group", "row", "length").groupBy("group").applyInArrow(place, "row long, sequence_id long, offset long")
+    return full.unionByName(short.join(placed, "row").select(*names, "sequence_id", "offset"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,54 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii
-from .common import table, word_count
+from .common import materialise, table, word_count
 from .mixing import mix_sources
 from .neardup import near_duplicates, row_hash
 from .packing import pack_documents
 from .quality import THRESHOLD, train
 
 
+# Rows are carried through stages as one struct, so that a stage's own columns never clash with theirs.
+def carried(docs: DataFrame, **own: Column) -> DataFrame:
+    """``own`` columns beside a struct ``doc`` of all columns of ``docs``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(v.alias(k) for k, v in own.items()))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, learnt from the labels beside the corpus."""
+    """Documents that the classifier accepts, learnt from the labels beside the corpus.
+
+    Null and empty texts are scored like others, by their statistics; repeated rows are kept or rejected
+    alike. Without labels of both kinds all documents get one score. An empty table gives none.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, "text", "__quality").where(F.col("__quality") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return model.score(carried(docs, text=F.col("text")), "text", "score").where(F.col("score") >= THRESHOLD).select("doc.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, and all without words."""
+    """One document of each near-duplicate group, and all without words.
+
+    Of a group the smallest id stays, a null id last, and of equal ids the smallest hash of the text; of rows
+    equal in id and text one stays. Rows whose text is null, empty or blank all stay. An empty table gives none.
+    """
     found = near_duplicates(docs).where(F.col("n_shingles") > 0)
-    # ids can be null or repeated, so a group goes by its root; one row of it stays, of the smallest id
+    # ids can be null or repeated, so a group goes by its root
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")))
-    chosen = found.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("__id"), F.col("x.hash").alias("__hash"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__row", row_hash())
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__row"))
-    one = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__row"])
-    return one.select(*columns).unionByName(docs.where(word_count(F.col("text")) == 0).select(*columns))
+    chosen = found.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("chosen_id"), F.col("x.hash").alias("chosen_hash"))
+    rows = carried(docs, id=F.col("doc_id"), hash=row_hash(), words=word_count(F.col("text")))
+    same = F.col("chosen_id").eqNullSafe(F.col("id")) & (F.col("chosen_hash") == F.col("hash"))
+    one = rows.where("words > 0").join(chosen, same, "left_semi").dropDuplicates(["id", "hash"])
+    return one.select("doc.*").unionByName(rows.where("words = 0").select("doc.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind in brackets; n_chars follows the text."""
+    """Texts with personal data replaced by its kind in brackets; n_chars, where there is one, follows the text.
+
+    Null and empty texts stay as they are; repeated rows stay repeated. An empty table gives none.
+    """
     crf = pii.train(docs)
     clean = docs.withColumn("text", pii.redacted(F.col("text"), crf))
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a document that it doesn't take goes."""
-    mix = mix_sources(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "copies")
-    mix = mix.groupBy("__id", "__hash").agg(F.max("copies").alias("__copies"))
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("doc_id", "text"))
-    taken = docs.join(mix, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Each document as often as the mix takes it; a document that it doesn't take goes.
+
+    Documents are weighed by the classifier's score, learnt from the documents and labels beside the corpus.
+    Rows equal in id and text share what the mix takes of them evenly; what doesn't divide goes to one of
+    them. Null and empty texts have no words: they are in complete epochs only. An empty table gives none.
+    """
+    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = model.score(docs.select("doc_id", "text", "source"), "text", "quality")
+    mix = mix_sources(scored, quality="quality").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all")).where("all > 0")
+    mix = materialise(mix.select(F.col("doc_id").alias("mix_id"), F.col("row_hash").alias("mix_hash"), F.floor(F.col("all") / F.col("n")).alias("each"), (F.col("all") % F.col("n")).alias("rest")), "mix")
+    same = F.col("mix_id").eqNullSafe(F.col("id")) & (F.col("mix_hash") == F.col("hash"))
+    rows = carried(docs, id=F.col("doc_id"), hash=row_hash())
+    times = lambda df, n: df.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select("doc.*")
+    taken = times(rows.join(mix.where("each > 0"), same), "each")
+    uneven = mix.where("rest > 0")
+    if uneven.isEmpty():
+        return taken
+    return taken.unionByName(times(rows.join(uneven, same).groupBy("id", "hash").agg(F.first("doc").alias("doc"), F.first("rest").alias("rest")), "rest"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents, their places in sequences, and their token ids.
+
+    Null and empty texts give one piece that holds the end token; repeated rows are packed each. An empty
+    table gives none.
+    """
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
