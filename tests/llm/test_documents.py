@@ -45,6 +45,18 @@ def test_shards(messy, messy_rows, nothing):
     assert sharding.assign_shards(nothing).count() == 0
 
 
+def test_shards_split_runs_of_equal_rows(spark):
+    """A row that is repeated very often is numbered in several runs, in several parts."""
+    rows = [(7, "same")] * 900 + [(i, "x") for i in range(50)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=3, slots_by=16, run=10).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append((r.slot, r.doc_id))
+    assert len(got) == 950 and all(sorted(s for s, _ in x) == list(range(len(x))) for x in slots.values())
+    hot = [d for _, d in sorted(slots[next(r.shard for r in got if r.doc_id == 7)])]
+    assert sum(a != b for a, b in zip(hot, hot[1:], strict=False)) > 2
+
+
 def waterfill(sizes, weights, most):
     targets, left, free = {}, float(sum(sizes.values())), dict(weights)
     while free:
@@ -81,6 +93,27 @@ def test_mix(messy, messy_rows, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mix_splits_runs_of_equal_rows(spark):
+    """Rows that are equal in all count each for itself, in runs with keys of their own."""
+    rows = [(1, "a b c", "s")] * 500 + [(2 + i, "d e", "s") for i in range(100)] + [(1000 + i, "f " * 40, "t") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for run in (7, 10_000):
+        got = mixing.mix_sources(docs, run=run, buckets=32).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - target[s]) <= (3 if s == "s" else 20) for s in target)
+        assert len({r.copies for r in got if r.doc_id == 1}) <= 2
+
+
+def test_weights_from_a_column(spark):
+    rows = [(i, "word " * 10, "s", 0.9 if i % 2 else 0.1) for i in range(4_000)] + [(9_000 + i, "word " * 10, "t", None) for i in range(4_000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, score double"), weights=(1, 3), quality="score").where("source = 's'").collect()
+    assert sum(r.copies for r in got if r.doc_id % 2) > 3 * sum(r.copies for r in got if not r.doc_id % 2)
+
+
 def test_weights_favour_quality(spark):
     rows = [(i, " ".join(["word"] * 10) if i % 2 else " ".join(["#$%&"] * 10), "s") for i in range(4_000)] + [(9_000 + i, " ".join(["word"] * 10), "t") for i in range(4_000)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).where("source = 's'").collect()
@@ -368,15 +401,60 @@ def test_pii(spark, messy, messy_rows, nothing):
     assert pii.find_pii(nothing, None).count() == 0 and pii.train(nothing) is None
 
 
+def personal(n, seed):
+    """Texts with mentions of each kind, others with numbers that are none, all between made-up words."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeiourstln") for _ in range(r.randint(2, 8)))
+    say = lambda k: " ".join(word() for _ in range(k))
+    out = []
+    for i in range(n):
+        card = "4" + "".join(str(r.randrange(10)) for _ in range(14))
+        card += next(d for d in "0123456789" if pii.luhn(card + d))
+        some = [f"{word()}.{r.randrange(10, 99)}@mail{r.randrange(9)}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), " ".join(card[j : j + 4] for j in range(0, 16, 4)) if i % 2 else card, f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"]
+        other = ["version 2.0", "section 3", f"in {r.randrange(1900, 2030)}", f"{r.randrange(100)} pieces", f"order {r.randrange(10**15, 10**16)}", f"v{r.randrange(9)}.{r.randrange(9)}"]
+        parts = [r.choice(other) for _ in range(3)] + (r.sample(some, 2) if i % 3 else [])
+        r.shuffle(parts)
+        out.append("".join(f"{say(5)} {p} {say(4)}. " for p in parts))
+    return out
+
+
+def test_added_spans_find_broken_mentions(spark):
+    """On texts that nothing was learnt from, repeated mentions in broken forms are found by their links, and little else is."""
+    import dataclasses
+
+    crf = pii.train(spark.createDataFrame(list(enumerate(personal(900, 1))), "doc_id long, text string"))
+    unlinked = dataclasses.replace(crf, links=crf.links * 0)
+    planted, found, wrong, alone = 0, 0, 0, 0
+    for i, plain in enumerate(personal(300, 2)):
+        text, spans = pii.with_broken(plain, pii.base_spans(plain), i)
+        base, every = pii.find_spans(text, crf)
+        assert base == pii.base_spans(text) and set(base) <= set(every)
+        broken = [x for x in spans if not any(x[1] < e and x[2] > s for _, s, e in base)]
+        hits = lambda added: sum(any(k == k2 and s < e2 and e > s2 for k2, s2, e2 in added) for k, s, e in broken)
+        planted, found = planted + len(broken), found + hits(set(every) - set(base))
+        alone += hits(set(pii.find_spans(text, unlinked)[1]) - set(base))
+        wrong += sum(not any(k == k2 and s < e2 and e > s2 for k, s, e in broken) for k2, s2, e2 in set(every) - set(base))
+    assert planted > 300 and found > 0.8 * planted and wrong < 0.05 * found, (planted, found, wrong)
+    assert alone < 0.7 * found, (alone, found)
+
+
+def test_the_model_follows_rows_not_partitions(spark):
+    docs = spark.createDataFrame(list(enumerate(personal(300, 3))), "doc_id long, text string")
+    one, other = (pii.train(docs.repartition(n), sample_docs=50, sample_tokens=2_000) for n in (1, 5))
+    assert one.index == other.index and np.allclose(one.weights, other.weights) and np.allclose(one.links, other.links)
+
+
 def test_labels_agree_across_a_document():
     """Two uncertain tokens of one text follow the sure one that repeats them."""
     index = {"bias": 0, "sure": 1}
     weights = np.zeros((2, pii.LABELS))
     weights[1, 1] = 6.0
-    links = np.zeros((3, pii.LABELS, pii.LABELS))
+    links = np.zeros((pii.LINKS, pii.LABELS, pii.LABELS))
     links[1] = 4.0 * np.eye(pii.LABELS)
-    crf = pii.Crf(index, weights, links, frozenset())
-    doc = pii.Document([(0, 1)] * 3, [["bias", "sure"], ["bias"], ["bias"]], ["", "", ""], [(0, 1, 1), (1, 2, 1)], [0, 0, 0])
+    crf = pii.Crf(index, weights, links)
+    doc = pii.Document([(0, 1)] * 3, [["bias", "sure"], ["bias"], ["bias"]], [(0, 1, 1), (1, 2, 1)], [0, 0, 0])
     assert (crf.marginals(doc).argmax(1) == 1).all()
     exact = np.zeros((3, pii.LABELS))
     for a in range(pii.LABELS):
@@ -395,11 +473,11 @@ def test_labels_reach_fifty_copies(sure_at):
     n = 50
     weights = np.zeros((2, pii.LABELS))
     weights[1, 1] = 6.0
-    links = np.zeros((3, pii.LABELS, pii.LABELS))
+    links = np.zeros((pii.LINKS, pii.LABELS, pii.LABELS))
     links[1] = 8.0 * np.eye(pii.LABELS)
-    crf = pii.Crf({"bias": 0, "sure": 1}, weights, links, frozenset())
+    crf = pii.Crf({"bias": 0, "sure": 1}, weights, links)
     features = [["bias", "sure"] if i == sure_at else ["bias"] for i in range(n)]
-    p = crf.marginals(pii.Document([(0, 1)] * n, features, [""] * n, [(i, i + 1, 1) for i in range(n - 1)], [0] * n))
+    p = crf.marginals(pii.Document([(0, 1)] * n, features, [(i, i + 1, 1) for i in range(n - 1)], [0] * n))
     assert (p.argmax(1) == 1).all() and p[:, 1].min() > 0.85
     local = np.exp([weights[1] if i == sure_at else weights[0] for i in range(n)])
     step, left, right = np.exp(links[1]), [np.ones(pii.LABELS)], [np.ones(pii.LABELS)]
@@ -415,11 +493,11 @@ def test_messages_come_to_rest_on_loops():
     """Links of all kinds in loops, repelling ones too: an end and probabilities, near to exact ones where links are weak."""
     rng = np.random.default_rng(8)
     for strength in (0.3, 6.0):
-        n, links = 6, strength * rng.standard_normal((3, pii.LABELS, pii.LABELS))
+        n, links = 6, strength * rng.standard_normal((pii.LINKS, pii.LABELS, pii.LABELS))
         weights = rng.standard_normal((n, pii.LABELS))
-        crf = pii.Crf({str(i): i for i in range(n)}, weights, links, frozenset())
+        crf = pii.Crf({str(i): i for i in range(n)}, weights, links)
         edges = [(0, 1, 0), (1, 2, 0), (0, 2, 1), (2, 3, 2), (3, 4, 0), (1, 4, 2), (4, 5, 1), (0, 5, 2)]
-        p = crf.marginals(pii.Document([(0, 1)] * n, [[str(i)] for i in range(n)], [""] * n, edges, [0] * n))
+        p = crf.marginals(pii.Document([(0, 1)] * n, [[str(i)] for i in range(n)], edges, [0] * n))
         assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
         if strength < 1:
             every = np.array(np.meshgrid(*[range(pii.LABELS)] * n)).reshape(n, -1)

@@ -3,10 +3,14 @@
 import hashlib
 import math
 import random
+import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,14 +76,56 @@ def test_exact_topk_keeps_large_components(spark, block):
         topk.exact_topk(spark.createDataFrame([(0, [2.0**60]), (1, [2.0**60])], "vec_id long, embedding array<double>")).collect()
 
 
-def test_list_bounds_hold():
+def test_lists_are_read_in_order():
+    """Reading ends early where scores are apart, nothing among the k best is lost, and bars cut deeper."""
     rng = np.random.default_rng(2)
-    rows, queries = rng.integers(-400, 400, (300, 9)), rng.integers(-400, 400, (20, 9)).astype(float)
-    lists, exact = topk.SortedLists(rows), rows @ queries.T
-    for depth in (1, 4, 10, 16):
-        low, high = lists.bounds(slice(None), queries, depth)
-        assert (low <= exact + 1e-6).all() and (exact <= high + 1e-6).all()
-    assert np.allclose(low, exact) and np.allclose(high, exact)
+    rows = np.floor(256 * rng.standard_normal((3_000, 16)) / 4)
+    rows[:40] += 900 * np.sign(rows[0])
+    lists, exact, far = topk.SortedLists(np.arange(3_000), rows, 1.0), rows @ rows[:30].T, []
+    read = lists.read
+    lists.read = lambda q, a, b: far.append(b) or read(q, a, b)
+    for j in range(30):
+        order = sorted((-s, i) for i, s in enumerate(exact[:, j].tolist()) if i != j)[:5]
+        live, scores = lists.best(j, rows[j], -math.inf, 5)
+        assert dict(zip(live.tolist(), scores.tolist(), strict=True)).items() >= {(i, int(-s)) for s, i in order}
+        assert len(live) < 60
+        assert far[0] == 1 and far == sorted(far)
+        far.clear()
+        live, _ = lists.best(j, rows[j], float(-order[0][0]), 5)
+        assert order[0][1] in live and len(live) < 20
+        far.clear()
+        assert len(lists.best(j, rows[j], float(-order[0][0]) + 1, 5)[0]) == 0 and far[-1] < 3_000
+        far.clear()
+
+
+def test_box_bounds_hold():
+    rng = np.random.default_rng(2)
+    rows, queries = rng.integers(-400, 400, (300, 9)).astype(float), rng.integers(-400, 400, (20, 9)).astype(float)
+    points = topk.METHOD.points(rows, 1.0)
+    some = topk.most_in_boxes(queries, 1.0, points[None, :100].min(1), points[None, :100].max(1))
+    assert (some[:, 0] >= (rows[:100] @ queries.T).max(0)).all()
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_on_full_blocks(spark, tmp_path, clustered):
+    """Recall over several blocks of production size, on clusters and on noise, and few visits where clusters allow it."""
+    rng = np.random.default_rng(9)
+    n, d = 40_000, 32
+    centres = rng.standard_normal((60, d))
+    rows = (centres[rng.integers(0, 60, n)] + 0.25 * rng.standard_normal((n, d)) if clustered else rng.standard_normal((n, d))).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(rows), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    some = ann.nearest(df, query_every=400)
+    got = defaultdict(set)
+    for r in some.collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 400):
+        s = rows.astype(float) @ rows[q].astype(float)
+        s[q] = -9
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == 100 and hits >= 0.9 * 2_000
 
 
 def test_nearest(vectors):
@@ -190,6 +236,30 @@ def test_quality(spark, corpus, messy):
     assert model.score(docs.where("doc_id < 0"), "text", "score").count() == 0
 
 
+def test_rules_against_plain_python(spark, corpus, messy):
+    """The score as a column is the one that the kept rules give when they are gone through one by one."""
+    docs, labels = corpus
+    model = quality.train(docs, labels)
+    space = set("\x20\x09\x0a\x0b\x0c\x0d")
+    for df in (docs, messy):
+        for r in model.score(df.select("text"), "text", "s").collect():
+            t = r.text or ""
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+            cells, lines = re.split(r"[\x20\x09-\x0D]+", t), t.split("\n")
+            n = {"chars": len(t), "words": len(words), "distinct": len(set(cells)), "lines": len(lines), "distinct_lines": len(set(lines))}
+            n["repeats"] = sum(a == b for a, b in zip(words, words[1:], strict=False))
+            n["symbols"], n["capitals"], n["digits"], n["commas"] = (sum(c in x for c in t) for x in ("!#$%&*+/<=>@\\^_`{|}~", string.ascii_uppercase, string.digits, ","))
+            n["lone_symbols"] = sum(all(c in string.punctuation for c in w) for w in words)
+            n["symbol_ends"] = len(re.findall(r"[A-Za-z.,][!#$%&*]+", t))
+            n["stops"] = sum(c in ".?" and (i + 1 == len(t) or t[i + 1] in space) for i, c in enumerate(t))
+            some = lambda k, n=n: max(n[k], 1)
+            value = {"log_chars": math.log1p(n["chars"]), "log_words": math.log1p(n["words"]), "word_length": n["chars"] / some("words"), "distinct_words": math.log1p(n["distinct"]) / max(math.log1p(n["words"]), 1.0)}
+            value |= {k: n[k] / some(by) for k, by in (("repeats", "words"), ("symbols", "chars"), ("lone_symbols", "words"), ("symbol_ends", "words"), ("capitals", "chars"), ("digits", "chars"), ("stops", "words"), ("commas", "words"), ("distinct_lines", "lines"))}
+            value["words_per_line"] = n["words"] / some("lines")
+            total = model.intercept + sum(rule.weight for rule in model.rules if all((value[k] > x) == above for k, above, x in rule.terms))
+            assert r.s == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9), t[:80]
+
+
 def test_quality_without_labels(corpus):
     docs, labels = corpus
     assert quality.train(docs, labels.where("quality > 5")).score(docs, "text", "s").where("s <> 0.5").count() == 0
@@ -227,7 +297,35 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     mixed = pipeline.mixing_stage(spark, now, folder)
     assert mixed.columns == now.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
     rows = corpus_pipeline.run(spark, folder)
-    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 500
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    pieces = rows.collect()
+    assert len(pieces) > 500 and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in pieces)
+
+
+def test_stages_with_columns_of_their_own_names(spark, corpus, tmp_path):
+    """Columns that are called as what stages add, in upper case too, come through untouched."""
+    docs, labels = corpus
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["id", "hash", "doc", "words", "quality", "copies", "n", "all", "each", "rest", "__id", "__hash", "row_hash", "size", "chosen_id", "mix_id", "SCORE", "a.b"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for stage in (pipeline.quality_stage, pipeline.dedup_stage, pipeline.pii_stage, pipeline.mixing_stage):
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns
+        assert out.where(F.col("doc_id").isNotNull() & (F.col("__id") != F.concat(F.lit("__id"), F.col("doc_id").cast("string")))).count() == 0 and out.count() > 0
+
+
+def test_mixing_stage_takes_what_the_mix_says_of_repeated_rows(spark, corpus, tmp_path):
+    docs, labels = corpus
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    some = docs.where("doc_id < 300").unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 2").withColumn("lang", F.lit("other")))
+    rows = pipeline.mixing_stage(spark, some, str(tmp_path))
+    count = lambda df: Counter({r.source: r.n for r in df.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()})
+    taken, size = count(rows), count(some)
+    total, order = sum(size.values()), sorted(size)
+    want = {s: min(3 * size[s], total * w / 8) for s, w in zip(order, (5, 2, 1), strict=True)}
+    assert all(abs(taken[s] - want[s]) < 60 for s in order if want[s] < 3 * size[s])
 
 
 def test_pipeline_on_nothing(spark, corpus, tmp_path):
