@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from detectlake.llm import pipeline as stages
-from detectlake.llm.common import materialise, table
+from detectlake.llm.common import settled, table
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -21,8 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of a folder of tables."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Apply all stages to the documents of a folder of tables; what a stage read is deleted once its rows are written."""
+
+    def kept(stages: list) -> DataFrame:
+        if not stages:
+            return table(spark, sf_dir, "documents")
+        name, stage = stages[-1]
+        return settled(lambda: stage(spark, kept(stages[:-1]), sf_dir), name)
+
+    return STAGES[-1][1](spark, kept(STAGES[:-1]), sf_dir)
