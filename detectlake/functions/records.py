@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import MAGIC, latin, network_indicators, searchable_text
+
 RULE_TYPE = "struct<threshold:int,subrules:array<struct<weight:int,bytes:binary>>>"
 #: Widths in bytes of the digests that a list of each kind holds.
 DIGEST_WIDTHS = {"MD5": 16, "SHA1": 20, "SHA256": 32, "SHA512": 64}
@@ -71,51 +76,72 @@ def hash_list(data: Column, kind: Column) -> Column:
     return F.when(count > 0, F.filter(made, lambda h: ~h.rlike("^0*$"))).otherwise(F.array().cast("array<string>"))
 
 
-def regions(data: bytes, terms: tuple[bytes, ...] = (), least: int = 4, nulls: int = 8) -> list[dict]:
-    """Strings, terms and null runs of bytes by offset; later kinds give way where they would overlap earlier ones."""
-    import re
+REGION_TYPE = "array<struct<kind:string,offset:int,length:int>>"
+
+
+def regions_of(data: bytes, terms: tuple[bytes, ...] = (), least: int = 4, nulls: int = 8) -> list[dict]:
+    """Magic bytes, terms, strings and null runs by offset; later kinds give way where they would overlap earlier ones."""
+    found = [("magic", 0, len(h) // 2) for h, _ in MAGIC if data.startswith(bytes.fromhex(h))][:1]
+    found += [("pattern", m.start(), len(t)) for t in terms for m in re.finditer(re.escape(t), data)]
+    found += [("string", m.start(), len(m[0])) for m in re.finditer(rb"[\x20-\x7e]{%d,}" % least, data)]
+    found += [("null", m.start(), len(m[0])) for m in re.finditer(rb"\x00{%d,}" % nulls, data)]
+    # what is taken stays sorted by offset and apart, so that only the two neighbours of a place can overlap
+    taken: list[tuple[int, int, str]] = []
+    for kind, start, length in found:
+        i = bisect.bisect(taken, (start,))
+        if (i == 0 or sum(taken[i - 1][:2]) <= start) and (i == len(taken) or start + length <= taken[i][0]):
+            taken.insert(i, (start, length, kind))
+    return [{"kind": kind, "offset": start, "length": length} for start, length, kind in taken]
 
-    from .text import MAGIC
 
-    found = [{"kind": "magic", "offset": 0, "length": len(h) // 2} for h, _ in MAGIC if data.startswith(bytes.fromhex(h))][:1]
-    found += [{"kind": "pattern", "offset": m.start(), "length": len(t)} for t in terms for m in re.finditer(re.escape(t), data)]
-    found += [{"kind": "string", "offset": m.start(), "length": len(m[0])} for m in re.finditer(rb"[\x20-\x7e]{%d,}" % least, data)]
-    found += [{"kind": "null", "offset": m.start(), "length": len(m[0])} for m in re.finditer(rb"\x00{%d,}" % nulls, data)]
-    out: list[dict] = []
-    taken: list[tuple[int, int]] = []
-    for r in found:
-        span = (r["offset"], r["offset"] + r["length"])
-        if all(span[1] <= a or span[0] >= b for a, b in taken):
-            out.append(r)
-            taken.append(span)
-    return sorted(out, key=lambda r: r["offset"])
+def regions(data: Column, terms: tuple[bytes, ...] = (), least: int = 4, nulls: int = 8) -> Column:
+    """The regions of each item as an array of kind, offset and length, by offset; null data has none."""
+
+    @F.pandas_udf(REGION_TYPE)
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: regions_of(bytes(v), terms, least, nulls), na_action="ignore")
+
+    return read(data)
 
 
 def strings_with_context(data: Column, least: int = 4, around: int = 16) -> Column:
-    """(text, offset, context): printable runs with the hex of some bytes around them.
+    """(text, offset, context): printable runs with the hex of some bytes around them; null data has none."""
+    run = re.compile(rb"[\x20-\x7e]{%d,}" % least)
+
+    @F.pandas_udf("array<struct<text:string,offset:int,context:string>>")
+    def read(values: pd.Series) -> pd.Series:
+        one = lambda v: [{"text": m[0].decode("ascii"), "offset": m.start(), "context": v[max(0, m.start() - around) : m.end() + around].hex().upper()} for m in run.finditer(v)]
+        return values.map(lambda v: one(bytes(v)), na_action="ignore")
 
-    Offsets come from splitting at the runs' borders, so that no Python runs.
+    return read(data)
+
+
+def extract_indicators(items: DataFrame, hash_types: dict[str, str], url_types: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, value, owner) of all items, each routed by its type (M6).
+
+    Reads owner, sig_type_name and data. ``hash_types`` maps type names to the kind of digests that they pack
+    (see DIGEST_WIDTHS); items of other types, or without one, are searched for network indicators, those of
+    ``url_types`` whole and not only in their head. Null data gives nothing.
     """
-    plain = F.decode(data, "ISO-8859-1")
-    pieces = F.split(plain, f"(?<=[\\x20-\\x7e])(?=[^\\x20-\\x7e])|(?<=[^\\x20-\\x7e])(?=[\\x20-\\x7e])")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,offset:int>>").alias("out"))
-    walked = F.aggregate(
-        pieces,
-        start,
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when((F.length(p) >= least) & p.rlike(r"^[\x20-\x7e]"), F.concat(acc["out"], F.array(F.struct(p.alias("text"), acc["at"].alias("offset"))))).otherwise(acc["out"]).alias("out")),
-    )["out"]
-    context = lambda s: F.hex(F.substr(data, F.greatest(s["offset"] - around, F.lit(0)) + 1, F.length(s["text"]) + around + F.least(s["offset"], F.lit(around))))
-    return F.transform(walked, lambda s: F.struct(s["text"].alias("text"), s["offset"].alias("offset"), context(s).alias("context")))
-
-
-def ingest(records: DataFrame, begin: int = 0x5C, end: int = 0x5D) -> DataFrame:
-    """Items of a container: each record with the id and name of its enclosing block, its class and digest (M2).
-
-    The begin record holds the id (32 bits), 6 bytes, the name's length, 2 bytes and the name.
+    kinds = F.create_map(*(F.lit(x) for pair in hash_types.items() for x in pair)) if hash_types else F.create_map().cast("map<string,string>")
+    kind = F.when(F.col("sig_type_name").isNotNull(), F.element_at(kinds, F.col("sig_type_name")))
+    plain = latin(F.col("data"))
+    digests = F.transform(hash_list(F.col("data"), kind), lambda h: F.struct(F.lower(kind).alias("kind"), h.alias("value")))
+    whole = F.coalesce(F.col("sig_type_name").isin(*url_types), F.lit(False)) if url_types else F.lit(False)
+    found = F.when(kind.isNotNull(), digests).when(whole, network_indicators(plain, 1 << 30, 1 << 30)).otherwise(network_indicators(plain))
+    return items.where(F.col("data").isNotNull()).select("owner", F.explode(found).alias("x")).select("x.kind", "x.value", "owner").distinct()
+
+
+def ingest(records: DataFrame, names: dict[int, str], types: dict[str, tuple[str, str | None]], text_types: tuple[str, ...], begin: int = 0x5C, end: int = 0x5D) -> DataFrame:
+    """Items of a container: each record with its enclosing block's id and name, its class, text and digest (M2).
+
+    ``names`` gives type names by code (others have none), ``types`` their category and subcategory, and
+    ``text_types`` bear text. The begin record holds the id (32 bits), 6 bytes, the name's length, 2 bytes and
+    the name; one shorter than 13 bytes counts as id 0 without a name. Records outside of blocks have no owner.
     """
     from ..operators.windows import assign_blocks
     from .classify import type_category
-    from .naming import fix_name
+    from .naming import fix_name, parse_name
 
     code = F.col("sig_type")
     placed = assign_blocks(records, code == begin, code == end)
@@ -128,4 +154,8 @@ def ingest(records: DataFrame, begin: int = 0x5C, end: int = 0x5D) -> DataFrame:
         F.when(fits, fix_name(F.decode(F.substr("data", F.lit(14), little(11, 1).cast("int")), "ISO-8859-1"))).otherwise("").alias("owner_name"),
     )
     items = placed.where(~code.isin(begin, end)).join(heads, (F.col("path") == F.col("head_path")) & (F.col("block") == F.col("head_at")), "left")
-    return items.select("path", "offset", "owner", "owner_name", "sig_type", "size", F.sha2("data", 256).alias("data_hash"), type_category(F.lit(None).cast("string")).alias("class"), "data")
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("sig_type"))
+    items = items.withColumn("sig_type_name", name)
+    shown = searchable_text(F.col("data"), F.col("sig_type_name"), text_types)
+    family = parse_name(F.col("owner_name"))["family"]
+    return items.select("path", "offset", "owner", "owner_name", family.alias("family"), "sig_type", "sig_type_name", "size", F.sha2("data", 256).alias("data_hash"), type_category(F.col("sig_type_name"), shown, types).alias("class"), shown.alias("searchable"), "data")

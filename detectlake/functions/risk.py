@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,14 +38,6 @@ PATH_PATTERNS = (
     (0, r"\.tmp$", "Temp file exclusion"),
 )
 
-SCENARIOS = (
-    ("temp_folder", r"\\te?mp\\", "T1059"),
-    ("user_writable", r"\\(downloads|desktop|documents)\\", "T1204"),
-    ("appdata", r"\\appdata\\", "T1547"),
-    ("wildcard_exe", r"\*\.(exe|dll|scr)", "T1059"),
-    ("script_exclusion", r"\*\.(ps1|vbs|js|bat)", "T1059"),
-)
-
 ABUSED_PROCESSES = ("powershell", "cmd.exe", "wscript", "cscript", "mshta", "regsvr32", "rundll32", "msiexec", "certutil")
 NO_RISK = "No significant risk patterns detected"
 
@@ -52,14 +46,18 @@ def _some(*columns: Column) -> Column:
     return F.filter(F.array(*columns), lambda c: c.isNotNull())
 
 
-def path_risk(path: Column) -> Column:
-    """(level, reasons, scenarios): the worst level of all patterns that match, with sorted reasons."""
+def path_risk(path: Column, scenarios: Sequence[tuple[str, str, str]] = ()) -> Column:
+    """(level, reasons, scenarios): the worst level of all patterns that match, with sorted reasons.
+
+    ``scenarios`` are the caller's: a name, a pattern over the lower-case path, and a technique.
+    """
     low = F.lower(path)
     hits = _some(*(F.when(low.rlike(p), F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"))) for level, p, reason in PATH_PATTERNS))
     worst = F.coalesce(F.array_max(F.transform(hits, lambda h: h["level"])), F.lit(0))
     reasons = F.when(F.size(hits) > 0, F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["reason"])))).otherwise(F.array(F.lit(NO_RISK)))
-    scenarios = _some(*(F.when(low.rlike(p), F.struct(F.lit(name).alias("name"), F.lit(technique).alias("technique"))) for name, p, technique in SCENARIOS))
-    return F.struct(level_name(worst).alias("level"), reasons.alias("reasons"), scenarios.alias("scenarios"))
+    known = [F.when(low.rlike(p), F.struct(F.lit(name).alias("name"), F.lit(technique).alias("technique"))) for name, p, technique in scenarios]
+    told = _some(*known) if known else F.array().cast("array<struct<name:string,technique:string>>")
+    return F.struct(level_name(worst).alias("level"), reasons.alias("reasons"), told.alias("scenarios"))
 
 
 def level_name(rank: Column) -> Column:

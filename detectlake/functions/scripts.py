@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,34 +100,69 @@ def link_rules(source: Column, names: dict[str, str]) -> Column:
     return F.array_sort(F.array_union(extracted(source, "guids"), named))
 
 
-# Calls and what they say about a script.
-CHECKS = {"file": r"IsFileExists|readfile|getfilesize", "process": r"GetProcessName|processname", "path": r"string\.find|:find\(|normalize_path", "registry": r"RegOpenKey|RegEnum|GetRegValue", "parent": r"parent_?process|GetParent", "signature": r"IsTrusted|signed", "network": r"https?://|socket"}
-OUTCOMES = {"infected": r"mp\.INFECTED", "clean": r"mp\.CLEAN", "lowfi": r"mp\.LOWFI|ReportLowfi", "attribute": r"set_mpattribute", "related": r"add_related|trigger_sig"}
+def flags(source: Column, patterns: Mapping[str, str]) -> Column:
+    """The names of the patterns that a source holds, in the order given."""
+    return F.array_compact(F.array(*(F.when(source.rlike(p), F.lit(k)) for k, p in patterns.items()))) if patterns else F.array().cast("array<string>")
 
 
-def _flags(source: Column, patterns: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(source.rlike(p), F.lit(k)) for k, p in patterns.items())))
+def script_logic(source: Column, checks: Mapping[str, str], outcomes: Mapping[str, str], config: str = r"Get\w*(Exclusions|Locations|Config)", telemetry: Mapping[str, str] | None = None) -> Column:
+    """What a source does, from the caller's patterns by name.
 
-
-def script_logic(source: Column) -> Column:
-    """(kind, checks, outcomes, functions, techniques, calls) of a source, from flags alone."""
-    functions = F.array_sort(F.array_distinct(F.regexp_extract_all(source, F.lit(r"function\s+([\w.:]+)\s*\("), 1)))
-    outcomes = _flags(source, OUTCOMES)
-    kind = F.when(source.rlike(r"Get\w*(Exclusions|Locations|Config)"), "config").when(F.size(outcomes) > 0, "detection").otherwise("helper")
+    kind is config, detection (some outcome) or helper; entry is the first function defined; flow lists
+    checks and outcomes in the order in which they first occur, and trigger is the first check among them.
+    """
+    found = F.regexp_extract_all(source, F.lit(r"function\s+([\w.:]+)\s*\("), 1)
+    reached = flags(source, outcomes)
+    kind = F.when(source.rlike(config), "config").when(F.size(reached) > 0, "detection").otherwise("helper")
+    steps = F.array_sort(F.array_compact(F.array(*(F.when(source.rlike(p), F.struct(F.regexp_instr(source, F.lit(p)).alias("at"), F.lit(what).alias("what"), F.lit(k).alias("name"))) for what, given in (("check", checks), ("outcome", outcomes)) for k, p in given.items()))))
+    first = F.try_element_at(F.filter(steps, lambda x: x["what"] == "check"), F.lit(1))["name"]
     calls = F.array_sort(F.array_distinct(F.regexp_extract_all(source, F.lit(r"\b(mp\.[a-zA-Z_]\w*)"), 1)))
-    return F.struct(kind.alias("kind"), _flags(source, CHECKS).alias("checks"), outcomes.alias("outcomes"), functions.alias("functions"), techniques(source).alias("techniques"), calls.alias("calls"))
-
-
-# Weights of patterns in a script.
-RISKS = (
-    (30, r"os\.execute"), (30, r"io\.popen"), (30, r"loadstring"), (30, r"getfenv|setfenv"), (30, r"package\.loadlib"),
-    (10, r"dofile"), (10, r"debug\.\w+"), (10, r"rawset|rawget"), (10, r"string\.dump"), (10, r"\\x[0-9a-fA-F]{2}"), (10, r"socket\.\w+"), (10, r"http\.request"),
-)
+    return F.struct(
+        kind.alias("kind"),
+        F.try_element_at(found, F.lit(1)).alias("entry"),
+        first.alias("trigger"),
+        F.transform(steps, lambda x: F.concat(x["what"], F.lit(" "), x["name"])).alias("flow"),
+        flags(source, checks).alias("checks"),
+        reached.alias("outcomes"),
+        flags(source, telemetry or {}).alias("telemetry"),
+        F.array_sort(F.array_distinct(found)).alias("functions"),
+        techniques(source).alias("techniques"),
+        calls.alias("calls"),
+    )
+
+
+def rule_logic(logic: DataFrame, by: str) -> DataFrame:
+    """Each rule's scripts by kind, and the checks, outcomes and ways through them that occur, sorted.
+
+    Reads ``by`` and logic (see ``script_logic``). Names are the caller's, so what is gathered is bounded by
+    them; ways are counted and the most frequent one is kept.
+    """
+    kinds = logic.groupBy(by).agg(F.count(F.lit(1)).alias("scripts"), *(F.count_if(F.col("logic.kind") == k).alias(k) for k in ("config", "detection", "helper")))
+    names = [logic.select(by, F.explode(f"logic.{f}").alias("name")).groupBy(by).agg(F.array_sort(F.collect_set("name")).alias(f)) for f in ("checks", "outcomes")]
+    ways = logic.where(F.size("logic.flow") > 0).groupBy(by, F.array_join("logic.flow", " > ").alias("way")).agg(F.count(F.lit(1)).alias("n"))
+    usual = ways.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), "way"))["way"].alias("usual"))
+    out = kinds
+    for part in (*names, usual):
+        out = out.join(part, by, "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"checks": F.coalesce("checks", none), "outcomes": F.coalesce("outcomes", none), "usual": F.coalesce("usual", F.lit(""))})
+
+
+def resolve_rules(links: DataFrame, calls: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values that rules get by the functions their scripts call, and the names that nothing defines (M9).
+
+    ``links`` has (rule, id), ``calls`` (id, name), ``registry`` (name, field, entries). A function's entries
+    go to the list field that it is mapped to; one without a field counts as defined and gives nothing.
+    Returns (rule, field, value) and (rule, name), each row once.
+    """
+    used = links.join(calls, "id").select("rule", "name").distinct().join(registry.select("name", "field", "entries", F.lit(True).alias("known")), "name", "left")
+    values = used.where(F.col("field").isNotNull()).select("rule", "field", F.explode("entries").alias("value")).distinct()
+    return values, used.where(F.col("known").isNull()).select("rule", "name")
 
 
-def script_risk(source: Column) -> Column:
-    """The sum of pattern weights over all hits, at most 100."""
+def script_risk(source: Column, risks: Sequence[tuple[int, str]], most: int = 100) -> Column:
+    """The sum of the weights of the caller's patterns over all hits, at most ``most``."""
     total = F.lit(0)
-    for weight, pattern in RISKS:
+    for weight, pattern in risks:
         total = total + F.regexp_count(source, F.lit(pattern)) * weight
-    return F.least(total, F.lit(100)).cast("int")
+    return F.least(total, F.lit(most)).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,17 +39,21 @@ def pattern_literal(data: Column, cap: int | None = None) -> Column:
     return F.when(plain.rlike(r"\A[\x20-\x7e]+\z"), quoted).otherwise(spaced)
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy over characters, four decimals; over bytes if given ``latin(data)``.
+def entropy(data: Column) -> Column:
+    """Shannon entropy over bytes, four decimals; 0 for none, null for null. Bytes are counted in Arrow batches."""
 
-    The characters are sorted, so that each is counted as the length of its run: one pass, no explosion.
-    """
-    chars = F.array_sort(F.split(text, ""))
-    joined = F.array_join(chars, "")
-    runs = F.transform(F.regexp_extract_all(joined, F.lit(r"(?s)((.)\2*)"), 1), lambda r: F.length(r).cast("double"))
-    total = F.length(text).cast("double")
-    bits = F.aggregate(runs, F.lit(0.0), lambda acc, n: acc - n / total * F.log2(n / total))
-    return F.when(total > 0, F.round(bits, 4)).otherwise(F.lit(0.0))
+    @F.pandas_udf("double")
+    def bits(values: pd.Series) -> pd.Series:
+        def one(v: bytes | None) -> float | None:
+            if v is None:
+                return None
+            n = np.bincount(np.frombuffer(v, np.uint8))
+            p = n[n > 0] / max(1, n.sum())
+            return abs(round(float(-(p * np.log2(p)).sum()), 4))
+
+        return values.map(one, na_action="ignore").astype("float64")
+
+    return bits(data)
 
 
 # Leading bytes in hex, and what they begin.

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def catalog_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in sorted(tables.items())))
+def catalog_stats(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
+    """(table, rows, last_completed): rows of each table, and when the last of the completed runs (completed_at) ended."""
+    counts = reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in sorted(tables.items())))
+    last = runs.agg(F.max("completed_at").alias("last_completed"))
+    return counts.withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def category_counts(items: DataFrame, category: str = "category", subcategory: str = "subcategory") -> DataFrame:
@@ -42,10 +45,15 @@ def function_stats(functions: DataFrame) -> DataFrame:
 
 
 def shared_values(values: DataFrame, least: int = 2, normal: Column | None = None) -> DataFrame:
-    """Values of a field that at least ``least`` different rules list, with the rules (spellings of one rule count once)."""
+    """(field, value, guid, rules) of values that at least ``least`` different rules list.
+
+    Spellings of one value count once. Rules are counted before they are listed, and each is a row, so that
+    a value that very many rules list isn't gathered.
+    """
     normal = F.lower(F.trim(F.col("value"))) if normal is None else normal
     rows = values.select("field", normal.alias("value"), "guid").distinct()
-    return rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("rules"), F.array_sort(F.collect_list("guid")).alias("guids")).where(F.col("rules") >= least)
+    counts = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("rules")).where(F.col("rules") >= least)
+    return rows.join(counts, ["field", "value"]).select("field", "value", "guid", "rules")
 
 
 def merge_lists(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
@@ -58,10 +66,13 @@ def merge_lists(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
 def entity_fingerprints(items: DataFrame, by: str = "owner") -> DataFrame:
     """A digest of each entity's items, equal exactly if they are equal in content and order.
 
-    Every item becomes a digest first, so that what is gathered for an entity has a fixed size an item.
+    Every item, with its place, becomes a digest, whose parts of 32 bits are summed up: sums don't ask for an
+    order, so that an entity's items are never gathered. The digest is that of their number and the sums.
     """
-    row = F.sha2(F.concat_ws("|", "sig_type", "size", "ord", "category", "subcategory"), 256)
-    return items.groupBy(by).agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("fingerprint"))
+    rows = items.withColumn("digest", F.sha2(F.concat_ws("|", "sig_type", "size", "ord", "category", "subcategory"), 256))
+    parts = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"part{i}") for i in range(8)]
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_items"), *parts)
+    return sums.select(by, "n_items", F.sha2(F.concat_ws("|", "n_items", *(f"part{i}" for i in range(8))), 256).alias("fingerprint"))
 
 
 def daily_activity(changes: DataFrame, at: str = "changed_at") -> DataFrame:
@@ -97,8 +108,9 @@ def coverage_stats(rules: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def string_profile(strings: DataFrame, by: str, string: str, kind: Column) -> DataFrame:
-    """Distinct strings longer than 4 by class, for each entity."""
-    rows = strings.where(F.length(string) > 4).select(by, F.col(string).alias("string"), kind.alias("class")).distinct()
+    """Distinct strings longer than 4 by class, for each entity; strings are shuffled as two hashes of 64 bits."""
+    hashes = [F.xxhash64(F.col(string)).alias("h1"), F.xxhash64(F.lit(1), F.col(string)).alias("h2")]
+    rows = strings.where(F.length(string) > 4).select(by, kind.alias("class"), *hashes).distinct()
     return rows.groupBy(by, "class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,5 +133,7 @@ def size_statistics(items: DataFrame) -> DataFrame:
 
 
 def pattern_sources(items: DataFrame) -> DataFrame:
-    """Each distinct pattern (by hash) with the sorted entities that hold it."""
-    return items.groupBy("data_hash").agg(F.min("size").alias("size"), F.array_sort(F.collect_set("owner")).alias("owners"))
+    """(data_hash, owner, size, owners): the entities that hold each distinct pattern, a row each, and how many they are."""
+    held = items.groupBy("data_hash", "owner").agg(F.min("size").alias("size"))
+    counts = held.groupBy("data_hash").agg(F.count(F.lit(1)).alias("owners"))
+    return held.join(counts, "data_hash")

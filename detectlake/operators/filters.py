@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -22,10 +23,6 @@ def eq_filter(df: DataFrame, **wanted: str | None) -> DataFrame:
     return df
 
 
-def _literal(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
 def icontains(column: Column | str, text: str) -> Column:
     """Contains the text, in any case; wildcards in it stand for themselves."""
     return text_predicate(column, "contains", text)
@@ -36,7 +33,7 @@ def text_predicate(column: Column | str, operation: str, value: str) -> Column:
     if operation not in OPERATIONS:
         raise ValueError(f"unknown operation {operation!r}")
     column = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-    text = _literal(value)
+    text = re.sub(r"([\\%_])", r"\\\1", value)
     pattern = {"equals": text, "starts_with": f"{text}%", "ends_with": f"%{text}"}.get(operation, f"%{text}%")
     # ilike lower-cases both sides in the JVM; the pattern is a literal that the scan can see
     hit = column.ilike(pattern)
@@ -79,13 +76,13 @@ def search_entities(entities: DataFrame, items: DataFrame, filters: str | list[d
 
 
 def name_or_id(name: str, key: str, q: str) -> Column:
-    """Name contains q, or the key is q read as a decimal or 0x number below 2^63."""
-    hit = icontains(name, q)
-    try:
-        n = int(q, 16) if q.lower().startswith("0x") else int(q)
-    except ValueError:
-        return hit
-    return hit | (F.col(key) == n) if 0 <= n < 1 << 63 else hit
+    """Name contains q, or the key is q read as a decimal or 0x number; numbers that no key can hold match none."""
+    number = re.fullmatch(r"\s*(?:0[xX](?P<hex>[0-9a-fA-F]+)|\+?(?P<decimal>[0-9]+))\s*", q)
+    if not number:
+        return icontains(name, q)
+    digits, base = (number["hex"], 16) if number["hex"] else (number["decimal"], 10)
+    key_text = F.try_to_number(F.lit(digits), F.lit("9" * 38)).cast("decimal(38,0)") if base == 10 and len(digits) <= 38 else F.lit(int(digits, base) if int(digits, base) < 1 << 63 else None).cast("decimal(38,0)")
+    return icontains(name, q) | F.coalesce(F.col(key).cast("decimal(38,0)") == key_text, F.lit(False))
 
 
 def array_has(column: str, value: object) -> Column:
@@ -106,8 +103,6 @@ def tokens(*columns: str) -> Column:
 
 def token_match(columns: tuple[str, ...], q: str) -> Column:
     """All words of the query occur as whole words (no stemming), or the first column contains the query."""
-    import re
-
     words = sorted({w for w in re.split("[^a-z0-9]+", q.lower()) if w})
     every = reduce(and_, (F.array_contains(tokens(*columns), w) for w in words)) if words else F.lit(False)
     return every | icontains(columns[0], q)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 
 def store_pairs(pairs: DataFrame, kind: str) -> DataFrame:
     """Ordered pairs, one for each kind, with the best score."""
@@ -23,59 +29,145 @@ def exact_duplicates(items: DataFrame) -> DataFrame:
     return owners.join(hubs, "data_hash").where(F.col("owner") != F.col("hub")).select("data_hash", "hub", "owner")
 
 
-def family_candidates(entities: DataFrame, within: int) -> DataFrame:
-    """Pairs of one family whose keys follow each other within a distance: bounded pairs for each entity."""
-    w = Window.partitionBy("family").orderBy("signature_id")
-    ahead = F.array(*(F.lead("signature_id", i).over(w) for i in range(1, within + 1)))
-    rows = entities.select("family", F.col("signature_id").alias("a"), ahead.alias("ahead"))
-    return rows.select("family", "a", F.explode("ahead").alias("b")).where(F.col("b").isNotNull())
+def family_candidates(entities: DataFrame) -> DataFrame:
+    """(family, signature_id, candidates): every entity with as many others of its family, if there are any.
+
+    The candidates of an entity are all others of its family. They are given as membership and not as pairs,
+    of which a family has as many as the square of its size; ``set_similarity`` takes the family as part of
+    its join key and finds the similar ones.
+    """
+    sizes = entities.groupBy("family").agg((F.count(F.lit(1)) - 1).alias("candidates")).where("candidates > 0")
+    return entities.select("family", "signature_id").join(sizes, "family")
+
+
+def in_band(x: Column, y: Column) -> Column:
+    """Whether a size lies within half to twice another, in whole numbers."""
+    return y.between(F.floor(x / 2), x * 2)
 
 
-def size_band_pairs(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
-    """(a, b): rows whose sizes lie within half to twice of each other.
+def size_band_counts(items: DataFrame, key: str, size: str) -> DataFrame:
+    """(key, partners): how many other rows' sizes lie within half to twice of each row's.
 
-    Sizes go to buckets of their binary logarithm; a row of the left meets its own bucket and both
-    neighbours, so that it is an equi-join with a residual condition.
+    Counts by size are summed up once; each size then looks its band's ends up in the sums. Only distinct
+    sizes are sorted in one place, and no pairs are made.
     """
-    bucket = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1)).cast("double"))).cast("int")
-    x = left.select(F.col(key).alias("a"), F.col(size).alias("sa")).withColumn("bucket", F.explode(F.array(*(bucket("sa") + d for d in (-1, 0, 1)))))
-    y = right.select(F.col(key).alias("b"), F.col(size).alias("sb")).withColumn("bucket", bucket("sb"))
-    return x.join(y, "bucket").where((F.col("a") != F.col("b")) & F.col("sb").between(F.floor(F.col("sa") / 2), F.col("sa") * 2)).select("a", "b")
+    counts = items.groupBy(F.col(size).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    # a size's own count stands at it; its band's ends are asked for just below half and at twice
+    asked = counts.select("s", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit("own").alias("what"), "n"), F.struct((F.floor(F.col("s") / 2) - 1).alias("at"), F.lit("below").alias("what"), F.lit(0).cast("long").alias("n")), F.struct((F.col("s") * 2).alias("at"), F.lit("upto").alias("what"), F.lit(0).cast("long").alias("n")))).alias("x"))
+    upto = F.sum("x.n").over(Window.orderBy("x.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    band = asked.withColumn("sum", upto).groupBy("s").agg((F.max(F.when(F.col("x.what") == "upto", F.col("sum"))) - F.coalesce(F.max(F.when(F.col("x.what") == "below", F.col("sum"))), F.lit(0)) - 1).alias("partners"))
+    return items.select(key, F.col(size).cast("long").alias("s")).join(band, "s").select(key, "partners")
 
 
-def set_similarity(sets: DataFrame, key: str, value: str, least: float) -> DataFrame:
+def shared_between(values: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b, n): how many values each pair of rules shares, for pairs that share any.
+
+    The rules of a value go to blocks of about ``block``, and pairs of blocks meet apart, so that a value
+    that very many rules list is shared out over as many tasks. Counts are summed before they are shuffled.
+    """
+    rows = values.select("field", "value", "guid").distinct()
+    sizes = rows.groupBy("field", "value").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).select("field", "value", "blocks")
+    dealt = rows.join(sizes, ["field", "value"]).withColumn("own", F.pmod(F.xxhash64("guid"), "blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    x = dealt.select("field", "value", F.col("guid").alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"))
+    y = dealt.select("field", "value", F.col("guid").alias("b"), F.col("own").alias("j"), F.explode(every).alias("i"))
+    return x.join(y, ["field", "value", "i", "j"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def set_similarity(sets: DataFrame, key: str, value: str, least: float, within: str | None = None) -> DataFrame:
     """Pairs (a, b, score) of keys whose value sets have a Jaccard similarity of at least ``least``.
 
     An exact prefix join: values are ordered by rarity, and each key posts only as many of its rarest as two
-    similar sets can differ in, plus one; very common values therefore are hardly ever posted. Candidates
-    are confirmed on whole sets.
+    similar sets can differ in, plus one; very common values therefore are hardly ever posted. A shared value
+    must leave enough behind it in both lists. Candidates are confirmed on whole sets. With ``within``, a
+    column that each key has one value of, only keys that agree in it meet.
     """
-    rows = sets.select(F.col(key).alias("key"), F.xxhash64(value).alias("v")).distinct()
+    group = F.lit(0) if within is None else F.col(within)
+    rows = sets.select(F.col(key).alias("key"), group.alias("group"), F.xxhash64(value, group).alias("v")).distinct()
     df = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     listed = rows.join(df, "v").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    listed = listed.select("key", F.transform("vs", lambda x: x["v"]).alias("vs"), F.size("vs").alias("n"))
+    listed = materialise(listed.select("key", F.transform("vs", lambda x: x["v"]).alias("vs"), F.size("vs").alias("n")), "listed")
     prefix = F.slice("vs", 1, F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)
-    posted = listed.select("key", "n", F.explode(prefix).alias("v"))
+    posted = listed.select("key", "n", F.posexplode(prefix).alias("at", "v"))
     x, y = posted.alias("x"), posted.alias("y")
     sized = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least
-    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.key") < F.col("y.key")) & sized).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = left * (1 + least) >= (F.col("x.n") + F.col("y.n")) * least - 1e-6
+    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.key") < F.col("y.key")) & sized & enough).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     sides = [listed.select(F.col("key").alias(k), F.col("vs").alias(f"v{k}")) for k in "ab"]
     scored = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("both", F.size(F.array_intersect("va", "vb")))
     score = F.col("both") / (F.size("va") + F.size("vb") - F.col("both"))
-    return scored.select("a", "b", F.round(score, 4).alias("score")).where(F.col("score") >= least)
+    return scored.where(score >= least).select("a", "b", F.round(score, 4).alias("score"))
+
+
+def byte_grams(rows: DataFrame, key: str, data: str, positions: bool, width: int = 8) -> DataFrame:
+    """(key, n, g) of the substrings of 8 bytes, as longs: with their position ``at``, or each once."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.empty(0, np.uint8)
+                if len(whole) < width:
+                    continue
+                grams = np.lib.stride_tricks.sliding_window_view(whole, width)
+                for start in range(0, len(grams), 1 << 20):
+                    g = np.ascontiguousarray(grams[start : start + (1 << 20)]).view(np.int64)[:, 0]
+                    at = np.arange(start, start + len(g))
+                    if not positions:
+                        g = np.unique(g)
+                        at = np.zeros(len(g), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k)), pa.array(np.full(len(g), len(whole))), pa.array(at), pa.array(g)], ["key", "n", "at", "g"])
 
-def byte_overlap(left: DataFrame, right: DataFrame, key: str, text: str, width: int = 8) -> DataFrame:
-    """(a, b, covered): how many characters of a's text lie in substrings of ``width`` shared with b's.
+    return rows.select(F.col(key).cast("long"), data).mapInArrow(cut, "key long, n long, at long, g long")
 
-    Grams of the left side carry their positions and those of the right are distinct; every position that a
-    shared gram covers counts once.
+
+def byte_overlap(left: DataFrame, right: DataFrame, key: str, data: str, band: bool = True) -> DataFrame:
+    """(a, b, covered, share): how many bytes of a's data lie in substrings of 8 bytes shared with b's.
+
+    ``share`` is of the shorter item. ``left`` is a set of items to look for, ``right`` all items; with
+    ``band``, only items of half to twice the size meet. Grams of the right that the left doesn't have go
+    before anything is shuffled on them if the left's are few, which Spark decides by their size. Positions
+    that several grams cover count once.
+    """
+    x = byte_grams(left, key, data, True)
+    y = byte_grams(right, key, data, False).join(x.select("g").distinct(), "g", "left_semi").distinct()
+    fits = in_band(F.col("x.n"), F.col("y.n")) if band else F.lit(True)
+    hits = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & fits)
+    hits = hits.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.least("x.n", "y.n").alias("shorter"), F.col("x.at").alias("at")).distinct()
+    ahead = F.lead("at").over(Window.partitionBy("a", "b").orderBy("at"))
+    new = hits.withColumn("new", F.least(F.lit(8), F.coalesce(ahead - F.col("at"), F.lit(8))))
+    covered = new.groupBy("a", "b", "shorter").agg(F.sum("new").alias("covered"))
+    return covered.select("a", "b", "covered", F.least(F.lit(1.0), F.col("covered") / F.col("shorter")).alias("share"))
+
+
+def hash_tier(items: DataFrame, key: str, digest: str) -> DataFrame:
+    """Equal items as pairs with the first of them, score 1: a group of n gives n - 1 pairs, not all."""
+    hubs = items.groupBy(digest).agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(digest, "a")
+    return items.join(hubs, digest).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("score"), F.lit("hash").alias("kind"))
+
+
+def related_entities(items: DataFrame, strings: DataFrame, asked: DataFrame, k: int, least: float = 0.3) -> DataFrame:
+    """The k best partners of each entity in three tiers; a pair counts in the first tier that finds it (M3).
+
+    ``items`` has id, family, data and data_hash, ``strings`` (id, family, string). Tiers: equal data (score
+    1); a Jaccard similarity of at least ``least`` of the string sets in one family; for the items ``asked``
+    for, against all, the mean of byte overlap and string similarity within the size band, from ``least`` up.
+    Rows with null data take part by their strings only.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.substr(F.col(c), i, F.lit(width))).alias("g")))
-    x = left.where(F.length(text) >= width).select(F.col(key).alias("a"), F.explode(grams(text)).alias("x")).select("a", "x.at", "x.g")
-    y = right.where(F.length(text) >= width).select(F.col(key).alias("b"), F.explode(F.array_distinct(F.transform(grams(text), lambda t: t["g"]))).alias("g"))
-    hits = y.join(x, "g").select("a", "b", F.explode(F.sequence("at", F.col("at") + width - 1)).alias("at")).distinct()
-    return hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("covered"))
+    first = hash_tier(items.where(F.col("data_hash").isNotNull()), "id", "data_hash")
+    second = set_similarity(strings, "id", "string", least, "family").select("a", "b", "score", F.lit("strings").alias("kind"))
+    overlap = materialise(byte_overlap(asked, items, "id", "data").where("a <> b"), "overlap")
+    # only overlaps that can reach the bound need their strings compared
+    near = overlap.where((F.col("share") + 1) / 2 >= least).select("a", "b", "share")
+    own = strings.select("id", "string").distinct()
+    sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = near.join(own.withColumnRenamed("id", "a"), "a").join(own.withColumnRenamed("id", "b"), ["b", "string"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    scored = near.join(both, ["a", "b"], "left").join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b", "left")
+    n = F.coalesce("both", F.lit(0))
+    either = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - n
+    score = (F.col("share") + F.when(either > 0, n / either).otherwise(0.0)) / 2
+    third = scored.select("a", "b", F.round(score, 4).alias("score"), F.lit("bytes").alias("kind")).where(F.col("score") >= least)
+    return related([first, second, third], k)
 
 
 def related(tiers: list[DataFrame], k: int) -> DataFrame:

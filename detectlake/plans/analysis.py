@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
 from ..operators import aggregates, delta, similarity, windows
 from ..sources import readers, sinks
-from ..streaming import jobs
 from .bind import Catalog, over
 from .registry import query
 
 
-@query("a1_catalog_stats", "SELECT 'changes' AS \"table\", count(*) AS rows FROM events UNION ALL SELECT 'entities', count(*) FROM part UNION ALL SELECT 'items', count(*) FROM lineitem UNION ALL SELECT 'scripts', count(*) FROM pages")
+@query("a1_catalog_stats", "SELECT t.*, (SELECT CAST(max(o_orderdate) AS VARCHAR) FROM orders WHERE o_orderstatus = 'F') AS last_completed FROM (SELECT 'changes' AS \"table\", count(*) AS rows FROM events UNION ALL SELECT 'entities', count(*) FROM part UNION ALL SELECT 'items', count(*) FROM lineitem UNION ALL SELECT 'scripts', count(*) FROM pages) t")
 def a1(c: Catalog) -> DataFrame:
-    return aggregates.catalog_stats({"entities": c.entity, "items": c.item, "scripts": c.script, "changes": c.change})
+    runs = c.read("orders").where("o_orderstatus = 'F'").select(F.col("o_orderdate").alias("completed_at"))
+    stats = aggregates.catalog_stats({"entities": c.entity, "items": c.item, "scripts": c.script, "changes": c.change}, runs)
+    return stats.withColumn("last_completed", F.date_format("last_completed", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("a2_category_counts", over("item", sql="SELECT category, subcategory, count(*) AS n, CAST(grouping(category, subcategory) AS INTEGER) AS level FROM item GROUP BY ROLLUP (category, subcategory)"))
@@ -34,9 +35,9 @@ def a3(c: Catalog) -> DataFrame:
     return aggregates.type_counts(c.item.withColumn("sig_type_name", F.nullif("sig_type_name", F.lit("NO"))))
 
 
-@query("a4_guid_counts", "SELECT CAST(s_suppkey AS VARCHAR) AS guid, count(o) AS scripts FROM supplier LEFT JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey FROM lineitem WHERE l_suppkey > 10 AND l_orderkey < 5000) ON l_suppkey = s_suppkey GROUP BY 1")
+@query("a4_guid_counts", "SELECT CAST(s_suppkey AS VARCHAR) AS guid, count(o) AS scripts FROM supplier LEFT JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey FROM lineitem) ON l_suppkey = s_suppkey GROUP BY 1")
 def a4(c: Catalog) -> DataFrame:
-    rows = c.read("lineitem").where("l_suppkey > 10 AND l_orderkey < 5000").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("guids"))
+    rows = c.read("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("guids"))
     return aggregates.guid_counts(rows, c.read("supplier").select(F.col("s_suppkey").cast("string").alias("guid")))
 
 
@@ -51,9 +52,9 @@ def a6(c: Catalog) -> DataFrame:
     return aggregates.function_stats(rows).withColumn("names", F.array_join("names", ","))
 
 
-@query("a7_shared_values", over("rule_value", sql="SELECT field, value, count(DISTINCT guid) AS rules, array_to_string(list_sort(list_distinct(list(guid))), ',') AS guids FROM rule_value GROUP BY ALL HAVING count(DISTINCT guid) >= 60"))
+@query("a7_shared_values", over("rule_value", sql=", n AS (SELECT field, value, count(DISTINCT guid) AS rules FROM rule_value GROUP BY ALL HAVING count(DISTINCT guid) >= 2) SELECT field, value, guid, rules FROM rule_value JOIN n USING (field, value)"))
 def a7(c: Catalog) -> DataFrame:
-    return aggregates.shared_values(c.rule_value, 60).withColumn("guids", F.array_join("guids", ","))
+    return aggregates.shared_values(c.rule_value, 2)
 
 
 @query("a8_merge_lists", over("rule_value", sql="SELECT guid, coalesce(array_to_string(list_sort(list_distinct(list(value) FILTER (field = 'PROMO'))), ','), '') AS promo, coalesce(array_to_string(list_sort(list_distinct(list(value) FILTER (field = 'LARGE'))), ','), '') AS large FROM rule_value GROUP BY 1"))
@@ -63,7 +64,7 @@ def a8(c: Catalog) -> DataFrame:
     return merged.select("guid", *(F.array_join(k, ",").alias(k) for k in ("promo", "large")))
 
 
-@query("a9_entity_fingerprints", over("item", sql="SELECT owner, count(*) AS n_items, sha256(string_agg(d, '' ORDER BY d)) AS fingerprint FROM (SELECT owner, sha256(concat_ws('|', sig_type, size, ord, category, subcategory)) AS d FROM item) GROUP BY 1"))
+@query("a9_entity_fingerprints", over("item", sql="SELECT owner, count(*) AS n_items, sha256(concat_ws('|', count(*), " + ", ".join(f"CAST(sum(CAST('0x' || substring(d, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(8)) + ")) AS fingerprint FROM (SELECT owner, sha256(concat_ws('|', sig_type, size, ord, category, subcategory)) AS d FROM item) GROUP BY 1"))
 def a9(c: Catalog) -> DataFrame:
     return aggregates.entity_fingerprints(c.item)
 
@@ -80,22 +81,18 @@ def a11(c: Catalog) -> DataFrame:
     return delta.run_totals(delta.snapshot_delta(c.snapshot_old, c.snapshot_new, "key", ["status", "price"]))
 
 
-DAYS = """, d AS (SELECT CAST(changed_at AS DATE) AS day, count(*) AS n FROM change WHERE entity_type = 'error' AND extract(day FROM changed_at) % 5 <> 0 GROUP BY 1),
+DAYS = """, d AS (SELECT CAST(changed_at AS DATE) AS day, count(*) AS n FROM change GROUP BY 1),
     s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day), z AS (SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (day))"""
 
 
-def some_days(c: Catalog) -> DataFrame:
-    return aggregates.daily_activity(c.change.where("entity_type = 'error' AND day(changed_at) % 5 <> 0"))
-
-
 @query("a12_daily_activity", over("change", sql=DAYS + " SELECT CAST(day AS VARCHAR) AS day, n FROM z"))
 def a12(c: Catalog) -> DataFrame:
-    return some_days(c).select(F.col("day").cast("string").alias("day"), "n")
+    return aggregates.daily_activity(c.change).select(F.col("day").cast("string").alias("day"), "n")
 
 
 @query("a13_heat_levels", over("change", sql=DAYS + ", m AS (SELECT strftime(day, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS total, max(n) AS busiest FROM z GROUP BY 1) SELECT month, total, busiest, CAST(ceil(total * 4 / (SELECT max(total) FROM m)) AS INTEGER) AS level FROM m"))
 def a13(c: Catalog) -> DataFrame:
-    return aggregates.heat_levels(some_days(c))
+    return aggregates.heat_levels(aggregates.daily_activity(c.change))
 
 
 @query("a14_group_signatures", over("item", sql="""
@@ -150,9 +147,9 @@ def a22(c: Catalog) -> DataFrame:
     return aggregates.size_statistics(c.item)
 
 
-@query("a24_pattern_sources", over("payload", sql="SELECT data_hash, min(size) AS size, array_to_string(list_sort(list_distinct(list(owner))), ',') AS owners FROM payload GROUP BY 1"))
+@query("a24_pattern_sources", over("payload", sql="SELECT data_hash, owner, min(size) AS size, count(*) OVER (PARTITION BY data_hash) AS owners FROM payload GROUP BY data_hash, owner"))
 def a24(c: Catalog) -> DataFrame:
-    return aggregates.pattern_sources(c.payload).withColumn("owners", F.array_join("owners", ","))
+    return aggregates.pattern_sources(c.payload)
 
 
 @query("c1_printable_runs", over("payload", sql="SELECT id, array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{5,}'), '|') AS runs FROM payload"))
@@ -187,7 +184,7 @@ def paths(c: Catalog) -> DataFrame:
 @query("c4_path_risk", over("script", sql=PATHS + r""" SELECT id, path, CASE WHEN contains(path, '\temp\') THEN 'critical' WHEN contains(path, '\users\') THEN 'high' WHEN contains(path, '\windows\') OR contains(path, '\program files') THEN 'medium' ELSE 'low' END AS level,
     CASE id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS reasons, CASE id % 6 WHEN 0 THEN 'wildcard_exe' WHEN 1 THEN 'temp_folder' ELSE '' END AS scenarios FROM v"""))
 def c4(c: Catalog) -> DataFrame:
-    rated = paths(c).withColumn("r", risk.path_risk(F.col("path")))
+    rated = paths(c).withColumn("r", risk.path_risk(F.col("path"), (("temp_folder", r"\\te?mp\\", "T1059"), ("wildcard_exe", r"\*\.(exe|dll|scr)", "T1059"))))
     return rated.select("id", "path", "r.level", F.size("r.reasons").alias("reasons"), F.array_join(F.transform("r.scenarios", lambda s: s["name"]), ",").alias("scenarios"))
 
 
@@ -197,13 +194,21 @@ def c5(c: Catalog) -> DataFrame:
     return c.read("supplier").select(F.col("s_suppkey").alias("id"), risk.process_risk(names).alias("r")).select("id", "r.level", F.array_join("r.hits", ",").alias("hits"))
 
 
-@query("c6_type_category", over("item", sql="SELECT kind, category, coalesce(subcategory, '') AS subcategory, count(*) AS n FROM item_kinds GROUP BY ALL").replace("SELECT kind", ", item_kinds AS (SELECT k AS kind, CASE k WHEN 'SIGNATURE_TYPE_PEHSTR_EXT' THEN 'PE/StringPatterns' WHEN 'REGKEY' THEN 'Persistence/Registry' WHEN 'THREATHASH_MD5' THEN 'Hash/Threat' WHEN 'NEWHSTR' THEN 'Other/Strings' WHEN 'FOOHASH' THEN 'Hash/Other' WHEN 'FILEPATH' THEN 'Persistence/FilePath' ELSE 'Unknown' END AS category, CASE k WHEN 'REGKEY' THEN 'Run' WHEN 'THREATHASH_MD5' THEN 'MD5' WHEN 'FILEPATH' THEN 'Temp' END AS subcategory FROM (SELECT CASE sig_type WHEN 1 THEN 'SIGNATURE_TYPE_PEHSTR_EXT' WHEN 2 THEN 'REGKEY' WHEN 3 THEN 'THREATHASH_MD5' WHEN 4 THEN 'NEWHSTR' WHEN 5 THEN 'FOOHASH' WHEN 6 THEN 'FILEPATH' ELSE 'OTHER' END AS k FROM item)) SELECT kind", 1))
+#: A caller's dictionaries: sources as types, and what refines them in whole texts.
+TYPES = {"src0": ("Web/Page", None), "src1": ("Web/Page", None), "src2": ("Mail/Text", "Inbox"), "src3": ("Code/License", None)}
+PARTS = {"Web/Page": ((r"licensed under", "License"), (r"[\w.]+@[\w.]+", "Contact")), "Code/License": ((r"apache", "Apache"), (r"gnu", "GNU"))}
+
+
+@query("c6_type_category", over("payload", sql=r"""
+    , k AS (SELECT id, CASE WHEN sig_type_name IN ('src4', 'src5') THEN sig_type_name || 'HSTR' WHEN sig_type_name = 'src6' THEN 'SCRIPTS' WHEN sig_type_name = 'src7' THEN '' WHEN sig_type_name = 'src1' THEN 'SIGNATURE_TYPE_src1' ELSE sig_type_name END AS t, text FROM payload)
+    SELECT id, CASE WHEN t IN ('src0', 'SIGNATURE_TYPE_src1') THEN 'Web/Page' WHEN t = 'src2' THEN 'Mail/Text' WHEN t = 'src3' THEN 'Code/License' WHEN contains(t, 'HSTR') THEN 'Other/Strings' WHEN contains(t, 'SCRIPT') THEN 'Script/Other' ELSE 'Unknown' END AS category,
+      coalesce(CASE WHEN t IN ('src0', 'SIGNATURE_TYPE_src1') THEN CASE WHEN regexp_matches(text, 'licensed under', 'i') THEN 'License' WHEN regexp_matches(text, '[\w.]+@[\w.]+') THEN 'Contact' END
+        WHEN t = 'src2' THEN 'Inbox' WHEN t = 'src3' THEN CASE WHEN regexp_matches(text, 'apache', 'i') THEN 'Apache' WHEN regexp_matches(text, 'gnu', 'i') THEN 'GNU' END END, '') AS subcategory FROM k"""))
 def c6(c: Catalog) -> DataFrame:
-    kinds = ("SIGNATURE_TYPE_PEHSTR_EXT", "REGKEY", "THREATHASH_MD5", "NEWHSTR", "FOOHASH", "FILEPATH", "OTHER")
-    kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), F.col("sig_type"))
-    content = F.when(kind == "REGKEY", "Software\\Microsoft\\Windows\\CurrentVersion\\Run\\x").when(kind == "FILEPATH", "c:\\temp\\a.bin")
-    rows = c.item.select(kind.alias("kind"), classify.type_category(kind, content).alias("x"))
-    return rows.groupBy("kind", "x.category", F.coalesce("x.subcategory", F.lit("")).alias("subcategory")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.col("sig_type_name")
+    kind = F.when(name.isin("src4", "src5"), F.concat(name, F.lit("HSTR"))).when(name == "src6", "SCRIPTS").when(name == "src7", "").when(name == "src1", "SIGNATURE_TYPE_src1").otherwise(name)
+    rows = c.payload.select("id", classify.type_category(kind, F.col("text"), TYPES, PARTS).alias("x"))
+    return rows.select("id", "x.category", F.coalesce("x.subcategory", F.lit("")).alias("subcategory"))
 
 
 @query("c7_names", "SELECT p_partkey AS id, full_name AS fixed, CASE WHEN contains(full_name, ':') THEN string_split(full_name, ':')[1] ELSE full_name END AS category, CASE WHEN contains(full_name, ':') THEN string_split(substring(full_name, length(string_split(full_name, ':')[1]) + 2), '/')[1] ELSE 'Unknown' END AS family FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Trojan:' || replace(p_brand, '#', '') || '/' || p_name WHEN 1 THEN 'Backdoor:' || replace(p_brand, '#', '') || '/' || p_name WHEN 2 THEN p_name ELSE 'UA:x:' || p_type END AS full_name FROM part) ORDER BY 1".replace("'UA:x:'", "'PUA:x:'"))
@@ -226,18 +231,18 @@ def c9(c: Catalog) -> DataFrame:
     return c.entity.select("signature_id", naming.rule_identifier(F.col("threat_name")).alias("rule"))
 
 
-@query("c10_pattern_literal", over("payload", sql="SELECT id, CASE WHEN regexp_full_match(substring(text, 1, 12), '[\\x20-\\x7e]+') THEN '\"' || replace(replace(substring(text, 1, 12), '\\', '\\\\'), '\"', '\\\"') || '\"' ELSE '{ ' || trim(regexp_replace(hex(encode(substring(text, 1, 12))), '(..)', '\\1 ', 'g')) || ' }' END AS literal FROM payload"))
+@query("c10_pattern_literal", over("payload", sql="SELECT id, CASE WHEN regexp_full_match(text, '[\\x20-\\x7e]+') THEN '\"' || replace(replace(text, '\\', '\\\\'), '\"', '\\\"') || '\"' ELSE '{ ' || trim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')) || ' }' END AS literal FROM payload"))
 def c10(c: Catalog) -> DataFrame:
-    return c.payload.select("id", text.pattern_literal(F.encode(F.substring("text", 1, 12), "UTF-8")).alias("literal"))
+    return c.payload.select("id", text.pattern_literal(F.col("data")).alias("literal"))
 
 
 @query("c11_rule_text", over("entity", "item", sql="""
-    , t AS (SELECT owner, size, row_number() OVER (PARTITION BY owner ORDER BY ord) - 1 AS i FROM item WHERE owner < 200), k AS (SELECT * FROM t WHERE i < 3)
+    , t AS (SELECT owner, size, row_number() OVER (PARTITION BY owner ORDER BY ord) - 1 AS i FROM item), k AS (SELECT * FROM t WHERE i < 3)
     SELECT signature_id, 'rule ' || regexp_replace(threat_name, '[^A-Za-z0-9_]', '_', 'g') || ' { strings: ' || string_agg('$s' || CAST(i AS VARCHAR) || ' = "' || CAST(size AS VARCHAR) || '"', ' ' ORDER BY i) || ' condition: any of them }' AS rule_text
     FROM entity JOIN k ON owner = signature_id GROUP BY signature_id, threat_name"""))
 def c11(c: Catalog) -> DataFrame:
     """Rules from the first patterns of each entity."""
-    first = windows.top_n_per_group(c.item.where("owner < 200"), "owner", [F.asc("ord")], 3)
+    first = windows.top_n_per_group(c.item, "owner", [F.asc("ord")], 3)
     line = F.concat(F.lit("$s"), (F.col("rank") - 1).cast("string"), F.lit(" = "), text.pattern_literal(F.encode(F.col("size").cast("string"), "UTF-8")))
     lines = first.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
     named = c.entity.join(lines, F.col("owner") == F.col("signature_id"))
@@ -250,9 +255,9 @@ def c13(c: Catalog) -> DataFrame:
     return c.payload.select("id", F.array_join(records.hash_list(packed, F.lit("SHA256")), ",").alias("digests"))
 
 
-@query("c14_entropy", over("payload", sql=", h AS (SELECT id, text, unnest(string_split(text, '')) AS ch FROM payload), n AS (SELECT id, ch, count(*) AS k, length(any_value(text)) AS total FROM h GROUP BY ALL) SELECT id, abs(round(-sum(k / total * log2(k / total)), 4)) AS entropy FROM n GROUP BY 1"))
+@query("c14_entropy", over("payload", sql=", h AS (SELECT id, strlen(text) AS total, hex(encode(text)) AS x, unnest(range(0, strlen(text))) AS i FROM payload), n AS (SELECT id, substring(x, 2 * i + 1, 2) AS b, count(*) AS k, any_value(total) AS total FROM h GROUP BY ALL) SELECT id, abs(round(-sum(k / total * log2(k / total)), 4)) AS entropy FROM n GROUP BY 1"))
 def c14(c: Catalog) -> DataFrame:
-    return c.payload.select("id", F.abs(text.entropy(F.col("text"))).alias("entropy"))
+    return c.payload.select("id", text.entropy(F.col("data")).alias("entropy"))
 
 
 @query("c15_magic", over("script", sql="SELECT id, CASE WHEN starts_with(source, '<!DOCTYPE') THEN 'HTML/XML Document' ELSE '' END AS magic FROM script"))
@@ -260,9 +265,9 @@ def c15(c: Catalog) -> DataFrame:
     return c.script.select("id", F.array_join(text.magic(F.encode("source", "UTF-8")), ",").alias("magic"))
 
 
-@query("c16_pattern_hits", over("script", sql=", p AS (SELECT id, source, unnest(range(0, length(source))) AS o FROM script WHERE id < 40) SELECT id, '</p>' AS term, CAST(o AS INTEGER) AS \"offset\" FROM p WHERE substring(source, o + 1, 4) = '</p>' UNION ALL SELECT id, 'enen', CAST(o AS INTEGER) FROM p WHERE substring(source, o + 1, 4) = 'enen'"))
+@query("c16_pattern_hits", over("script", sql=", p AS (SELECT id, source, unnest(range(0, length(source))) AS o FROM script) SELECT id, '</p>' AS term, CAST(o AS INTEGER) AS \"offset\" FROM p WHERE substring(source, o + 1, 4) = '</p>' UNION ALL SELECT id, 'enen', CAST(o AS INTEGER) FROM p WHERE substring(source, o + 1, 4) = 'enen'"))
 def c16(c: Catalog) -> DataFrame:
-    return c.script.where("id < 40").select("id", F.explode(text.pattern_hits(F.col("source"), ("</p>", "enen"))).alias("x")).select("id", "x.term", "x.offset")
+    return c.script.select("id", F.explode(text.pattern_hits(F.col("source"), ("</p>", "enen"))).alias("x")).select("id", "x.term", "x.offset")
 
 
 @query("c18_string_class", over("payload", sql=f", w AS (SELECT id, unnest(list_distinct(string_split(text, ' '))) AS s FROM payload) SELECT {CLASSES} AS class, count(*) AS n FROM w GROUP BY 1"))
@@ -277,9 +282,16 @@ def c20(c: Catalog) -> DataFrame:
     return c.entity.select("signature_id", text.hex_dump(F.encode("threat_name", "UTF-8")).alias("dump"))
 
 
-@query("c21_jaccard", "SELECT doc_id, round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 6) AS score FROM (SELECT doc_id, list_distinct(string_split(substring(text, 1, 300), ' ')) AS w, list_distinct(string_split(substring(text, 301, 300), ' ')) AS v FROM documents)")
+def halves(whole: Column) -> tuple[Column, Column]:
+    """The words of a text's first half and of its second."""
+    words = F.split(whole, " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    return F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
+
+
+@query("c21_jaccard", "SELECT doc_id, round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 6) AS score FROM (SELECT doc_id, list_distinct(w[1:len(w) // 2]) AS w, list_distinct(w[len(w) // 2 + 1:]) AS v FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def c21(c: Catalog) -> DataFrame:
-    w, v = (F.array_distinct(F.split(F.substring("text", at, 300), " ")) for at in (1, 301))
+    w, v = halves(F.col("text"))
     return c.read("documents").select("doc_id", F.round(text.jaccard(w, v), 6).alias("score"))
 
 
@@ -295,15 +307,35 @@ def c25(c: Catalog) -> DataFrame:
     return c.read("conversations").select("conv_id", "turn", F.array_join(linked, ",").alias("guids"))
 
 
-@query("c26_script_logic", over("script", sql="SELECT id, 'helper' AS kind, CASE WHEN regexp_matches(source, 'https?://|socket') THEN 'network' ELSE '' END AS checks FROM script"))
+#: A caller's patterns over whole texts, and the SQL of where each first occurs.
+CHECKS = {"mail": "@", "licence": "icensed under", "version": "ersion"}
+OUTCOMES = {"secret": "token =", "card": "[0-9]{16}"}
+LOGIC = """l AS (SELECT doc_id AS id, source AS rule, text, strpos(text, '@') AS mail, strpos(text, 'icensed under') AS licence, strpos(text, 'ersion') AS version, strpos(text, 'token =') AS secret,
+      CASE WHEN regexp_matches(text, '[0-9]{16}') THEN length(regexp_extract(text, '(?s)^(.*?)[0-9]{16}', 1)) + 1 ELSE 0 END AS card FROM documents),
+    f AS (SELECT *, list_sort(list_filter([{'at': mail, 'what': 'check', 'name': 'mail'}, {'at': licence, 'what': 'check', 'name': 'licence'}, {'at': version, 'what': 'check', 'name': 'version'}, {'at': secret, 'what': 'outcome', 'name': 'secret'}, {'at': card, 'what': 'outcome', 'name': 'card'}], lambda x: x['at'] > 0)) AS steps,
+      CASE WHEN contains(text, 'GNU') THEN 'config' WHEN secret + card > 0 THEN 'detection' ELSE 'helper' END AS kind FROM l)"""
+
+
+def logic(c: Catalog) -> DataFrame:
+    return c.read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("rule"), scripts.script_logic(F.col("text"), CHECKS, OUTCOMES, "GNU", {"licence": "CC BY"}).alias("logic"))
+
+
+@query("c26_script_logic", "WITH " + LOGIC + """ SELECT id, kind, coalesce(list_filter(steps, lambda x: x['what'] = 'check')[1]['name'], '') AS "trigger", array_to_string(list_transform(steps, lambda x: x['what'] || ' ' || x['name']), ' > ') AS flow, CASE WHEN contains(text, 'CC BY') THEN 'licence' ELSE '' END AS telemetry FROM f""")
 def c26(c: Catalog) -> DataFrame:
-    return c.script.select("id", scripts.script_logic(F.col("source")).alias("x")).select("id", "x.kind", F.array_join("x.checks", ",").alias("checks"))
+    return logic(c).select("id", "logic.kind", F.coalesce("logic.trigger", F.lit("")).alias("trigger"), F.array_join("logic.flow", " > ").alias("flow"), F.array_join("logic.telemetry", ",").alias("telemetry"))
 
 
-@query("c27_script_risk", over("script", sql="SELECT id, CAST(least(100, 10 * len(regexp_extract_all(s, 'debug\\.\\w+')) + 30 * len(regexp_extract_all(s, 'loadstring'))) AS INTEGER) AS risk FROM (SELECT id, repeat('debug.x ', id % 4) || repeat('loadstring ', id % 3) || source AS s FROM script)"))
+@query("m10_rule_logic", "WITH " + LOGIC + """, w AS (SELECT rule, array_to_string(list_transform(steps, lambda x: x['what'] || ' ' || x['name']), ' > ') AS way, count(*) AS n FROM f WHERE len(steps) > 0 GROUP BY ALL),
+    k AS (SELECT rule, count(*) AS scripts, count(*) FILTER (kind = 'config') AS config, count(*) FILTER (kind = 'detection') AS detection, count(*) FILTER (kind = 'helper') AS helper,
+      concat_ws(',', CASE WHEN max(licence) > 0 THEN 'licence' END, CASE WHEN max(mail) > 0 THEN 'mail' END, CASE WHEN max(version) > 0 THEN 'version' END) AS checks, concat_ws(',', CASE WHEN max(card) > 0 THEN 'card' END, CASE WHEN max(secret) > 0 THEN 'secret' END) AS outcomes FROM f GROUP BY 1)
+    SELECT k.*, coalesce((SELECT way FROM w WHERE w.rule = k.rule ORDER BY n DESC, way LIMIT 1), '') AS usual FROM k""")
+def m10(c: Catalog) -> DataFrame:
+    return scripts.rule_logic(logic(c), "rule").withColumns({k: F.array_join(k, ",") for k in ("checks", "outcomes")})
+
+
+@query("c27_script_risk", over("script", sql="SELECT id, CAST(least(100, 10 * len(regexp_extract_all(source, 'class=')) + 30 * len(regexp_extract_all(source, 'track[(]\\d*[)]')) + 5 * len(regexp_extract_all(source, '[0-9]{16}'))) AS INTEGER) AS risk FROM script"))
 def c27(c: Catalog) -> DataFrame:
-    source = F.concat(F.expr("repeat('debug.x ', cast(id % 4 as int))"), F.expr("repeat('loadstring ', cast(id % 3 as int))"), "source")
-    return c.script.select("id", scripts.script_risk(source).alias("risk"))
+    return c.script.select("id", scripts.script_risk(F.col("source"), ((10, "class="), (30, r"track[(]\d*[)]"), (5, "[0-9]{16}"))).alias("risk"))
 
 
 @query("c28_field_diff", over("snapshot_old", "snapshot_new", sql="SELECT key, 'status: ' || o.status || ' -> ' || n.status AS summary FROM snapshot_old o JOIN snapshot_new n USING (key) WHERE o.status <> n.status"))
@@ -312,11 +344,23 @@ def c28(c: Catalog) -> DataFrame:
     return changed.select("key", delta.field_diff("before", "after", ["status", "price"])["summary"].alias("summary"))
 
 
-@query("c31_infer_names", "SELECT f, CASE WHEN f LIKE 'IsRmm%' THEN 'rmm_tool' WHEN f LIKE '%Path%' THEN 'path' ELSE 'process' END AS category, CASE f WHEN 'IsRmmToolFilePath' THEN 'rmm_file_paths' WHEN 'GetPathExclusions' THEN 'exclusion_paths' ELSE 'process_names' END AS field, CASE f WHEN 'IsRmmToolFilePath' THEN 'rmm_tool_file_path' WHEN 'GetPathExclusions' THEN 'path_exclusions' ELSE 'known_process' END AS snake, n FROM (SELECT ['IsRmmToolFilePath', 'GetPathExclusions', 'IsKnownProcess'][1 + o_orderkey % 3] AS f, count(*) AS n FROM orders GROUP BY 1)")
+#: Function names made of each part's name, type and size.
+NAMES = """n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Is' ELSE 'Get' END || CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 'RmmTool' ELSE '' END || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || CASE WHEN p_size < 8 THEN 'FilePath' WHEN p_size < 16 THEN 'Exclusions' WHEN p_size < 24 THEN 'SuspiciousExt' WHEN p_size < 32 THEN 'Process' WHEN p_size < 40 THEN 'Driver' ELSE '' END AS f FROM part)"""
+
+
+def function_names(c: Catalog) -> DataFrame:
+    size, words = F.col("p_size"), F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    kind = F.when(size < 8, "FilePath").when(size < 16, "Exclusions").when(size < 24, "SuspiciousExt").when(size < 32, "Process").when(size < 40, "Driver").otherwise("")
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Is").otherwise("Get"), F.when(F.col("p_type").isin("PROMO", "LARGE"), "RmmTool").otherwise(""), F.array_join(words, ""), kind)
+    return c.read("part").select(F.col("p_partkey").alias("id"), name.alias("f"))
+
+
+@query("c31_infer_names", "WITH " + NAMES + r""" SELECT id, f, CASE WHEN contains(lower(f), 'rmm') THEN 'rmm_tool' WHEN contains(lower(f), 'path') OR contains(lower(f), 'location') THEN 'path' WHEN contains(lower(f), 'ext') THEN 'file_extension' WHEN contains(lower(f), 'process') THEN 'process' WHEN contains(lower(f), 'driver') THEN 'driver' ELSE 'unknown' END AS category,
+    coalesce(CASE WHEN contains(f, 'RmmTool') AND contains(f, 'Path') THEN 'rmm_file_paths' WHEN contains(f, 'Exclusion') THEN 'exclusion_paths' WHEN contains(lower(f), 'ext') AND (contains(lower(f), 'file') OR contains(f, 'Suspicious')) THEN 'file_extensions' WHEN contains(f, 'Process') THEN 'process_names' WHEN contains(f, 'Driver') THEN 'vulnerable_drivers' END, '') AS field,
+    ltrim(lower(regexp_replace(regexp_replace(f, '^(Is|Get)', ''), '([A-Z])', '_\1', 'g')), '_') AS snake FROM n""")
 def c31(c: Catalog) -> DataFrame:
-    f = F.element_at(F.array(*(F.lit(x) for x in ("IsRmmToolFilePath", "GetPathExclusions", "IsKnownProcess"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    named = c.read("orders").select(f.alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    return named.select("f", naming.infer_category(F.col("f")).alias("category"), naming.infer_field(F.col("f")).alias("field"), naming.snake_case(F.col("f")).alias("snake"), "n")
+    f = F.col("f")
+    return function_names(c).select("id", "f", naming.infer_category(f).alias("category"), F.coalesce(naming.infer_field(f), F.lit("")).alias("field"), naming.snake_case(f).alias("snake"))
 
 
 @query("c32_network_indicators", r"SELECT doc_id, 'ip' AS kind, unnest(list_distinct(regexp_extract_all(substring(text, 1, 10000), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'))) AS value FROM documents UNION ALL SELECT doc_id, 'email', unnest(list_distinct(regexp_extract_all(substring(text, 1, 10000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))) FROM documents UNION ALL SELECT doc_id, 'url', unnest(list_distinct(regexp_extract_all(substring(text, 1, 10000), 'https?://[^\s""''<>]+'))) FROM documents".replace('""', '"'))
@@ -330,9 +374,9 @@ def c33(c: Catalog) -> DataFrame:
     return c.payload.select("id", *(keys[k].alias(k) for k in ("sha256", "md5", "size")))
 
 
-@query("k2_record_cells", over("payload", sql="SELECT id, CASE WHEN length(h) > 200 THEN substring(h, 1, 200) || '...' ELSE h END AS hex_data FROM (SELECT id, lower(hex(encode(text))) AS h FROM payload)"))
+@query("k2_record_cells", over("payload", sql="SELECT id, CASE WHEN length(h) > 10000 THEN substring(h, 1, 10000) || '...' ELSE h END AS hex_data FROM (SELECT id, lower(hex(encode(text))) AS h FROM payload)"))
 def k2(c: Catalog) -> DataFrame:
-    return c.payload.select("id", sinks.hex_cell(F.col("data"), 200).alias("hex_data"))
+    return c.payload.select("id", sinks.hex_cell(F.col("data")).alias("hex_data"))
 
 
 @query("k4_indicator_map", r"SELECT kind, value, string_agg(DISTINCT name, ';' ORDER BY name) AS names FROM (SELECT 'ip' AS kind, source AS name, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS value FROM documents UNION ALL SELECT 'email', source, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) FROM documents) GROUP BY ALL")
@@ -357,34 +401,57 @@ def k8(c: Catalog) -> DataFrame:
 
 
 @query("k10_report_rows", over("entity", "item", sql="""
-    , t AS (SELECT sig_type_name AS type, count(*) AS n FROM item WHERE owner = 42 GROUP BY 1)
+    , t AS (SELECT sig_type_name AS type, count(*) AS n FROM item WHERE owner = 42 GROUP BY 1), w AS (SELECT DISTINCT unnest(string_split(p_name || ' ' || p_brand, ' ')) AS s FROM part WHERE p_type = (SELECT p_type FROM part WHERE p_partkey = 42)),
+    f AS (SELECT y.signature_id AS b, round(1.0 / (1 + abs(y.signature_count - x.signature_count)), 4) AS score FROM entity x JOIN entity y ON x.family = y.family AND x.signature_id <> y.signature_id WHERE x.signature_id = 42)
     SELECT 'entity' AS section, 1 AS ord, threat_name AS label, CAST(signature_id AS VARCHAR) AS value FROM entity WHERE signature_id = 42
-    UNION ALL SELECT 'types', CAST(row_number() OVER (ORDER BY n DESC, type) AS INTEGER), type, CAST(n AS VARCHAR) FROM t"""))
+    UNION ALL SELECT 'types', CAST(row_number() OVER (ORDER BY n DESC, type) AS INTEGER), type, CAST(n AS VARCHAR) FROM t
+    UNION ALL SELECT 'strings', CAST(r AS INTEGER), s, CAST(length(s) AS VARCHAR) FROM (SELECT s, row_number() OVER (ORDER BY s) AS r FROM w) WHERE r <= 50
+    UNION ALL SELECT 'related', CAST(r AS INTEGER), CAST(b AS VARCHAR), CAST(score AS VARCHAR) FROM (SELECT *, row_number() OVER (ORDER BY score DESC, b) AS r FROM f) WHERE r <= 10"""))
 def k10(c: Catalog) -> DataFrame:
-    own = c.item.where("owner = 42")
-    none = c.spark.createDataFrame([], "string string"), c.spark.createDataFrame([], "b long, score double")
-    return sinks.report_rows(c.entity.where("signature_id = 42"), aggregates.type_counts(own), *none)
-
-
-@query("m3_related_entities", over("rule_value", sql="""
-    , n AS (SELECT guid, count(DISTINCT value) AS n FROM rule_value WHERE field = 'SMALL' GROUP BY 1), v AS (SELECT DISTINCT guid, value FROM rule_value WHERE field = 'SMALL'),
-    p AS (SELECT a.guid AS a, b.guid AS b, count(*) AS k FROM v a JOIN v b ON a.value = b.value AND a.guid < b.guid GROUP BY ALL),
-    s AS (SELECT p.a, p.b, round(k / (x.n + y.n - k), 4) AS score FROM p JOIN n x ON x.guid = p.a JOIN n y ON y.guid = p.b WHERE round(k / (x.n + y.n - k), 4) >= 0.5),
-    e AS (SELECT * FROM s UNION ALL SELECT b, a, score FROM s)
-    SELECT a, b, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM e) WHERE rank <= 5"""))
+    """The report of one entity: its types, the strings of its category, and the nearest of its family by size."""
+    own, whole = c.item.where("owner = 42"), c.entity
+    one = whole.where("signature_id = 42")
+    kin = c.read("part").join(c.read("part").where("p_partkey = 42").select("p_type"), "p_type", "left_semi")
+    strings = kin.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("string")).distinct()
+    near = whole.alias("y").join(one.alias("x"), (F.col("x.family") == F.col("y.family")) & (F.col("x.signature_id") != F.col("y.signature_id")))
+    near = near.select(F.col("y.signature_id").alias("b"), F.round(1 / (1 + F.abs(F.col("y.signature_count") - F.col("x.signature_count"))), 4).alias("score"))
+    return sinks.report_rows(one, aggregates.type_counts(own), strings, near)
+
+
+#: Documents and benchmark passages (ids below 0) as entities, with sentences as their strings.
+ENTITIES = """it AS (SELECT doc_id AS id, source AS family, text FROM documents UNION ALL SELECT -1 - item_id, 'benchmark', text FROM benchmark),
+    gg AS (SELECT id, n, i, substring(x, 2 * i + 1, 16) AS g FROM (SELECT id, strlen(text) AS n, hex(encode(text)) AS x, unnest(range(0, greatest(0, strlen(text) - 7))) AS i FROM it)),
+    hit AS (SELECT DISTINCT q.id AS a, r.id AS b, q.i, least(q.n, r.n) AS m FROM gg q JOIN (SELECT DISTINCT id, n, g FROM gg) r ON q.g = r.g AND q.id <> r.id AND r.n BETWEEN q.n // 2 AND q.n * 2 WHERE q.id < 0),
+    cv AS (SELECT a, b, m, count(DISTINCT pos) AS covered FROM (SELECT a, b, m, unnest(range(i, i + 8)) AS pos FROM hit) GROUP BY ALL)"""
+
+
+def entities(c: Catalog) -> DataFrame:
+    docs = c.read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("family"), "text")
+    asked = c.read("benchmark").select((-1 - F.col("item_id")).alias("id"), F.lit("benchmark").alias("family"), "text")
+    data = F.encode("text", "UTF-8")
+    return docs.unionByName(asked).withColumns({"data": data, "data_hash": F.sha2(data, 256)})
+
+
+@query("m3_related_entities", "WITH " + ENTITIES + r"""
+    , t1 AS (SELECT a, id AS b, 1.0 AS score, 0 AS tier, 'hash' AS kind FROM it JOIN (SELECT text, min(id) AS a FROM it GROUP BY 1 HAVING count(*) > 1) USING (text) WHERE id <> a),
+    s AS (SELECT DISTINCT id, family, unnest(regexp_extract_all(text, '[^.\n]{5,}')) AS s FROM it), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT x.id AS a, y.id AS b, x.family = y.family AS own, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+    j AS (SELECT p.a, p.b, own, k / (x.n + y.n - k) AS jac FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b),
+    t2 AS (SELECT a, b, round(jac, 4) AS score, 1 AS tier, 'strings' AS kind FROM j WHERE own AND jac >= 0.3),
+    t3 AS (SELECT cv.a, cv.b, round((least(1.0, covered / m) + coalesce(jac, 0)) / 2, 4) AS score, 2 AS tier, 'bytes' AS kind FROM cv LEFT JOIN j ON j.a = least(cv.a, cv.b) AND j.b = greatest(cv.a, cv.b)),
+    u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score, tier, kind FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 WHERE score >= 0.3)),
+    f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY tier, score DESC) = 1), e AS (SELECT a, b, score, kind FROM f UNION ALL SELECT b, a, score, kind FROM f)
+    SELECT a, b, score, kind, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM e) WHERE rank <= 5""".replace("\\n", "\n"))
 def m3(c: Catalog) -> DataFrame:
-    pairs = similarity.set_similarity(c.rule_value.where("field = 'SMALL'"), "guid", "value", 0.5)
-    return similarity.related([similarity.store_pairs(pairs, "values")], 5).select("a", "b", "score", "rank")
+    items = entities(c)
+    strings = items.select("id", "family", F.explode(F.regexp_extract_all("text", F.lit("([^.\\n]{5,})"), 1)).alias("string"))
+    return similarity.related_entities(items.drop("text"), strings, items.where("id < 0"), 5).select("a", "b", "score", "kind", "rank")
 
 
-@query("m4_byte_overlap", over("payload", sql="""
-    , x AS (SELECT item_id AS a, unnest(range(1, length(text) - 6)) AS i, text FROM benchmark WHERE item_id < 5), g AS (SELECT a, i, substring(text, i, 8) AS g FROM x),
-    y AS (SELECT DISTINCT id AS b, substring(text, j, 8) AS g FROM (SELECT id, text, unnest(range(1, length(text) - 6)) AS j FROM payload WHERE size < 1500 AND length(text) >= 8)),
-    c AS (SELECT DISTINCT a, b, unnest(range(i, i + 8)) AS at FROM g JOIN y USING (g))
-    SELECT a, b, count(*) AS covered FROM c GROUP BY ALL"""))
+@query("m4_byte_overlap", "WITH " + ENTITIES + " SELECT a, b, covered, round(least(1.0, covered / m), 4) AS share FROM cv")
 def m4(c: Catalog) -> DataFrame:
-    few = c.read("benchmark").where("item_id < 5").select(F.col("item_id").alias("id"), "text")
-    return similarity.byte_overlap(few, c.payload.where("size < 1500").select("id", "text"), "id", "text")
+    items = entities(c)
+    return similarity.byte_overlap(items.where("id < 0"), items, "id", "data").where("a <> b").withColumn("share", F.round("share", 4))
 
 
 @query("m11_indicator_table", r"SELECT kind, value, array_to_string(list_sort(list_distinct(list(owner))), ',') AS owners FROM (SELECT 'ip' AS kind, doc_id AS owner, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS value FROM documents UNION ALL SELECT 'email', doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) FROM documents) GROUP BY ALL")
@@ -399,43 +466,82 @@ def m15(c: Catalog) -> DataFrame:
     return rows.groupBy(naming.parse_name(F.col("name"))["category"].alias("category")).agg(F.count(F.lit(1)).alias("names"), F.count_if(F.col("name") != F.col("fixed")).alias("fixed"))
 
 
-@query("m18_pipeline_summary", over("script", sql="SELECT count(*) AS scripts, count(*) FILTER (contains(source, 'track(')) AS linked, CAST(sum(len(regexp_extract_all(source, 'href='))) AS BIGINT) AS entries FROM script"))
-def m18(c: Catalog) -> DataFrame:
-    return c.script.agg(F.count(F.lit(1)).alias("scripts"), F.count_if(F.col("source").contains("track(")).alias("linked"), F.sum(F.regexp_count("source", F.lit("href="))).cast("long").alias("entries"))
-
-
-@query("s3_clean_scripts", over("script", sql="SELECT id, substring(source, 1, 1000) AS source, sha256(source) AS content_hash FROM script WHERE length(trim(source)) > 0"))
+@query("s3_clean_scripts", over("script", sql="SELECT id, substring(source, 1, 100000) AS source, sha256(source) AS content_hash FROM script WHERE length(trim(source)) > 0"))
 def s3(c: Catalog) -> DataFrame:
     raw = c.script.select("id", F.concat(F.substring("source", 1, 5), F.lit("\x13"), F.substr("source", F.lit(6))).alias("source"))
-    return readers.clean_scripts(raw, 1000)
+    return readers.clean_scripts(raw)
+
+
+NAMED = {1: "TEXT", 2: "TEXT_EXT", 3: "BLOBHSTR"}
+
+
+def containers(c: Catalog) -> DataFrame:
+    """Each document as a container: a begin record with a name, the whole text as a record, an end record, and one outside."""
+    little = lambda x, n: F.concat(*(F.unhex(F.lpad(F.hex(F.pmod(F.floor(x / F.lit(256**i)), F.lit(256)).cast("int")), 2, "0")) for i in range(n)))
+    record = lambda kind, data: F.concat(F.unhex(kind), little(F.octet_length(data), 3), data)
+    name = F.encode(F.concat("lang", F.lit(":"), "source", F.lit("/x")), "UTF-8")
+    head = F.concat(little(F.col("doc_id"), 4), F.unhex(F.lit("00" * 6)), little(F.octet_length(name), 1), F.unhex(F.lit("0000")), name)
+    kind = F.lpad(F.hex(F.pmod("doc_id", F.lit(4)) + 1), 2, "0")
+    whole = F.concat(record(F.lit("5C"), head), record(kind, F.encode("text", "UTF-8")), record(F.lit("5D"), F.encode(F.lit("end"), "UTF-8")), record(F.lit("02"), F.encode(F.lit("outside"), "UTF-8")))
+    return c.read("documents").select(F.col("doc_id").cast("string").alias("path"), whole.alias("content"))
 
 
-@query("m2_record_sizes", "SELECT category, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT lang AS category, strlen(substring(text, 1, 500)) AS size FROM documents) GROUP BY 1")
+#: Size of the head's payload: 13 bytes and the name.
+HEAD = "(13 + strlen(lang || ':' || source || '/x'))"
+
+
+@query("s2_container_records", f"SELECT CAST(doc_id AS VARCHAR) AS path, r.kind AS sig_type, r.size, r.at AS \"offset\" FROM (SELECT doc_id, unnest([{{'kind': 92, 'size': {HEAD}, 'at': 0}}, {{'kind': CAST(doc_id % 4 + 1 AS INTEGER), 'size': strlen(text), 'at': 4 + {HEAD}}}, {{'kind': 93, 'size': 3, 'at': 8 + {HEAD} + strlen(text)}}, {{'kind': 2, 'size': 7, 'at': 15 + {HEAD} + strlen(text)}}]) AS r FROM documents)")
+def s2(c: Catalog) -> DataFrame:
+    return readers.explode_records(containers(c)).select("path", "sig_type", "size", "offset")
+
+
+@query("m2_ingest", f"""WITH i AS (SELECT doc_id AS owner, lang || ':' || source || '/x' AS owner_name, source AS family, CAST(doc_id % 4 + 1 AS INTEGER) AS sig_type, strlen(text) AS size, sha256(text) AS data_hash, text, doc_id FROM documents
+      UNION ALL SELECT NULL, NULL, 'Unknown', 2, 7, sha256('outside'), 'outside', doc_id FROM documents),
+    s AS (SELECT *, CASE sig_type WHEN 1 THEN 'TEXT' WHEN 2 THEN 'TEXT_EXT' WHEN 3 THEN 'BLOBHSTR' END AS sig_type_name, CASE WHEN sig_type = 3 THEN '' ELSE array_to_string(regexp_extract_all(text, '[\x20-\x7e]{{3,}}'), ' ') END AS searchable FROM i)
+    SELECT owner, owner_name, family, sig_type, sig_type_name, size, data_hash, CASE sig_type WHEN 1 THEN 'Text/Plain' WHEN 2 THEN 'Text/Long' WHEN 3 THEN 'Other/Strings' ELSE 'Unknown' END AS category, CASE sig_type WHEN 2 THEN 'Ext' ELSE '' END AS subcategory, md5(searchable) AS searchable FROM s""")
 def m2(c: Catalog) -> DataFrame:
-    """Each document as a container of one record, read back by the record reader."""
-    payload = F.encode(F.substring("text", 1, 500), "UTF-8")
-    size = F.octet_length(payload)
-    low = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
-    head = F.concat(F.unhex(F.lit("41")), low(size % 256), low(F.floor(size / 256) % 256), low(F.floor(size / 65536) % 256))
-    files = c.read("documents").select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.concat(head, payload).alias("content"))
-    rows = readers.explode_records(files)
-    return rows.groupBy(F.substring_index("path", "/", 1).alias("category")).agg(F.count(F.lit(1)).alias("records"), F.sum("size").cast("long").alias("bytes"))
+    """Containers read to items with owner, class, text and digest; all classes and the rows outside of blocks occur."""
+    items = records.ingest(readers.explode_records(containers(c)), NAMED, {"TEXT": ("Text/Plain", None), "TEXT_EXT": ("Text/Long", "Ext")}, ("TEXT", "TEXT_EXT"))
+    return items.select("owner", "owner_name", "family", "sig_type", "sig_type_name", "size", "data_hash", "class.category", F.coalesce("class.subcategory", F.lit("")).alias("subcategory"), F.md5("searchable").alias("searchable"))
+
 
+#: One function for each line of each document, nested in one of three ways, with a table of the line's words.
+LINES = """li AS (SELECT doc_id AS id, k, list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: substring(md5(w), 1, 4)) AS w, md5(line) AS h, length(line) AS n FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+    fn AS (SELECT id, k, 'Get' || substring(h, 1, 4) || ['Path', 'Process', 'List'][1 + n % 3] AS name, list_distinct(w) AS entries FROM li)"""
 
-@query("c24_function_bodies", "SELECT page_id AS id, 'Get' || page_id AS name, 2 AS entries FROM pages")
+
+def line_functions(c: Catalog) -> DataFrame:
+    def function(line: Column) -> Column:
+        words = F.filter(F.split(line, " "), lambda w: w != "")
+        table = F.array_join(F.transform(words, lambda w: F.concat(F.lit("'"), F.substring(F.md5(w), 1, 4), F.lit("'"))), ", ")
+        n = F.length(line) % 3
+        kind = F.element_at(F.array(F.lit("Path"), F.lit("Process"), F.lit("List")), n + 1)
+        before = F.when(n == 0, "if a then b() elseif c then repeat d() until e end ").when(n == 1, "for i = 1, 2 do if a then f(function() return 1 end) end end ").otherwise("-- no end of this\n --[[ nor end\n of this ]] ")
+        return F.concat(F.lit("function Get"), F.substring(F.md5(line), 1, 4), kind, F.lit("(x)\n "), before, F.lit("local t = {"), table, F.lit("}\n end"))
+
+    source = F.array_join(F.transform(F.split("text", "\n"), function), "\n")
+    return scripts.function_bodies(c.read("documents").select(F.col("doc_id").alias("id"), source.alias("source")), "id", "source")
+
+
+@query("c24_function_bodies", "WITH " + LINES + " SELECT id, name, CAST(len(entries) AS INTEGER) AS entries, count(*) AS n FROM fn GROUP BY ALL")
 def c24(c: Catalog) -> DataFrame:
-    """Functions of all scripts with their entries; sources are pages, whose inline scripts hold few."""
-    wrapped = c.script.select("id", F.concat(F.lit("function Get"), F.col("id").cast("string"), F.lit("() local t = {'a', 'b'} if x then return t end end "), F.substring("source", 1, 200)).alias("source"))
-    return scripts.function_bodies(wrapped, "id", "source").select("id", "name", F.size("entries").alias("entries"))
-
-
-@query("r3_streamed_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
-def r3(c: Catalog) -> DataFrame:
-    """The daily counts of the change feed as a stream over the same files, run until nothing is left."""
-    schema = c.read("events").schema
-    stream = jobs.file_stream(c.spark, f"{c.folder}/events.parquet*", schema)
-    changes = stream.select(F.col("ts").cast("timestamp").alias("changed_at"))
-    return jobs.run_to_files(jobs.daily_counts(changes), "daily_counts").select(F.col("day").cast("string").alias("day"), "n")
+    """Functions of all scripts with their entries, however deep their blocks."""
+    return line_functions(c).groupBy("id", "name", F.size("entries").alias("entries")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m8_function_registry", "WITH " + LINES + " SELECT name, CASE WHEN contains(name, 'Path') THEN 'path' WHEN contains(name, 'Process') THEN 'process' ELSE 'unknown' END AS category, CAST(max(len(entries)) AS INTEGER) AS entries FROM fn GROUP BY ALL")
+def m8(c: Catalog) -> DataFrame:
+    """Functions read from sources, the fullest definition of each kept and named by category."""
+    best = scripts.best_definitions(line_functions(c))
+    return best.select("name", naming.infer_category(F.col("name")).alias("category"), F.size("entries").alias("entries"))
+
+
+@query("m18_pipeline_summary", "WITH " + LINES + ", s AS (SELECT count(*) AS scripts, count(*) FILTER (contains(html, 'track(')) AS linked FROM pages) SELECT s.*, (SELECT count(DISTINCT name) FROM fn) AS functions, (SELECT CAST(sum(len(entries)) AS BIGINT) FROM fn) AS entries FROM s")
+def m18(c: Catalog) -> DataFrame:
+    """Counts over the script, function and entry tables, one row each, put side by side."""
+    own = c.script.agg(F.count(F.lit(1)).alias("scripts"), F.count_if(F.col("source").contains("track(")).alias("linked"))
+    made = line_functions(c).agg(F.countDistinct("name").alias("functions"), F.sum(F.size("entries")).cast("long").alias("entries"))
+    return own.withColumn("one", F.lit(1)).join(made.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @query("w8_top_sizes", over("item", sql=", s AS (SELECT category, size, count(*) AS n FROM item GROUP BY ALL) SELECT category, size, n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, size) AS r FROM s) WHERE r <= 20"))

@@ -200,15 +200,14 @@ def j6(c: Catalog) -> DataFrame:
     return similarity.exact_duplicates(c.payload)
 
 
-@query("j7_family_candidates", over("entity", sql=", r AS (SELECT family, signature_id AS k, row_number() OVER (PARTITION BY family ORDER BY signature_id) AS r FROM entity) SELECT x.family, x.k AS a, y.k AS b FROM r x JOIN r y ON x.family = y.family AND y.r BETWEEN x.r + 1 AND x.r + 5"))
+@query("j7_family_candidates", over("entity", sql="SELECT family, signature_id, candidates FROM (SELECT family, signature_id, count(*) OVER (PARTITION BY family) - 1 AS candidates FROM entity) WHERE candidates > 0"))
 def j7(c: Catalog) -> DataFrame:
-    return similarity.family_candidates(c.entity, 5)
+    return similarity.family_candidates(c.entity)
 
 
-@query("j8_size_band", over("payload", sql="SELECT x.id AS a, y.id AS b FROM payload x JOIN payload y ON x.id <> y.id AND y.size BETWEEN x.size // 2 AND x.size * 2 WHERE x.category = 'es' AND y.category = 'de'"))
+@query("j8_size_band", over("payload", sql="SELECT x.id, count(*) - 1 AS partners FROM payload x JOIN payload y ON y.size BETWEEN x.size // 2 AND x.size * 2 GROUP BY 1"))
 def j8(c: Catalog) -> DataFrame:
-    rows = c.payload.select("id", "size", "category")
-    return similarity.size_band_pairs(rows.where("category = 'es'"), rows.where("category = 'de'"), "id", "size")
+    return similarity.size_band_counts(c.payload, "id", "size")
 
 
 @query("j9_snapshot_delta", over("snapshot_old", "snapshot_new", sql="""
@@ -218,12 +217,9 @@ def j9(c: Catalog) -> DataFrame:
     return delta.snapshot_delta(c.snapshot_old, c.snapshot_new, "key", ["status", "price", "priority"]).select("key", "change")
 
 
-@query("j13_shared_between_rules", over("rule_value", sql="SELECT a.guid AS a, b.guid AS b, count(*) AS n FROM rule_value a JOIN rule_value b ON a.field = b.field AND a.value = b.value AND a.guid < b.guid WHERE a.guid < 12 AND b.guid < 12 GROUP BY ALL"))
+@query("j13_shared_between_rules", over("rule_value", sql="SELECT a.guid AS a, b.guid AS b, count(*) AS n FROM rule_value a JOIN rule_value b ON a.field = b.field AND a.value = b.value AND a.guid < b.guid GROUP BY ALL"))
 def j13(c: Catalog) -> DataFrame:
-    few = c.rule_value.where("guid < 12")
-    x, y = few.alias("x"), few.alias("y")
-    same = (F.col("x.field") == F.col("y.field")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.guid") < F.col("y.guid"))
-    return x.join(y, same).groupBy(F.col("x.guid").alias("a"), F.col("y.guid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return similarity.shared_between(c.rule_value)
 
 
 @query("j14_missing_keys", over("entity", sql="SELECT DISTINCT o_orderkey AS signature_id FROM orders WHERE o_orderkey NOT IN (SELECT signature_id FROM entity)"))
@@ -248,9 +244,11 @@ def u1(c: Catalog) -> DataFrame:
     return count(new.subtract(old), "added").unionByName(count(old.subtract(new), "removed")).unionByName(count(old.intersect(new), "kept"))
 
 
-@query("u2_set_functions", "SELECT doc_id, CAST(len(list_intersect(w, v)) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(w, v))) AS INTEGER) AS either FROM (SELECT doc_id, list_distinct(string_split(substring(text, 1, 200), ' ')) AS w, list_distinct(string_split(substring(text, 201, 200), ' ')) AS v FROM documents)")
+@query("u2_set_functions", "SELECT doc_id, CAST(len(list_intersect(w, v)) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(w, v))) AS INTEGER) AS either FROM (SELECT doc_id, list_distinct(w[1:len(w) // 2]) AS w, list_distinct(w[len(w) // 2 + 1:]) AS v FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def u2(c: Catalog) -> DataFrame:
-    w, v = (F.array_distinct(F.split(F.substring("text", at, 200), " ")) for at in (1, 201))
+    words = F.split("text", " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    w, v = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
     return c.read("documents").select("doc_id", F.size(F.array_intersect(w, v)).alias("both"), F.size(F.array_union(w, v)).alias("either"))
 
 
@@ -273,9 +271,9 @@ def w1b(c: Catalog) -> DataFrame:
     return windows.with_truncated(c.item, "owner", [F.desc("size"), F.asc("ord")], 5).select("owner", "ord", "size", "truncated")
 
 
-@query("w2_representative_selection", over("item", sql="SELECT owner, ord FROM (SELECT owner, ord, ord = min(ord) OVER (PARTITION BY owner) AS first FROM item WHERE owner < 300) ORDER BY first DESC, ord LIMIT 500"))
+@query("w2_representative_selection", over("item", sql="SELECT owner, ord FROM (SELECT owner, ord, ord = min(ord) OVER (PARTITION BY owner) AS first FROM item) ORDER BY first DESC, ord LIMIT 500"))
 def w2(c: Catalog) -> DataFrame:
-    return windows.representative_selection(c.item.where("owner < 300"), "owner", "ord", 500).select("owner", "ord")
+    return windows.representative_selection(c.item, "owner", "ord", 500).select("owner", "ord")
 
 
 @query("w3_assign_blocks", """

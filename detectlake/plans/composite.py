@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
 from ..operators import aggregates, delta, filters, paging, similarity, windows
 from ..sources import sinks
-from ..streaming import jobs
 from .analysis import PATHS, paths
 from .bind import Catalog, over
 from .registry import query
 
-PAIRS = """, v AS (SELECT DISTINCT guid, value FROM rule_value WHERE field = 'LARGE'), n AS (SELECT guid, count(*) AS n FROM v GROUP BY 1),
+PAIRS = """, v AS (SELECT DISTINCT guid, field || ':' || value AS value FROM rule_value), n AS (SELECT guid, count(*) AS n FROM v GROUP BY 1),
     p AS (SELECT a.guid AS a, b.guid AS b, count(*) AS k FROM v a JOIN v b ON a.value = b.value AND a.guid < b.guid GROUP BY ALL),
     s AS (SELECT p.a, p.b, round(k / (x.n + y.n - k), 4) AS score FROM p JOIN n x ON x.guid = p.a JOIN n y ON y.guid = p.b)"""
 
 
+def tagged_values(c: Catalog) -> DataFrame:
+    """The values of all fields of each rule, told apart by field."""
+    return c.rule_value.select("guid", F.concat("field", F.lit(":"), "value").alias("value"))
+
+
 @query("f12_min_score", over("rule_value", sql=PAIRS + " SELECT a, b, score FROM s JOIN supplier ON s_suppkey = b WHERE score >= 0.55 AND s_name ILIKE '%1%'"))
 def f12(c: Catalog) -> DataFrame:
-    pairs = similarity.set_similarity(c.rule_value.where("field = 'LARGE'"), "guid", "value", 0.55)
+    pairs = similarity.set_similarity(tagged_values(c), "guid", "value", 0.55)
     names = c.read("supplier").where(filters.icontains("s_name", "1")).select(F.col("s_suppkey").alias("b"))
     return pairs.join(names, "b", "left_semi").select("a", "b", "score")
 
@@ -110,12 +112,27 @@ def j11(c: Catalog) -> DataFrame:
     return used.join(defined, "name").select("id", "name", "defined_in")
 
 
-@query("m9_resolve_rules", over("script", sql=CALLS + " SELECT id % 10 AS rule, count(DISTINCT name) FILTER (defined_in IS NOT NULL) AS mapped, count(DISTINCT name) FILTER (defined_in IS NULL) AS unmapped FROM calls LEFT JOIN defs USING (name) GROUP BY 1"))
-def m9(c: Catalog) -> DataFrame:
-    """What a rule's scripts call: names with a definition count as mapped, others are kept as unmapped, not guessed."""
+REGISTRY = CALLS + """, reg AS (SELECT name, defined_in, CASE length(name) % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'process' END AS field, [name || '/a', name || '/' || CAST(defined_in % 5 AS VARCHAR)] AS entries FROM defs), links AS (SELECT id, unnest([id % 10, 10 + id % 3]) AS rule FROM script), used AS (SELECT DISTINCT rule, name FROM links JOIN calls USING (id))"""
+
+
+def resolved(c: Catalog) -> tuple[DataFrame, DataFrame]:
     used, defined = calls(c)
-    linked = used.withColumn("rule", F.col("id") % 10).select("rule", "name").distinct().join(defined, "name", "left")
-    return linked.groupBy("rule").agg(F.count("defined_in").alias("mapped"), F.count_if(F.col("defined_in").isNull()).alias("unmapped"))
+    links = c.script.select("id", F.explode(F.array(F.col("id") % 10, F.col("id") % 3 + 10)).alias("rule"))
+    field = F.when(F.length("name") % 3 == 0, "path").when(F.length("name") % 3 == 1, "process")
+    entries = F.array(F.concat("name", F.lit("/a")), F.concat(F.col("name"), F.lit("/"), (F.col("defined_in") % 5).cast("string")))
+    return scripts.resolve_rules(links, used, defined.select("name", field.alias("field"), entries.alias("entries")))
+
+
+@query("m9_resolve_rules", over("script", sql=REGISTRY + " SELECT DISTINCT rule, field, unnest(entries) AS value FROM used JOIN reg USING (name) WHERE field IS NOT NULL"))
+def m9(c: Catalog) -> DataFrame:
+    """The values that each rule's list fields get by the functions that its scripts call."""
+    return resolved(c)[0]
+
+
+@query("m9_unmapped_calls", over("script", sql=REGISTRY + " SELECT rule, name FROM used WHERE name NOT IN (SELECT name FROM reg)"))
+def m9b(c: Catalog) -> DataFrame:
+    """Called names that nothing defines are kept as unmapped, not guessed."""
+    return resolved(c)[1]
 
 
 @query("j12_change_versions", over("version", sql="SELECT o_orderkey AS key, coalesce(v.version, o_orderpriority) AS shown_version FROM orders LEFT JOIN (SELECT * FROM version WHERE version > '1996') v ON v.version = CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR)"))
@@ -135,32 +152,55 @@ def w11(c: Catalog) -> DataFrame:
     return c.entity.where("category = 'SMALL'").select("signature_id", F.count(F.lit(1)).over(Window.partitionBy("family")).alias("total"))
 
 
-@query("a23_selection_by_category", over("entity", sql="SELECT category, array_to_string(list_sort(list(signature_id)), ',') AS ids FROM entity WHERE signature_id % 11 = 3 GROUP BY 1"))
+@query("a23_selection_by_category", over("entity", sql="SELECT category, array_to_string(list_sort(list(signature_id)), ',') AS ids FROM entity GROUP BY 1"))
 def a23(c: Catalog) -> DataFrame:
-    return c.entity.where("signature_id % 11 = 3").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("signature_id")), ",").alias("ids"))
+    return c.entity.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("signature_id")), ",").alias("ids"))
 
 
-@query("c12_weighted_rules", over("item", sql="SELECT owner, ord, size AS threshold, sig_type AS total, size = sig_type AS all_required FROM item WHERE owner < 400"))
+@query("c12_weighted_rules", over("item", sql=", k AS (SELECT owner, ord, size, sig_type, 1 + sig_type % 3 - CASE WHEN size % 5 = 0 THEN 1 ELSE 0 END AS k FROM item), t AS (SELECT *, CAST(k * sig_type + k * (k - 1) / 2 AS INTEGER) AS total FROM k) SELECT owner, ord, CAST(size % 20 AS INTEGER) AS threshold, total, size % 20 = total AS all_required FROM t"))
 def c12(c: Catalog) -> DataFrame:
-    """Each item as a packed rule of one sub-rule, parsed again."""
-    little = lambda name: F.concat(F.lpad(F.hex(F.col(name) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(name) / 256).cast("int")), 2, "0"))
-    packed = F.unhex(F.concat(F.lit("0000"), little("size"), F.lit("010000"), little("sig_type"), F.lit("03414243")))
-    rules = c.item.where("owner < 400").select("owner", "ord", records.weighted_rule(packed).alias("rule"))
+    """Each item as a packed rule of one to three sub-rules, of which the last one is cut off in some, parsed again."""
+    little = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256).cast("int")), 2, "0"))
+    n = F.col("sig_type") % 3 + 1
+    subrules = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(little(F.col("sig_type") + i), F.lit("03414243"))), "")
+    text = F.concat(F.lit("0000"), little(F.col("size") % 20), little(n), F.lit("00"), subrules)
+    packed = F.unhex(F.when(F.col("size") % 5 == 0, F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(text))
+    rules = c.item.select("owner", "ord", records.weighted_rule(packed).alias("rule"))
     total = records.total_weight(F.col("rule"))
     return rules.select("owner", "ord", "rule.threshold", total.alias("total"), (total == F.col("rule.threshold")).alias("all_required"))
 
 
-@query("c17_strings_with_context", over("payload", sql="SELECT id, CAST(len(regexp_extract_all(text, '[\\x20-\\x7e]{4,}')) AS INTEGER) AS strings FROM payload WHERE size < 2000"))
+#: Runs of printable bytes with their offsets: other characters become as many marks as they have bytes, and texts are split there.
+RUNS = r"""x AS (SELECT id, size AS n, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', chr(1), 'g'), '[\x{80}-\x{7ff}]', chr(1) || chr(1), 'g'), '[\x{800}-\x{ffff}]', chr(1) || chr(1) || chr(1), 'g'), '[\x{10000}-\x{10ffff}]', chr(1) || chr(1) || chr(1) || chr(1), 'g'), chr(1)) AS w FROM payload),
+    y AS (SELECT id, n, unnest(range(1, len(w) + 1)) AS i, length(unnest(w)) AS l FROM x), r AS (SELECT *, sum(l + 1) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) - l - 1 AS o FROM y)"""
+
+
+@query("c17_strings_with_context", over("payload", sql=", " + RUNS + " SELECT id, count(*) FILTER (l >= 4) AS strings, CAST(coalesce(sum(o) FILTER (l >= 4), 0) AS BIGINT) AS offsets, CAST(coalesce(sum(least(o + l + 16, n) - greatest(o - 16, 0)) FILTER (l >= 4), 0) AS BIGINT) AS context_bytes FROM r GROUP BY 1"))
 def c17(c: Catalog) -> DataFrame:
-    return c.payload.where("size < 2000").select("id", F.size(records.strings_with_context(F.col("data"))).alias("strings"))
+    """How many strings each item has, and the sums of their offsets and of the bytes shown around them."""
+    found = c.payload.select("id", F.explode_outer(records.strings_with_context(F.col("data"))).alias("s"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return found.groupBy("id").agg(F.count("s").alias("strings"), total("s.offset").alias("offsets"), total(F.length("s.context") / 2).alias("context_bytes"))
+
 
+@query("c19_regions", over("payload", sql=", " + RUNS + " SELECT id, 'string' AS kind, count(*) AS regions, CAST(sum(l) AS BIGINT) AS bytes, CAST(sum(o) AS BIGINT) AS offsets FROM r WHERE l >= 4 GROUP BY 1"))
+def c19(c: Catalog) -> DataFrame:
+    """Regions of each item by kind; texts begin with no magic bytes and hold no null runs, which fixtures test."""
+    found = c.payload.select("id", F.explode(records.regions(F.col("data"))).alias("x"))
+    return found.groupBy("id", "x.kind").agg(F.count(F.lit(1)).alias("regions"), F.sum("x.length").cast("long").alias("bytes"), F.sum("x.offset").cast("long").alias("offsets"))
 
-@query("c23_path_context", over("script", sql="SELECT id, 'c:\\k' || CAST(id % 9 AS VARCHAR) || '\\x' AS path, CASE WHEN id % 3 = 0 THEN 'exclusion' ELSE 'detection' END AS kind FROM script"))
+
+#: Each line of a document as a call that looks for a path, some negated, some followed by a clean return.
+FINDS = r"""l AS (SELECT doc_id AS id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    p AS (SELECT id, k, 'c:\' || substring(md5(line), 1, 1) || '\x' AS path, length(line) % 11 = 0 AS negated, length(line) % 7 = 0 AS clean FROM l),
+    q AS (SELECT *, bool_or(clean) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS near FROM p)"""
+
+
+@query("c23_path_context", "WITH " + FINDS + " SELECT id, path, CASE WHEN bool_or(near OR negated) THEN 'exclusion' ELSE 'detection' END AS kind FROM q GROUP BY ALL")
 def c23(c: Catalog) -> DataFrame:
-    """A find call in front of each page, followed by a clean return, an infected one or nothing."""
-    call = F.concat(F.lit('if string.find(p, "c:\\k'), (F.col("id") % 9).cast("string"), F.lit('\\x", 1, true) then\n'))
-    end = F.when(F.col("id") % 3 == 0, "return mp.CLEAN\n").when(F.col("id") % 3 == 1, "return mp.INFECTED\n").otherwise("x = 1\n")
-    return scripts.path_context(c.script.select("id", F.concat(call, end, F.substring("source", 1, 50)).alias("source")), "id", "source")
+    line = lambda s: F.concat(F.when(F.length(s) % 11 == 0, F.lit("if not ")).otherwise("if "), F.lit('p:find("c:\\'), F.substring(F.md5(s), 1, 1), F.lit('\\x") then '), F.when(F.length(s) % 7 == 0, "return mp.CLEAN").when(F.length(s) % 7 == 1, "return mp.INFECTED").otherwise("x = 2"))
+    source = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return scripts.path_context(c.read("documents").select(F.col("doc_id").alias("id"), source.alias("source")), "id", "source")
 
 
 @query("c29_history_payload", over("change", sql="SELECT change_id, entity_id, md5(CAST(to_json({'payload': payload}) AS VARCHAR)) AS payload FROM change"))
@@ -187,27 +227,10 @@ def m1(c: Catalog) -> DataFrame:
 
 @query("m5_store_pairs", over("rule_value", sql=PAIRS + " SELECT a, b, score, 'values' AS kind FROM s WHERE score >= 0.6"))
 def m5(c: Catalog) -> DataFrame:
-    pairs = similarity.set_similarity(c.rule_value.where("field = 'LARGE'"), "guid", "value", 0.6)
+    pairs = similarity.set_similarity(tagged_values(c), "guid", "value", 0.6)
     return similarity.store_pairs(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")), "values")
 
 
-@query("m8_function_registry", "SELECT 'Get' || lang || 'Path' AS name, 'path' AS category, 'item' || CAST(max(doc_id % 7) AS VARCHAR) AS entry FROM documents GROUP BY lang")
-def m8(c: Catalog) -> DataFrame:
-    """Functions read from sources, the fullest definition of each kept and named by category."""
-    source = F.concat(F.lit("function Get"), "lang", F.lit("Path()\n return {"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 7).cast("int")), lambda i: F.concat(F.lit("'item"), i.cast("string"), F.lit("'"))), ","), F.lit("}\nend"))
-    found = scripts.function_bodies(c.read("documents").select(F.col("doc_id").alias("id"), source.alias("source")), "id", "source")
-    best = scripts.best_definitions(found)
-    return best.select("name", naming.infer_category(F.col("name")).alias("category"), F.element_at("entries", -1).alias("entry"))
-
-
-@query("m10_rule_logic", over("script", sql="SELECT id % 8 AS rule, count(*) AS scripts, count(*) FILTER (id % 3 = 0) AS detections, CASE WHEN max(CASE WHEN regexp_matches(source, 'https?://|socket') OR id % 4 = 0 THEN 1 END) = 1 THEN 'network' ELSE '' END AS checks FROM script GROUP BY 1"))
-def m10(c: Catalog) -> DataFrame:
-    source = F.concat("source", F.when(F.col("id") % 3 == 0, " mp.INFECTED").otherwise(""), F.when(F.col("id") % 4 == 0, " socket").otherwise(""))
-    logic = c.script.select((F.col("id") % 8).alias("rule"), scripts.script_logic(source).alias("x"))
-    checks = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("x.checks")))), ",")
-    return logic.groupBy("rule").agg(F.count(F.lit(1)).alias("scripts"), F.count_if(F.col("x.kind") == "detection").alias("detections"), checks.alias("checks"))
-
-
 @query("m12_exclusion_review", over("script", sql=PATHS + r" SELECT count(*) FILTER (id % 6 IN (3, 4)) AS low, count(*) FILTER (id % 6 IN (2, 5)) AS medium, count(*) FILTER (id % 6 = 0) AS high, count(*) FILTER (id % 6 = 1) AS critical, 'critical' AS overall FROM v"))
 def m12(c: Catalog) -> DataFrame:
     return aggregates.risk_summary(paths(c).select(risk.path_risk(F.col("path"))["level"].alias("level")))
@@ -245,23 +268,3 @@ def m17(c: Catalog) -> DataFrame:
     begin, end = F.col("event_type") == "signup", F.col("event_type") == "error"
     outside = windows.assign_blocks(rows, begin, end).where(F.col("block").isNull() & ~begin & ~end)
     return outside.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("r5_streamed_entity_state", "SELECT event_type AS entity_type, user_id AS entity_id, count(*) AS n FROM events GROUP BY ALL")
-def r5(c: Catalog) -> DataFrame:
-    stream = jobs.file_stream(c.spark, f"{c.folder}/events.parquet*", c.read("events").schema)
-    changes = stream.select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("changed_at"))
-    return jobs.run_to_files(jobs.entity_state(changes), "entity_state").select("entity_type", "entity_id", "n")
-
-
-@query("k9_rule_lines", over("entity", sql="SELECT category, CAST(sum(length('rule ' || regexp_replace(threat_name, '[^A-Za-z0-9_]', '_', 'g'))) AS BIGINT) AS characters, count(*) AS rules FROM entity GROUP BY 1"))
-def k9(c: Catalog) -> DataFrame:
-    lines = c.entity.select("category", F.concat(F.lit("rule "), naming.rule_identifier(F.col("threat_name"))).alias("rule_text"))
-    return lines.groupBy("category").agg(F.sum(F.length("rule_text")).cast("long").alias("characters"), F.count(F.lit(1)).alias("rules"))
-
-
-@query("s6_table_inventory", "SELECT 'pages' AS \"table\", count(*) AS rows FROM pages UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations")
-def s6(c: Catalog) -> DataFrame:
-    counts: list[DataFrame] = [c.read(t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows") for t in ("pages", "documents", "conversations")]
-    return reduce(DataFrame.unionByName, counts)
-

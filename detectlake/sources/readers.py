@@ -71,12 +71,21 @@ def clean_scripts(raw: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def read_entity_listing(spark: SparkSession, folder: str, name: str = "combined.sig") -> DataFrame:
-    """Entities from category/family/combined.sig texts; a missing id becomes a hash of category and family.
+    """Entities from category/family/combined.sig texts.
 
-    Spark's readers skip file names that begin with an underscore, so listings must be named without one.
+    Spark's readers skip file names that begin with an underscore: rename such listings when they are put
+    in place, or read them by other means and give them to ``entity_listing``.
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder, wholetext=True)
-    parts = F.split(F.input_file_name(), "/")
+    return entity_listing(raw.select(F.input_file_name().alias("path"), "value"))
+
+
+def entity_listing(raw: DataFrame) -> DataFrame:
+    """Entities from listings (path, value); category and family are the last two folders of the path.
+
+    A missing id becomes a hash of category and family, and a missing name both of them.
+    """
+    parts = F.split("path", "/")
     named = raw.select("value", F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("family"))
     field = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     return named.select(
@@ -91,7 +100,7 @@ def read_entity_listing(spark: SparkSession, folder: str, name: str = "combined.
 def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
     """Records written by ``write_record_csv``; is_lua is the text true in any case."""
     raw = spark.read.schema(schemas.RECORD_CSV).csv(path, header=True, quote='"', escape='"')
-    return raw.withColumn("is_lua", F.lower("is_lua") == "true")
+    return raw.withColumn("is_lua", F.coalesce(F.lower("is_lua") == "true", F.lit(False)))
 
 
 def list_sources(spark: SparkSession, folder: str) -> DataFrame:

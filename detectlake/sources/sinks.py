@@ -112,6 +112,6 @@ def report_rows(entity: DataFrame, type_counts: DataFrame, strings: DataFrame, r
     number = lambda df, order: df.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
     head = entity.select(F.lit("entity").alias("section"), F.lit(1).alias("ord"), F.col("threat_name").alias("label"), F.col("signature_id").cast("string").alias("value"))
     types = number(type_counts, [F.desc("n"), F.asc("type")]).select(F.lit("types").alias("section"), "ord", F.col("type").alias("label"), F.col("n").cast("string").alias("value"))
-    texts = number(strings, ["string"]).where("ord <= 50").select(F.lit("strings").alias("section"), "ord", F.substring("string", 1, 100).alias("label"), F.length("string").cast("string").alias("value"))
-    near = number(related, [F.desc("score"), F.asc("b")]).where("ord <= 10").select(F.lit("related").alias("section"), "ord", F.col("b").cast("string").alias("label"), F.col("score").cast("string").alias("value"))
+    texts = number(strings.orderBy("string").limit(50), ["string"]).select(F.lit("strings").alias("section"), "ord", F.substring("string", 1, 100).alias("label"), F.length("string").cast("string").alias("value"))
+    near = number(related.orderBy(F.desc("score"), F.asc("b")).limit(10), [F.desc("score"), F.asc("b")]).select(F.lit("related").alias("section"), "ord", F.col("b").cast("string").alias("label"), F.col("score").cast("string").alias("value"))
     return head.unionByName(types).unionByName(texts).unionByName(near)

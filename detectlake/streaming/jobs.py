@@ -2,45 +2,80 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.delta import field_diff, snapshot_delta, upsert
+from ..operators.windows import last_wins
+from ..scratch import children, new_folder
+
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1_000, form: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
-def incremental_ingest(stream: DataFrame, checkpoint: str, known: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], key: str = "version") -> StreamingQuery:
-    """Work off what has arrived and stop; rows of versions already known are skipped."""
+def by_epoch(folder: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own; a batch that is repeated after a failure replaces what it had written."""
+    return lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/{epoch}")
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        fresh = df.join(F.broadcast(known().select(key).distinct()), key, "left_anti")
-        apply(fresh, epoch)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def newest(spark: SparkSession, folder: str, before: int | None = None) -> str | None:
+    """The folder of the last batch that was written, or of the last one before a batch."""
+    done = [int(n) for n in children(spark, folder) if n.isdigit() and (before is None or int(n) < before)]
+    return f"{folder}/{max(done)}" if done else None
 
 
-def change_feed(stream: DataFrame, checkpoint: str, current: Callable[[], DataFrame], columns: list[str], key: str, path: str) -> StreamingQuery:
-    """Compare each batch with the current snapshot and append only real changes, with what changed (R2)."""
-    from ..operators.delta import field_diff, snapshot_delta
+def incremental_ingest(stream: DataFrame, checkpoint: str, known: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], key: str = "version") -> StreamingQuery:
+    """Work off what has arrived and stop; rows of versions already known are skipped.
+
+    ``apply`` may see a batch again after a failure and must write it by its number (see ``by_epoch``).
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        old = current().join(df.select(key).distinct(), key, "left_semi")
-        delta = snapshot_delta(old, df.dropDuplicates([key]), key, columns).where(F.col("change").isin("added", "updated"))
-        delta.withColumns(field_diff("before", "after", columns)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        apply(df.join(known().select(key).distinct(), key, "left_anti"), epoch)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_counts(changes: DataFrame, at: str = "changed_at", late: str = "1 day") -> DataFrame:
-    """Changes by UTC day; rows later than the watermark are dropped and counted in the query's progress."""
-    days = changes.withWatermark(at, late).groupBy(F.window(at, "1 day"))
+def change_feed(stream: DataFrame, folder: str, first: DataFrame, columns: list[str], key: str, order: str, deleted: str) -> StreamingQuery:
+    """Bring a snapshot up to date batch by batch, and keep what really changed, before and after (R2).
+
+    Stream rows have the key, the columns, ``order`` (the last row of a key counts, in a batch) and whether
+    the key is ``deleted``. ``folder``/snapshot/N and ``folder``/changes/N hold the state after batch N and
+    its changes (added, updated, removed, with diff and summary); nothing tracked changed: no row. Batch N
+    reads the snapshot before it and overwrites its own folders, so that a repeated batch does no harm. A
+    snapshot goes once there are two newer ones.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        path = newest(spark, f"{folder}/snapshot", epoch)
+        old = (spark.read.schema(first.schema).parquet(path) if path else first).select(key, *columns)
+        last = last_wins(df, [key], [F.desc(order), F.desc(F.xxhash64(*columns))])
+        gone = last.where(deleted).select(key)
+        new = last.where(~F.col(deleted)).select(key, *columns)
+        touched = old.join(last.select(key), key, "left_semi")
+        delta = snapshot_delta(touched, new, key, columns).where(F.col("change") != "same")
+        by_epoch(f"{folder}/changes")(delta.withColumns(field_diff("before", "after", columns)).withColumn("epoch", F.lit(epoch)), epoch)
+        by_epoch(f"{folder}/snapshot")(upsert(old, new, key, gone), epoch)
+        for name in sorted((n for n in children(spark, f"{folder}/snapshot") if n.isdigit() and int(n) < epoch - 1), key=int):
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot/{name}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def daily_counts(changes: DataFrame, at: str = "changed_at", late: str | None = "1 day") -> DataFrame:
+    """Changes by UTC day (R3); with ``late``, rows later than that are dropped and counted in the query's progress.
+
+    Without it all rows count, whatever order they come in, and the state has a row a day.
+    """
+    marked = changes if late is None else changes.withWatermark(at, late)
+    days = marked.groupBy(F.window(at, "1 day"))
     return days.agg(F.count(F.lit(1)).alias("n")).select(F.to_date("window.start").alias("day"), "n")
 
 
@@ -59,52 +94,49 @@ def distinct_scripts(scripts: DataFrame, at: str, keep: str = "7 days") -> DataF
     return scripts.withWatermark(at, keep).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def enriched(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Scripts with logic, risk and the rules they name; a stateless map and a join with a static table."""
-    from ..functions.scripts import extracted, script_logic, script_risk
+def enriched(scripts: DataFrame, names: Column, rules: DataFrame, **own: Column) -> DataFrame:
+    """Scripts with columns worked out of their source, and the rules they name: a stateless map and a static join.
+
+    ``names`` is the array of names in a script; ``rules`` has (name, rule). A script gives a row for each of
+    its distinct names, or one without a name; names that no rule has stay, without one.
+    """
+    rows = scripts.withColumns(own).withColumn("name", F.explode_outer(F.array_distinct(names)))
+    return rows.join(rules.select("name", "rule"), "name", "left")
+
+
+def publish_unchanged(stream: DataFrame, folder: str, inputs: Callable[[], DataFrame], pending: str = "pending") -> StreamingQuery:
+    """Publish results (id, content_hash, ...) whose input still has the hash and status they were made from.
 
-    rows = scripts.withColumns({"logic": script_logic(F.col("source")), "risk": script_risk(F.col("source")), "guid": F.explode_outer(extracted(F.col("source"), "guids"))})
-    return rows.join(rules.select(F.lower("guid").alias("guid"), F.col("name").alias("rule")), "guid", "left")
+    Inputs are read anew for every batch, and the check is part of the batch's write. ``published`` reads
+    the outcome: the last one of each id.
+    """
 
+    def batch(df: DataFrame, epoch: int) -> None:
+        now = inputs().where(F.col("status") == pending).select("id", "content_hash")
+        by_epoch(f"{folder}/published")(df.join(now, ["id", "content_hash"], "left_semi").withColumn("epoch", F.lit(epoch)), epoch)
 
-def publish_unchanged(results: DataFrame, inputs: DataFrame, pending: str = "pending") -> DataFrame:
-    """Results whose input still has the hash and status they were made from."""
-    now = inputs.where(F.col("status") == pending).select("id", "content_hash")
-    return results.join(now, ["id", "content_hash"], "left_semi")
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete", timeout: int = 120) -> DataFrame:
-    """Run a stream over all that is there into an in-memory table; for tests and small reports only, as the driver holds all rows."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(name)
-    return stream.sparkSession.table(name)
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The last published row of each id; a later batch replaces what an earlier one had."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/published")
+    return last_wins(rows, ["id"], [F.desc("epoch"), F.desc("content_hash")]).drop("epoch")
 
 
-def run_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """Run a complete-mode stream over all that is there, however long it takes, and read its last result from Parquet.
+def run_to_files(stream: DataFrame, mode: str, keys: list[str] | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream over all that is there, however long it takes, and read its result from Parquet.
 
-    Result and checkpoint lie in the folder that driver and executors share (``spark.checkpoint.dir``; a
-    temporary one only where it is unset) and are deleted when the application ends. Each batch replaces the
-    result of the one before.
+    Batches go to folders by number in the folder that driver and executors share, so that one that is
+    repeated replaces itself. In ``append`` mode all batches make the result; in ``update`` mode the last row
+    of each key does, and no batch writes more than what it changed.
     """
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/detectlake-checkpoints"
-    folder = f"{shared}/detectlake-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    written: list[str] = []
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        path = f"{folder}/{name}/{epoch}"
-        df.write.mode("overwrite").parquet(path)
-        for old in written:
-            if old != path:
-                files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
-        written[:] = [path]
-
-    query = stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    files.deleteOnExit(place)
+    folder = new_folder(spark)
+    write = by_epoch(f"{folder}/out")
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: write(df.withColumn("epoch", F.lit(epoch)), epoch)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)
+    if newest(spark, f"{folder}/out") is None:
+        return spark.createDataFrame([], stream.schema), query
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return (last_wins(rows, keys, [F.desc("epoch")]) if keys else rows).drop("epoch"), query

@@ -87,10 +87,18 @@ def test_history(spark):
         delta.sync(old, new.where("key < 0"), "key", ["family"], "v3", known, full=True)
 
 
-def test_result_of_changed_input_is_not_published(spark):
-    results = spark.createDataFrame([(1, "h1", "out"), (2, "old", "out")], "id long, content_hash string, result string")
-    inputs = spark.createDataFrame([(1, "h1", "pending"), (2, "new", "pending")], "id long, content_hash string, status string")
-    assert [r.id for r in jobs.publish_unchanged(results, inputs).collect()] == [1]
+def test_result_of_changed_input_is_not_published(spark, tmp_path):
+    """Inputs are read anew for each batch; the last result of an id counts."""
+    results = spark.createDataFrame([(1, "h1", "out"), (2, "old", "out"), (3, "h3", "out")], "id long, content_hash string, result string")
+    inputs = spark.createDataFrame([(1, "h1", "pending"), (2, "new", "pending"), (3, "h3", "done")], "id long, content_hash string, status string")
+    later = spark.createDataFrame([(1, "h9", "pending"), (2, "new", "pending")], inputs.schema)
+    now = [inputs]
+    for rows in (results, spark.createDataFrame([(1, "h1", "late"), (2, "new", "again")], results.schema)):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", results.schema)
+        assert jobs.publish_unchanged(stream, f"{tmp_path}/work", lambda: now[0]).awaitTermination(120)
+        now[0] = later
+    assert {(r.id, r.result) for r in jobs.published(spark, f"{tmp_path}/work").collect()} == {(1, "out"), (2, "again")}
 
 
 def record(kind, payload):
@@ -111,10 +119,12 @@ def test_ingest(spark, tmp_path):
     whole = record(9, b"out") + record(0x5C, HEAD) + record(1, b"in1") + record(2, b"in2") + record(0x5D, b"") + record(3, b"after") + record(0x5C, b"cut") + record(4, b"open")
     (tmp_path / "a.bin").write_bytes(whole)
     (tmp_path / "empty.bin").write_bytes(b"")
-    got = {r.sig_type: r for r in records.ingest(readers.read_records(spark, str(tmp_path))).collect()}
+    got = {r.sig_type: r for r in records.ingest(readers.read_records(spark, str(tmp_path)), {1: "REGKEY", 2: "BLAHHSTR"}, {"REGKEY": ("Persistence/Registry", "Run")}, ("REGKEY",)).collect()}
     assert set(got) == {9, 1, 2, 3, 4}
     assert got[1].owner == got[2].owner == 77 and got[1].owner_name == "Demo:Alpha"
     assert got[9].owner is None and got[3].owner is None and got[4].owner is None
+    assert got[1].family == "Alpha" and tuple(got[1]["class"]) == ("Persistence/Registry", "Run") and got[1].searchable == "in1"
+    assert tuple(got[2]["class"]) == ("Other/Strings", None) and got[2].searchable == "" and tuple(got[9]["class"]) == ("Unknown", None)
     listed = readers.list_sources(spark, str(tmp_path)).collect()
     assert {r.files for r in listed} == {1} and {r.bytes for r in listed} == {len(whole)}
 
@@ -143,7 +153,8 @@ def test_bytes(spark):
     assert r.runs == ["strings", "end!"] and r.magic == ["PE/DOS Executable"] and r.lit == "{ 4D 5A 00 00 }"
     assert [(x.text, x.offset) for x in r.ctx] == [("strings", 4), ("end!", 23)] and bytes.fromhex(r.ctx[0].context) == data[0:27]
     assert r.dump.splitlines()[0] == "00000000  4D 5A 00 00 73 74 72 69 6E 67 73 00 00 00 00 00  MZ..strings....."
-    kinds = [(x["kind"], x["offset"], x["length"]) for x in records.regions(data, (b"ring",))]
+    kinds = [tuple(x) for x in df.select(records.regions(F.col("d"), (b"ring",))).first()[0]]
+    assert df.select(records.regions(F.lit(None).cast("binary"))).first()[0] is None
     assert kinds == [("magic", 0, 2), ("pattern", 6, 4), ("null", 11, 9), ("string", 23, 4), ("null", 27, 8)]
 
 
@@ -167,7 +178,7 @@ def test_names(spark):
 
 def test_risk(spark):
     paths = ["*", "C:\\Users\\a\\x", "c:\\windows\\x", "x.log", "plain", "c:\\users\\public\\*.exe"]
-    got = [r.r for r in spark.createDataFrame([(p,) for p in paths], "p string").select(risk.path_risk(F.col("p")).alias("r")).collect()]
+    got = [r.r for r in spark.createDataFrame([(p,) for p in paths], "p string").select(risk.path_risk(F.col("p"), (("wildcard_exe", r"\*\.(exe|dll)", "T1059"),)).alias("r")).collect()]
     assert [r.level for r in got] == ["critical", "high", "medium", "low", "low", "critical"]
     assert got[4].reasons == [risk.NO_RISK] and [s.name for s in got[5].scenarios] == ["wildcard_exe"]
     rated = spark.createDataFrame([("low",), ("high",), ("high",)], "level string")
@@ -177,12 +188,26 @@ def test_risk(spark):
 def test_a_rule_does_not_overlap_with_itself(spark):
     rows = [("r1", "f", "C:\\A"), ("r1", "f", "c:\\a "), ("r2", "f", "x"), ("r3", "f", "X")]
     got = aggregates.shared_values(spark.createDataFrame(rows, "guid string, field string, value string")).collect()
-    assert [(r.value, r.guids) for r in got] == [("x", ["r2", "r3"])]
+    assert sorted((r.value, r.guid, r.rules) for r in got) == [("x", "r2", 2), ("x", "r3", 2)]
+
+
+TYPES = {"REGKEY": ("Persistence/Registry", None), "FILENAME": ("Persistence/FilePath", None), "FRIENDLYHASH_SHA1": ("Hash/Friendly", "SHA1")}
+PARTS = {"Persistence/Registry": ((r"CurrentVersion\\Run", "Run"), (r"Services\\", "Services")), "Persistence/FilePath": ((r"\\Temp\\", "Temp"),)}
+
+
+def test_large_dictionary(spark, monkeypatch):
+    """Beyond a number of terms a dictionary is joined by words; the first entry by priority wins as before."""
+    terms = spark.createDataFrame([("upx packed", 2, "packer"), ("nsis", 1, "installer"), ("Upx", 3, "other"), (None, 0, "none")], "term string, priority int, class string")
+    rows = spark.createDataFrame([(1, "a UPX packed nsis"), (2, "some upx packed"), (3, "upx"), (4, "none"), (5, None), (3, "upx")], "id long, s string")
+    for most in (1_000, 1):
+        monkeypatch.setattr(classify, "LITERAL_TERMS", most)
+        got = sorted((r.id, r["class"]) for r in classify.classify_by(rows, "s", terms).collect())
+        assert got == [(1, "installer"), (2, "packer"), (3, "other"), (3, "other"), (4, "Other"), (5, "Other")]
 
 
 def test_classify(spark):
     rows = [("SIGNATURE_TYPE_REGKEY", "Software\\x\\CurrentVersion\\RunOnce"), ("FILENAME", "c:\\Temp\\a"), ("BLAHHSTR", ""), (None, ""), ("FRIENDLYHASH_SHA1", "")]
-    got = [tuple(r.c) for r in spark.createDataFrame(rows, "t string, x string").select(classify.type_category(F.col("t"), F.col("x")).alias("c")).collect()]
+    got = [tuple(r.c) for r in spark.createDataFrame(rows, "t string, x string").select(classify.type_category(F.col("t"), F.col("x"), TYPES, PARTS).alias("c")).collect()]
     assert got == [("Persistence/Registry", "Run"), ("Persistence/FilePath", "Temp"), ("Other/Strings", None), ("Unknown", None), ("Hash/Friendly", "SHA1")]
     terms = spark.createDataFrame([("UPX", 1, "packer"), ("nsis", 2, "installer")], "term string, priority int, class string")
     own = classify.classify_by(spark.createDataFrame([("a upx! nsis",), ("NSIS",), ("none",)], "s string"), "s", terms)
@@ -225,8 +250,9 @@ def test_scripts(spark):
     assert set(bodies) == {"IsKnownTool", "helper"} and bodies["IsKnownTool"].entries == ["one", "two", "three"]
     kinds = {r.path: r.kind for r in scripts.path_context(df, "id", "source").collect()}
     assert kinds == {"\\\\good\\\\dir\\\\": "exclusion", "\\\\bad\\\\tool.exe": "detection"}
-    row = df.where("id = 1").select(scripts.extracted(F.col("source"), "guids").alias("g"), scripts.techniques(F.col("source")).alias("t"), scripts.script_logic(F.col("source")).alias("l"), scripts.script_risk(F.col("source")).alias("r"), scripts.link_rules(F.col("source"), {"Known": "AA"}).alias("links")).first()
+    row = df.where("id = 1").select(scripts.extracted(F.col("source"), "guids").alias("g"), scripts.techniques(F.col("source")).alias("t"), scripts.script_logic(F.col("source"), {"path": r"string\.find|:find\(", "file": "readfile"}, {"infected": r"mp\.INFECTED", "clean": r"mp\.CLEAN", "attribute": "set_mpattribute"}).alias("l"), scripts.script_risk(F.col("source"), ((30, r"os\.execute"), (10, r"debug\.\w+"))).alias("r"), scripts.link_rules(F.col("source"), {"Known": "AA"}).alias("links")).first()
     assert row.g == ["be9ba2d9-53ea-4cdc-84e5-9b1eeee46550"] and row.t == ["T1059.001"] and row.r == 40
+    assert row.l.entry == "IsKnownTool" and row.l.trigger == "path" and row.l.flow == ["check path", "outcome clean", "outcome attribute", "outcome infected"]
     assert row.l.kind == "detection" and set(row.l.outcomes) == {"infected", "clean", "attribute"} and row.links == ["aa", row.g[0]]
     defs = spark.createDataFrame([(1, "f", ["a"], "x"), (2, "f", ["b", "c"], "y"), (3, "f", ["d"], "z")], "id long, name string, entries array<string>, body string")
     assert [scripts.best_definitions(defs, p).first().entries for p in ("most", "last", "union")] == [["b", "c"], ["d"], ["a", "b", "c", "d"]]
@@ -236,13 +262,43 @@ def test_similarity(spark):
     sets = [(1, v) for v in "abcdef"] + [(2, v) for v in "abcdeg"] + [(3, v) for v in "xyz"] + [(4, v) for v in "abcdef"]
     got = {(r.a, r.b): r.score for r in similarity.set_similarity(spark.createDataFrame(sets, "k long, v string"), "k", "v", 0.7).collect()}
     assert got == {(1, 2): 0.7143, (1, 4): 1.0, (2, 4): 0.7143}
-    left = spark.createDataFrame([(1, "0123456789abcdef")], "id long, t string")
-    right = spark.createDataFrame([(2, "xx0123456789yy abcdef"), (3, "nothing here at all")], "id long, t string")
-    assert [(r.a, r.b, r.covered) for r in similarity.byte_overlap(left, right, "id", "t").collect()] == [(1, 2, 10)]
+    left = spark.createDataFrame([(1, bytearray(b"0123456789abcdef")), (9, None), (8, bytearray(b"short"))], "id long, t binary")
+    right = spark.createDataFrame([(2, bytearray(b"xx0123456789yy abcdef")), (3, bytearray(b"nothing here at all")), (4, bytearray(b"0123456789" + b"-" * 40)), (5, None)], "id long, t binary")
+    found = lambda band: sorted((r.a, r.b, r.covered, round(r.share, 3)) for r in similarity.byte_overlap(left, right, "id", "t", band).collect())
+    assert found(True) == [(1, 2, 10, 0.625)] and found(False) == [(1, 2, 10, 0.625), (1, 4, 10, 0.625)]
     tiers = [spark.createDataFrame([(1, 2, 1.0, "hash")], "a long, b long, score double, kind string"), spark.createDataFrame([(2, 1, 0.5, "text"), (1, 3, 0.4, "text")], "a long, b long, score double, kind string")]
     assert {(r.a, r.b, r.kind) for r in similarity.related(tiers, 5).collect()} == {(1, 2, "hash"), (2, 1, "hash"), (1, 3, "text"), (3, 1, "text")}
 
 
+def test_related_entities(spark):
+    """Each tier finds its own: equal data, strings within a family only, bytes for what is asked for."""
+    data = {1: b"same payload here", 2: b"same payload here", 3: b"other things 1", 4: b"some more of it", 5: b"prefix of a long body", 6: b"prefix of a long Body"}
+    items = spark.createDataFrame([(i, "f" if i < 5 else "g", bytearray(d), str(hash(d))) for i, d in data.items()] + [(7, "f", None, None)], "id long, family string, data binary, data_hash string")
+    strings = spark.createDataFrame([(i, "f", s) for i in (3, 4) for s in ("x", "y", f"own{i}")] + [(5, "g", s) for s in ("x", "y")] + [(7, "f", "z")], "id long, family string, string string")
+    got = {(r.a, r.b): (r.kind, r.score) for r in similarity.related_entities(items, strings, items.where("id = 5"), 5).collect() if r.a < r.b}
+    assert got == {(1, 2): ("hash", 1.0), (3, 4): ("strings", 0.5), (5, 6): ("bytes", round(17 / 21 / 2, 4))}
+
+
+def test_pairs_of_a_hot_value_in_blocks(spark):
+    rows = [("f", "hot", i) for i in range(40)] + [("f", f"own{i % 7}", i) for i in range(40)] + [("f", "hot", 0)]
+    df = spark.createDataFrame(rows, "field string, value string, guid long")
+    want = {(a, b, 1 + (a % 7 == b % 7)) for a in range(40) for b in range(a + 1, 40)}
+    for block in (3, 512):
+        assert {tuple(r) for r in similarity.shared_between(df, block).collect()} == want
+
+
+def test_size_bands(spark):
+    sizes = [0, 0, 1, 2, 3, 5, 8, 8, 13, 100, 201]
+    got = {r.id: r.partners for r in similarity.size_band_counts(spark.createDataFrame(list(enumerate(sizes)), "id long, size int"), "id", "size").collect()}
+    assert got == {i: sum(s // 2 <= t <= 2 * s for t in sizes) - 1 for i, s in enumerate(sizes)}
+
+
+def test_keys_that_no_table_can_hold(entities):
+    find = lambda q: sorted(r.signature_id for r in entities.where(filters.name_or_id("threat_name", "signature_id", q)).collect())
+    assert find("1001") == find("0x3E9") == find(" +1001 ") == [1001] and find("demo") == [1001, 1002]
+    assert find("9" * 40) == find("0x" + "f" * 20) == find("9223372036854775808") == find("-1001") == find("%") == []
+
+
 def test_sinks(spark, tmp_path, items):
     sinks.write_record_csv(items.select(F.col("owner").alias("threat_id"), F.lit('a "q", b').alias("threat_name"), "sig_type", "sig_type_name", "size", F.lit(0).cast("long").alias("offset"), F.lit("True").alias("is_lua"), "data"), f"{tmp_path}/csv", most=4)
     back = readers.read_record_csv(spark, f"{tmp_path}/csv").orderBy("threat_id").collect()
@@ -275,25 +331,36 @@ def test_streams_end_as_batches(spark, tmp_path):
     changes = spark.createDataFrame([("a", i % 3, f"2024-01-0{1 + i % 4} 10:00:00") for i in range(40)], "entity_type string, entity_id long, at string").withColumn("changed_at", F.to_timestamp("at")).drop("at")
     changes.repartition(3).write.parquet(f"{tmp_path}/changes")
     stream = lambda: jobs.file_stream(spark, f"{tmp_path}/changes", changes.schema, 1)
-    daily = {(str(r.day), r.n) for r in jobs.run_to_memory(jobs.daily_counts(stream()), "t_daily").collect()}
+    daily = {(str(r.day), r.n) for r in jobs.run_to_files(jobs.daily_counts(stream(), late=None), "update", ["day"])[0].collect()}
     assert daily == {(str(r.day), r.n) for r in aggregates.daily_activity(changes).collect()}
-    state = {(r.entity_id, r.n) for r in jobs.run_to_memory(jobs.entity_state(stream()), "t_state").collect()}
+    state = {(r.entity_id, r.n) for r in jobs.run_to_files(jobs.entity_state(stream()), "update", ["entity_type", "entity_id"])[0].collect()}
     assert state == {(0, 14), (1, 13), (2, 13)}
 
 
 def test_streamed_results_lie_in_files(spark, tmp_path):
-    """Results of streams are Parquet files of the last batch, beside the checkpoint; none without input."""
+    """Results of streams are Parquet files of their batches, beside the checkpoint; none without input."""
     changes = spark.createDataFrame([("a", i % 3, f"2024-01-0{1 + i % 4} 10:00:00") for i in range(40)], "entity_type string, entity_id long, at string").withColumn("changed_at", F.to_timestamp("at")).drop("at")
     changes.repartition(3).write.parquet(f"{tmp_path}/changes")
     changes.where("entity_id > 5").write.parquet(f"{tmp_path}/none")
-    state = jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/changes", changes.schema, 1)), "t_state")
+    keys = ["entity_type", "entity_id"]
+    state, _ = jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/changes", changes.schema, 1)), "update", keys)
     assert {(r.entity_id, r.n) for r in state.collect()} == {(0, 14), (1, 13), (2, 13)}
-    assert state.inputFiles() and all("/t_state/2/" in f for f in state.inputFiles())
-    assert jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/none", changes.schema)), "t_none").count() == 0
+    assert {f.split("/out/")[1].split("/")[0] for f in state.inputFiles()} == {"0", "1", "2"}
+    assert jobs.run_to_files(jobs.entity_state(jobs.file_stream(spark, f"{tmp_path}/none", changes.schema)), "update", keys)[0].count() == 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = lambda *days: spark.createDataFrame([(f"2024-01-{d:02} 10:00:00",) for d in days], "at string").select(F.to_timestamp("at").alias("changed_at")).coalesce(1)
+    for days in ((1, 9, 10), (11, 11), (2, 11, 12)):
+        rows(*days).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", rows(1).schema, 1)
+    daily, query = jobs.run_to_files(jobs.daily_counts(stream), "update", ["day"])
+    assert {(r.day.day, r.n) for r in daily.collect()} == {(1, 1), (9, 1), (10, 1), (11, 3), (12, 1)}
+    assert jobs.dropped_rows(query) == 1
 
 
 def test_streamed_queries_hold_nothing_in_the_driver(spark):
-    from detectlake.plans import analysis, composite, registry  # noqa: F401
+    from detectlake.plans import feeds, registry  # noqa: F401
 
     for name in ("r3_streamed_daily_counts", "r5_streamed_entity_state"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
@@ -320,13 +387,19 @@ def test_rule_corpus_sorts_no_rule_in_one_task(spark):
 def test_ingest_skips_known_versions(spark, tmp_path):
     spark.createDataFrame([("v1", 1), ("v2", 2)], "version string, x int").write.parquet(f"{tmp_path}/in")
     stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
-    query = jobs.incremental_ingest(stream, f"{tmp_path}/ck", lambda: spark.createDataFrame([("v1",)], "version string"), lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out"))
-    assert query.awaitTermination(120) and [r.version for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["v2"]
+    query = jobs.incremental_ingest(stream, f"{tmp_path}/ck", lambda: spark.createDataFrame([("v1",)], "version string"), jobs.by_epoch(f"{tmp_path}/out"))
+    assert query.awaitTermination(120) and [r.version for r in spark.read.parquet(f"{tmp_path}/out/0").collect()] == ["v2"]
 
 
 def test_change_feed(spark, tmp_path):
-    old = spark.createDataFrame([(1, "a"), (2, "b")], "key long, family string")
-    spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "key long, family string").write.parquet(f"{tmp_path}/in")
-    query = jobs.change_feed(jobs.file_stream(spark, f"{tmp_path}/in", old.schema), f"{tmp_path}/ck", lambda: old, ["family"], "key", f"{tmp_path}/feed")
-    assert query.awaitTermination(120)
-    assert {(r.key, r.change) for r in spark.read.parquet(f"{tmp_path}/feed").collect()} == {(2, "updated"), (3, "added")}
+    """The last row of a key counts, deletions make changes, and each batch begins where the one before ended."""
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (4, "x")], "key long, family string")
+    batches = [[(1, "a", 1, False), (2, "z", 1, False), (2, "c", 2, False), (3, "d", 1, False), (9, None, 1, True)], [(3, "d", 3, False), (4, None, 3, True), (2, "b", 3, False)], [(4, "new", 4, False), (1, "q", 4, False), (1, None, 5, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "key long, family string, at int, gone boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+    assert jobs.change_feed(stream, str(tmp_path), old, ["family"], "key", "at", "gone").awaitTermination(120)
+    feed = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/changes")
+    assert {(r.epoch, r.key, r.change) for r in feed.collect()} == {(0, 2, "updated"), (0, 3, "added"), (1, 4, "removed"), (1, 2, "updated"), (2, 4, "added"), (2, 1, "removed")}
+    now = spark.read.parquet(jobs.newest(spark, f"{tmp_path}/snapshot"))
+    assert {(r.key, r.family) for r in now.collect()} == {(2, "b"), (3, "d"), (4, "new")} and len(jobs.children(spark, f"{tmp_path}/snapshot")) == 2

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from detectlake.plans import analysis, browse, composite, registry  # noqa: F401
+from detectlake.plans import analysis, browse, composite, feeds, registry  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
