@@ -107,7 +107,10 @@ class RuleModel:
     rules: tuple[Rule, ...]
 
     def score(self, docs: DataFrame, text: str, into: str) -> DataFrame:
-        """Adds the column ``into``; all other columns stay as they are.
+        """Adds the column ``into``, from 0 to 1; all other columns stay as they are.
+
+        Null text counts as empty, and an empty text is scored by its statistics like any other; texts of any
+        length are read whole. Equal texts get equal scores, repeated rows a row each, an empty table none.
 
         Everything is counted once, in a struct that the rules see as a lambda's variable: a filter on the
         score that is pushed below it then doesn't repeat the counts for every comparison.
