@@ -109,15 +109,17 @@ def trees(stored: DataFrame, block_rows: int) -> dict[int, Tree]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([norms(np.array([v.values.to_numpy()]))[0] for v in batch.column(1)], pa.float64())], ["dim", "norm"])
 
     totals = stored.select("dim", "v").mapInArrow(longest, "dim int, norm double").groupBy("dim").agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    most = {r.dim: r.most or 1.0 for r in totals}
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, own, v in by_dim(batches, "v"):
+            yield pa.RecordBatch.from_arrays([own.column("dim"), own.column("row"), pa.array(list(projected(v, most[dim])[1]), pa.list_(pa.float64()))], ["dim", "row", "low"])
+
+    low = stored.select("dim", "row", "v").mapInArrow(project, "dim int, row long, low array<double>")
     sample: dict[int, list] = {}
-    for r in stored.select("dim", "v").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).toLocalIterator():
-        sample.setdefault(r.dim, []).append(r.v)
-    out = {}
-    for r in totals:
-        most = r.most or 1.0
-        own = np.array(sample.get(r.dim, []), np.float64).reshape(-1, r.dim)
-        out[r.dim] = Tree.over(projected(own, most)[1], most, min(LEAVES, -(-r.n // block_rows)))
-    return out
+    for r in low.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).toLocalIterator():
+        sample.setdefault(r.dim, []).append(r.low)
+    return {r.dim: Tree.over(np.array(sample.get(r.dim, []), np.float64).reshape(-1, DIMENSIONS), most[r.dim], min(LEAVES, -(-r.n // block_rows))) for r in totals}
 
 
 def by_dim(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
