@@ -255,7 +255,7 @@ def c13(c: Catalog) -> DataFrame:
     return c.payload.select("id", F.array_join(records.hash_list(packed, F.lit("SHA256")), ",").alias("digests"))
 
 
-@query("c14_entropy", over("payload", sql=", h AS (SELECT id, strlen(text) AS total, hex(encode(text)) AS x, unnest(range(0, strlen(text))) AS i FROM payload), n AS (SELECT id, substring(x, 2 * i + 1, 2) AS b, count(*) AS k, any_value(total) AS total FROM h GROUP BY ALL) SELECT id, abs(round(-sum(k / total * log2(k / total)), 4)) AS entropy FROM n GROUP BY 1"))
+@query("c14_entropy", over("payload", sql=", h AS (SELECT id, strlen(text) AS total, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM payload), n AS (SELECT id, b, count(*) AS k, any_value(total) AS total FROM h GROUP BY ALL) SELECT id, abs(round(-sum(k / total * log2(k / total)), 4)) AS entropy FROM n GROUP BY 1"))
 def c14(c: Catalog) -> DataFrame:
     return c.payload.select("id", text.entropy(F.col("data")).alias("entropy"))
 
@@ -265,7 +265,7 @@ def c15(c: Catalog) -> DataFrame:
     return c.script.select("id", F.array_join(text.magic(F.encode("source", "UTF-8")), ",").alias("magic"))
 
 
-@query("c16_pattern_hits", over("script", sql=", p AS (SELECT id, source, unnest(range(0, length(source))) AS o FROM script) SELECT id, '</p>' AS term, CAST(o AS INTEGER) AS \"offset\" FROM p WHERE substring(source, o + 1, 4) = '</p>' UNION ALL SELECT id, 'enen', CAST(o AS INTEGER) FROM p WHERE substring(source, o + 1, 4) = 'enen'"))
+@query("c16_pattern_hits", over("script", sql=", c AS (SELECT id, string_split(source, '') AS c FROM script), h AS (SELECT id, unnest(list_filter(list_transform(range(1, len(c) - 2), lambda i: {'o': i - 1, 't': c[i] || c[i + 1] || c[i + 2] || c[i + 3]}), lambda x: x.t IN ('</p>', 'enen'))) AS x FROM c) SELECT id, x.t AS term, CAST(x.o AS INTEGER) AS \"offset\" FROM h"))
 def c16(c: Catalog) -> DataFrame:
     return c.script.select("id", F.explode(text.pattern_hits(F.col("source"), ("</p>", "enen"))).alias("x")).select("id", "x.term", "x.offset")
 
@@ -420,7 +420,7 @@ def k10(c: Catalog) -> DataFrame:
 
 #: Documents and benchmark passages (ids below 0) as entities, with sentences as their strings.
 ENTITIES = """it AS (SELECT doc_id AS id, source AS family, text FROM documents UNION ALL SELECT -1 - item_id, 'benchmark', text FROM benchmark),
-    gg AS (SELECT id, n, i, substring(x, 2 * i + 1, 16) AS g FROM (SELECT id, strlen(text) AS n, hex(encode(text)) AS x, unnest(range(0, greatest(0, strlen(text) - 7))) AS i FROM it)),
+    gg AS (SELECT id, n, u.i, u.g FROM (SELECT id, len(b) AS n, unnest(list_transform(range(1, greatest(1, len(b) - 6)), lambda i: {'i': i, 'g': b[i] || b[i + 1] || b[i + 2] || b[i + 3] || b[i + 4] || b[i + 5] || b[i + 6] || b[i + 7]})) AS u FROM (SELECT id, regexp_extract_all(hex(encode(text)), '..') AS b FROM it))),
     hit AS (SELECT DISTINCT q.id AS a, r.id AS b, q.i, least(q.n, r.n) AS m FROM gg q JOIN (SELECT DISTINCT id, n, g FROM gg) r ON q.g = r.g AND q.id <> r.id AND r.n BETWEEN q.n // 2 AND q.n * 2 WHERE q.id < 0),
     cv AS (SELECT a, b, m, count(DISTINCT pos) AS covered FROM (SELECT a, b, m, unnest(range(i, i + 8)) AS pos FROM hit) GROUP BY ALL)"""
 
