@@ -74,10 +74,10 @@ def with_version(changes: DataFrame, versions: DataFrame, by: str, fallback: str
 
 
 def sync(old: DataFrame, new: DataFrame, key: str, columns: list[str], version: str, known: DataFrame, full: bool) -> dict[str, DataFrame]:
-    """One version's work as lazy tables: snapshot, changes, totals.
+    """One version's work as lazy tables: snapshot, changes, totals and versions.
 
     Raises if new is empty, and returns nothing if the version is known. A full version replaces the
-    snapshot; an incremental one only adds and updates.
+    snapshot; an incremental one only adds and updates. Of the versions, the new one is current.
     """
     if not known.where(F.col("version") == version).isEmpty():
         return {}
@@ -86,4 +86,5 @@ def sync(old: DataFrame, new: DataFrame, key: str, columns: list[str], version:
     changes = changes_between(old, new, key, columns, version)
     if not full:
         changes = changes.where(F.col("change") != "removed")
-    return {"snapshot": new if full else upsert(old, new, key), "changes": changes, "totals": run_totals(changes)}
+    versions = known.select("version", F.lit(False).alias("is_current")).unionByName(old.sparkSession.createDataFrame([(version, True)], "version string, is_current boolean"))
+    return {"snapshot": new if full else upsert(old, new, key), "changes": changes, "totals": run_totals(changes), "versions": versions}

@@ -225,6 +225,26 @@ def m1(c: Catalog) -> DataFrame:
     return delta.sync(c.snapshot_old, c.snapshot_new, "key", ["status", "price", "priority"], "next", c.version, full=False)["totals"]
 
 
+@query("m1_snapshot", over("snapshot_old", "snapshot_new", sql="SELECT key, status, price, priority FROM snapshot_new UNION ALL SELECT key, status, price, priority FROM snapshot_old WHERE key NOT IN (SELECT key FROM snapshot_new)"))
+def m1b(c: Catalog) -> DataFrame:
+    """The snapshot after the incremental version."""
+    return delta.sync(c.snapshot_old, c.snapshot_new, "key", ["status", "price", "priority"], "next", c.version, full=False)["snapshot"]
+
+
+@query("m1_changes", over("snapshot_old", "snapshot_new", sql="SELECT key, CASE WHEN n.key IS NULL THEN 'removed' WHEN o.key IS NULL THEN 'added' ELSE 'updated' END AS change, CASE WHEN o.status <> n.status THEN 'status: ' || o.status || ' -> ' || n.status ELSE '' END AS status_change, 'full' AS version FROM snapshot_old o FULL JOIN snapshot_new n USING (key) WHERE o.key IS NULL OR n.key IS NULL OR o.status <> n.status"))
+def m1c(c: Catalog) -> DataFrame:
+    """The change feed of a full version: removed keys too, and what changed in words."""
+    changes = delta.sync(c.snapshot_old, c.snapshot_new, "key", ["status", "price", "priority"], "full", c.version, full=True)["changes"]
+    updated = F.when(F.col("change") == "updated", F.col("summary")).otherwise("")
+    return changes.select("key", "change", updated.alias("status_change"), "version")
+
+
+@query("m1_versions", over("version", sql="SELECT version, false AS is_current FROM version UNION ALL SELECT 'next', true"))
+def m1d(c: Catalog) -> DataFrame:
+    """The versions after publishing, of which the new one is current."""
+    return delta.sync(c.snapshot_old, c.snapshot_new, "key", ["status"], "next", c.version, full=True)["versions"]
+
+
 @query("m5_store_pairs", over("rule_value", sql=PAIRS + " SELECT a, b, score, 'values' AS kind FROM s WHERE score >= 0.6"))
 def m5(c: Catalog) -> DataFrame:
     pairs = similarity.set_similarity(tagged_values(c), "guid", "value", 0.6)
