@@ -49,10 +49,11 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, most: float):
         self.ids, self.rows, self.norm = ids, rows, norms(rows)
-        self.entry = np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32))
-        self.value = np.take_along_axis(np.ascontiguousarray(rows.T), self.entry.astype(np.int64), 1)
+        self.entry = np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T)
+        self.value = np.take_along_axis(np.ascontiguousarray(rows.T), self.entry, 1)
         with np.errstate(over="ignore"):
             self.square = (rows**2).sum(1)
+        self.usual = float(np.median(self.norm))
 
     def depths(self) -> list[int]:
         """Where reading stops to look at bounds: at 1, 2, 4 ... entries, then after each sixteenth of the lists."""
@@ -60,12 +61,10 @@ class SortedLists:
         step = max(1, n // 16)
         return [*(1 << i for i in range(step.bit_length() - 1)), *range(step, n, step), n]
 
-    def read(self, query: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, values and weights of entries ``a`` to ``b`` of every list, from the end its weight favours."""
-        n, up, down = len(self.rows), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        row = np.concatenate([self.entry[up, a:b].ravel(), self.entry[down, n - b : n - a].ravel()])
-        value = np.concatenate([self.value[up, a:b].ravel(), self.value[down, n - b : n - a].ravel()])
-        return row, value, np.repeat(query[np.concatenate([up, down])], b - a)
+    def read(self, up: np.ndarray, down: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and values of entries ``a`` to ``b`` of the lists ``up``, from the top, and ``down``, from the bottom; a list is a row."""
+        n = len(self.rows)
+        return tuple(np.concatenate([x[up, a:b], x[down, n - b : n - a]]) for x in (self.entry, self.value))
 
     def frontier(self, query: np.ndarray, at: int) -> float:
         """The most that entries from depth ``at`` on can add up to in all lists together."""
@@ -75,42 +74,55 @@ class SortedLists:
         return float(ahead[ahead > 0].sum())
 
     def best(self, own: int, query: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, list[int] | np.ndarray]:
-        """Numbers and exact scores of the rows that may be among the k best and reach the bar."""
+        """Numbers and exact scores of the rows that may be among the k best and reach the bar.
+
+        A row's score lies below what was seen of it plus what the lists' frontiers can add. While there is
+        no bar, it also lies within |x||q| over the unread entries of what was seen, and that is at most
+        (c |x|^2 + |q|^2 / c) / 2 for any c > 0: a sum over entries, of which reading takes its part off. The
+        k-th of these lower bounds is a bar.
+        """
         n, length, whole = len(self.rows), float(norms(query[None])[0]), float((query**2).sum())
-        slack = ROUNDING * length * self.norm
-        place, live = None, np.flatnonzero(self.ids != own)  # all rows may qualify at first
-        seen, square, weight = np.zeros(n), np.zeros(n), np.zeros(n)
-        top, at = float(self.norm.max()), 0
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        weight = query[np.concatenate([up, down])][:, None]
+        c = length / self.usual if length > 0 and self.usual > 0 else 1.0
+        slack = ROUNDING * (c * self.square + whole / c)
+        learn = bar == -np.inf
+        rest = (c * self.square + whole / c) / 2 if learn else None  # the bound of what is unread
+        live, place, at = np.arange(n), None, 0
+        seen, mine = np.zeros(n), self.ids == own
+        top, others = float(self.norm.max()), n - int(mine.sum())
         for to in self.depths():
-            row, value, by = self.read(query, at, to)
+            row, value = self.read(up, down, at, to)
+            add = [value * weight] + ([(c / 2) * value * value + weight * weight / (2 * c)] if learn else [])
+            row, at = row.ravel(), to
             if place is not None:
                 row = place[row]
-                mine = row >= 0
-                row, value, by = row[mine], value[mine], by[mine]
-            for total, what in ((seen, value * by), (square, value * value), (weight, by * by)):
-                total += np.bincount(row, what, len(total))
-            at = to
-            now = live if place is None else slice(None)
-            left = np.maximum(self.square[live] - square[now], 0) + ROUNDING * self.square[live]
-            ahead = np.sqrt(left * np.maximum(whole - weight[now], 0)) if at < n else np.zeros(len(live))
+                known = np.flatnonzero(row >= 0)
+                row, add = row[known], [x.ravel()[known] for x in add]
+            seen += np.bincount(row, add[0].ravel(), len(live))
             frontier = self.frontier(query, at)
-            lower, upper = seen[now] - ahead - slack[live], seen[now] + np.minimum(ahead, frontier) + slack[live]
-            lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
-            if len(live) >= k:
-                bar = max(bar, float(np.partition(lower, len(live) - k)[len(live) - k]))
+            upper = seen + slack + frontier
+            if learn:
+                rest -= np.bincount(row, add[1].ravel(), len(live))
+                ahead = np.maximum(rest, 0) if at < n else np.zeros(len(live))
+                lower, upper = seen - ahead - slack, np.minimum(upper, seen + ahead + slack)
+                lower = np.where(mine | np.isnan(lower), -np.inf, lower)
+                if others >= k:
+                    bar = max(bar, float(np.partition(lower, len(live) - k)[len(live) - k]))
             floor = bar - ROUNDING * abs(bar) - 0.5
-            keep = upper >= floor
-            if place is None and min(frontier, length * top) + ROUNDING * length * top >= floor and at < n:
-                continue  # rows that no list has shown may qualify yet
-            if keep.all() and place is not None:
-                continue
+            keep = ~(upper < floor) & ~mine
+            if at < n and not min(frontier, length * top) + ROUNDING * length * top < floor:
+                keep |= (seen == 0) & ~mine  # a row that no list has shown may qualify yet
+            left = int(keep.sum())
             # from here on entries of other rows are passed over
-            seen, square, weight = (x[now][keep] for x in (seen, square, weight))
-            live = live[keep]
-            place = np.full(n, -1, np.int32)
-            place[live] = np.arange(len(live))
-            if not len(live):
-                break
+            if left < 0.7 * len(live) or (at >= n and left < len(live)):
+                live, slack, seen, mine = (x[keep] for x in (live, slack, seen, mine))
+                rest = rest[keep] if learn else None
+                if not len(live):
+                    break
+                place = np.full(n, -1)
+                place[live] = np.arange(len(live))
+                others = len(live)
         if not length * float(self.norm[live].max(initial=0.0)) < DOUBLE:
             return live, ExactProducts(self.rows, self.square)(live, query)
         return live, np.rint(seen).astype(np.int64)

@@ -83,7 +83,7 @@ def test_lists_are_read_in_order():
     rows[:40] += 900 * np.sign(rows[0])
     lists, exact, far = topk.SortedLists(np.arange(3_000), rows, 1.0), rows @ rows[:30].T, []
     read = lists.read
-    lists.read = lambda q, a, b: far.append(b) or read(q, a, b)
+    lists.read = lambda u, d, a, b: far.append(b) or read(u, d, a, b)
     for j in range(30):
         order = sorted((-s, i) for i, s in enumerate(exact[:, j].tolist()) if i != j)[:5]
         live, scores = lists.best(j, rows[j], -math.inf, 5)
