@@ -9,6 +9,7 @@ from .pii import op6_pii
 from .ppm import op3_ppm
 from .quality import op1_quality
 from .sharding import op4_sharding
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_chat": chat.op9_chat,
     "op10_packing": op10_packing,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {"op2_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE}
