@@ -34,8 +34,6 @@ ROWS = 2
 #: Bits of the sketch that pairs are held against before whole sets are, and its columns.
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
-#: Sets up to this size have parities as their sketch, larger ones one-bit MinHash values.
-SMALL_SET = 1024
 #: Buckets in which coordinate-value pairs are counted to order them by rarity.
 RARITY_BUCKETS = 1 << 16
 #: Up to this length, all members of a list meet.
@@ -43,7 +41,7 @@ SHORT_LIST = 8
 #: Rounds between components, and more as long as each leaves fewer of them in mixed lists by more than a share.
 ROUNDS, FRUITFUL = 3, 0.02
 _RANDOM = np.random.default_rng(7)
-_FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS + BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -85,15 +83,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits of a set as longs.
+    """The parities of a set's number of shingles in each of BITS buckets, as longs.
 
-    A small set gives the parity of its number of shingles in each of BITS buckets: as many parities of two
-    sets differ as shingles are in one of them only, or fewer. A large one gives one-bit MinHash values.
+    As many parities of two sets differ as shingles are in one of them only, or fewer.
     """
-    if len(shingles) <= SMALL_SET:
-        bits = np.bincount((shingles >> np.uint64(64 - 10)).astype(np.int64), minlength=BITS) & 1
-    else:
-        bits = least_values(shingles, HASHES * ROWS, BITS) & np.uint64(1)
+    bits = np.bincount((shingles >> np.uint64(64 - 10)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -103,30 +97,26 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def match_threshold(percent: int, hashes: int = HASHES) -> int:
-    """Coordinates in which a pair at the similarity bound agrees but once in about a million times not."""
-    p = (percent / 100) ** ROWS
-    return max(1, math.floor(hashes * p - 4.75 * math.sqrt(hashes * p * (1 - p))))
-
-
-def bit_threshold(percent: int) -> int:
-    """One-bit MinHash values in which a pair at the similarity bound differs at most, but once in about a million times."""
-    p = (1 - percent / 100) / 2
-    return math.ceil(BITS * p + 4.75 * math.sqrt(BITS * p * (1 - p)))
+def match_threshold(percent: int, hashes: int = HASHES, lost: float = 1e-6) -> int:
+    """The most coordinates in which a pair at the similarity bound agrees, but with a probability of at most ``lost``."""
+    p, below = (percent / 100) ** ROWS, 0.0
+    for match in range(hashes):
+        below += math.comb(hashes, match) * p**match * (1 - p) ** (hashes - match)
+        if below > lost:
+            return max(1, match)
+    return hashes
 
 
 def not_ruled_out(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches of two sets, in columns behind the prefixes ``x`` and ``y``, allow a link.
 
     Sets at the bound differ in (100 - percent) / (100 + percent) of the sum of their sizes, so in no more
-    parities. Sketches of different kinds say nothing.
+    parities: no link is ruled out.
     """
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     differ = reduce(Column.__add__, (F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH))
-    small = F.greatest(n, m) <= SMALL_SET
-    large = F.least(n, m) > SMALL_SET
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return sizes & F.when(small, differ * (100 + percent) <= (n + m) * (100 - percent)).when(large, differ <= bit_threshold(percent)).otherwise(True)
+    return sizes & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def row_hash() -> Column:
@@ -157,19 +147,19 @@ def pair_keys(signatures: pa.Array) -> np.ndarray:
     return mix64((np.arange(HASHES, dtype=np.uint64) << np.uint64(32)) + values + np.uint64(1))
 
 
-def bucket_counts(rows: DataFrame, column: str, keys: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
-    """How often the keys of a column occur over all rows, in RARITY_BUCKETS buckets (a fixed size, whatever the input)."""
+def bucket_counts(rows: DataFrame, column: str, keys: Callable[[pa.Array], np.ndarray], buckets: int = RARITY_BUCKETS) -> np.ndarray:
+    """How often the keys of a column occur over all rows, in a number of buckets (a fixed size, whatever the input)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY_BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             if len(batch):
-                total += np.bincount((keys(batch.column(0)) % np.uint64(RARITY_BUCKETS)).astype(np.int64).ravel(), minlength=RARITY_BUCKETS)
+                total += np.bincount((keys(batch.column(0)) % np.uint64(buckets)).astype(np.int64).ravel(), minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     counted = rows.select(column).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(RARITY_BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     out[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return out
 
@@ -295,7 +285,12 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     columns = ["cls", "root", "n", *SKETCH]
     posted = members.join(sets, "cls").select(*columns, "shingles").mapInArrow(post, ", ".join(f"{c} long" for c in ("shingle", "rest", *columns)))
-    posted = materialise(posted, "prefixes")
+    return across_postings(materialise(posted, "prefixes"), percent)
+
+
+def across_postings(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that meet under a shingle of postings (shingle, rest, cls, root, n, sketch columns) and may be linked."""
+    columns = ["cls", "root", "n", *SKETCH]
     counted = posted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
     common = counted.agg(F.max(F.struct("k", "root"))["root"].alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", "common")
     rows = materialise(posted.join(common, "shingle"), "mixed")
@@ -334,8 +329,17 @@ def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     near = materialise(agreeing(pairs.unionByName(star.select(*ordered("cls", "hub"))).distinct(), classes, match), "candidates")
     asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
     sets = whole_sets(asked, classes, docs, words)
+    return grown(near, long.select("key", "cls"), sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), sets, percent))
+
+
+def grown(near: DataFrame, named: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of components, from first candidates (a, b) and long lists (key, cls).
+
+    Round by round, members of a list that still holds several components meet members of others; what
+    ``last`` makes of the lists (key, cls, root) that hold several even then meets once more, exactly.
+    """
     roots = materialise(connected_components(confirmed(near, sets, percent)), "roots")
-    tried, named, left = near, long.select("key", "cls"), None
+    tried, left = near, None
     for turn in count():
         found = named.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
         named = materialise(mixed_lists(found), "named")
@@ -346,8 +350,8 @@ def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
             break
         met = materialise(plausible(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), sets, percent), "met")
         roots, tried = merged(roots, confirmed(met, sets, percent)), tried.unionByName(met)
-    members = materialise(named.select("cls", "root").distinct(), "members")
-    links = confirmed(across(members, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent)
+    crossing = materialise(last(named), "across")
+    links = confirmed(crossing.join(tried, ["a", "b"], "left_anti"), sets, percent)
     return roots if links.isEmpty() else merged(roots, links)
 
 
@@ -368,7 +372,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least"))
     # a class goes by a number of its own, kept with the written table
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    roots = settled(lambda: class_links(classes, docs, words, percent), "roots")
+    return named_components(rows, classes, settled(lambda: class_links(classes, docs, words, percent), "roots"))
+
+
+def named_components(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The result for each row, from its set (set_hi, set_lo), the classes of sets and the roots of classes."""
     placed = classes.select("cls", "set_hi", "set_lo", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("set_hi", "set_lo", "least", F.coalesce("root", "cls").alias("root"))
     names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root")
     found = rows.join(names, ["set_hi", "set_lo"], "left")
