@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neardup, topk
+from . import chat, hardneg, jaccard, mixing, neardup, topk
 from .ann import op5_nearest
 from .packing import op10_packing
 from .pii import op6_pii
@@ -23,7 +23,8 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_packing": op10_packing,
     "op11_jaccard": jaccard.op11_jaccard,
+    "op12_hardneg": hardneg.op12_hardneg,
     "op13_whitening": op13_whitening,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE, "op11_jaccard": jaccard.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE, "op8_topk": topk.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_hardneg": hardneg.ORACLE}
