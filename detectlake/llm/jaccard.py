@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, settled, table
-from .neardup import SKETCH, across_postings, bucket_counts, class_of, grown, named_components, ordered, plausible, row_hash, shingle_sets, whole_sets
+from .neardup import SKETCH, across_postings, bucket_counts, class_of, grown, named_components, ordered, plausible, row_check, row_hash, shingle_sets, whole_sets
 
 #: Buckets in which n-grams are counted to order columns by rarity.
 COLUMN_BUCKETS = 1 << 18
@@ -30,13 +30,13 @@ LONG_COLUMN = 16
 
 
 def posted_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, row_hash, n_shingles, set_hi, set_lo (null without words) and the first columns of each document, in order, as bytes."""
+    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words) and the first columns of each document, in order, as bytes."""
     seen = bucket_counts(docs, "text", lambda texts: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts, words)]), COLUMN_BUCKETS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, high, low, firsts = [], [], [], []
-            for s in shingle_sets(batch.column(2), words):
+            for s in shingle_sets(batch.column(3), words):
                 n = len(s)
                 first = None
                 if n:
@@ -52,14 +52,14 @@ def posted_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for into, x in zip((sizes, high, low, firsts), (n, hi, lo, first), strict=True):
                     into.append(x)
             made = [pa.array(x, t) for x, t in ((sizes, pa.int64()), (high, pa.int64()), (low, pa.int64()), (firsts, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "row_hash", "n_shingles", "set_hi", "set_lo", "firsts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "firsts"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(post, "doc_id long, row_hash long, n_shingles long, set_hi long, set_lo long, firsts binary")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
+    return rows.mapInArrow(post, "doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, firsts binary")
 
 
 def incidence(classes: DataFrame) -> DataFrame:
-    """The entries (key, cls, size, place) that are posted of a row of n-grams, in columns with n > 1 rows, and two pivot rows of each column."""
+    """The entries (key, cls, size, place) that are posted of a row of n-grams, in columns with n > 1 rows."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,11 +70,18 @@ def incidence(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(own), *repeat, np.concatenate([np.arange(n) for n in lengths]))], ["key", "cls", "size", "place"])
 
     posted = classes.select("cls", "size", "firsts").mapInArrow(entries, "key long, cls long, size long, place long")
-    pivots = [F.min(F.struct(F.xxhash64(F.lit(i), "cls"), "cls"))["cls"].alias(f"pivot{i}") for i in (1, 2)]
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *pivots).where(F.col("n") > 1)
+    # most n-grams occur once, so that keys alone are counted first
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return materialise(posted.join(shared, "key"), "entries")
 
 
+def pivots(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the rows of long columns with two rows of each, chosen by two hashes."""
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(i), "cls"), "cls"))["cls"] for i in (1, 2)]
+    two = long.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivot"))
+    return long.join(two, "key").select("cls", F.explode("pivot").alias("pivot")).where(F.col("cls") != F.col("pivot")).select(*ordered("cls", "pivot")).distinct()
+
+
 def product(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the columns ``entries`` of at most LONG_COLUMN rows show, their counts and what later columns can add.
 
@@ -136,10 +143,9 @@ def class_roots(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     entries = incidence(classes)
     long = entries.where(F.col("n") > LONG_COLUMN)
     near = materialise(candidates(entries, percent), "candidates")
-    star = long.select("cls", F.explode(F.array("pivot1", "pivot2")).alias("pivot")).where(F.col("cls") != F.col("pivot"))
     asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
     sets = whole_sets(asked, classes, docs, words)
-    near = materialise(near.unionByName(plausible(star.select(*ordered("cls", "pivot")).distinct(), sets, percent)).distinct(), "near")
+    near = materialise(plausible(near.unionByName(pivots(long)).distinct(), sets, percent), "near")
 
     def last(named: DataFrame) -> DataFrame:
         # the first column that a linked pair shares leaves enough after it in both rows
@@ -163,7 +169,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     rows = materialise(posted_rows(docs, words, percent), "posted")
     of_set = rows.where(F.col("set_hi").isNotNull()).groupBy("set_hi", "set_lo")
-    classes = of_set.agg(F.first("firsts").alias("firsts"), F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = of_set.agg(F.first("firsts").alias("firsts"), F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     return named_components(rows, classes, settled(lambda: class_roots(classes, docs, words, percent), "roots"))
 

@@ -123,22 +123,27 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def row_check() -> Column:
+    """64 more bits of a row's id and text: both hashes together stand for the row."""
+    return F.xxhash64(F.lit(1), "doc_id", "text")
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_hash, n_shingles, set_hi, set_lo (null without words) and signature of each row."""
+    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words) and signature of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, signatures = [], [], []
-            for s in shingle_sets(batch.column(2), words):
+            for s in shingle_sets(batch.column(3), words):
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else (None, None))
                 signatures.append(signature(s).tobytes() if len(s) else None)
             high, low = zip(*classes, strict=True) if classes else ((), ())
             made = [pa.array(x, t) for x, t in ((sizes, pa.int64()), (high, pa.int64()), (low, pa.int64()), (signatures, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "row_hash", "n_shingles", "set_hi", "set_lo", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "signature"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(sign, "doc_id long, row_hash long, n_shingles long, set_hi long, set_lo long, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
+    return rows.mapInArrow(sign, "doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, signature binary")
 
 
 def pair_keys(signatures: pa.Array) -> np.ndarray:
@@ -201,9 +206,10 @@ def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
 
 def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(cls, n, sketch columns, shingles) of the classes asked for, made again from one text of each."""
-    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "text")
-    texts = keyed.join(reps, (F.col("row_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("cls", "text")
+    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select("cls", "rep.row_hash", "rep.row_check")
+    keyed = docs.select(row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
+    # rows that are equal in id and text lie together behind the join, where one of them is kept
+    texts = keyed.join(reps, ["row_hash", "row_check"]).dropDuplicates(["row_hash", "row_check"]).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +220,7 @@ def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array(x) for x in bits.T.copy()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "n", *SKETCH, "shingles"])
 
     schema = "cls long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", shingles binary"
-    # rows that are equal in id and text give equal sets
-    return materialise(texts.mapInArrow(sets, schema).dropDuplicates(["cls"]), "sets")
+    return materialise(texts.mapInArrow(sets, schema), "sets")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +241,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    sides = [sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    sides = [sets.join(pairs.select(F.col(k).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
     found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
     return materialise(found, "links")
 
@@ -302,6 +307,13 @@ def across_postings(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*ordered("xcls", "ycls")).distinct()
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no component (node, root) holds both of."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of components after further links (a, b): the old components become single nodes."""
     names = roots.withColumnRenamed("root", "r")
@@ -338,7 +350,11 @@ def grown(near: DataFrame, named: DataFrame, sets: DataFrame, percent: int, last
     Round by round, members of a list that still holds several components meet members of others; what
     ``last`` makes of the lists (key, cls, root) that hold several even then meets once more, exactly.
     """
-    roots = materialise(connected_components(confirmed(near, sets, percent)), "roots")
+    # each class first meets the least of its candidates; what that joins needn't be compared again
+    first = materialise(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    roots = materialise(connected_components(confirmed(first, sets, percent)), "roots")
+    rest = materialise(apart(near.join(first, ["a", "b"], "left_anti"), roots), "rest")
+    roots = merged(roots, confirmed(rest, sets, percent))
     tried, left = near, None
     for turn in count():
         found = named.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
@@ -350,8 +366,8 @@ def grown(near: DataFrame, named: DataFrame, sets: DataFrame, percent: int, last
             break
         met = materialise(plausible(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), sets, percent), "met")
         roots, tried = merged(roots, confirmed(met, sets, percent)), tried.unionByName(met)
-    crossing = materialise(last(named), "across")
-    links = confirmed(crossing.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    crossing = materialise(last(named).join(tried, ["a", "b"], "left_anti"), "across")
+    links = confirmed(crossing, sets, percent)
     return roots if links.isEmpty() else merged(roots, links)
 
 
@@ -369,7 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = materialise(signed(docs, words), "signed")
     of_set = rows.where(F.col("set_hi").isNotNull()).groupBy("set_hi", "set_lo")
-    classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
     # a class goes by a number of its own, kept with the written table
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     return named_components(rows, classes, settled(lambda: class_links(classes, docs, words, percent), "roots"))
