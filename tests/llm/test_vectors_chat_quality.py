@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from detectlake.llm import ann, chat, pipeline, quality, topk
+from detectlake.llm import ann, chat, mixing, pipeline, quality, topk
 
 
 @pytest.fixture(scope="module")
@@ -328,6 +328,19 @@ def test_mixing_stage_takes_what_the_mix_says_of_repeated_rows(spark, corpus, tm
     assert all(abs(taken[s] - want[s]) < 60 for s in order if want[s] < 3 * size[s])
 
 
+def test_mixing_stage_keeps_sources_apart(spark, corpus, tmp_path):
+    """Rows equal in id and text but from several sources get what the mix takes of each source's own."""
+    docs, labels = corpus
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "one row of two sources", s) for s in ("a", "b", "c")] + [(10 + i, f"words of source c {i} " * 40, "c") for i in range(40)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    scored = pipeline.learnt(spark, str(tmp_path), None).score(some, "text", "quality")
+    want = Counter({(r.source, r.doc_id): r.copies for r in mixing.mix_sources(scored, quality="quality").collect() if r.copies})
+    got = Counter((r.source, r.doc_id) for r in pipeline.mixing_stage(spark, some, str(tmp_path)).select("source", "doc_id").collect())
+    assert got == want and got["a", 1] == 3 and got["a", 1] != got["c", 1]
+
+
 def test_pipeline_on_nothing(spark, corpus, tmp_path):
     import corpus_pipeline
 
