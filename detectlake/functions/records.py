@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .text import MAGIC, latin, network_indicators, searchable_text
 
 RULE_TYPE = "struct<threshold:int,subrules:array<struct<weight:int,bytes:binary>>>"
@@ -144,16 +145,15 @@ def ingest(records: DataFrame, names: dict[int, str], types: dict[str, tuple[str
     from .naming import fix_name, parse_name
 
     code = F.col("sig_type")
-    placed = assign_blocks(records, code == begin, code == end)
+    # what reads containers runs once
+    records = materialise(records, "records")
     little = lambda at, n: F.conv(F.concat(*(F.hex(F.substring("data", at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("long")
     fits = F.octet_length("data") >= 13
-    heads = records.where(code == begin).select(
-        F.col("path").alias("head_path"),
-        F.col("offset").alias("head_at"),
-        F.when(fits, little(1, 4)).otherwise(0).alias("owner"),
-        F.when(fits, fix_name(F.decode(F.substr("data", F.lit(14), little(11, 1).cast("int")), "ISO-8859-1"))).otherwise("").alias("owner_name"),
-    )
-    items = placed.where(~code.isin(begin, end)).join(heads, (F.col("path") == F.col("head_path")) & (F.col("block") == F.col("head_at")), "left")
+    head = {
+        "owner": F.when(fits, little(1, 4)).otherwise(0),
+        "owner_name": F.when(fits, fix_name(F.decode(F.substr("data", F.lit(14), little(11, 1).cast("int")), "ISO-8859-1"))).otherwise(""),
+    }
+    items = assign_blocks(records, code == begin, code == end, head).where(~code.isin(begin, end))
     name = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("sig_type"))
     items = items.withColumn("sig_type_name", name)
     shown = searchable_text(F.col("data"), F.col("sig_type_name"), text_types)

@@ -27,22 +27,37 @@ def representative_selection(df: DataFrame, by: str, order: str, cap: int) -> Da
     return df.withColumn("first", first).orderBy(F.desc("first"), order).limit(cap)
 
 
-def assign_blocks(records: DataFrame, begin: Column, end: Column) -> DataFrame:
+#: Bytes of a file whose records are ordered together.
+SPAN = 1 << 22
+
+
+def assign_blocks(records: DataFrame, begin: Column, end: Column, carry: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
     """The record that begins the block around each record; null outside of blocks.
 
     Reads path and offset. A block counts only if an end marker follows its begin before the next begin; its
-    key is the begin record's offset. Markers belong to no block. Order matters only within one file.
+    key is the begin record's offset. Markers belong to no block. ``carry`` gives columns of the begin record
+    to its block's records. Records are ordered within ``span`` bytes of a file; of each span only its first
+    and last marker go on to the others, so that a file of any size is many tasks' work.
     """
-    ahead = Window.partitionBy("path").orderBy("offset").rowsBetween(1, Window.unboundedFollowing)
-    so_far = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = carry or {}
     mark = F.when(begin, F.lit("b")).when(end, F.lit("e"))
-    rows = records.withColumn("__mark", mark).withColumn("__next", F.first("__mark", ignorenulls=True).over(ahead))
-    opens = F.when(F.col("__mark") == "b", F.struct((F.col("__next") == "e").alias("closed"), F.col("offset").alias("at"), F.lit(True).alias("inside")))
-    shuts = F.when(F.col("__mark") == "e", F.struct(F.lit(False).alias("closed"), F.col("offset").alias("at"), F.lit(False).alias("inside")))
-    state = F.last(F.coalesce(opens, shuts), ignorenulls=True).over(so_far)
-    rows = rows.withColumn("__state", state)
-    inside = F.col("__mark").isNull() & F.coalesce(F.col("__state.inside") & F.col("__state.closed"), F.lit(False))
-    return rows.withColumn("block", F.when(inside, F.col("__state.at"))).drop("__mark", "__next", "__state")
+    told = F.when(mark.isNotNull(), F.struct(mark.alias("mark"), F.col("offset").alias("at"), *(F.when(begin, v).alias(k) for k, v in carry.items())))
+    rows = records.withColumn("__told", told).withColumn("__span", F.floor(F.col("offset") / span))
+    marks = rows.where(F.col("__told").isNotNull()).groupBy("path", "__span").agg(F.min_by("__told", "offset").alias("first"), F.max_by("__told", "offset").alias("last"))
+    # spans without a marker, too, have to know those around them
+    spans = rows.select("path", "__span").distinct().join(marks, ["path", "__span"], "left")
+    by = Window.partitionBy("path").orderBy("__span")
+    before = F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    spans = spans.select("path", "__span", before.alias("__before"), after["mark"].alias("__after"))
+    own = Window.partitionBy("path", "__span").orderBy("offset")
+    rows = rows.withColumn("__last", F.last("__told", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__next", F.first("__told", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))["mark"])
+    rows = rows.join(spans, ["path", "__span"]).withColumn("__state", F.coalesce("__last", "__before"))
+    # no marker stands between a begin and the records of its block, so what follows them follows it
+    inside = F.col("__told").isNull() & (F.col("__state.mark") == "b") & (F.coalesce("__next", "__after") == "e")
+    made = {"block": F.when(inside, F.col("__state.at"))} | {k: F.when(inside, F.col("__state")[k]) for k in carry}
+    return rows.withColumns(made).select(*records.columns, *made)
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
 from ..operators import aggregates, delta, similarity, windows
-from ..sources import readers, sinks
+from ..scratch import new_folder
+from ..sources import readers, segments, sinks
 from .bind import Catalog, over
 from .registry import query
 
@@ -482,26 +483,42 @@ def containers(c: Catalog) -> DataFrame:
     name = F.encode(F.concat("lang", F.lit(":"), "source", F.lit("/x")), "UTF-8")
     head = F.concat(little(F.col("doc_id"), 4), F.unhex(F.lit("00" * 6)), little(F.octet_length(name), 1), F.unhex(F.lit("0000")), name)
     kind = F.lpad(F.hex(F.pmod("doc_id", F.lit(4)) + 1), 2, "0")
-    whole = F.concat(record(F.lit("5C"), head), record(kind, F.encode("text", "UTF-8")), record(F.lit("5D"), F.encode(F.lit("end"), "UTF-8")), record(F.lit("02"), F.encode(F.lit("outside"), "UTF-8")))
+    # the text sink ends each row with a line feed: it is the last byte of the record outside of blocks
+    outside = F.concat(record(F.lit("02"), F.encode(F.lit("outside\n"), "UTF-8")))
+    whole = F.concat(record(F.lit("5C"), head), record(kind, F.encode("text", "UTF-8")), record(F.lit("5D"), F.encode(F.lit("end"), "UTF-8")), outside)
     return c.read("documents").select(F.col("doc_id").cast("string").alias("path"), whole.alias("content"))
 
 
+def container_files(c: Catalog) -> str:
+    """A folder of container files, each with the blocks of very many documents one after another."""
+    folder = new_folder(c.spark)
+    containers(c).select(F.expr("substring(content, 1, length(content) - 1)").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/containers")
+    return f"{folder}/containers"
+
+
 #: Size of the head's payload: 13 bytes and the name.
 HEAD = "(13 + strlen(lang || ':' || source || '/x'))"
 
 
-@query("s2_container_records", f"SELECT CAST(doc_id AS VARCHAR) AS path, r.kind AS sig_type, r.size, r.at AS \"offset\" FROM (SELECT doc_id, unnest([{{'kind': 92, 'size': {HEAD}, 'at': 0}}, {{'kind': CAST(doc_id % 4 + 1 AS INTEGER), 'size': strlen(text), 'at': 4 + {HEAD}}}, {{'kind': 93, 'size': 3, 'at': 8 + {HEAD} + strlen(text)}}, {{'kind': 2, 'size': 7, 'at': 15 + {HEAD} + strlen(text)}}]) AS r FROM documents)")
+@query("s2_container_records", f"SELECT CAST(doc_id AS VARCHAR) AS path, r.kind AS sig_type, r.size, r.at AS \"offset\" FROM (SELECT doc_id, unnest([{{'kind': 92, 'size': {HEAD}, 'at': 0}}, {{'kind': CAST(doc_id % 4 + 1 AS INTEGER), 'size': strlen(text), 'at': 4 + {HEAD}}}, {{'kind': 93, 'size': 3, 'at': 8 + {HEAD} + strlen(text)}}, {{'kind': 2, 'size': 8, 'at': 15 + {HEAD} + strlen(text)}}]) AS r FROM documents)")
 def s2(c: Catalog) -> DataFrame:
     return readers.explode_records(containers(c)).select("path", "sig_type", "size", "offset")
 
 
+@query("s2_segmented_scan", f"SELECT kind AS sig_type, size, md5 FROM (SELECT 92 AS kind, {HEAD} AS size, md5(from_hex(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', doc_id % 256, doc_id // 256 % 256, doc_id // 65536 % 256, doc_id // 16777216 % 256) || '000000000000' || format('{{:02X}}', {HEAD} - 13) || '0000') || encode(lang || ':' || source || '/x')) AS md5 FROM documents UNION ALL SELECT CAST(doc_id % 4 + 1 AS INTEGER), strlen(text), md5(text) FROM documents UNION ALL SELECT 93, 3, md5('end') FROM documents UNION ALL SELECT 2, 8, md5('outside' || chr(10)) FROM documents)")
+def s2_segmented(c: Catalog) -> DataFrame:
+    """Files of many containers' records, read in ranges by many tasks each."""
+    found = segments.scan_records(c.spark, container_files(c))
+    return found.select("sig_type", "size", F.md5("data").alias("md5"))
+
+
 @query("m2_ingest", f"""WITH i AS (SELECT doc_id AS owner, lang || ':' || source || '/x' AS owner_name, source AS family, CAST(doc_id % 4 + 1 AS INTEGER) AS sig_type, strlen(text) AS size, sha256(text) AS data_hash, text, doc_id FROM documents
-      UNION ALL SELECT NULL, NULL, 'Unknown', 2, 7, sha256('outside'), 'outside', doc_id FROM documents),
+      UNION ALL SELECT NULL, NULL, 'Unknown', 2, 8, sha256('outside' || chr(10)), 'outside', doc_id FROM documents),
     s AS (SELECT *, CASE sig_type WHEN 1 THEN 'TEXT' WHEN 2 THEN 'TEXT_EXT' WHEN 3 THEN 'BLOBHSTR' END AS sig_type_name, CASE WHEN sig_type = 3 THEN '' ELSE array_to_string(regexp_extract_all(text, '[\x20-\x7e]{{3,}}'), ' ') END AS searchable FROM i)
     SELECT owner, owner_name, family, sig_type, sig_type_name, size, data_hash, CASE sig_type WHEN 1 THEN 'Text/Plain' WHEN 2 THEN 'Text/Long' WHEN 3 THEN 'Other/Strings' ELSE 'Unknown' END AS category, CASE sig_type WHEN 2 THEN 'Ext' ELSE '' END AS subcategory, md5(searchable) AS searchable FROM s""")
 def m2(c: Catalog) -> DataFrame:
-    """Containers read to items with owner, class, text and digest; all classes and the rows outside of blocks occur."""
-    items = records.ingest(readers.explode_records(containers(c)), NAMED, {"TEXT": ("Text/Plain", None), "TEXT_EXT": ("Text/Long", "Ext")}, ("TEXT", "TEXT_EXT"))
+    """Container files read in ranges to items with owner, class, text and digest; a file holds very many blocks."""
+    items = records.ingest(segments.scan_records(c.spark, container_files(c)), NAMED, {"TEXT": ("Text/Plain", None), "TEXT_EXT": ("Text/Long", "Ext")}, ("TEXT", "TEXT_EXT"))
     return items.select("owner", "owner_name", "family", "sig_type", "sig_type_name", "size", "data_hash", "class.category", F.coalesce("class.subcategory", F.lit("")).alias("subcategory"), F.md5("searchable").alias("searchable"))
 
 
