@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..operators.dictionary import first_class
 
 
 def first_match(text: Column, parts: Sequence[tuple[str, str]]) -> Column:
@@ -35,26 +35,10 @@ def type_category(type_name: Column, text: Column | None = None, types: Mapping[
     return F.struct(F.when(named, F.coalesce(category, guess)).otherwise("Unknown").alias("category"), F.when(named & category.isNotNull(), F.coalesce(subcategory, refined)).alias("subcategory"))
 
 
-#: A dictionary of at most so many terms becomes a literal in the plan.
-LITERAL_TERMS = 1_000
-
-
 def classify_by(df: DataFrame, text: str, dictionary: DataFrame, into: str = "class", fallback: str = "Other") -> DataFrame:
-    """First entry (by ``priority``) of a dictionary (term, priority, class) whose term the text contains, in any case.
+    """First entry (by ``priority``, then term) of a dictionary (term, priority, class) whose term the text contains, in any case.
 
-    A small dictionary becomes one array literal, so that rows aren't multiplied. A larger one is looked up
-    by the terms' first word: texts give their distinct words, and only terms that begin with one of them are
-    compared; terms must then begin at a word.
+    A term counts wherever it stands in the text, for dictionaries of any size. Null and empty terms are left
+    out; null and empty texts get the fallback.
     """
-    terms = materialise(dictionary.select("priority", F.lower("term").alias("term"), "class").where(F.col("term").isNotNull()), "terms")
-    few = terms.orderBy("priority", "term").limit(LITERAL_TERMS + 1).collect()
-    low = F.lower(F.col(text))
-    if len(few) <= LITERAL_TERMS:
-        found = [F.when(low.contains(t.term), F.lit(t["class"])) for t in few]
-        return df.withColumn(into, F.coalesce(*found, F.lit(fallback)))
-    word = lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1)
-    texts = df.select(low.alias("text")).distinct()
-    words = texts.select("text", F.explode(F.array_distinct(F.split(F.trim("text"), r"\s+"))).alias("word"))
-    hits = words.join(terms.withColumn("word", word(F.col("term"))), "word").where(F.col("text").contains(F.col("term")))
-    best = hits.groupBy("text").agg(F.min(F.struct("priority", "term", "class"))["class"].alias("best")).withColumnRenamed("text", "best_text")
-    return df.join(best, low == F.col("best_text"), "left").withColumn(into, F.coalesce("best", F.lit(fallback))).drop("best", "best_text")
+    return first_class(df, text, dictionary, into, fallback)

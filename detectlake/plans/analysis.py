@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
-from ..operators import aggregates, delta, similarity, windows
+from ..operators import aggregates, delta, dictionary, similarity, windows
 from ..scratch import new_folder
 from ..sources import readers, segments, sinks
 from .bind import Catalog, over
@@ -268,7 +268,8 @@ def c15(c: Catalog) -> DataFrame:
 
 @query("c16_pattern_hits", over("script", sql=", c AS (SELECT id, string_split(source, '') AS c FROM script), h AS (SELECT id, unnest(list_filter(list_transform(range(1, len(c) - 2), lambda i: {'o': i - 1, 't': c[i] || c[i + 1] || c[i + 2] || c[i + 3]}), lambda x: x.t IN ('</p>', 'enen'))) AS x FROM c) SELECT id, x.t AS term, CAST(x.o AS INTEGER) AS \"offset\" FROM h"))
 def c16(c: Catalog) -> DataFrame:
-    return c.script.select("id", F.explode(text.pattern_hits(F.col("source"), ("</p>", "enen"))).alias("x")).select("id", "x.term", "x.offset")
+    terms = c.spark.createDataFrame([("</p>",), ("enen",)], "term string")
+    return dictionary.term_hits(c.script, "id", "source", terms, every=True).select("id", "term", F.col("offset").cast("int").alias("offset"))
 
 
 @query("c18_string_class", over("payload", sql=f", w AS (SELECT id, unnest(list_distinct(string_split(text, ' '))) AS s FROM payload) SELECT {CLASSES} AS class, count(*) AS n FROM w GROUP BY 1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
-from ..operators import aggregates, delta, filters, paging, similarity, windows
+from ..operators import aggregates, delta, dictionary, filters, paging, similarity, windows
 from ..sources import sinks
 from .analysis import PATHS, paths
 from .bind import Catalog, over
@@ -69,10 +69,26 @@ TERMS_SQL = ", terms(term, bin, technique, category) AS (VALUES " + ", ".join(st
 
 
 def term_hits(c: Catalog) -> DataFrame:
-    """Items with each dictionary term in them: the dictionary is one array literal, so items aren't multiplied before they hit."""
-    known = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("term", "bin", "technique", "category"), t, strict=True))) for t in TERMS))
-    low = F.lower("text")
-    return c.payload.select("id", "owner", F.explode(F.filter(known, lambda t: low.contains(t["term"]))).alias("t")).select("id", "owner", "t.*")
+    """Items with each term of the caller's dictionary in them, in any case."""
+    terms = c.spark.createDataFrame(TERMS, "term string, bin string, technique string, category string")
+    found = dictionary.term_hits(c.payload.select("id", F.lower("text").alias("low")), "id", "low", terms)
+    return found.select("id", "term").join(c.payload.select("id", "owner"), "id").join(terms, "term").select("id", "owner", *terms.columns)
+
+
+#: A dictionary as large as its table: all runs of three words of the benchmark's passages.
+RUNS = r"terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS term FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)))"
+
+
+def runs(c: Catalog) -> DataFrame:
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
+    return c.read("benchmark").select(w.alias("w")).where(F.size("w") > 2).select(F.explode(three).alias("term")).distinct()
+
+
+@query("j10_large_dictionary", "WITH " + RUNS + " SELECT doc_id, term, CAST((length(low) - length(replace(low, term, ''))) // length(term) >= 1 AS INTEGER) AS there, CAST(instr(low, term) - 1 AS BIGINT) AS \"offset\" FROM (SELECT doc_id, lower(text) AS low FROM documents), terms WHERE contains(low, term)")
+def j10_large(c: Catalog) -> DataFrame:
+    found = dictionary.term_hits(c.read("documents").select("doc_id", F.lower("text").alias("low")), "doc_id", "low", runs(c))
+    return found.select("doc_id", "term", (F.col("n") >= 1).cast("int").alias("there"), "offset")
 
 
 @query("j10_dictionary_hits", over("payload", sql=TERMS_SQL + " SELECT id, term, technique FROM hits"))

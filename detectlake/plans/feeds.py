@@ -13,6 +13,7 @@ from ..functions import naming, records
 from ..scratch import new_folder
 from ..sources import readers, sinks
 from ..streaming import jobs
+from ..streaming.snapshots import Snapshot
 from .bind import Catalog, over
 from .composite import CALLS, calls
 from .registry import query
@@ -156,11 +157,11 @@ CHANGED = "d AS (SELECT key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS
 
 @query("r2_change_feed", over("snapshot_old", "snapshot_new", sql=", " + CHANGED + " SELECT key, change, coalesce(was, '') AS was, coalesce(is_now, '') AS is_now FROM d WHERE change <> 'same'"))
 def r2(c: Catalog) -> DataFrame:
-    """What changed, deletions too: the last row of a key counts, and what is as it was makes no change."""
+    """What changed, deletions too, over several files and batches: the last row of a key counts, and what is as it was makes no change."""
     folder = new_folder(c.spark)
     path = f"{folder}/feed"
-    change_rows(c).repartition(1, "key").write.parquet(path)
-    stream = jobs.file_stream(c.spark, path, change_rows(c).schema)
+    change_rows(c).repartition(8, "key").write.parquet(path)
+    stream = jobs.file_stream(c.spark, path, change_rows(c).schema, per_trigger=4)
     jobs.change_feed(stream, folder, c.snapshot_old, ["status", "price"], "key", "at", "gone").awaitTermination()
     changes = c.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
     return changes.select("key", "change", F.coalesce("before.status", F.lit("")).alias("was"), F.coalesce("after.status", F.lit("")).alias("is_now"))
@@ -174,7 +175,7 @@ def r2b(c: Catalog) -> DataFrame:
     change_rows(c).repartition(3, "key").write.parquet(path)
     stream = jobs.file_stream(c.spark, path, change_rows(c).schema, per_trigger=1)
     jobs.change_feed(stream, folder, c.snapshot_old, ["status", "price"], "key", "at", "gone").awaitTermination()
-    return c.spark.read.parquet(jobs.newest(c.spark, f"{folder}/snapshot")).select("key", "status", "price")
+    return Snapshot.open(c.spark, f"{folder}/snapshot").read().select("key", "status", "price")
 
 
 @query("r3_streamed_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -195,8 +196,9 @@ def r4(c: Catalog) -> DataFrame:
     path = f"{new_folder(c.spark)}/feed"
     rows = c.read("events").select(F.col("ts").cast("timestamp").alias("changed_at"), (F.col("event_id") % 7).alias("part"))
     for part in ("part < 5", "part = 5", "part = 6"):  # the file source takes older files first
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.file_stream(c.spark, path, rows.schema, per_trigger=1)
+        rows.where(part).write.mode("append").parquet(path)
+    # a batch a part: as many files as each has written
+    stream = jobs.file_stream(c.spark, path, rows.schema, per_trigger=rows.rdd.getNumPartitions())
     days, _ = jobs.run_to_files(jobs.daily_counts(stream.select("changed_at")), "update", ["day"])
     return days.select(F.col("day").cast("string").alias("day"), "n")
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.delta import field_diff, snapshot_delta, upsert
+from ..operators.delta import field_diff, snapshot_delta
 from ..operators.windows import last_wins
-from ..scratch import children, new_folder
+from ..scratch import children, materialise, new_folder
+from .snapshots import Snapshot
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1_000, form: str = "parquet") -> DataFrame:
@@ -45,26 +47,24 @@ def change_feed(stream: DataFrame, folder: str, first: DataFrame, columns: list[
     """Bring a snapshot up to date batch by batch, and keep what really changed, before and after (R2).
 
     Stream rows have the key, the columns, ``order`` (the last row of a key counts, in a batch) and whether
-    the key is ``deleted``. ``folder``/snapshot/N and ``folder``/changes/N hold the state after batch N and
-    its changes (added, updated, removed, with diff and summary); nothing tracked changed: no row. Batch N
-    reads the snapshot before it and overwrites its own folders, so that a repeated batch does no harm. A
-    snapshot goes once there are two newer ones.
+    the key is ``deleted``. ``folder``/snapshot is a ``Snapshot`` with the state after each batch, of which a
+    batch writes what it changes; ``folder``/changes/N holds batch N's changes (added, updated, removed, with
+    diff and summary); nothing tracked changed: no row. Batch N reads the state before it, of its own keys
+    only, and replaces what it had written, so that a repeated batch does no harm.
     """
     spark = stream.sparkSession
+    schema = first.select(key, *columns).schema
+    state = Snapshot(spark, f"{folder}/snapshot", schema, key)
+    state.start(first)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        path = newest(spark, f"{folder}/snapshot", epoch)
-        old = (spark.read.schema(first.schema).parquet(path) if path else first).select(key, *columns)
-        last = last_wins(df, [key], [F.desc(order), F.desc(F.xxhash64(*columns))])
-        gone = last.where(deleted).select(key)
-        new = last.where(~F.col(deleted)).select(key, *columns)
-        touched = old.join(last.select(key), key, "left_semi")
-        delta = snapshot_delta(touched, new, key, columns).where(F.col("change") != "same")
+        last = materialise(last_wins(df, [key], [F.desc(order), F.desc(F.xxhash64(*columns))]), "last")
+        old, new = state.read(epoch, last), last.where(~F.col(deleted)).select(key, *columns)
+        delta = snapshot_delta(old, new, key, columns).where(F.col("change") != "same")
         by_epoch(f"{folder}/changes")(delta.withColumns(field_diff("before", "after", columns)).withColumn("epoch", F.lit(epoch)), epoch)
-        by_epoch(f"{folder}/snapshot")(upsert(old, new, key, gone), epoch)
-        for name in sorted((n for n in children(spark, f"{folder}/snapshot") if n.isdigit() and int(n) < epoch - 1), key=int):
-            place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot/{name}")
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        told = spark.read.parquet(f"{folder}/changes/{epoch}")
+        now = [F.when(F.col("change") == "removed", F.col(f"before.{c}")).otherwise(F.col(f"after.{c}")).alias(c) for c in columns]
+        state.apply(told.select(key, *now, (F.col("change") == "removed").alias("deleted")), epoch)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
@@ -79,9 +79,40 @@ def daily_counts(changes: DataFrame, at: str = "changed_at", late: str | None =
     return days.agg(F.count(F.lit(1)).alias("n")).select(F.to_date("window.start").alias("day"), "n")
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark dropped so far."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop, batch by batch, for as long as a query runs.
+
+    A query's own progress reports go back a hundred batches only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped, self.batches = spark, Counter(), Counter()
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        progress = event.progress
+        self.batches[str(progress.id)] += 1
+        self.dropped[str(progress.id)] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.streams.removeListener(self)
+
+    def of(self, query: StreamingQuery) -> int:
+        """Rows of a query that were dropped so far, in all batches since the listener was added."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        return self.dropped[str(query.id)]
 
 
 def entity_state(changes: DataFrame) -> DataFrame:
@@ -107,21 +138,23 @@ def enriched(scripts: DataFrame, names: Column, rules: DataFrame, **own: Column)
 def publish_unchanged(stream: DataFrame, folder: str, inputs: Callable[[], DataFrame], pending: str = "pending") -> StreamingQuery:
     """Publish results (id, content_hash, ...) whose input still has the hash and status they were made from.
 
-    Inputs are read anew for every batch, and the check is part of the batch's write. ``published`` reads
-    the outcome: the last one of each id.
+    Inputs are read anew for every batch, and the check is part of the batch's write. ``folder``/published is
+    a ``Snapshot`` by id: a batch writes the rows that it publishes, and ``published`` reads the outcome.
     """
+    rows = T.StructType([f for f in stream.schema.fields])
+    state = Snapshot(stream.sparkSession, f"{folder}/published", rows, "id")
 
     def batch(df: DataFrame, epoch: int) -> None:
         now = inputs().where(F.col("status") == pending).select("id", "content_hash")
-        by_epoch(f"{folder}/published")(df.join(now, ["id", "content_hash"], "left_semi").withColumn("epoch", F.lit(epoch)), epoch)
+        good = last_wins(df.join(now, ["id", "content_hash"], "left_semi"), ["id"], [F.desc("content_hash"), F.desc(F.xxhash64(*rows.names))])
+        state.apply(good.withColumn("deleted", F.lit(False)), epoch)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
-    """The last published row of each id; a later batch replaces what an earlier one had."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/published")
-    return last_wins(rows, ["id"], [F.desc("epoch"), F.desc("content_hash")]).drop("epoch")
+    """The last published row of each id; a later batch replaces what an earlier one had. Fails if nothing was ever run."""
+    return Snapshot.open(spark, f"{folder}/published").read()
 
 
 def run_to_files(stream: DataFrame, mode: str, keys: list[str] | None = None) -> tuple[DataFrame, StreamingQuery]:
