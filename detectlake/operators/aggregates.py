@@ -63,18 +63,6 @@ def merge_lists(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return df.select(by).distinct().join(wide, by, "left").select(by, *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in fields))
 
 
-def entity_fingerprints(items: DataFrame, by: str = "owner") -> DataFrame:
-    """A digest of each entity's items, equal exactly if they are equal in content and order.
-
-    Every item, with its place, becomes a digest, whose parts of 32 bits are summed up: sums don't ask for an
-    order, so that an entity's items are never gathered. The digest is that of their number and the sums.
-    """
-    rows = items.withColumn("digest", F.sha2(F.concat_ws("|", "sig_type", "size", "ord", "category", "subcategory"), 256))
-    parts = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"part{i}") for i in range(8)]
-    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_items"), *parts)
-    return sums.select(by, "n_items", F.sha2(F.concat_ws("|", "n_items", *(f"part{i}" for i in range(8))), 256).alias("fingerprint"))
-
-
 def daily_activity(changes: DataFrame, at: str = "changed_at") -> DataFrame:
     """Changes by UTC day with zeros from the first to the last day; no rows if nothing was tracked."""
     days = changes.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"))

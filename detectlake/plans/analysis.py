@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
-from ..operators import aggregates, delta, dictionary, similarity, windows
+from ..operators import aggregates, delta, dictionary, merkle, similarity, windows
 from ..scratch import new_folder
 from ..sources import readers, segments, sinks
 from .bind import Catalog, over
@@ -65,9 +65,54 @@ def a8(c: Catalog) -> DataFrame:
     return merged.select("guid", *(F.array_join(k, ",").alias(k) for k in ("promo", "large")))
 
 
-@query("a9_entity_fingerprints", over("item", sql="SELECT owner, count(*) AS n_items, sha256(concat_ws('|', count(*), " + ", ".join(f"CAST(sum(CAST('0x' || substring(d, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(8)) + ")) AS fingerprint FROM (SELECT owner, sha256(concat_ws('|', sig_type, size, ord, category, subcategory)) AS d FROM item) GROUP BY 1"))
+#: Items with a payload's digest, and without a category where they come first in their order; and their next version.
+ITEMS = "fi AS (SELECT l_partkey AS owner, l_orderkey * 10 + l_linenumber AS ord, l_linenumber AS sig_type, CAST(trunc(l_quantity) AS INTEGER) AS size, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_returnflag END AS category, l_linestatus AS subcategory, sha256(CAST(l_suppkey AS VARCHAR)) AS data_hash FROM lineitem)"
+NEXT = "fn AS (SELECT owner, ord, sig_type, size, category, subcategory, CASE WHEN ord % 31 = 0 THEN sha256('new') ELSE data_hash END AS data_hash FROM fi WHERE owner % 17 <> 3 AND ord % 97 <> 5 UNION ALL SELECT 10000000 + owner % 10, ord, sig_type, size, category, subcategory, data_hash FROM fi WHERE owner % 50 = 7)"
+#: What differs between both, by place: places may hold several items.
+PLACES = ", po AS (SELECT owner, ord, list_sort(list(concat_ws('|', sig_type, size, coalesce(category, '-'), subcategory, data_hash))) AS x FROM fi GROUP BY ALL), pn AS (SELECT owner, ord, list_sort(list(concat_ws('|', sig_type, size, coalesce(category, '-'), subcategory, data_hash))) AS x FROM fn GROUP BY ALL), pd AS (SELECT coalesce(o.owner, n.owner) AS owner, coalesce(o.ord, n.ord) AS ord, CASE WHEN o.ord IS NULL THEN 'added' WHEN n.ord IS NULL THEN 'removed' ELSE 'updated' END AS change FROM po o FULL JOIN pn n ON o.owner = n.owner AND o.ord = n.ord WHERE o.x IS DISTINCT FROM n.x)"
+
+
+def versions_of_items(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    first = F.col("l_linenumber") == 1
+    old = c.read("lineitem").select(F.col("l_partkey").alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_linenumber").alias("sig_type"), F.col("l_quantity").cast("int").alias("size"), F.when(~first, F.col("l_returnflag")).alias("category"), F.col("l_linestatus").alias("subcategory"), F.sha2(F.col("l_suppkey").cast("string"), 256).alias("data_hash"))
+    kept = old.where("owner % 17 <> 3 AND ord % 97 <> 5").withColumn("data_hash", F.when(F.col("ord") % 31 == 0, F.sha2(F.lit("new"), 256)).otherwise(F.col("data_hash")))
+    return old, kept.unionByName(old.where("owner % 50 = 7").withColumn("owner", F.lit(10_000_000) + F.col("owner") % 10))
+
+
+def tree_sql(of: str) -> str:
+    """The levels of a hash tree over items: n4 has its roots."""
+    code = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    sums = " || ',' || ".join(f"CAST(sum(CAST('0x' || substring(leaf, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(8))
+    up = lambda k, above: f"n{k} AS (SELECT owner, {above} AS r, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(strlen(CAST(r AS VARCHAR)) || ':' || r || ':' || d, ';' ORDER BY r)) AS d FROM n{k - 1} GROUP BY owner, {above})"
+    return f"lf AS (SELECT owner, ord >> 10 AS r, sha256({' || '.join(code(v) for v in ('ord', 'sig_type', 'size', 'category', 'subcategory', 'data_hash'))}) AS leaf FROM {of}), n1 AS (SELECT owner, r, count(*) AS n, sha256(count(*) || ',' || {sums}) AS d FROM lf GROUP BY owner, r), {up(2, 'r >> 10')}, {up(3, 'r >> 10')}, {up(4, 'r - r')}"
+
+
+@query("a9_entity_fingerprints", "WITH " + ITEMS + ", " + tree_sql("fi") + " SELECT owner, n AS n_items, d AS fingerprint FROM n4")
 def a9(c: Catalog) -> DataFrame:
-    return aggregates.entity_fingerprints(c.item)
+    return merkle.entity_fingerprints(versions_of_items(c)[0])
+
+
+@query("a9_changed_places", "WITH " + ITEMS + ", " + NEXT + PLACES + " SELECT * FROM pd")
+def a9_places(c: Catalog) -> DataFrame:
+    """Items that differ between two versions, found from the roots of their entities down."""
+    old, new = versions_of_items(c)
+    return merkle.changed_places(old, new, "owner", "ord", ["sig_type", "size", "category", "subcategory", "data_hash"])
+
+
+SYNCED = PLACES + ", m AS (SELECT owner, CASE WHEN owner NOT IN (SELECT owner FROM fi) THEN 'added' WHEN owner NOT IN (SELECT owner FROM fn) THEN 'removed' ELSE 'updated' END AS change FROM (SELECT DISTINCT owner FROM pd))"
+
+
+@query("m1_entity_delta", "WITH " + ITEMS + ", " + NEXT + SYNCED + " SELECT * FROM m")
+def m1_entities(c: Catalog) -> DataFrame:
+    """Entities whose items differ between two versions, by fingerprint."""
+    return merkle.sync_items(*versions_of_items(c), full=merkle.sync_mode({"base": "1", "delta": "1"}, {"base": "2", "delta": "1"}, ["base"]) == "full")["entities"]
+
+
+@query("m1_items_after", "WITH " + ITEMS + ", " + NEXT + SYNCED + " SELECT owner, ord, data_hash FROM fi WHERE owner NOT IN (SELECT owner FROM m WHERE change <> 'removed') UNION ALL SELECT owner, ord, data_hash FROM fn WHERE owner IN (SELECT owner FROM m)")
+def m1_items(c: Catalog) -> DataFrame:
+    """The items after an incremental version: changed entities take theirs from it, those that it lacks keep theirs."""
+    full = merkle.sync_mode({"base": "1", "delta": "1"}, {"base": "1", "delta": "2"}, ["base"]) == "full"
+    return merkle.sync_items(*versions_of_items(c), full=full)["items"].select("owner", "ord", "data_hash")
 
 
 @query("a10_version_fingerprints", over("version", sql="SELECT version, sha256(concat_ws('|', files, key_sum, owners)) AS fingerprint FROM version"))
