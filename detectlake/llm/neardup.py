@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, settled, table, text_slices, word_hashes
+from .common import bucketed, materialise, mix64, settled, table, text_slices, word_hashes
 from .components import connected_components
 
 HASHES = 64
@@ -220,7 +220,7 @@ def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array(x) for x in bits.T.copy()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "n", *SKETCH, "shingles"])
 
     schema = "cls long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", shingles binary"
-    return materialise(texts.mapInArrow(sets, schema), "sets")
+    return bucketed(texts.mapInArrow(sets, schema), "cls", "sets")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
