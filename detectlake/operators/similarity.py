@@ -45,38 +45,57 @@ def in_band(x: Column, y: Column) -> Column:
     return y.between(F.floor(x / 2), x * 2)
 
 
-def size_band_counts(items: DataFrame, key: str, size: str) -> DataFrame:
+def size_band_counts(items: DataFrame, key: str, size: str, span: int = 1 << 16) -> DataFrame:
     """(key, partners): how many other rows' sizes lie within half to twice of each row's.
 
-    Counts by size are summed up once; each size then looks its band's ends up in the sums. Only distinct
-    sizes are sorted in one place, and no pairs are made.
+    Counts by size are summed up once; each size then looks its band's ends up in the sums. Sizes are sorted
+    within spans of ``span``, and only the sums of spans are added up in one place; no pairs are made.
     """
     counts = items.groupBy(F.col(size).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    # a size's own count stands at it; its band's ends are asked for just below half and at twice
-    asked = counts.select("s", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit("own").alias("what"), "n"), F.struct((F.floor(F.col("s") / 2) - 1).alias("at"), F.lit("below").alias("what"), F.lit(0).cast("long").alias("n")), F.struct((F.col("s") * 2).alias("at"), F.lit("upto").alias("what"), F.lit(0).cast("long").alias("n")))).alias("x"))
-    upto = F.sum("x.n").over(Window.orderBy("x.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    band = asked.withColumn("sum", upto).groupBy("s").agg((F.max(F.when(F.col("x.what") == "upto", F.col("sum"))) - F.coalesce(F.max(F.when(F.col("x.what") == "below", F.col("sum"))), F.lit(0)) - 1).alias("partners"))
+    # a band's ends are asked for just below half and at twice a size
+    ask = lambda at, what, n: F.struct(at.alias("at"), F.lit(what).alias("what"), n.alias("n"))
+    none, s = F.lit(0).cast("long"), F.col("s")
+    asked = counts.select("s", F.explode(F.array(ask(s, "own", F.col("n")), ask(F.floor(s / 2) - 1, "below", none), ask(s * 2, "upto", none))).alias("x"))
+    asked = asked.withColumn("span", F.floor(F.col("x.at") / span))
+    spans = asked.groupBy("span").agg(F.sum("x.n").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("x.n").over(Window.partitionBy("span").orderBy("x.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = asked.join(spans.select("span", before.alias("before")), "span").withColumn("sum", F.col("before") + within)
+    band = asked.groupBy("s").agg((F.max(F.when(F.col("x.what") == "upto", F.col("sum"))) - F.coalesce(F.max(F.when(F.col("x.what") == "below", F.col("sum"))), F.lit(0)) - 1).alias("partners"))
     return items.select(key, F.col(size).cast("long").alias("s")).join(band, "s").select(key, "partners")
 
 
-def shared_between(values: DataFrame, block: int = 512) -> DataFrame:
-    """(a, b, n): how many values each pair of rules shares, for pairs that share any.
+def shared_between(values: DataFrame, least: int, block: int = 512) -> DataFrame:
+    """(a, b, n): how many values each pair of rules shares, for pairs that share at least ``least``.
 
-    The rules of a value go to blocks of about ``block``, and pairs of blocks meet apart, so that a value
-    that very many rules list is shared out over as many tasks. Counts are summed before they are shuffled.
+    With ``least`` above 1, a rule posts its rarest values only, all but ``least - 1`` of them: rules that
+    share enough meet under one of those, and values that very many rules list are hardly ever posted. The
+    rules of a value go to blocks of about ``block``, and pairs of blocks meet apart, so that a value that
+    many rules list is shared out over as many tasks. Pairs that meet are counted over all their values.
     """
-    rows = values.select("field", "value", "guid").distinct()
-    sizes = rows.groupBy("field", "value").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).select("field", "value", "blocks")
-    dealt = rows.join(sizes, ["field", "value"]).withColumn("own", F.pmod(F.xxhash64("guid"), "blocks"))
+    rows = values.select("guid", F.xxhash64("field", "value").alias("v")).distinct()
+    df = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(df, "v").withColumns({"at": F.row_number().over(Window.partitionBy("guid").orderBy("df", "v")), "size": F.count(F.lit(1)).over(Window.partitionBy("guid"))})
+    ranked = materialise(ranked, "ranked")
+    posted = ranked.where((F.col("at") <= F.col("size") - (least - 1)) & (F.col("df") > 1)).withColumn("blocks", F.ceil(F.col("df") / block))
+    dealt = posted.withColumn("own", F.pmod(F.xxhash64("guid"), "blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    x = dealt.select("field", "value", F.col("guid").alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"))
-    y = dealt.select("field", "value", F.col("guid").alias("b"), F.col("own").alias("j"), F.explode(every).alias("i"))
-    return x.join(y, ["field", "value", "i", "j"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # behind the first shared value enough must be left in both lists
+    left = F.col("size") - F.col("at") + 1
+    x = dealt.select("v", F.col("guid").alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"), left.alias("la"))
+    y = dealt.select("v", F.col("guid").alias("b"), F.col("own").alias("j"), F.explode(every).alias("i"), left.alias("lb"))
+    met = x.join(y, ["v", "i", "j"]).where((F.col("a") < F.col("b")) & (F.least("la", "lb") >= least)).select("a", "b").distinct()
+    lists = ranked.groupBy("guid").agg(F.collect_list("v").alias("vs"))
+    both = met.join(lists.select(F.col("guid").alias("a"), F.col("vs").alias("va")), "a").join(lists.select(F.col("guid").alias("b"), F.col("vs").alias("vb")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("va", "vb")).cast("long").alias("n")).where(F.col("n") >= least)
 
 
 def set_similarity(sets: DataFrame, key: str, value: str, least: float, within: str | None = None) -> DataFrame:
     """Pairs (a, b, score) of keys whose value sets have a Jaccard similarity of at least ``least``.
 
+    Keys with equal sets are a class: each is paired with the class's smallest key (score 1), and that key
+    alone with those of other classes, so that a class of n keys gives n - 1 pairs and no set is compared twice.
+
     An exact prefix join: values are ordered by rarity, and each key posts only as many of its rarest as two
     similar sets can differ in, plus one; very common values therefore are hardly ever posted. A shared value
     must leave enough behind it in both lists. Candidates are confirmed on whole sets. With ``within``, a
@@ -86,7 +105,10 @@ def set_similarity(sets: DataFrame, key: str, value: str, least: float, within:
     rows = sets.select(F.col(key).alias("key"), group.alias("group"), F.xxhash64(value, group).alias("v")).distinct()
     df = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     listed = rows.join(df, "v").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    listed = materialise(listed.select("key", F.transform("vs", lambda x: x["v"]).alias("vs"), F.size("vs").alias("n")), "listed")
+    every = listed.select("key", F.transform("vs", lambda x: x["v"]).alias("vs")).withColumns({"h1": F.xxhash64("vs"), "h2": F.xxhash64(F.lit(1), "vs")})
+    every = materialise(every, "sets")
+    listed = materialise(every.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("vs").alias("vs")).withColumn("n", F.size("vs")), "listed")
+    members = every.select(F.col("key").alias("b"), "h1", "h2").join(listed.select(F.col("key").alias("a"), "h1", "h2"), ["h1", "h2"]).where("a <> b").select("a", "b", F.lit(1.0).alias("score"))
     prefix = F.slice("vs", 1, F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)
     posted = listed.select("key", "n", F.posexplode(prefix).alias("at", "v"))
     x, y = posted.alias("x"), posted.alias("y")
@@ -97,7 +119,7 @@ def set_similarity(sets: DataFrame, key: str, value: str, least: float, within:
     sides = [listed.select(F.col("key").alias(k), F.col("vs").alias(f"v{k}")) for k in "ab"]
     scored = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("both", F.size(F.array_intersect("va", "vb")))
     score = F.col("both") / (F.size("va") + F.size("vb") - F.col("both"))
-    return scored.where(score >= least).select("a", "b", F.round(score, 4).alias("score"))
+    return scored.where(score >= least).select("a", "b", F.round(score, 4).alias("score")).unionByName(members)
 
 
 def byte_grams(rows: DataFrame, key: str, data: str, positions: bool, width: int = 8) -> DataFrame:

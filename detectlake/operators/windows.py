@@ -21,10 +21,18 @@ def with_truncated(df: DataFrame, by: str, order: list[Column], n: int) -> DataF
 def representative_selection(df: DataFrame, by: str, order: str, cap: int) -> DataFrame:
     """At most ``cap`` rows: first the first row of every group, then others, both in order.
 
-    A limit over a sort is a top-k operator: each task keeps ``cap`` rows.
+    A limit over a sort is a top-k operator: each task keeps ``cap`` rows. Rows of a group with the same
+    ``order`` count in the order of their JSON, so that one of them comes first. Fails if there are more
+    groups than ``cap``, as a group would be lost without a word.
     """
-    first = F.col(order) == F.min(order).over(Window.partitionBy(by))
-    return df.withColumn("first", first).orderBy(F.desc("first"), order).limit(cap)
+    groups = df.select(by).distinct().limit(cap + 1).count()
+    if groups > cap:
+        raise ValueError(f"a selection of {cap} rows can't hold one of each of more than {cap} groups")
+    tie = F.to_json(F.struct(*df.columns))
+    first = df.groupBy(by).agg(F.min(F.struct(F.col(order).alias("o"), tie.alias("t"))).alias("__x")).withColumnRenamed(by, "__by")
+    rows = df.withColumn("__t", tie).join(first, F.col(by).eqNullSafe(F.col("__by")))
+    is_first = (F.col(order).eqNullSafe(F.col("__x.o"))) & (F.col("__t") == F.col("__x.t"))
+    return rows.withColumn("first", is_first).orderBy(F.desc("first"), order, "__t").limit(cap).drop("__by", "__x", "__t")
 
 
 #: Bytes of a file whose records are ordered together.

@@ -484,7 +484,8 @@ def entities(c: Catalog) -> DataFrame:
     s AS (SELECT DISTINCT id, family, unnest(regexp_extract_all(text, '[^.\n]{5,}')) AS s FROM it), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
     p AS (SELECT x.id AS a, y.id AS b, x.family = y.family AS own, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
     j AS (SELECT p.a, p.b, own, k / (x.n + y.n - k) AS jac FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b),
-    t2 AS (SELECT a, b, round(jac, 4) AS score, 1 AS tier, 'strings' AS kind FROM j WHERE own AND jac >= 0.3),
+    r AS (SELECT id, min(id) OVER (PARTITION BY family, x) AS rep FROM (SELECT id, family, list_sort(list(s)) AS x FROM s GROUP BY ALL)),
+    t2 AS (SELECT a, b, round(jac, 4) AS score, 1 AS tier, 'strings' AS kind FROM j JOIN r ra ON ra.id = a JOIN r rb ON rb.id = b WHERE own AND jac >= 0.3 AND ra.rep = a AND rb.rep IN (a, b)),
     t3 AS (SELECT cv.a, cv.b, round((least(1.0, covered / m) + coalesce(jac, 0)) / 2, 4) AS score, 2 AS tier, 'bytes' AS kind FROM cv LEFT JOIN j ON j.a = least(cv.a, cv.b) AND j.b = greatest(cv.a, cv.b)),
     u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score, tier, kind FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 WHERE score >= 0.3)),
     f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY tier, score DESC) = 1), e AS (SELECT a, b, score, kind FROM f UNION ALL SELECT b, a, score, kind FROM f)

@@ -217,9 +217,9 @@ def j9(c: Catalog) -> DataFrame:
     return delta.snapshot_delta(c.snapshot_old, c.snapshot_new, "key", ["status", "price", "priority"]).select("key", "change")
 
 
-@query("j13_shared_between_rules", over("rule_value", sql="SELECT a.guid AS a, b.guid AS b, count(*) AS n FROM rule_value a JOIN rule_value b ON a.field = b.field AND a.value = b.value AND a.guid < b.guid GROUP BY ALL"))
+@query("j13_shared_between_rules", over("rule_value", sql="SELECT a.guid AS a, b.guid AS b, count(*) AS n FROM rule_value a JOIN rule_value b ON a.field = b.field AND a.value = b.value AND a.guid < b.guid GROUP BY ALL HAVING count(*) >= 5"))
 def j13(c: Catalog) -> DataFrame:
-    return similarity.shared_between(c.rule_value)
+    return similarity.shared_between(c.rule_value, 5)
 
 
 @query("j14_missing_keys", over("entity", sql="SELECT DISTINCT o_orderkey AS signature_id FROM orders WHERE o_orderkey NOT IN (SELECT signature_id FROM entity)"))
@@ -271,9 +271,9 @@ def w1b(c: Catalog) -> DataFrame:
     return windows.with_truncated(c.item, "owner", [F.desc("size"), F.asc("ord")], 5).select("owner", "ord", "size", "truncated")
 
 
-@query("w2_representative_selection", over("item", sql="SELECT owner, ord FROM (SELECT owner, ord, ord = min(ord) OVER (PARTITION BY owner) AS first FROM item) ORDER BY first DESC, ord LIMIT 500"))
+@query("w2_representative_selection", over("change", sql="SELECT entity_type, change_id FROM (SELECT entity_type, change_id, change_id = min(change_id) OVER (PARTITION BY entity_type) AS first FROM change) ORDER BY first DESC, change_id LIMIT 500"))
 def w2(c: Catalog) -> DataFrame:
-    return windows.representative_selection(c.item, "owner", "ord", 500).select("owner", "ord")
+    return windows.representative_selection(c.change.select("entity_type", "change_id"), "entity_type", "change_id", 500).select("entity_type", "change_id")
 
 
 @query("w3_assign_blocks", """

@@ -14,7 +14,8 @@ from .registry import query
 
 PAIRS = """, v AS (SELECT DISTINCT guid, field || ':' || value AS value FROM rule_value), n AS (SELECT guid, count(*) AS n FROM v GROUP BY 1),
     p AS (SELECT a.guid AS a, b.guid AS b, count(*) AS k FROM v a JOIN v b ON a.value = b.value AND a.guid < b.guid GROUP BY ALL),
-    s AS (SELECT p.a, p.b, round(k / (x.n + y.n - k), 4) AS score FROM p JOIN n x ON x.guid = p.a JOIN n y ON y.guid = p.b)"""
+    r AS (SELECT guid, min(guid) OVER (PARTITION BY x) AS rep FROM (SELECT guid, list_sort(list(value)) AS x FROM v GROUP BY 1)),
+    s AS (SELECT p.a, p.b, round(k / (x.n + y.n - k), 4) AS score FROM p JOIN n x ON x.guid = p.a JOIN n y ON y.guid = p.b JOIN r ra ON ra.guid = p.a JOIN r rb ON rb.guid = p.b WHERE ra.rep = p.a AND rb.rep IN (p.a, p.b))"""
 
 
 def tagged_values(c: Catalog) -> DataFrame:

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from detectlake.functions import classify, naming, records, risk, scripts, text
-from detectlake.operators import aggregates, delta, filters, paging, similarity, windows
+from detectlake.operators import aggregates, delta, dictionary, filters, paging, similarity, windows
 from detectlake.sources import readers, sinks
 from detectlake.streaming import jobs
+from detectlake.streaming.snapshots import Snapshot
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,10 @@ def test_cap_keeps_every_group(spark):
     rows = [(e, e * 100 + i) for e in range(30) for i in range(20)]
     got = windows.representative_selection(spark.createDataFrame(rows, "owner long, ord long"), "owner", "ord", 500).collect()
     assert len(got) == 500 and len({r.owner for r in got}) == 30
+    with pytest.raises(ValueError, match="more than 29 groups"):
+        windows.representative_selection(spark.createDataFrame(rows, "owner long, ord long"), "owner", "ord", 29)
+    same = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (None, None, "c"), (2, 7, "d")], "owner long, ord long, x string")
+    assert [(r.owner, r.x) for r in windows.representative_selection(same, "owner", "ord", 3).collect()] == [(None, "c"), (1, "a"), (2, "d")]
 
 
 def test_history(spark):
@@ -195,14 +200,16 @@ TYPES = {"REGKEY": ("Persistence/Registry", None), "FILENAME": ("Persistence/Fil
 PARTS = {"Persistence/Registry": ((r"CurrentVersion\\Run", "Run"), (r"Services\\", "Services")), "Persistence/FilePath": ((r"\\Temp\\", "Temp"),)}
 
 
-def test_large_dictionary(spark, monkeypatch):
-    """Beyond a number of terms a dictionary is joined by words; the first entry by priority wins as before."""
-    terms = spark.createDataFrame([("upx packed", 2, "packer"), ("nsis", 1, "installer"), ("Upx", 3, "other"), (None, 0, "none")], "term string, priority int, class string")
-    rows = spark.createDataFrame([(1, "a UPX packed nsis"), (2, "some upx packed"), (3, "upx"), (4, "none"), (5, None), (3, "upx")], "id long, s string")
-    for most in (1_000, 1):
-        monkeypatch.setattr(classify, "LITERAL_TERMS", most)
-        got = sorted((r.id, r["class"]) for r in classify.classify_by(rows, "s", terms).collect())
-        assert got == [(1, "installer"), (2, "packer"), (3, "other"), (3, "other"), (4, "Other"), (5, "Other")]
+def test_large_dictionary(spark):
+    """The first entry by priority wins, wherever its term stands, whether a dictionary is sent to tasks or dealt to shards."""
+    terms = spark.createDataFrame([("upx packed", 2, "packer"), ("nsis", 1, "installer"), ("Upx", 3, "other"), ("evil", 4, "bad"), (None, 0, "none"), ("", 0, "none")], "term string, priority int, class string")
+    more = terms.unionByName(spark.range(1500).selectExpr("concat('unseen term ', id) AS term", "9 AS priority", "'x' AS class"))
+    rows = spark.createDataFrame([(1, "a UPX packed nsis"), (2, "some upx packed"), (3, "upx"), (4, "none"), (5, None), (3, "upx"), (6, "xxevilyy"), (7, "")], "id long, s string")
+    for entries in (terms, more):
+        for sizes in ({}, {"sent": 0, "shard": 40, "group": 20}):
+            got = sorted((r.id, r["class"]) for r in dictionary.first_class(rows, "s", entries, "class", "Other", **sizes).collect())
+            assert got == [(1, "installer"), (2, "packer"), (3, "other"), (3, "other"), (4, "Other"), (5, "Other"), (6, "bad"), (7, "Other")]
+    assert [r["class"] for r in classify.classify_by(rows.where("id = 6"), "s", more).collect()] == ["bad"]
 
 
 def test_classify(spark):
@@ -261,7 +268,7 @@ def test_scripts(spark):
 def test_similarity(spark):
     sets = [(1, v) for v in "abcdef"] + [(2, v) for v in "abcdeg"] + [(3, v) for v in "xyz"] + [(4, v) for v in "abcdef"]
     got = {(r.a, r.b): r.score for r in similarity.set_similarity(spark.createDataFrame(sets, "k long, v string"), "k", "v", 0.7).collect()}
-    assert got == {(1, 2): 0.7143, (1, 4): 1.0, (2, 4): 0.7143}
+    assert got == {(1, 2): 0.7143, (1, 4): 1.0}  # 4 is as 1: it has no pairs of its own
     left = spark.createDataFrame([(1, bytearray(b"0123456789abcdef")), (9, None), (8, bytearray(b"short"))], "id long, t binary")
     right = spark.createDataFrame([(2, bytearray(b"xx0123456789yy abcdef")), (3, bytearray(b"nothing here at all")), (4, bytearray(b"0123456789" + b"-" * 40)), (5, None)], "id long, t binary")
     found = lambda band: sorted((r.a, r.b, r.covered, round(r.share, 3)) for r in similarity.byte_overlap(left, right, "id", "t", band).collect())
@@ -284,7 +291,7 @@ def test_pairs_of_a_hot_value_in_blocks(spark):
     df = spark.createDataFrame(rows, "field string, value string, guid long")
     want = {(a, b, 1 + (a % 7 == b % 7)) for a in range(40) for b in range(a + 1, 40)}
     for block in (3, 512):
-        assert {tuple(r) for r in similarity.shared_between(df, block).collect()} == want
+        assert {tuple(r) for r in similarity.shared_between(df, 1, block).collect()} == want
 
 
 def test_size_bands(spark):
@@ -354,9 +361,11 @@ def test_late_rows_are_counted(spark, tmp_path):
     for days in ((1, 9, 10), (11, 11), (2, 11, 12)):
         rows(*days).write.mode("append").parquet(f"{tmp_path}/in")
     stream = jobs.file_stream(spark, f"{tmp_path}/in", rows(1).schema, 1)
-    daily, query = jobs.run_to_files(jobs.daily_counts(stream), "update", ["day"])
+    with jobs.LateRows(spark) as late:
+        daily, query = jobs.run_to_files(jobs.daily_counts(stream), "update", ["day"])
+        dropped = late.of(query)
     assert {(r.day.day, r.n) for r in daily.collect()} == {(1, 1), (9, 1), (10, 1), (11, 3), (12, 1)}
-    assert jobs.dropped_rows(query) == 1
+    assert dropped == 1
 
 
 def test_streamed_queries_hold_nothing_in_the_driver(spark):
@@ -401,5 +410,5 @@ def test_change_feed(spark, tmp_path):
     assert jobs.change_feed(stream, str(tmp_path), old, ["family"], "key", "at", "gone").awaitTermination(120)
     feed = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/changes")
     assert {(r.epoch, r.key, r.change) for r in feed.collect()} == {(0, 2, "updated"), (0, 3, "added"), (1, 4, "removed"), (1, 2, "updated"), (2, 4, "added"), (2, 1, "removed")}
-    now = spark.read.parquet(jobs.newest(spark, f"{tmp_path}/snapshot"))
-    assert {(r.key, r.family) for r in now.collect()} == {(2, "b"), (3, "d"), (4, "new")} and len(jobs.children(spark, f"{tmp_path}/snapshot")) == 2
+    now = Snapshot.open(spark, f"{tmp_path}/snapshot").read()
+    assert {(r.key, r.family) for r in now.collect()} == {(2, "b"), (3, "d"), (4, "new")}
