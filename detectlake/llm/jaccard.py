@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, settled, table
-from .neardup import SKETCH, across_postings, bucket_counts, class_of, grown, named_components, ordered, plausible, row_check, row_hash, shingle_sets, whole_sets
+from .neardup import SKETCH, across_postings, bucket_counts, class_of, grown, in_pieces, named_components, ordered, plausible, row_check, row_hash, shingle_sets, whole_sets
 
 #: Buckets in which n-grams are counted to order columns by rarity.
 COLUMN_BUCKETS = 1 << 18
@@ -31,7 +31,7 @@ LONG_COLUMN = 16
 
 def posted_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words) and the first columns of each document, in order, as bytes."""
-    seen = bucket_counts(docs, "text", lambda texts: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts, words)]), COLUMN_BUCKETS)
+    seen = bucket_counts(docs, "text", lambda texts: in_pieces(shingle_sets(texts, words)), COLUMN_BUCKETS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -152,14 +152,27 @@ def pair_keys(signatures: pa.Array) -> np.ndarray:
     return mix64((np.arange(HASHES, dtype=np.uint64) << np.uint64(32)) + values + np.uint64(1))
 
 
-def bucket_counts(rows: DataFrame, column: str, keys: Callable[[pa.Array], np.ndarray], buckets: int = RARITY_BUCKETS) -> np.ndarray:
+def in_pieces(arrays: Iterable[np.ndarray], most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Arrays joined up to about ``most`` entries at a time, so that a batch's aren't held together."""
+    held, size = [], 0
+    for x in arrays:
+        held.append(x)
+        size += len(x)
+        if size >= most:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def bucket_counts(rows: DataFrame, column: str, keys: Callable[[pa.Array], Iterable[np.ndarray]], buckets: int = RARITY_BUCKETS) -> np.ndarray:
     """How often the keys of a column occur over all rows, in a number of buckets (a fixed size, whatever the input)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            if len(batch):
-                total += np.bincount((keys(batch.column(0)) % np.uint64(buckets)).astype(np.int64).ravel(), minlength=buckets)
+            for piece in keys(batch.column(0)) if len(batch) else ():
+                total += np.bincount((piece % np.uint64(buckets)).astype(np.int64).ravel(), minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
@@ -174,7 +187,7 @@ def postings(classes: DataFrame, match: int) -> DataFrame:
 
     The hubs are two members of the list, chosen by two hashes.
     """
-    seen, prefix = bucket_counts(classes, "signature", pair_keys), HASHES - match + 1
+    seen, prefix = bucket_counts(classes, "signature", lambda column: [pair_keys(column)]), HASHES - match + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +290,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     too, rule out most of what else has a rare shingle in common. Under a shingle, only what isn't of its
     commonest root meets all others, so that a large component isn't held against itself.
     """
-    seen = bucket_counts(sets, "shingles", lambda column: np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in column]))
+    seen = bucket_counts(sets, "shingles", lambda column: in_pieces(np.frombuffer(v.as_buffer(), np.uint64) for v in column))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
