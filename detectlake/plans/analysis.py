@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
-from ..operators import aggregates, delta, dictionary, merkle, similarity, windows
+from ..operators import aggregates, delta, dictionary, merkle, similarity, sketches, windows
 from ..scratch import new_folder
 from ..sources import readers, segments, sinks
 from .bind import Catalog, over
@@ -65,6 +65,26 @@ def a8(c: Catalog) -> DataFrame:
     return merged.select("guid", *(F.array_join(k, ",").alias(k) for k in ("promo", "large")))
 
 
+RANGES = "w AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), rg AS (SELECT min(day) + CAST(unnest(range(0, max(day) - min(day) + 1, 7)) AS INTEGER) AS since FROM w)"
+
+
+@query("a21_sketched_ranges", "WITH " + RANGES + " SELECT event_type AS kind, CAST(since AS VARCHAR) AS since, count(*) AS rows, count(DISTINCT user_id) AS exact, true AS within FROM events JOIN rg ON CAST(ts AS DATE) >= since AND CAST(ts AS DATE) < since + 30 GROUP BY ALL")
+def a21_ranges(c: Catalog) -> DataFrame:
+    """Distinct users of each kind of event in spans of 30 days, from stored sketches of days, beside the exact counts."""
+    events = c.read("events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("kind"), F.col("user_id").alias("value"))
+    half = F.pmod(F.xxhash64("value", "day"), F.lit(2))
+    folder = new_folder(c.spark)
+    for part in (0, 1):  # rows come in two loads; their sketches are merged by what reads them
+        sketches.store(sketches.daily(events.where(half == part), "day", "kind", "value"), f"{folder}/{part}")
+    table = c.spark.read.parquet(f"{folder}/0", f"{folder}/1")
+    span = events.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    ranges = span.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("since")).select("since", F.date_add("since", 30).alias("until"))
+    told = sketches.between(table, ranges)
+    exact = events.join(F.broadcast(ranges), (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until"))).groupBy("kind", "since").agg(F.countDistinct("value").alias("exact"))
+    rows = told.join(exact, ["kind", "since"])
+    return rows.select("kind", F.col("since").cast("string").alias("since"), "rows", "exact", (F.abs(F.col("estimate") / F.col("exact") - 1) <= sketches.ERROR).alias("within"))
+
+
 #: Items with a payload's digest, and without a category where they come first in their order; and their next version.
 ITEMS = "fi AS (SELECT l_partkey AS owner, l_orderkey * 10 + l_linenumber AS ord, l_linenumber AS sig_type, CAST(trunc(l_quantity) AS INTEGER) AS size, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_returnflag END AS category, l_linestatus AS subcategory, sha256(CAST(l_suppkey AS VARCHAR)) AS data_hash FROM lineitem)"
 NEXT = "fn AS (SELECT owner, ord, sig_type, size, category, subcategory, CASE WHEN ord % 31 = 0 THEN sha256('new') ELSE data_hash END AS data_hash FROM fi WHERE owner % 17 <> 3 AND ord % 97 <> 5 UNION ALL SELECT 10000000 + owner % 10, ord, sig_type, size, category, subcategory, data_hash FROM fi WHERE owner % 50 = 7)"

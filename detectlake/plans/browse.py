@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, delta, filters, paging, similarity, windows
+from ..operators import aggregates, delta, filters, ordered, paging, similarity, textindex, windows
+from ..scratch import new_folder
 from .bind import Catalog, over
 from .registry import query
 
@@ -313,3 +316,45 @@ def w9(c: Catalog) -> DataFrame:
     SELECT id, CAST(i - 1 AS INTEGER) AS number, CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda p: length(p))), 0) + 1 AS BIGINT) AS start, CAST(length(parts[i]) AS INTEGER) AS length FROM e WHERE starts_with(parts[i], '<p>')"""))
 def w10(c: Catalog) -> DataFrame:
     return windows.section_bounds(c.script, "id", "source", "<p>")
+
+
+#: What is searched for: rare and common strings, signs that patterns would read as wildcards, and what no text has.
+SEARCHED = ("example.com", "that the", "100%", "_id", "ÿÿÿ", "of", "Über", "<|endoftext|>")
+SEARCH_SQL = "q(query) AS (VALUES " + ", ".join(f"('{q}')" for q in SEARCHED) + ")"
+
+
+@query("f2_indexed_search", "WITH " + SEARCH_SQL + " SELECT query, doc_id FROM documents, q WHERE contains(lower(text), lower(query))")
+def f2_indexed(c: Catalog) -> DataFrame:
+    """Documents that contain each of some strings, through posting lists of trigrams over all texts."""
+    index = textindex.TextIndex(c.spark, new_folder(c.spark))
+    index.add(c.read("documents"), "doc_id", "text")
+    found = [index.containing(q).select(F.lit(q).alias("query"), F.col("key").alias("doc_id")) for q in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("f8_indexed_tokens", r"WITH q(query, words) AS (VALUES ('the word', ['the', 'word']), ('und', ['und']), ('de la', ['de', 'la']), ('example', ['example'])) SELECT query, page_id FROM (SELECT page_id, regexp_extract_all(lower(html), '[\p{L}\p{N}]+') AS t FROM pages), q WHERE list_has_all(t, words)")
+def f8_indexed(c: Catalog) -> DataFrame:
+    """Pages that hold all words of each of some queries, through posting lists of words; pages come in two segments."""
+    index = textindex.TextIndex(c.spark, new_folder(c.spark), "tokens")
+    for part in (0, 1):
+        index.add(c.read("pages").where(F.pmod(F.xxhash64("page_id"), F.lit(2)) == part), "page_id", "html")
+    found = [index.with_tokens(q).select(F.lit(q).alias("query"), F.col("key").alias("page_id")) for q in ("the word", "und", "de la", "example")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("p1_deep_pages", "WITH o AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS pos, count(*) OVER () AS total FROM events), p(page) AS (SELECT unnest([1, 2, 7, total // 20 // 2, (total + 19) // 20, total]) FROM (SELECT count(*) AS total FROM events)) SELECT DISTINCT page, event_id, pos AS position, total, (total + 19) // 20 AS pages FROM p JOIN o ON pos >= (page - 1) * 20 AND pos < page * 20")
+def p1_deep(c: Catalog) -> DataFrame:
+    """Pages from the first to the last, and one behind it, of all events by value: each reads the ranges that it lies in."""
+    events = c.read("events").select("event_id", "value")
+    index = ordered.PageIndex.build(events, [F.desc("value"), F.asc("event_id")], new_folder(c.spark), ranges=16)
+    total = index.total
+    pages = sorted({1, 2, 7, total // 20 // 2, -(-total // 20), total})
+    found = [index.page(n, 20).select(F.lit(n).cast("long").alias("page"), "event_id", "position", F.lit(total).cast("long").alias("total"), F.lit(-(-total // 20)).cast("long").alias("pages")) for n in pages]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("p9_deep_family_pages", "WITH g AS (SELECT l_suppkey AS family, l_linenumber AS kind, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT family, kind, n, row_number() OVER (ORDER BY n DESC, family, kind) - 1 AS pos FROM g) SELECT family, kind, n, pos AS position FROM o WHERE pos >= 150 AND pos < 200")
+def p9_deep(c: Catalog) -> DataFrame:
+    """A page far down of groups by their size."""
+    groups = c.read("lineitem").groupBy(F.col("l_suppkey").alias("family"), F.col("l_linenumber").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return ordered.PageIndex.build(groups, [F.desc("n"), F.asc("family"), F.asc("kind")], new_folder(c.spark), ranges=8).page(4, 50)
