@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +64,22 @@ def merge_lists(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return df.select(by).distinct().join(wide, by, "left").select(by, *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in fields))
 
 
-def daily_activity(changes: DataFrame, at: str = "changed_at") -> DataFrame:
-    """Changes by UTC day with zeros from the first to the last day; no rows if nothing was tracked."""
-    days = changes.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where(F.col("a").isNotNull())
-    return span.select(F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+def daily_activity(changes: DataFrame, at: str = "changed_at", days: int | None = None, tracked_since: date | None = None, today: date | None = None) -> DataFrame:
+    """(day, n): changes by UTC day with zeros for days without any; no rows if nothing was ever tracked.
+
+    With ``today``, the last of ``days`` days (all, if None), but none before tracking began: on
+    ``tracked_since``, or with the first change. Without it, from the first to the last change. Changes
+    outside of these days don't count.
+    """
+    counted = changes.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n")).where(F.col("day").isNotNull())
+    first, last = F.min("day"), F.max("day")
+    if tracked_since is not None:
+        first = F.lit(tracked_since)
+    if today is not None:
+        last = F.lit(today)
+        first = F.greatest(first, F.date_sub(last, days - 1)) if days is not None else first
+    span = counted.agg(F.count(F.lit(1)).alias("tracked"), first.alias("a"), last.alias("b")).where((F.col("tracked") > 0) & (F.col("a") <= F.col("b")))
+    return span.select(F.explode(F.sequence("a", "b")).alias("day")).join(counted, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def heat_levels(daily: DataFrame, levels: int = 4) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,14 @@ def a12(c: Catalog) -> DataFrame:
     return aggregates.daily_activity(c.change).select(F.col("day").cast("string").alias("day"), "n")
 
 
+@query("a12_recent_days", over("change", sql=", d AS (SELECT CAST(changed_at AS DATE) AS day, count(*) AS n FROM change GROUP BY 1), e AS (SELECT min(day) + 4 AS since, max(day) + 3 AS today FROM d), s AS (SELECT CAST(unnest(generate_series(greatest(since, today - 89), today, INTERVAL 1 DAY)) AS DATE) AS day FROM e) SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (day)"))
+def a12_recent(c: Catalog) -> DataFrame:
+    """The last 90 days up to a given day, from the first that was tracked on, with zeros for days without changes."""
+    ends = c.change.agg(F.min(F.to_date("changed_at")).alias("a"), F.max(F.to_date("changed_at")).alias("b")).first()
+    found = aggregates.daily_activity(c.change, days=90, tracked_since=ends.a + timedelta(days=4), today=ends.b + timedelta(days=3))
+    return found.select(F.col("day").cast("string").alias("day"), "n")
+
+
 @query("a13_heat_levels", over("change", sql=DAYS + ", m AS (SELECT strftime(day, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS total, max(n) AS busiest FROM z GROUP BY 1) SELECT month, total, busiest, CAST(ceil(total * 4 / (SELECT max(total) FROM m)) AS INTEGER) AS level FROM m"))
 def a13(c: Catalog) -> DataFrame:
     return aggregates.heat_levels(aggregates.daily_activity(c.change))
@@ -326,11 +336,6 @@ def c14(c: Catalog) -> DataFrame:
     return c.payload.select("id", text.entropy(F.col("data")).alias("entropy"))
 
 
-@query("c15_magic", over("script", sql="SELECT id, CASE WHEN starts_with(source, '<!DOCTYPE') THEN 'HTML/XML Document' ELSE '' END AS magic FROM script"))
-def c15(c: Catalog) -> DataFrame:
-    return c.script.select("id", F.array_join(text.magic(F.encode("source", "UTF-8")), ",").alias("magic"))
-
-
 @query("c16_pattern_hits", over("script", sql=", c AS (SELECT id, string_split(source, '') AS c FROM script), h AS (SELECT id, unnest(list_filter(list_transform(range(1, len(c) - 2), lambda i: {'o': i - 1, 't': c[i] || c[i + 1] || c[i + 2] || c[i + 3]}), lambda x: x.t IN ('</p>', 'enen'))) AS x FROM c) SELECT id, x.t AS term, CAST(x.o AS INTEGER) AS \"offset\" FROM h"))
 def c16(c: Catalog) -> DataFrame:
     terms = c.spark.createDataFrame([("</p>",), ("enen",)], "term string")
@@ -343,10 +348,13 @@ def c18(c: Catalog) -> DataFrame:
     return words.groupBy(text.string_class(F.col("s")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c20_hex_dump", over("entity", sql="""SELECT signature_id, string_agg(lpad(lower(to_hex(k * 16)), 8, '0') || '  ' || rpad(trim(regexp_replace(hex(encode(substring(threat_name, k * 16 + 1, 16))), '(..)', '\\1 ', 'g')), 47, ' ') || '  ' || substring(threat_name, k * 16 + 1, 16), chr(10) ORDER BY k) AS dump
-    FROM (SELECT signature_id, threat_name, unnest(range(0, (length(threat_name) + 15) // 16)) AS k FROM entity) GROUP BY 1"""))
+@query("c20_hex_dump", over("payload", sql="""
+    , h AS (SELECT id, hex(encode(text)) AS h FROM payload), l AS (SELECT id, k, substring(h, k * 32 + 1, 32) AS p FROM (SELECT id, h, unnest(range(0, (length(h) + 31) // 32)) AS k FROM h)),
+    d AS (SELECT id, string_agg(lpad(lower(to_hex(k * 16)), 8, '0') || '  ' || rpad(trim(regexp_replace(p, '(..)', '\\1 ', 'g')), 47, ' ') || '  ' || array_to_string(list_transform(regexp_extract_all(p, '..'), lambda b: CASE WHEN b BETWEEN '20' AND '7E' THEN chr(CAST('0x' || b AS INTEGER)) ELSE '.' END), ''), chr(10) ORDER BY k) AS dump FROM l GROUP BY 1)
+    SELECT id, md5(coalesce(dump, '')) AS dump FROM payload LEFT JOIN d USING (id)"""))
 def c20(c: Catalog) -> DataFrame:
-    return c.entity.select("signature_id", text.hex_dump(F.encode("threat_name", "UTF-8")).alias("dump"))
+    """Dumps of all items' bytes; their digests stand for them in the result."""
+    return c.payload.select("id", F.md5(text.hex_dump(F.col("data"))).alias("dump"))
 
 
 def halves(whole: Column) -> tuple[Column, Column]:
@@ -457,9 +465,10 @@ def k5(c: Catalog) -> DataFrame:
     return sinks.rule_corpus(ruled, "rules").select("rule", "number", "id")
 
 
-@query("k7_payload_dump", over("payload", sql="SELECT id, '{' || string_agg(regexp_replace(hex(encode(p)), '(..)', '0x\\1,', 'g'), chr(10) ORDER BY k) || '}' AS dump FROM (SELECT id, k, substring(n, k * 16 + 1, 16) AS p FROM (SELECT id, n, unnest(range(0, (length(n) + 15) // 16)) AS k FROM (SELECT id, data_hash AS n FROM payload))) GROUP BY 1"))
+@query("k7_payload_dump", over("payload", sql=", h AS (SELECT id, hex(encode(text)) AS h FROM payload) SELECT id, md5('{' || coalesce(string_agg(regexp_replace(substring(h, k * 32 + 1, 32), '(..)', '0x\\1,', 'g'), chr(10) ORDER BY k), '') || '}') AS dump FROM (SELECT id, h, unnest(range(0, greatest(1, (length(h) + 31) // 32))) AS k FROM h) GROUP BY 1"))
 def k7(c: Catalog) -> DataFrame:
-    return c.payload.select("id", sinks.payload_dump(F.encode("data_hash", "UTF-8"), "c").alias("dump"))
+    """All items' bytes as C arrays; their digests stand for the dumps in the result."""
+    return c.payload.select("id", F.md5(sinks.payload_dump(F.col("data"), "c")).alias("dump"))
 
 
 @query("k8_manifest", over("item", sql="SELECT category, count(*) AS items, CAST(sum(size) AS BIGINT) AS bytes FROM item GROUP BY 1"))

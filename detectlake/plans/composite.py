@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, naming, records, risk, scripts, text
-from ..operators import aggregates, delta, dictionary, filters, paging, similarity, windows
+from ..operators import aggregates, delta, dictionary, filters, paging, profiles, similarity, windows
 from ..sources import sinks
 from .analysis import PATHS, paths
 from .bind import Catalog, over
@@ -114,12 +114,13 @@ def m7(c: Catalog) -> DataFrame:
     return term_hits(c).groupBy("bin", "technique").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first_item"))
 
 
-CALLS = ", calls AS (SELECT DISTINCT id, unnest(regexp_extract_all(source, 'href=\"/([^\"]*)\"', 1)) AS name FROM script), defs AS (SELECT name, min(id) AS defined_in FROM calls GROUP BY 1 HAVING count(*) > 2)"
+CALLS = ", calls AS (SELECT DISTINCT id, unnest(regexp_extract_all(source, 'href=\"/([^\"]*)\"', 1)) AS name FROM script), defs AS (SELECT name, min(id) AS defined_in FROM calls WHERE length(name) % 4 <> 1 GROUP BY 1 HAVING count(*) > 2)"
 
 
 def calls(c: Catalog) -> tuple[DataFrame, DataFrame]:
     used = c.script.select("id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit('href="/([^"]*)"'), 1))).alias("name"))
-    defined = used.groupBy("name").agg(F.min("id").alias("defined_in"), F.count(F.lit(1)).alias("n")).where("n > 2").drop("n")
+    # some names are called and never defined
+    defined = used.where(F.length("name") % 4 != 1).groupBy("name").agg(F.min("id").alias("defined_in"), F.count(F.lit(1)).alias("n")).where("n > 2").drop("n")
     return used, defined
 
 
@@ -231,9 +232,10 @@ def c30(c: Catalog) -> DataFrame:
     return classify.classify_by(c.payload.select("text"), "text", terms).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k6_bundle_export", over("entity", "item", sql="SELECT CAST(position AS INTEGER) AS position, signature_id, '[' || string_agg('{\"ord\":' || ord || ',\"sig_type\":' || sig_type || ',\"size\":' || size || '}', ',' ORDER BY ord) || ']' AS items FROM (VALUES (7, 0), (3, 1)) v(id, position) JOIN entity ON signature_id = id JOIN item ON owner = id GROUP BY ALL"))
+@query("k6_bundle_export", over("entity", "item", sql="SELECT CAST(position AS INTEGER) AS position, signature_id, '[' || string_agg('{\"ord\":' || ord || ',\"sig_type\":' || sig_type || ',\"size\":' || size || ',\"data\":\"' || lower(hex(encode(sig_type_name || ord))) || '\"}', ',' ORDER BY ord) || ']' AS items FROM (VALUES (7, 0), (3, 1)) v(id, position) JOIN entity ON signature_id = id JOIN item ON owner = id GROUP BY ALL"))
 def k6(c: Catalog) -> DataFrame:
-    return sinks.bundle_export(c.entity, c.item, [7, 3, 7])
+    """Entities in the caller's order with their items and the items' bytes."""
+    return sinks.bundle_export(c.entity, c.item.withColumn("data", F.encode(F.concat("sig_type_name", F.col("ord").cast("string")), "UTF-8")), [7, 3, 7])
 
 
 @query("m1_sync", over("snapshot_old", "snapshot_new", sql="SELECT count(*) FILTER (o.key IS NULL) AS added, CAST(0 AS BIGINT) AS removed, count(*) FILTER (o.key IS NOT NULL AND n.key IS NOT NULL AND o.status <> n.status) AS updated, CAST(0 AS BIGINT) AS same FROM snapshot_old o FULL JOIN snapshot_new n USING (key)"))
@@ -288,11 +290,38 @@ def m14(c: Catalog) -> DataFrame:
     return runs.select("catalog", status.alias("status"))
 
 
-@query("m16_entity_profile", over("payload", sql=", w AS (SELECT owner, unnest(regexp_extract_all(text, '[\\x20-\\x7e]{5,}')) AS s FROM payload), n AS (SELECT owner, count(DISTINCT s) AS strings FROM w GROUP BY 1) SELECT p.owner, count(*) AS items, count(DISTINCT data_hash) AS payloads, CAST(sum(size) AS BIGINT) AS bytes, coalesce(any_value(strings), 0) AS strings FROM payload p LEFT JOIN n USING (owner) GROUP BY 1"))
+#: Leading bytes by the length of a text, and eight nulls behind every third: items of all kinds of content.
+HEADS = "hd(k, hex, name, joins) AS (VALUES " + ", ".join(f"({k}, '{h}', '{n}', {0x20 <= int(h[-2:], 16) <= 0x7E})" for k, (h, n) in enumerate(text.MAGIC)) + f", ({len(text.MAGIC)}, '', NULL, false))"
+MADE = HEADS + f", it AS (SELECT doc_id AS id, doc_id % 97 AS owner, text, hex, name, joins, strlen(text) % 3 = 0 AS nulls, strlen(text) + length(hex) // 2 + CASE WHEN strlen(text) % 3 = 0 THEN 8 ELSE 0 END AS size FROM documents JOIN hd ON k = strlen(text) % {len(text.MAGIC) + 1})"
+
+
+def made_items(c: Catalog) -> DataFrame:
+    n = F.octet_length("text")
+    head = F.element_at(F.array(*(F.lit(bytes.fromhex(h)) for h, _ in text.MAGIC), F.lit(b"")), n % (len(text.MAGIC) + 1) + 1)
+    tail = F.when(n % 3 == 0, F.lit(bytes(8))).otherwise(F.lit(b""))
+    return c.read("documents").select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(97)).alias("owner"), F.concat(head, F.encode("text", "UTF-8"), tail).alias("data"))
+
+
+@query("c15_magic", "WITH " + MADE + " SELECT id, coalesce(name, '') AS magic FROM it")
+def c15(c: Catalog) -> DataFrame:
+    """All signatures occur, by the length of texts, and none."""
+    return made_items(c).select("id", F.array_join(text.magic(F.col("data")), ",").alias("magic"))
+
+
+@query("m16_entity_profile", "WITH " + MADE + r""", bt AS (SELECT id, owner, size, unnest(regexp_extract_all(hex || hex(encode(text)) || CASE WHEN nulls THEN repeat('00', 8) ELSE '' END, '..')) AS b FROM it),
+    en AS (SELECT id, owner, abs(round(-sum(k / size * log2(k / size)), 4)) AS e FROM (SELECT id, owner, size, b, count(*) AS k FROM bt GROUP BY ALL) GROUP BY ALL),
+    st AS (SELECT id, owner, regexp_extract_all(CASE WHEN joins THEN regexp_replace(text, '^[\x20-\x7e]+', '') ELSE text END, '[\x20-\x7e]{4,}') AS x FROM it),
+    sr AS (SELECT owner, CAST(sum(len(x)) AS BIGINT) AS string_regions, CAST(sum(list_sum(list_transform(x, lambda s: length(s)))) AS BIGINT) AS string_bytes FROM st GROUP BY 1),
+    te(term) AS (VALUES ('ing of'), ('that the'), ('de la'), ('example.com')), hi AS (SELECT owner, term, (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM it, te WHERE contains(text, term)),
+    hs AS (SELECT owner, CAST(sum(n) AS BIGINT) AS hits, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM hi GROUP BY 1)
+    SELECT owner, items, least_entropy, most_entropy, size, magic_regions, magic_bytes, null_regions, null_bytes, coalesce(string_regions, 0) AS string_regions, coalesce(string_bytes, 0) AS string_bytes, coalesce(hits, 0) AS hits, coalesce(terms, '') AS terms, coalesce(magic, '') AS magic
+    FROM (SELECT owner, count(*) AS items, CAST(sum(size) AS BIGINT) AS size, count(name) AS magic_regions, CAST(sum(length(hex) // 2) AS BIGINT) AS magic_bytes, count(*) FILTER (nulls) AS null_regions, count(*) FILTER (nulls) * 8 AS null_bytes, string_agg(DISTINCT name, ',' ORDER BY name) AS magic FROM it GROUP BY 1)
+    JOIN (SELECT owner, min(e) AS least_entropy, max(e) AS most_entropy FROM en GROUP BY 1) USING (owner) LEFT JOIN sr USING (owner) LEFT JOIN hs USING (owner)""")
 def m16(c: Catalog) -> DataFrame:
-    runs = c.payload.select("owner", F.explode(text.printable_runs(F.col("data"), 5)).alias("s")).groupBy("owner").agg(F.countDistinct("s").alias("strings"))
-    own = c.payload.groupBy("owner").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("data_hash").alias("payloads"), F.sum("size").alias("bytes"))
-    return own.join(runs, "owner", "left").withColumn("strings", F.coalesce("strings", F.lit(0)))
+    """What the bytes of each entity's items are made of: entropies, magic, regions and hits of terms."""
+    terms = c.spark.createDataFrame([(t[0],) for t in TERMS], "term string")
+    found = profiles.entity_profiles(made_items(c), terms)
+    return found.withColumns({k: F.array_join(k, ",") for k in ("terms", "magic")})
 
 
 @query("m17_standalone_grouping", """

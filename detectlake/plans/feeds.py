@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import naming, records
 from ..scratch import new_folder
 from ..sources import readers, sinks
-from ..streaming import jobs
+from ..streaming import jobs, periods
 from ..streaming.snapshots import Snapshot
 from .bind import Catalog, over
 from .composite import CALLS, calls
@@ -113,16 +113,15 @@ def u5b(c: Catalog) -> DataFrame:
     return c.script.select("id", F.array_join(F.array_sort(F.array_except(names, known)), ",").alias("unknown"))
 
 
-@query("m6_extract_indicators", r"""WITH t AS (SELECT doc_id AS owner, source, text, substring(text, 1, 10000) AS head FROM documents WHERE source NOT IN ('src0', 'src1')),
+@query("m6_extract_indicators", r"""WITH t AS (SELECT doc_id AS owner, source, text, text AS head FROM documents WHERE source NOT IN ('src0', 'src1')),
       v AS (SELECT 'sha256' AS kind, unnest([sha256(text), sha256(text || 'x')]) AS value, doc_id AS owner FROM documents WHERE source = 'src0' UNION ALL SELECT 'md5', md5(text), doc_id FROM documents WHERE source = 'src1'
       UNION ALL SELECT 'ip', unnest(regexp_extract_all(head, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')), owner FROM t UNION ALL SELECT 'email', unnest(regexp_extract_all(head, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')), owner FROM t UNION ALL SELECT 'url', unnest(regexp_extract_all(head, 'https?://[^\s"''<>]+')), owner FROM t)
     SELECT DISTINCT kind, value, owner FROM v""".replace("\\\\", "\\"))
 def m6(c: Catalog) -> DataFrame:
-    """Items routed by type: packed digests for two sources, network indicators in the head of all others."""
+    """Items routed by type: packed digests for two sources, network indicators in the whole text of all others."""
     digest = lambda bits: F.sha2(F.encode("text", "UTF-8"), bits)
     packed = F.unhex(F.concat(digest(256), F.lit("0" * 64), F.sha2(F.encode(F.concat("text", F.lit("x")), "UTF-8"), 256)))
-    short = F.substring(F.col("text"), 1, 10_000)
-    data = F.when(F.col("source") == "src0", packed).when(F.col("source") == "src1", F.unhex(F.md5("text"))).otherwise(F.encode(short, "UTF-8"))
+    data = F.when(F.col("source") == "src0", packed).when(F.col("source") == "src1", F.unhex(F.md5("text"))).otherwise(F.encode("text", "UTF-8"))
     items = c.read("documents").select(F.col("doc_id").alias("owner"), F.col("source").alias("sig_type_name"), data.alias("data"))
     return records.extract_indicators(items, {"src0": "SHA256", "src1": "MD5"}, tuple(f"src{i}" for i in range(2, 60)))
 
@@ -210,6 +209,25 @@ def r5(c: Catalog) -> DataFrame:
     return state.select("entity_type", "entity_id", "n", F.col("last_at").cast("string").alias("last_at"))
 
 
+@query("r5_ended_periods", """WITH e AS (SELECT event_type, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) <= INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM events),
+    p AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT event_type AS entity_type, user_id AS entity_id, CAST(min(ts) AS VARCHAR) AS first_at, CAST(max(ts) AS VARCHAR) AS last_at, count(*) AS n FROM p GROUP BY event_type, user_id, k HAVING max(ts) + INTERVAL 3 DAY < (SELECT max(ts) FROM events)""")
+def r5_periods(c: Catalog) -> DataFrame:
+    """Periods of activity that event time has passed, from a stream of three batches in order of time; their state is gone."""
+    rows = c.read("events").select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("changed_at"))
+    path = f"{new_folder(c.spark)}/feed"
+    span = rows.agg(F.min("changed_at").alias("a"), F.max("changed_at").alias("b")).first()
+    third = (span.b - span.a) / 3
+    for i in range(3):  # the file source takes older files first
+        since, until = span.a + i * third, span.a + (i + 1) * third
+        own = (F.col("changed_at") >= F.lit(since)) & ((F.col("changed_at") < F.lit(until)) if i < 2 else F.lit(True))
+        rows.where(own).coalesce(4).write.mode("append").parquet(path)
+    stream = jobs.file_stream(c.spark, path, rows.schema, per_trigger=4)
+    with periods.use_timers(c.spark):
+        found, _ = jobs.run_to_files(periods.ended_periods(stream, 2 * 86_400), "append")
+    return found.select("entity_type", "entity_id", F.col("first_at").cast("string").alias("first_at"), F.col("last_at").cast("string").alias("last_at"), "n")
+
+
 @query("r6_distinct_scripts", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def r6(c: Catalog) -> DataFrame:
     """Contents as they come in, each once, also across batches."""

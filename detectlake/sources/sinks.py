@@ -64,9 +64,10 @@ def rule_corpus(scripts: DataFrame, by: str, most: int | None = None, parts: int
 
 
 def bundle_export(entities: DataFrame, items: DataFrame, ids: list[int]) -> DataFrame:
-    """Entities in the caller's order with their items nested as JSON.
+    """Entities in the caller's order with their items nested as JSON, with their bytes in hex where ``items`` has ``data``.
 
     Fails, and never cuts, if an id is unknown or the items are too many or too large; one aggregate tells.
+    Null data stays null.
     """
     spark, unique = entities.sparkSession, list(dict.fromkeys(ids))
     wanted = spark.createDataFrame([(i, n) for n, i in enumerate(unique)], "signature_id long, position int")
@@ -75,10 +76,16 @@ def bundle_export(entities: DataFrame, items: DataFrame, ids: list[int]) -> Data
     n = found.count()
     if n < len(unique):
         raise KeyError(f"{len(unique) - n} unknown ids")
-    count, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fields = [F.col(x) for x in ("ord", "sig_type", "size")]
+    bytes_of = F.col("size")
+    if "data" in items.columns:
+        # what the export holds counts, not what the item says of itself
+        bytes_of = F.greatest("size", F.coalesce(F.octet_length("data"), F.lit(0)))
+        fields.append(F.lower(F.hex("data")).alias("data"))
+    count, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
     if count > MOST_EXPORTED or 2 * size + 512 * count > MOST_BYTES:
         raise ValueError("too many items to export")
-    nested = own.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("ord", "sig_type", "size"))).alias("items"))
+    nested = own.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
     joined = found.join(nested.withColumnRenamed("owner", "signature_id"), "signature_id", "left")
     return joined.select("position", "signature_id", F.coalesce(F.to_json("items"), F.lit("[]")).alias("items")).orderBy("position")
 

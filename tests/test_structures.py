@@ -1,6 +1,7 @@
 """Segmented scans, automata, logs of snapshots and hash trees against plain walks of the same rows."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -189,3 +190,147 @@ def test_rules_that_share_enough_meet(spark):
     for least, block in ((1, 512), (4, 7), (9, 3)):
         want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
         assert {tuple(x) for x in similarity.shared_between(df, least, block).collect()} == want
+
+
+def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
+    """Short, rare, common and missing strings, wildcard signs, letters beyond ASCII, in two segments; few files are read."""
+    from detectlake.operators.filters import icontains
+    from detectlake.operators.textindex import TextIndex, tokens
+
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["Alpha", "beta", "gamma_1", "50%", "Über", "naïve", "x"]) for _ in range(r.randrange(0, 9)))) for i in range(-50, 400)]
+    rows += [(900, None), (901, ""), (902, "the needle's\nown\\place"), (903, "Needle"), (70_000, "far away needle"), (9_000_000, "x" * 5_000 + "END")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    index = TextIndex(spark, str(tmp_path / "grams"), span=100)
+    words = TextIndex(spark, str(tmp_path / "words"), "tokens", span=100)
+    for made in (index, words):
+        made.add(df.where("id % 2 = 0"), "id", "s")
+        made.add(df.where("id % 2 <> 0"), "id", "s")
+    for q in ("needle", "NEEDLE'S\nOWN", "\\place", "a_1", "50% üb", "%", "_", "be", "x", "xxxend", "nothing here", "alpha beta", "ÜBER"):
+        want = {x.id for x in df.where(icontains("s", q) & F.col("s").isNotNull()).collect()}
+        assert {x.key for x in index.containing(q).collect()} == want, q
+        assert {x.key for x in words.containing(q).collect()} == want, q
+    for q in ("needle", "alpha über", "gamma 1", "place OWN", "missing alpha", "x end", "?!"):
+        asked = {w.lower() for w in re.findall(r"[^\W_]+", q)}
+        want = {i for i, s in rows if asked and asked <= {w.lower() for w in re.findall(r"[^\W_]+", s or "")}}
+        assert {x.key for x in words.with_tokens(q).collect()} == want == {x.key for x in index.with_tokens(q).collect()}, q
+    assert spark.range(1).select(tokens(F.lit("a_B 1-2"))).first()[0] == ["a", "b", "1", "2"]
+    # the lists of a search lie in the buckets of its own terms, and only its candidates' texts are read
+    own, every = index.lists(["nee", "eed"]).inputFiles(), list((tmp_path / "grams").rglob("lists/**/*.parquet"))
+    assert 0 < len(own) <= 4 and len(every) > 40
+    assert len(index.texts({700}).inputFiles()) == 1 and len(index.texts().inputFiles()) > 8
+    assert TextIndex(spark, str(tmp_path / "none")).containing("needle").count() == 0
+
+
+def test_deep_pages_read_their_own_ranges(spark, tmp_path):
+    from detectlake.operators.ordered import PageIndex
+
+    r = random.Random(8)
+    rows = [(i, r.choice([None, 1, 2, 2, 2, 3, r.randrange(1000)])) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id long, v int")
+    index = PageIndex.build(df, [F.desc("v"), F.asc("id")], str(tmp_path / "pages"), ranges=12)
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert index.total == 3_000
+    for number, size in ((1, 25), (2, 7), (40, 50), (60, 50), (61, 50), (1, 5_000), (430, 7)):
+        got = [(x.id, x.position) for x in sorted(index.page(number, size).collect(), key=lambda x: x.position)]
+        assert got == [(order[i][0], i) for i in range((number - 1) * size, min(3_000, number * size))]
+    assert len(index.ranges_of(1_500, 1_520)) <= 2 and index.ranges_of(3_000, 3_020) == []
+    empty = PageIndex.build(df.where("id < 0"), [F.asc("id")], str(tmp_path / "empty"), ranges=4)
+    assert empty.total == 0 and empty.page(1, 10).count() == 0
+
+
+def test_sketches_of_days_merge(spark, tmp_path):
+    """Estimates over ranges, from several loads with overlapping values, are within the stated error; days without rows are fine."""
+    from detectlake.operators import sketches
+
+    rows = spark.range(60_000).selectExpr("date_add(date'2024-01-01', cast(id % 40 as int)) AS day", "concat('k', id % 3) AS kind", "cast(hash(id) % 9000 as string) AS value").where("day <> date'2024-01-05'")
+    rows = rows.unionByName(rows.limit(10).withColumn("value", F.lit(None).cast("string")))
+    for i, part in enumerate(("value < '4'", "value >= '3' OR value IS NULL")):
+        sketches.store(sketches.daily(rows.where(part), "day", "kind", "value"), f"{tmp_path}/{i}")
+    table = spark.read.parquet(f"{tmp_path}/0", f"{tmp_path}/1")
+    ranges = spark.sql("SELECT * FROM VALUES (date'2024-01-01', date'2024-01-02'), (date'2024-01-04', date'2024-01-20'), (date'2024-01-01', date'2025-01-01'), (date'2023-01-01', date'2023-02-01') AS t(since, until)")
+    got = {(r.kind, r.since, r.until): r.estimate for r in sketches.between(table, ranges).collect()}
+    exact = rows.join(ranges, "day >= since AND day < until").groupBy("kind", "since", "until").agg(F.countDistinct("value").alias("n")).collect()
+    assert len(got) == len(exact) == 9 and all(abs(got[x.kind, x.since, x.until] / x.n - 1) <= sketches.ERROR for x in exact)
+
+
+def test_state_ends_with_event_time(spark, tmp_path):
+    """Periods come once event time has passed them, joined over batches and late rows; open ones stay, and what is too late is dropped."""
+    from detectlake.streaming import jobs, periods
+
+    at = lambda day, hour=0: f"2024-01-{day:02} {hour:02}:00:00"
+    batches = [
+        [("a", 1, at(1)), ("a", 1, at(2)), ("b", 2, at(3)), (None, None, at(1, 5)), ("a", 1, None)],
+        [("a", 1, at(4)), ("b", 2, at(10)), ("a", 9, at(9, 12))],  # the watermark is then day 9
+        [("a", 1, at(2, 3)), ("b", 2, at(11)), ("a", 9, at(9, 1))],  # the first is too late by days
+        [("z", 0, at(20))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "entity_type string, entity_id long, at string").select("entity_type", "entity_id", F.to_timestamp("at").alias("changed_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+    with periods.use_timers(spark):
+        found, query = jobs.run_to_files(periods.ended_periods(stream, 2 * 86_400), "append")
+    got = {(r.entity_type, r.entity_id, str(r.first_at), str(r.last_at), r.n) for r in found.collect()}
+    assert got == {("a", 1, at(1), at(4), 3), ("b", 2, at(3), at(3), 1), ("b", 2, at(10), at(11), 2), (None, None, at(1, 5), at(1, 5), 1), ("a", 9, at(9, 1), at(9, 12), 2)}
+    assert periods.merged([(5, 6, 1), (1, 2, 1), (4, 4, 2)], 1) == [(1, 2, 1), (4, 6, 3)]
+
+
+def test_late_rows_over_very_many_batches(spark, tmp_path):
+    """A listener counts late rows of more batches than a query remembers."""
+    from detectlake.streaming import jobs
+
+    n = 115
+    for i in range(n):
+        late = ", (timestamp'2023-01-01 00:00:00')" if i % 10 == 3 else ""
+        spark.sql(f"SELECT col1 AS changed_at FROM VALUES (timestamp'2024-03-01 00:00:00' + INTERVAL {i} HOURS){late}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+    with jobs.LateRows(spark) as late:
+        _, query = jobs.run_to_files(jobs.daily_counts(stream), "update", ["day"])
+        assert late.of(query) == 12 and late.batches[str(query.id)] >= n and len(query.recentProgress) <= 100
+
+
+def test_profiles_of_items(spark):
+    """Bytes of all kinds, none at all, null data and repeated ids."""
+    from detectlake.operators import profiles
+
+    rows = [(1, "a", b"MZ\x90\x00" + bytes(12) + b"hello evil evil" + b"\xff\xfe"), (2, "a", b""), (3, None, None), (4, "b", b"\x1f\x8babcd"), (4, "b", b"evil")]
+    df = spark.createDataFrame([(i, o, None if d is None else bytearray(d)) for i, o, d in rows], "id long, owner string, data binary")
+    terms = spark.createDataFrame([("evil",), ("vil e",), ("",)], "term string")
+    got = sorted(profiles.item_profiles(df, terms).collect(), key=lambda r: (r.id, r["size"]))
+    assert [(r.id, r["size"], r.magic, r.magic_bytes, r.string_regions, r.string_bytes, r.null_bytes, r.hits, r.terms) for r in got] == [
+        (1, 33, ["PE/DOS Executable"], 2, 1, 15, 13, 3, ["evil", "vil e"]),
+        (2, 0, [], 0, 0, 0, 0, 0, []),
+        (3, 0, [], 0, 0, 0, 0, 0, []),
+        (4, 4, [], 0, 1, 4, 0, 1, ["evil"]),
+        (4, 6, ["GZIP Compressed"], 2, 1, 4, 0, 1, ["evil"]),
+    ]
+    whole = {r.owner: r for r in profiles.entity_profiles(df, terms).collect()}
+    assert whole["a"]["items"] == 2 and whole["a"]["hits"] == 3 and whole[None].magic == [] and whole["b"].magic == ["GZIP Compressed"]
+    assert profiles.entity_profiles(df.where("id > 9"), terms).count() == 0
+
+
+def test_bundles_hold_payloads_and_are_guarded(spark):
+    from detectlake.sources import sinks
+
+    entities = spark.createDataFrame([(1,), (2,)], "signature_id long")
+    items = spark.createDataFrame([(1, 1, 1, 3, bytearray(b"\x00ab")), (1, 2, 1, 0, None)], "owner long, ord long, sig_type int, size int, data binary")
+    got = sinks.bundle_export(entities, items, [2, 1]).collect()
+    assert [r.items for r in got] == ["[]", '[{"ord":1,"sig_type":1,"size":3,"data":"006162"},{"ord":2,"sig_type":1,"size":0}]']
+    # the bytes themselves count, whatever the size says
+    large = items.limit(1).withColumn("data", F.encode(F.repeat(F.lit("x"), 9 << 20), "UTF-8"))
+    with pytest.raises(ValueError, match="too many items"):
+        sinks.bundle_export(entities, large, [1])
+
+
+def test_activity_up_to_today(spark):
+    from datetime import date
+
+    from detectlake.operators.aggregates import daily_activity
+
+    df = spark.sql("SELECT to_timestamp(x) AS changed_at FROM VALUES ('2024-01-03 10:00:00'), ('2024-01-03 11:00:00'), ('2024-01-05 00:00:00'), (NULL) AS t(x)")
+    told = lambda **k: [(str(r.day), r.n) for r in sorted(daily_activity(df, **k).collect())]
+    assert told() == [("2024-01-03", 2), ("2024-01-04", 0), ("2024-01-05", 1)]
+    assert told(today=date(2024, 1, 7), days=4) == [("2024-01-04", 0), ("2024-01-05", 1), ("2024-01-06", 0), ("2024-01-07", 0)]
+    assert told(today=date(2024, 1, 4), days=90, tracked_since=date(2024, 1, 2)) == [("2024-01-02", 0), ("2024-01-03", 2), ("2024-01-04", 0)]
+    assert told(today=date(2024, 1, 1), tracked_since=date(2024, 1, 2)) == []
+    assert daily_activity(df.where("changed_at is null"), today=date(2024, 1, 7)).count() == 0
