@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import sent
+
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of a total order, with total and pages on each row.
@@ -74,7 +76,7 @@ def ordered_by_selection(df: DataFrame, key: str, ids: list[int]) -> DataFrame:
     """Rows in the order of the first mention of their key in a list the caller gives."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, n) for n, i in enumerate(dict.fromkeys(ids))], f"{key} long, position int")
-    return df.join(F.broadcast(wanted), key).orderBy("position")
+    return df.join(sent(wanted, len(set(ids))), key).orderBy("position")
 
 
 def detail(entities: DataFrame, items: DataFrame, key: int, most: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a caller's list up to which it goes to all tasks.
+MOST_SENT = 100_000
+
+
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """A caller's list of n narrow rows, marked to be broadcast if it is short; a longer one is joined by a shuffle."""
+    return F.broadcast(rows) if n <= MOST_SENT else rows
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it isn't there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import sent
+
 MOST_EXPORTED, MOST_BYTES = 5_000, 16 << 20
 
 
@@ -71,8 +73,8 @@ def bundle_export(entities: DataFrame, items: DataFrame, ids: list[int]) -> Data
     """
     spark, unique = entities.sparkSession, list(dict.fromkeys(ids))
     wanted = spark.createDataFrame([(i, n) for n, i in enumerate(unique)], "signature_id long, position int")
-    found = entities.join(F.broadcast(wanted), "signature_id")
-    own = items.join(F.broadcast(wanted.withColumnRenamed("signature_id", "owner")), "owner")
+    found = entities.join(sent(wanted, len(unique)), "signature_id")
+    own = items.join(sent(wanted.withColumnRenamed("signature_id", "owner"), len(unique)), "owner")
     n = found.count()
     if n < len(unique):
         raise KeyError(f"{len(unique) - n} unknown ids")
