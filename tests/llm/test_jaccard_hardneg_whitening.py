@@ -143,7 +143,7 @@ def test_score_intervals_hold_all_rows():
     rng = np.random.default_rng(2)
     rows = np.floor(rng.standard_normal((500, 6)) * 200)
     rows[:50] = rows[0]
-    references = hardneg.spread_references(rows[:40])
+    references = hardneg.spread_references(rows[40:90])
     angles = hardneg.angles_to(rows, references)
     queries = np.vstack([rows[:5], -rows[7:9], rows[60:90] * 3])
     theirs, length = hardneg.angles_to(queries, references), np.linalg.norm(queries, axis=1)
