@@ -36,22 +36,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``materialise`` in hash buckets of a key: joins on it don't shuffle the table again, however often it is joined."""
-    spark = df.sparkSession
-    path, title = f"{shared_folder(spark)}/detectlake-{uuid.uuid4().hex}/{name}", f"detectlake_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    if _SCRATCH:
-        _SCRATCH[-1].append(place)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(title)
-    out = spark.table(title)
-    out.schema  # resolves the table  # noqa: B018
-    spark.sql(f"DROP TABLE {title}")  # the catalog's entry alone: the files are read by path from here on
-    return out
-
-
 #: What to delete at the end of each ``settled`` that is under way, the innermost last.
 _SCRATCH: list[list] = []
 
