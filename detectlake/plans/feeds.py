@@ -15,7 +15,7 @@ from ..sources import readers, sinks
 from ..streaming import jobs, periods
 from ..streaming.snapshots import Snapshot
 from .bind import Catalog, over
-from .composite import CALLS, calls
+from .composite import CALLS, UNDEFINED, calls, undefined
 from .registry import query
 
 PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType())])
@@ -98,11 +98,11 @@ def u3(c: Catalog) -> DataFrame:
     return c.read("documents").select("doc_id", F.size(kept).cast("long").alias("n"), F.md5(F.array_join(kept, " ")).alias("kept"))
 
 
-@query("u5_unknown_names", over("script", sql=CALLS + " SELECT id, name FROM calls WHERE name NOT IN (SELECT name FROM defs)"))
+@query("u5_unknown_names", over("script", sql=UNDEFINED + " SELECT id, name FROM calls WHERE name NOT IN (SELECT name FROM defs)"))
 def u5(c: Catalog) -> DataFrame:
     """Names found in scripts that no definition has: an anti join, as neither side is bounded."""
     used, defined = calls(c)
-    return used.join(defined, "name", "left_anti").select("id", "name")
+    return used.join(undefined(defined), "name", "left_anti").select("id", "name")
 
 
 @query("u5_unknown_in_row", over("script", sql=", n AS (SELECT id, list_distinct(regexp_extract_all(source, 'href=\"/([^\"]*)\"', 1)) AS names FROM script) SELECT id, array_to_string(list_sort(list_filter(names, lambda x: x NOT IN ('The', 'the', 'and', 'of', 'de', 'la'))), ',') AS unknown FROM n"))
