@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +74,34 @@ def blocks_of(source: str) -> list[dict]:
     return out
 
 
-def function_bodies(scripts: DataFrame, key: str, source: str) -> DataFrame:
-    """(key, name, body, entries) of every function, nested ones too; nesting needs a stack, so sources go through Arrow batches."""
+#: Characters of functions that are held as Python values at a time.
+PIECE = 4 << 20
+
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{key: k, **f} for k, s in zip(b[key], b[source], strict=True) if isinstance(s, str) and "function" in s for f in blocks_of(s)]
-            yield pd.DataFrame(rows, columns=[key, "name", "body", "entries"])
+def function_bodies(scripts: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, name, body, entries) of every function, nested ones too; nesting needs a stack, so sources go through Arrow batches.
 
-    return scripts.select(F.col(key).cast("long"), source).mapInPandas(read, f"{key} long, name string, body string, entries array<string>")
+    Sources are taken one by one, and what is found goes on in pieces: neither all sources of a batch nor
+    their functions are held as Python values.
+    """
+    names = [key, "name", "body", "entries"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for batch in batches:
+            rows, size = [], 0
+            for k, s in zip(batch.column(0), batch.column(1), strict=True):
+                found = blocks_of(s.as_py()) if s.is_valid else []
+                rows += [(k.as_py(), f["name"], f["body"], f["entries"]) for f in found]
+                size += sum(len(f["body"]) for f in found)
+                if size >= PIECE:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+    return scripts.select(F.col(key).cast("long"), source).mapInArrow(read, f"{key} long, name string, body string, entries array<string>")
 
 
 def best_definitions(functions: DataFrame, policy: str = "most") -> DataFrame:
