@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,12 +97,40 @@ def regions_of(data: bytes, terms: tuple[bytes, ...] = (), least: int = 4, nulls
     return [{"kind": kind, "offset": start, "length": length} for start, length, kind in taken]
 
 
+#: Bytes of items whose lists are held as Python values at a time.
+PIECE = 4 << 20
+
+
+def listed(values: pa.Array, names: Sequence[str], types: Sequence[pa.DataType], rows: Callable[[bytes], Iterable[tuple]]) -> pa.Array:
+    """A list of structs for each item, null for null ones; what is made of some items becomes Arrow's before the next."""
+    kind, pieces = pa.list_(pa.struct(list(zip(names, types, strict=True)))), []
+
+    def close(ends: list, made: list) -> None:
+        columns = list(zip(*made, strict=True)) or [()] * len(names)
+        pieces.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], list(names))).cast(kind))
+
+    ends, made, size = [], [], 0
+    for v in values:
+        # a null list is a null place with the next list's start behind it
+        ends.append(len(made) if v.is_valid else None)
+        if v.is_valid:
+            data = v.as_py()
+            made += rows(data)
+            size += len(data)
+        if size >= PIECE:
+            close([*ends, len(made)], made)
+            ends, made, size = [], [], 0
+    if ends:
+        close([*ends, len(made)], made)
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
+
+
 def regions(data: Column, terms: tuple[bytes, ...] = (), least: int = 4, nulls: int = 8) -> Column:
     """The regions of each item as an array of kind, offset and length, by offset; null data has none."""
 
-    @F.pandas_udf(REGION_TYPE)
-    def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: regions_of(bytes(v), terms, least, nulls), na_action="ignore")
+    @F.arrow_udf(REGION_TYPE)
+    def read(values: pa.Array) -> pa.Array:
+        return listed(values, ("kind", "offset", "length"), (pa.string(), pa.int32(), pa.int32()), lambda v: [(x["kind"], x["offset"], x["length"]) for x in regions_of(v, terms, least, nulls)])
 
     return read(data)
 
@@ -109,10 +139,10 @@ def strings_with_context(data: Column, least: int = 4, around: int = 16) -> Colu
     """(text, offset, context): printable runs with the hex of some bytes around them; null data has none."""
     run = re.compile(rb"[\x20-\x7e]{%d,}" % least)
 
-    @F.pandas_udf("array<struct<text:string,offset:int,context:string>>")
-    def read(values: pd.Series) -> pd.Series:
-        one = lambda v: [{"text": m[0].decode("ascii"), "offset": m.start(), "context": v[max(0, m.start() - around) : m.end() + around].hex().upper()} for m in run.finditer(v)]
-        return values.map(lambda v: one(bytes(v)), na_action="ignore")
+    @F.arrow_udf("array<struct<text:string,offset:int,context:string>>")
+    def read(values: pa.Array) -> pa.Array:
+        one = lambda v: [(m[0].decode("ascii"), m.start(), v[max(0, m.start() - around) : m.end() + around].hex().upper()) for m in run.finditer(v)]
+        return listed(values, ("text", "offset", "context"), (pa.string(), pa.int32(), pa.string()), one)
 
     return read(data)
 
