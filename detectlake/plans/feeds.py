@@ -228,12 +228,13 @@ def r5_periods(c: Catalog) -> DataFrame:
     rows = c.read("events").select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("changed_at"))
     path = f"{new_folder(c.spark)}/feed"
     span = rows.agg(F.min("changed_at").alias("a"), F.max("changed_at").alias("b")).first()
-    third = (span.b - span.a) / 3
-    for i in range(3):  # the file source takes older files first
-        since, until = span.a + i * third, span.a + (i + 1) * third
-        own = (F.col("changed_at") >= F.lit(since)) & ((F.col("changed_at") < F.lit(until)) if i < 2 else F.lit(True))
-        rows.where(own).coalesce(4).write.mode("append").parquet(path)
-    stream = jobs.file_stream(c.spark, path, rows.schema, per_trigger=4)
+    third = (span.b - span.a) / 3 if span.a else None
+    at = F.col("changed_at")
+    parts = [at.isNotNull()] if third is None else [at < F.lit(span.a + third), (at >= F.lit(span.a + third)) & (at < F.lit(span.a + 2 * third)), at >= F.lit(span.a + 2 * third)]
+    files = even_files(rows, min(rows.agg(*(F.count_if(p) for p in parts)).first()))
+    for part in parts:  # the file source takes older files first
+        rows.where(part).repartition(files).write.mode("append").parquet(path)
+    stream = jobs.file_stream(c.spark, path, rows.schema, per_trigger=files)
     with periods.use_timers(c.spark):
         found, _ = jobs.run_to_files(periods.ended_periods(stream, 2 * 86_400), "append")
     return found.select("entity_type", "entity_id", F.col("first_at").cast("string").alias("first_at"), F.col("last_at").cast("string").alias("last_at"), "n")

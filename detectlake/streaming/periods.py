@@ -1,21 +1,16 @@
-"""State with an end (R5): periods of activity by entity, kept until event time has passed them (stateful processor with timers)."""
+"""State with an end (R5): periods of activity by entity, kept until event time has passed them (session windows)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
 
-#: Where state lies: timers need this one.
+#: Where state lies that may outgrow memory.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "firsts array<long>, lasts array<long>, counts array<long>"
 
 
 def merged(periods: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Periods (first, last, number) in order, joined where no more than a gap lies between them."""
+    """Periods (first, last, number) in order, joined where no more than a gap lies between them: what ``ended_periods`` is held to."""
     out: list[tuple[int, int, int]] = []
     for first, last, n in sorted(periods):
         if out and first - out[-1][1] <= gap:
@@ -25,71 +20,24 @@ def merged(periods: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int
     return out
 
 
-def of_times(times: list[int], gap: int) -> list[tuple[int, int, int]]:
-    return merged([(t, t, 1) for t in times], gap)
-
-
-class PeriodProcessor(StatefulProcessor):
-    """Keeps an entity's open periods; a timer gives each on and forgets it once the watermark is a gap behind its last change."""
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("periods", STATE)
-
-    def _keep(self, periods: list[tuple[int, int, int]]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not periods:
-            self.state.clear()
-            return
-        self.state.update(tuple(list(x) for x in zip(*periods, strict=True)))
-        # the first that can end; a millisecond later, as times are cut to milliseconds
-        self.handle.registerTimer(min(last for _, last, _ in periods) // 1000 + self.gap // 1000 + 1)
-
-    def _open(self) -> list[tuple[int, int, int]]:
-        return list(zip(*self.state.get(), strict=True)) if self.state.exists() else []
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        periods = self._open()
-        for batch in rows:
-            periods = merged(periods + of_times(batch["micros"].tolist(), self.gap), self.gap)
-        self._keep(periods)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        periods = self._open()
-        ended = [p for p in periods if p[1] + self.gap < mark]
-        self._keep([p for p in periods if p[1] + self.gap >= mark])
-        if ended:
-            yield pd.DataFrame([(*key, *p) for p in ended], columns=["entity_type", "entity_id", "first_micros", "last_micros", "n"])
-
-    def close(self) -> None:
-        pass
-
-
 def ended_periods(changes: DataFrame, gap_seconds: int, late: str = "1 day") -> DataFrame:
     """(entity_type, entity_id, first_at, last_at, n): periods of changes that lie no more than a gap apart, once they have ended.
 
-    A period has ended when the watermark, ``late`` behind the newest change, is more than a gap behind its
-    last change; its state then goes, so that state holds entities with open periods only. Rows later than
-    the watermark are dropped. Entities with a null type or id count like others; rows without a time have
-    no period. Runs in append mode on the state store of ``use_timers``.
+    A period has ended when the watermark, ``late`` behind the newest change and cut to milliseconds, is more
+    than a gap behind its last change; its state then goes, so that state holds entities with open periods
+    only. A row is dropped once the watermark is more than a gap behind it. Entities with a null type or id
+    count like others; rows without a time have no period. Runs in append mode; the state of very many
+    entities belongs on disk, as in ``use_timers``.
     """
-    from pyspark.sql import functions as F
-
-    rows = changes.where(F.col("changed_at").isNotNull()).withWatermark("changed_at", late).withColumn("micros", F.unix_micros("changed_at"))
-    kinds = dict(rows.dtypes)
-    schema = f"entity_type {kinds['entity_type']}, entity_id {kinds['entity_id']}, first_micros long, last_micros long, n long"
-    found = rows.groupBy("entity_type", "entity_id").transformWithStateInPandas(PeriodProcessor(gap_seconds * 1_000_000), schema, "append", "eventtime")
-    return found.select("entity_type", "entity_id", F.timestamp_micros("first_micros").alias("first_at"), F.timestamp_micros("last_micros").alias("last_at"), "n")
+    # Spark ends a session when the watermark reaches its end: a millisecond later it is behind it
+    rows = changes.where(F.col("changed_at").isNotNull()).withWatermark("changed_at", f"{late} 1 millisecond")
+    period = F.session_window("changed_at", f"{gap_seconds} seconds")
+    found = rows.groupBy("entity_type", "entity_id", period).agg(F.min("changed_at").alias("first_at"), F.max("changed_at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return found.select("entity_type", "entity_id", "first_at", "last_at", "n")
 
 
 class use_timers:  # noqa: N801  a context manager
-    """Streams started inside keep their state in RocksDB, which timers need; the setting is put back at the end."""
+    """Streams started inside keep their state in RocksDB, out of a task's memory; the setting is put back at the end."""
 
     def __init__(self, spark):  # noqa: ANN001
         self.spark, self.key = spark, "spark.sql.streaming.stateStore.providerClass"
