@@ -7,8 +7,11 @@ exactly what a scan would find.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,45 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
 
 
+#: Postings that a task puts together before they are shuffled.
+GATHERED = 1 << 20
+
+
+def trigram_lists(texts: DataFrame) -> DataFrame:
+    """(term, block, keys): the posting lists of ``trigrams`` over texts (key, block, text), in one piece for each run of GATHERED postings.
+
+    Code points are read from the lower-cased texts, three of 21 bits to a number, so that a posting is three
+    numbers until its list is made.
+    """
+
+    def gather(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(x) for _, _, x in held]
+        key, block = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+        code = np.concatenate([x for _, _, x in held])
+        order = np.lexsort((key, block, code))
+        code, block, key = code[order], block[order], key[order]
+        first = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(block) != 0)))
+        terms = ["".join(chr(c >> at & 0x1FFFFF) for at in (0, 21, 42)) for c in code[first].tolist()]
+        keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(key))
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(block[first]), keys], ["term", "block", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for key, block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                points = np.frombuffer(text.as_buffer().to_pybytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+                if len(points) > 2:
+                    held.append((key, block, np.unique(points[:-2] | points[1:-1] << 21 | points[2:] << 42)))
+                    n += len(held[-1][2])
+                if n >= GATHERED:
+                    yield gather(held)
+                    held, n = [], 0
+        if held:
+            yield gather(held)
+
+    return texts.select("key", "block", F.lower("text").alias("text")).mapInArrow(run, "term string, block long, keys array<long>")
+
+
 TERMS = {"trigrams": trigrams, "tokens": tokens}
 
 
@@ -53,8 +95,11 @@ class TextIndex:
         kept = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("block", F.floor(F.col("key") / self.span))
         kept.hint("rebalance", "block").write.mode("overwrite").partitionBy("block").parquet(f"{draft}/texts")
         stored = self.spark.read.schema("key long, text string, block long").parquet(f"{draft}/texts")
-        terms = stored.select("key", "block", F.explode(TERMS[self.kind](F.col("text"))).alias("term"))
-        lists = terms.groupBy("term", "block").agg(F.sort_array(F.collect_list("key")).alias("keys")).withColumns({"n": F.size("keys"), "bucket": self._bucket(F.col("term"))})
+        if self.kind == "trigrams":
+            found, keys = trigram_lists(stored), F.flatten(F.collect_list("keys"))
+        else:
+            found, keys = stored.select("key", "block", F.explode(TERMS[self.kind](F.col("text"))).alias("term")), F.collect_list("key")
+        lists = found.groupBy("term", "block").agg(F.sort_array(keys).alias("keys")).withColumns({"n": F.size("keys"), "bucket": self._bucket(F.col("term"))})
         lists.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{draft}/lists")
         place = self.spark._jvm.org.apache.hadoop.fs.Path(draft)
         files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
