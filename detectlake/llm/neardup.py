@@ -5,7 +5,7 @@ signature, each coordinate two MinHash values in one, so that chance agreements
 grows; two classes that agree in at least ``match`` of ``hashes`` coordinates must share one of the
 ``hashes - match + 1`` first pairs in any fixed order of all pairs, so only those are posted, rarest first.
 Very common pairs (passages that many documents share) thus are skipped unless little else is there. In a
-short list all members meet, in a long one each meets two members chosen by hash; candidates are kept if
+short list all members meet, and a class that is in long ones meets two hubs of them, chosen by hash; candidates are kept if
 enough coordinates agree. Then come rounds in which the members of a list that still holds several components
 meet members of other components only, so that a dense group grows together by as many pairs as it has
 members. What rounds no longer join meets by the rarest shingles of whole sets, again across components only.
@@ -205,6 +205,17 @@ def postings(classes: DataFrame, match: int) -> DataFrame:
     return materialise(posted.join(shared, "key"), "postings")
 
 
+def stars(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of lists (cls, hub1, hub2) with two hubs each: the first by each hash of all lists that hold a member.
+
+    A dense group thus meets few hubs, and a member two of them, however many lists it is in. What that
+    doesn't join is met list by list, between components.
+    """
+    of = [F.min(F.when(F.col(h) != F.col("cls"), F.struct(F.xxhash64(F.lit(i), h).alias("order"), F.col(h).alias("hub"))))["hub"] for i, h in ((1, "hub1"), (2, "hub2"))]
+    met = long.groupBy("cls").agg(F.array(*of).alias("hubs")).select("cls", F.explode("hubs").alias("hub"))
+    return met.where(F.col("hub").isNotNull()).select(*ordered("cls", "hub"))
+
+
 def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in at least ``match`` coordinates."""
     sides = [classes.select(F.col("cls").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab"]
@@ -340,7 +351,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of classes; classes without links are absent.
 
-    In short lists all members meet. In others each member meets two of them, then, round by round, members
+    In short lists all members meet. Members of others meet two hubs each, then, round by round, members
     of components other than its own, as long as that finds links. Members of long lists that hold different
     components even then meet in an exact join: every link has a list in common, so none between components
     is lost, and pairs inside a component, which may be as many as the square of its size, aren't made.
@@ -350,8 +361,7 @@ def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     short, long = lists.where(F.col("n") <= SHORT_LIST), lists.where(F.col("n") > SHORT_LIST)
     x, y = short.alias("x"), short.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    star = long.select("cls", F.explode(F.array("hub1", "hub2")).alias("hub")).where(F.col("cls") != F.col("hub"))
-    near = materialise(agreeing(pairs.unionByName(star.select(*ordered("cls", "hub"))).distinct(), classes, match), "candidates")
+    near = materialise(agreeing(pairs.unionByName(stars(long)).distinct(), classes, match), "candidates")
     asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
     sets = whole_sets(asked, classes, docs, words)
     return grown(near, long.select("key", "cls"), sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), sets, percent))

@@ -38,3 +38,16 @@ def test_components(spark, name):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     want = {k: v for k, v in roots([e for e in edges if e[0] != e[1]]).items()}
     assert sorted(map(tuple, got.collect())) == sorted(want.items())
+
+
+def test_members_of_many_lists_meet_two_hubs(spark):
+    """A dense group gives two candidates a member, not two for each list that holds it."""
+    from pyspark.sql import functions as F
+
+    from detectlake.llm.neardup import stars
+
+    lists = spark.range(300).select(F.col("id").alias("cls"), F.explode(F.sequence(F.lit(0), F.lit(36))).alias("key")).where(F.xxhash64("cls", "key") % 3 != 0)
+    hubs = lists.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "cls"), "cls"))["cls"].alias(f"hub{i}") for i in (1, 2)))
+    met = stars(lists.join(hubs, "key")).distinct()
+    assert met.count() <= 600 and met.where("a >= b").isEmpty()
+    assert met.select(F.explode(F.array("a", "b")).alias("cls")).distinct().count() == 300
