@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, settled, table
-from .neardup import SKETCH, across_postings, bucket_counts, class_of, grown, in_pieces, named_components, ordered, plausible, row_check, row_hash, shingle_sets, stars, whole_sets
+from .neardup import SKETCH, SKETCH_SQL, WholeSets, across_postings, bit_sketch, bucket_counts, class_of, grown, in_pieces, joined, named_components, plausible, row_check, row_hash, shingle_sets, sketch_columns, stars
 
 #: Buckets in which n-grams are counted to order columns by rarity.
 COLUMN_BUCKETS = 1 << 18
@@ -30,12 +30,12 @@ LONG_COLUMN = 16
 
 
 def posted_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words) and the first columns of each document, in order, as bytes."""
+    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words), sketch columns and the first columns of each document, in order, as bytes."""
     seen = bucket_counts(docs, "text", lambda texts: in_pieces(shingle_sets(texts, words)), COLUMN_BUCKETS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, high, low, firsts = [], [], [], []
+            sizes, high, low, firsts, bits = [], [], [], [], []
             for s in shingle_sets(batch.column(3), words):
                 n = len(s)
                 first = None
@@ -49,13 +49,13 @@ def posted_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         s_in, c_in = s, count
                     first = s_in[np.lexsort((s_in, c_in))][:keep].tobytes()
                 hi, lo = class_of(s) if n else (None, None)
-                for into, x in zip((sizes, high, low, firsts), (n, hi, lo, first), strict=True):
+                for into, x in zip((sizes, high, low, firsts, bits), (n, hi, lo, first, bit_sketch(s)), strict=True):
                     into.append(x)
             made = [pa.array(x, t) for x, t in ((sizes, pa.int64()), (high, pa.int64()), (low, pa.int64()), (firsts, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "firsts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, *sketch_columns(bits)], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "firsts", *SKETCH])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
-    return rows.mapInArrow(post, "doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, firsts binary")
+    return rows.mapInArrow(post, f"doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, firsts binary, {SKETCH_SQL}")
 
 
 def incidence(classes: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def incidence(classes: DataFrame) -> DataFrame:
                 repeat = [np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(own), *repeat, np.concatenate([np.arange(n) for n in lengths]))], ["key", "cls", "size", "place"])
 
-    posted = classes.select("cls", "size", "firsts").mapInArrow(entries, "key long, cls long, size long, place long")
+    posted = classes.select("cls", F.col("n").alias("size"), "firsts").mapInArrow(entries, "key long, cls long, size long, place long")
     # most n-grams occur once, so that keys alone are counted first
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return materialise(posted.join(shared, "key"), "entries")
@@ -139,20 +139,18 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
 
 def class_roots(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of classes; classes without links are absent."""
-    entries = incidence(classes)
+    entries, sets = incidence(classes), WholeSets(classes, docs, words)
     long = entries.where(F.col("n") > LONG_COLUMN)
-    near = materialise(candidates(entries, percent), "candidates")
-    asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
-    sets = whole_sets(asked, classes, docs, words)
-    near = materialise(plausible(near.unionByName(pivots(long)).distinct(), sets, percent), "near")
+    near = materialise(candidates(entries, percent).unionByName(pivots(long)).distinct(), "candidates")
+    near = materialise(plausible(near, classes, percent), "near")
 
     def last(named: DataFrame) -> DataFrame:
         # the first column that a linked pair shares leaves enough after it in both rows
-        posts = named.join(entries.select("key", "cls", "size", "place"), ["key", "cls"]).join(sets.select("cls", "n", *SKETCH), "cls")
-        posts = posts.select(F.col("key").alias("shingle"), (F.col("size") - F.col("place")).alias("rest"), "cls", "root", "n", *SKETCH)
+        posts = named.join(entries.select("key", "cls", "place"), ["key", "cls"]).join(classes.select("cls", "n", *SKETCH), "cls")
+        posts = posts.select(F.col("key").alias("shingle"), (F.col("n") - F.col("place")).alias("rest"), "cls", "root", "n", *SKETCH)
         return across_postings(materialise(posts, "posts"), percent)
 
-    return grown(near, long.select("key", "cls"), sets, percent, last)
+    return grown(joined(near, sets, percent), near, long.select("key", "cls"), classes, sets, percent, last)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -168,7 +166,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     rows = materialise(posted_rows(docs, words, percent), "posted")
     of_set = rows.where(F.col("set_hi").isNotNull()).groupBy("set_hi", "set_lo")
-    classes = of_set.agg(F.first("firsts").alias("firsts"), F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = of_set.agg(F.first("firsts").alias("firsts"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCH), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     return named_components(rows, classes, settled(lambda: class_roots(classes, docs, words, percent), "roots"))
 

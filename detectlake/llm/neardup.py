@@ -4,12 +4,12 @@ Documents with equal shingle sets form a class. A class is posted under the coor
 signature, each coordinate two MinHash values in one, so that chance agreements stay rare as the corpus
 grows; two classes that agree in at least ``match`` of ``hashes`` coordinates must share one of the
 ``hashes - match + 1`` first pairs in any fixed order of all pairs, so only those are posted, rarest first.
-Very common pairs (passages that many documents share) thus are skipped unless little else is there. In a
-short list all members meet, and a class that is in long ones meets two hubs of them, chosen by hash; candidates are kept if
-enough coordinates agree. Then come rounds in which the members of a list that still holds several components
-meet members of other components only, so that a dense group grows together by as many pairs as it has
+Very common pairs (passages that many documents share) thus are skipped unless little else is there. A class
+first meets two hubs of its lists, chosen by hash; candidates are kept if enough coordinates agree. In a
+short list then all members of different components meet. For long ones come rounds in which a member meets
+a few of the other components in its lists, so that a dense group grows together by pairs in proportion to its
 members. What rounds no longer join meets by the rarest shingles of whole sets, again across components only.
-Sketches of sets rule pairs out before whole sets are compared; all links are confirmed on whole sets.
+Sketches of sets rule pairs out before whole sets are made; all links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, settled, table, text_slices, word_hashes
@@ -34,12 +34,15 @@ ROWS = 2
 #: Bits of the sketch that pairs are held against before whole sets are, and its columns.
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
+SKETCH_SQL = ", ".join(f"{s} long" for s in SKETCH)
 #: Buckets in which coordinate-value pairs are counted to order them by rarity.
 RARITY_BUCKETS = 1 << 16
 #: Up to this length, all members of a list meet.
 SHORT_LIST = 8
 #: Rounds between components, and more as long as each leaves fewer of them in mixed lists by more than a share.
 ROUNDS, FRUITFUL = 3, 0.02
+#: Members of other components that a class meets in a round.
+MEETS = 4
 _RANDOM = np.random.default_rng(7)
 _FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -91,6 +94,11 @@ def bit_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def sketch_columns(bits: list[np.ndarray]) -> list[pa.Array]:
+    """The sketches of a batch's sets, column by column."""
+    return [pa.array(x) for x in np.array(bits, np.int64).reshape(-1, len(SKETCH)).T.copy()]
+
+
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set, as two longs."""
     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -129,21 +137,22 @@ def row_check() -> Column:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words) and signature of each row."""
+    """doc_id, row_hash, row_check, n_shingles, set_hi, set_lo (null without words), signature and sketch columns of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, signatures = [], [], []
+            sizes, classes, signatures, bits = [], [], [], []
             for s in shingle_sets(batch.column(3), words):
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else (None, None))
                 signatures.append(signature(s).tobytes() if len(s) else None)
+                bits.append(bit_sketch(s))
             high, low = zip(*classes, strict=True) if classes else ((), ())
             made = [pa.array(x, t) for x, t in ((sizes, pa.int64()), (high, pa.int64()), (low, pa.int64()), (signatures, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, *sketch_columns(bits)], ["doc_id", "row_hash", "row_check", "n_shingles", "set_hi", "set_lo", "signature", *SKETCH])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
-    return rows.mapInArrow(sign, "doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, signature binary")
+    return rows.mapInArrow(sign, f"doc_id long, row_hash long, row_check long, n_shingles long, set_hi long, set_lo long, signature binary, {SKETCH_SQL}")
 
 
 def pair_keys(signatures: pa.Array) -> np.ndarray:
@@ -228,33 +237,47 @@ def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def whole_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(cls, n, sketch columns, shingles) of the classes asked for, made again from one text of each."""
-    reps = asked.distinct().join(classes.select("cls", "rep"), "cls").select("cls", "rep.row_hash", "rep.row_check")
-    keyed = docs.select(row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
-    # rows that are equal in id and text lie together behind the join, where one of them is kept
-    texts = keyed.join(reps, ["row_hash", "row_check"]).dropDuplicates(["row_hash", "row_check"]).select("cls", "text")
+class WholeSets:
+    """The whole shingle sets of classes (cls, rep), each made when it is first asked for, from one text of its class."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                made = list(shingle_sets(some.column(1), words))
-                bits = np.stack([bit_sketch(s) for s in made])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array(x) for x in bits.T.copy()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "n", *SKETCH, "shingles"])
+    def __init__(self, classes: DataFrame, docs: DataFrame, words: int):
+        self.classes, self.docs, self.words, self.made = classes, docs, words, None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes (cls) asked for, and of those that were before."""
+        asked = asked.select("cls").distinct()
+        missing = asked if self.made is None else asked.join(self.made.select("cls"), "cls", "left_anti")
+        # written first: its size is known then, and texts that no few classes ask for aren't shuffled
+        reps = materialise(self.classes.select("cls", "rep").join(missing, "cls").select("cls", "rep.row_hash", "rep.row_check"), "reps")
+        if self.made is None or not reps.isEmpty():
+            now = materialise(self._sets(reps), "sets")
+            self.made = now if self.made is None else self.made.unionByName(now)
+        return self.made
 
-    schema = "cls long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", shingles binary"
-    return materialise(texts.mapInArrow(sets, schema), "sets")
+    def _sets(self, reps: DataFrame) -> DataFrame:
+        words = self.words
+        keyed = self.docs.select(row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
+        # rows that are equal in id and text lie together behind the join, where one of them is kept
+        texts = keyed.join(reps, ["row_hash", "row_check"]).dropDuplicates(["row_hash", "row_check"]).select("cls", "text")
 
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    some = batch.slice(at, 256)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1), words)], pa.binary())], ["cls", "shingles"])
 
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
-    sides = [sets.select(*(F.col(c).alias(k if c == "cls" else f"{k}{c}") for c in ("cls", "n", *SKETCH))) for k in "ab"]
+        return texts.mapInArrow(sets, "cls long, shingles binary")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of classes (cls, n, sketch columns) don't rule out."""
+    sides = [classes.select(*(F.col(c).alias(k if c == "cls" else f"{k}{c}") for c in ("cls", "n", *SKETCH))) for k in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").where(not_ruled_out("a", "b", percent)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
+    whole = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +288,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    sides = [sets.join(pairs.select(F.col(k).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    sides = [whole.join(pairs.select(F.col(k).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
     found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
     return materialise(found, "links")
 
@@ -281,18 +304,24 @@ def mixed_lists(named: DataFrame) -> DataFrame:
 
 
 def between_components(named: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of members of different roots: two for each member (key, cls, root) of a list at most.
+    """Pairs (a, b) of members of different roots: MEETS for each class in the lists (key, cls, root) at most, however many it is in.
 
-    The roots of a list that come first and last by a hash each send one member, and all members of other
-    roots meet it. The hashes differ by ``turn``.
+    The commonest root of a list, which a dense group soon is, and those that come first and last by a hash each
+    send one member. Of the other roots that its lists send, a class meets those that most of them send. The
+    hashes differ by ``turn``.
     """
-    by = F.struct(F.xxhash64(F.lit(turn), "root").alias("r"), F.xxhash64(F.lit(turn), "cls").alias("c"), "root", "cls")
-    sent = named.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"))
-    met = named.join(sent, "key").select("cls", "root", F.explode(F.array("low", "high")).alias("other")).where(F.col("root") != F.col("other.root"))
-    return met.select(*ordered("cls", "other.cls")).distinct()
-
-
-def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("c"), "cls")).alias("one")
+    each = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), one).withColumn("r", F.xxhash64(F.lit(turn), "root"))
+    places, sides = F.struct("r", "root", "one"), ("most", "low", "high")
+    sent = each.groupBy("key").agg(F.max(F.struct("k", "r", "root", "one")).alias("most"), F.min(places).alias("low"), F.max(places).alias("high"))
+    rows = named.join(sent, "key")
+    met = [rows.where(F.col("root") != F.col(f"{x}.root")).select("cls", f"{x}.r", F.col(f"{x}.root").alias("of"), f"{x}.one") for x in sides]
+    roots = met[0].unionByName(met[1]).unionByName(met[2]).groupBy("cls", "r", "of").agg(F.count(F.lit(1)).alias("n"), F.min("one")["cls"].alias("other"))
+    first = Window.partitionBy("cls").orderBy(F.desc("n"), "r", "of")
+    return roots.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MEETS).select(*ordered("cls", "other")).distinct()
+
+
+def across(members: DataFrame, classes: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
     """Pairs (a, b) of members (cls, root) with different roots that whole sets don't rule out.
 
     A set is posted under its rarest shingles, as many as two sets can differ in at the bound, plus one. Of
@@ -301,7 +330,8 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     too, rule out most of what else has a rare shingle in common. Under a shingle, only what isn't of its
     commonest root meets all others, so that a large component isn't held against itself.
     """
-    seen = bucket_counts(sets, "shingles", lambda column: in_pieces(np.frombuffer(v.as_buffer(), np.uint64) for v in column))
+    own = members.join(sets.of(members), "cls")
+    seen = bucket_counts(own, "shingles", lambda column: in_pieces(np.frombuffer(v.as_buffer(), np.uint64) for v in column))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +343,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), n - np.arange(k), *(np.full(k, x) for x in row))], ["shingle", "rest", *batch.schema.names[:-1]])
 
     columns = ["cls", "root", "n", *SKETCH]
-    posted = members.join(sets, "cls").select(*columns, "shingles").mapInArrow(post, ", ".join(f"{c} long" for c in ("shingle", "rest", *columns)))
+    posted = own.join(classes.select("cls", "n", *SKETCH), "cls").select(*columns, "shingles").mapInArrow(post, ", ".join(f"{c} long" for c in ("shingle", "rest", *columns)))
     return across_postings(materialise(posted, "prefixes"), percent)
 
 
@@ -351,34 +381,43 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of classes; classes without links are absent.
 
-    In short lists all members meet. Members of others meet two hubs each, then, round by round, members
-    of components other than its own, as long as that finds links. Members of long lists that hold different
-    components even then meet in an exact join: every link has a list in common, so none between components
+    Members of lists meet two hubs each. Members of a short list that hold different components then all
+    meet; those of long ones meet, round by round, members of components other than their own, as long as
+    that finds links, and at last in an exact join. Every link has a list in common, so none between components
     is lost, and pairs inside a component, which may be as many as the square of its size, aren't made.
     """
-    match = match_threshold(percent)
+    match, sets = match_threshold(percent), WholeSets(classes, docs, words)
     lists = postings(classes, match)
-    short, long = lists.where(F.col("n") <= SHORT_LIST), lists.where(F.col("n") > SHORT_LIST)
-    x, y = short.alias("x"), short.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    near = materialise(agreeing(pairs.unionByName(stars(long)).distinct(), classes, match), "candidates")
-    asked = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(long.select("cls"))
-    sets = whole_sets(asked, classes, docs, words)
-    return grown(near, long.select("key", "cls"), sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), sets, percent))
+    near = materialise(agreeing(stars(lists).distinct(), classes, match), "candidates")
+    near = materialise(plausible(near, classes, percent), "near")
+    roots = joined(near, sets, percent)
+    placed = lists.where(F.col("n") <= SHORT_LIST).select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    x, y = placed.alias("x"), placed.alias("y")
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, other).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    short = materialise(agreeing(pairs, classes, match), "candidates")
+    short = materialise(plausible(short, classes, percent), "near")
+    roots = merged(roots, confirmed(short, sets, percent))
+    long = lists.where(F.col("n") > SHORT_LIST).select("key", "cls")
+    return grown(roots, near.unionByName(short), long, classes, sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), classes, sets, percent))
+
+
+def joined(near: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
+    """(node, root) of the components of candidates (a, b) that are links."""
+    # each class first meets the least of its candidates; what that joins needn't be compared again
+    first = materialise(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    roots = materialise(connected_components(confirmed(first, sets, percent)), "roots")
+    rest = materialise(apart(near.join(first, ["a", "b"], "left_anti"), roots), "rest")
+    return merged(roots, confirmed(rest, sets, percent))
 
 
-def grown(near: DataFrame, named: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of components, from first candidates (a, b) and long lists (key, cls).
+def grown(roots: DataFrame, tried: DataFrame, named: DataFrame, classes: DataFrame, sets: WholeSets, percent: int, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of components, from those of first candidates (a, b) that were tried, and long lists (key, cls).
 
     Round by round, members of a list that still holds several components meet members of others; what
     ``last`` makes of the lists (key, cls, root) that hold several even then meets once more, exactly.
     """
-    # each class first meets the least of its candidates; what that joins needn't be compared again
-    first = materialise(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    roots = materialise(connected_components(confirmed(first, sets, percent)), "roots")
-    rest = materialise(apart(near.join(first, ["a", "b"], "left_anti"), roots), "rest")
-    roots = merged(roots, confirmed(rest, sets, percent))
-    tried, left = near, None
+    left = None
     for turn in count():
         found = named.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
         named = materialise(mixed_lists(found), "named")
@@ -387,7 +426,8 @@ def grown(near: DataFrame, named: DataFrame, sets: DataFrame, percent: int, last
             return roots
         if before == left or (turn >= ROUNDS and left > (1 - FRUITFUL) * before):
             break
-        met = materialise(plausible(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), sets, percent), "met")
+        fresh = materialise(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), "fresh")
+        met = materialise(plausible(fresh, classes, percent), "met")
         roots, tried = merged(roots, confirmed(met, sets, percent)), tried.unionByName(met)
     crossing = materialise(last(named).join(tried, ["a", "b"], "left_anti"), "across")
     links = confirmed(crossing, sets, percent)
@@ -408,7 +448,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = materialise(signed(docs, words), "signed")
     of_set = rows.where(F.col("set_hi").isNotNull()).groupBy("set_hi", "set_lo")
-    classes = of_set.agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = of_set.agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCH), F.min(F.struct("doc_id", "row_hash", "row_check")).alias("rep"), F.min("doc_id").alias("least"))
     # a class goes by a number of its own, kept with the written table
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     return named_components(rows, classes, settled(lambda: class_links(classes, docs, words, percent), "roots"))
