@@ -58,7 +58,8 @@ def change_feed(stream: DataFrame, folder: str, first: DataFrame, columns: list[
     state.start(first)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        last = materialise(last_wins(df, [key], [F.desc(order), F.desc(F.xxhash64(*columns))]), "last")
+        # dealt by key first: otherwise each task would sort the whole file that it reads
+        last = materialise(last_wins(df.repartition(key), [key], [F.desc(order), F.desc(F.xxhash64(*columns))]), "last")
         old, new = state.read(epoch, last), last.where(~F.col(deleted)).select(key, *columns)
         delta = snapshot_delta(old, new, key, columns).where(F.col("change") != "same")
         by_epoch(f"{folder}/changes")(delta.withColumns(field_diff("before", "after", columns)).withColumn("epoch", F.lit(epoch)), epoch)
