@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, settled, table, text_slices, word_hashes
-from .components import connected_components
+from .components import hung, star_edges, star_round, tied
 
 HASHES = 64
 #: MinHash values in a coordinate.
@@ -43,6 +43,8 @@ SHORT_LIST = 8
 ROUNDS, FRUITFUL = 3, 0.02
 #: Members of other components that a class meets in a round.
 MEETS = 4
+#: Up to so many rows that are asked for go to all tasks; of more, a mark each in this many bits does.
+SENT, MARKS = 10_000, 1 << 22
 _RANDOM = np.random.default_rng(7)
 _FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 63, HASHES * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -237,6 +239,14 @@ def agreeing(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose row_hash has the mark of one that is asked for; few others have it. MARKS bits at most go to all tasks."""
+    word, bit = F.expr(f"pmod(row_hash, {MARKS}L) DIV 64"), "CAST(pmod(row_hash, 64L) AS INT)"
+    marks = asked.groupBy(word.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("marks"))
+    found = rows.withColumn("word", word).join(F.broadcast(marks), "word").where(f"(shiftright(marks, {bit}) & 1L) = 1L")
+    return found.drop("word", "marks")
+
+
 class WholeSets:
     """The whole shingle sets of classes (cls, rep), each made when it is first asked for, from one text of its class."""
 
@@ -247,16 +257,18 @@ class WholeSets:
         """(cls, shingles) of the classes (cls) asked for, and of those that were before."""
         asked = asked.select("cls").distinct()
         missing = asked if self.made is None else asked.join(self.made.select("cls"), "cls", "left_anti")
-        # written first: its size is known then, and texts that no few classes ask for aren't shuffled
+        # written first: its size is known then, and texts that no class asks for aren't shuffled
         reps = materialise(self.classes.select("cls", "rep").join(missing, "cls").select("cls", "rep.row_hash", "rep.row_check"), "reps")
-        if self.made is None or not reps.isEmpty():
-            now = materialise(self._sets(reps), "sets")
+        n = reps.count()
+        if self.made is None or n:
+            now = materialise(self._sets(reps, n), "sets")
             self.made = now if self.made is None else self.made.unionByName(now)
         return self.made
 
-    def _sets(self, reps: DataFrame) -> DataFrame:
+    def _sets(self, reps: DataFrame, n: int) -> DataFrame:
         words = self.words
         keyed = self.docs.select(row_hash().alias("row_hash"), row_check().alias("row_check"), "text")
+        keyed, reps = (keyed, F.broadcast(reps)) if n <= SENT else (marked(keyed, reps), reps)
         # rows that are equal in id and text lie together behind the join, where one of them is kept
         texts = keyed.join(reps, ["row_hash", "row_check"]).dropDuplicates(["row_hash", "row_check"]).select("cls", "text")
 
@@ -368,14 +380,14 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of components after further links (a, b): the old components become single nodes."""
-    names = roots.withColumnRenamed("root", "r")
-    both = links.join(names.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
-    both = both.join(names.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
-    again = connected_components(both).withColumnRenamed("root", "top")
-    moved = roots.join(again.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return materialise(moved.unionByName(again.withColumnRenamed("top", "root").join(moved.select("node"), "node", "left_anti")), "merged")
+def extended(edges: DataFrame, pairs: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
+    """The edges of components after those of further pairs (a, b) that are links; without pairs nothing is run."""
+    return edges if pairs.isEmpty() else tied(edges, confirmed(pairs, sets, percent))
+
+
+def located(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, cls, root) of lists (key, cls)."""
+    return lists.select("key", "cls").join(hung(edges).withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
 
 
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -390,48 +402,51 @@ def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     lists = postings(classes, match)
     near = materialise(agreeing(stars(lists).distinct(), classes, match), "candidates")
     near = materialise(plausible(near, classes, percent), "near")
-    roots = joined(near, sets, percent)
-    placed = lists.where(F.col("n") <= SHORT_LIST).select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    edges = joined(near, sets, percent)
+    placed = located(lists.where(F.col("n") <= SHORT_LIST), edges)
     x, y = placed.alias("x"), placed.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, other).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     short = materialise(agreeing(pairs, classes, match), "candidates")
     short = materialise(plausible(short, classes, percent), "near")
-    roots = merged(roots, confirmed(short, sets, percent))
+    edges = extended(edges, short, sets, percent)
     long = lists.where(F.col("n") > SHORT_LIST).select("key", "cls")
-    return grown(roots, near.unionByName(short), long, classes, sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), classes, sets, percent))
+    return grown(edges, near.unionByName(short), long, classes, sets, percent, lambda named: across(materialise(named.select("cls", "root").distinct(), "members"), classes, sets, percent))
 
 
 def joined(near: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
-    """(node, root) of the components of candidates (a, b) that are links."""
+    """Edges (a, b) that join the candidates (a, b) that are links, by a few rounds: what they leave apart may be one component still."""
     # each class first meets the least of its candidates; what that joins needn't be compared again
     first = materialise(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    roots = materialise(connected_components(confirmed(first, sets, percent)), "roots")
-    rest = materialise(apart(near.join(first, ["a", "b"], "left_anti"), roots), "rest")
-    return merged(roots, confirmed(rest, sets, percent))
+    edges = star_round(star_round(confirmed(first, sets, percent)))
+    rest = materialise(apart(near.join(first, ["a", "b"], "left_anti"), hung(edges)), "rest")
+    return extended(edges, rest, sets, percent)
 
 
-def grown(roots: DataFrame, tried: DataFrame, named: DataFrame, classes: DataFrame, sets: WholeSets, percent: int, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of components, from those of first candidates (a, b) that were tried, and long lists (key, cls).
+def grown(edges: DataFrame, tried: DataFrame, named: DataFrame, classes: DataFrame, sets: WholeSets, percent: int, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of components, from the edges that first candidates (a, b), which were tried, gave, and long lists (key, cls).
 
     Round by round, members of a list that still holds several components meet members of others; what
-    ``last`` makes of the lists (key, cls, root) that hold several even then meets once more, exactly.
+    ``last`` makes of the lists (key, cls, root) that hold several even then meets once more, exactly. A round of
+    stars follows each round here, and as many as it takes come before ``last`` and at the end: until then
+    some of a component may count as another, which costs pairs and loses none.
     """
     left = None
     for turn in count():
-        found = named.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        named = materialise(mixed_lists(found), "named")
+        named = materialise(mixed_lists(located(named, edges)), "named")
         before, left = left, named.select("root").distinct().count()
         if not left:
-            return roots
+            return hung(star_edges(edges))
         if before == left or (turn >= ROUNDS and left > (1 - FRUITFUL) * before):
             break
         fresh = materialise(between_components(named, turn).join(tried, ["a", "b"], "left_anti"), "fresh")
         met = materialise(plausible(fresh, classes, percent), "met")
-        roots, tried = merged(roots, confirmed(met, sets, percent)), tried.unionByName(met)
+        edges, tried = extended(edges, met, sets, percent), tried.unionByName(met)
+    whole = star_edges(edges)
+    if whole is not edges:
+        named = materialise(mixed_lists(located(named, whole)), "named")
     crossing = materialise(last(named).join(tried, ["a", "b"], "left_anti"), "across")
-    links = confirmed(crossing, sets, percent)
-    return roots if links.isEmpty() else merged(roots, links)
+    return hung(star_edges(extended(whole, crossing, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
