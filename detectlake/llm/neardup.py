@@ -300,7 +300,11 @@ def confirmed(pairs: DataFrame, sets: WholeSets, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    sides = [whole.join(pairs.select(F.col(k).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    few = F.broadcast if pairs.count() <= SENT else DataFrame.distinct
+    sides = [whole.join(few(pairs.select(F.col(k).alias("cls"))), "cls", "left_semi").select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    if few is F.broadcast:
+        # the join with the pairs leaves out what isn't in them
+        sides[0], pairs = whole.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), F.broadcast(pairs)
     found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
     return materialise(found, "links")
 
@@ -327,8 +331,8 @@ def between_components(named: DataFrame, turn: int) -> DataFrame:
     places, sides = F.struct("r", "root", "one"), ("most", "low", "high")
     sent = each.groupBy("key").agg(F.max(F.struct("k", "r", "root", "one")).alias("most"), F.min(places).alias("low"), F.max(places).alias("high"))
     rows = named.join(sent, "key")
-    met = [rows.where(F.col("root") != F.col(f"{x}.root")).select("cls", f"{x}.r", F.col(f"{x}.root").alias("of"), f"{x}.one") for x in sides]
-    roots = met[0].unionByName(met[1]).unionByName(met[2]).groupBy("cls", "r", "of").agg(F.count(F.lit(1)).alias("n"), F.min("one")["cls"].alias("other"))
+    met = rows.select("cls", "root", F.explode(F.array(*(F.struct(f"{x}.r", F.col(f"{x}.root").alias("of"), f"{x}.one") for x in sides))).alias("x")).where(F.col("root") != F.col("x.of"))
+    roots = met.select("cls", "x.*").groupBy("cls", "r", "of").agg(F.count(F.lit(1)).alias("n"), F.min("one")["cls"].alias("other"))
     first = Window.partitionBy("cls").orderBy(F.desc("n"), "r", "of")
     return roots.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MEETS).select(*ordered("cls", "other")).distinct()
 
