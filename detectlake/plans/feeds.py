@@ -50,7 +50,9 @@ def s5(c: Catalog) -> DataFrame:
     names = [f.name for f in schemas.RECORD_CSV]
     rows = c.payload.select(*(cells[n].alias(n) if n in cells else F.lit(None).cast(schemas.RECORD_CSV[n].dataType).alias(n) for n in names if n != "hex_data"), F.col("data").alias("data"))
     sinks.write_record_csv(rows, path)
-    return readers.read_record_csv(c.spark, path).select("threat_id", "threat_name", "size", "hex_data", "is_lua")
+    # a record without an id is neither
+    known = F.when(F.col("threat_id").isNotNull(), F.col("is_lua")).alias("is_lua")
+    return readers.read_record_csv(c.spark, path).select("threat_id", "threat_name", "size", "hex_data", known)
 
 
 @query("s6_list_sources", over("item", sql="SELECT 'category=' || category AS folder, sum(count(DISTINCT category)) OVER () > 0 AS known FROM item GROUP BY category"))

@@ -98,8 +98,12 @@ def entity_listing(raw: DataFrame) -> DataFrame:
 
 
 def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Records written by ``write_record_csv``; is_lua is the text true in any case."""
-    raw = spark.read.schema(schemas.RECORD_CSV).csv(path, header=True, quote='"', escape='"')
+    """Records written by ``write_record_csv``; is_lua is the text true in any case.
+
+    A cell without anything is null and a quoted empty one an empty text, which Spark tells apart only where
+    nulls are given a name of their own. Quoted cells may hold line ends.
+    """
+    raw = spark.read.schema(schemas.RECORD_CSV).csv(path, header=True, quote='"', escape='"', nullValue="\u0000null", multiLine=True)
     return raw.withColumn("is_lua", F.coalesce(F.lower("is_lua") == "true", F.lit(False)))
 
 

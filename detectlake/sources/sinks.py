@@ -20,9 +20,13 @@ def hex_cell(data: Column, most: int = 10_000) -> Column:
     return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("..."))).otherwise(whole)
 
 
-def write_record_csv(df: DataFrame, path: str, include_hex: bool = True, most: int = 10_000) -> None:
+def write_record_csv(df: DataFrame, path: str, include_hex: bool = True, most: int = 10_000, rows_per_file: int = 100_000) -> None:
+    """Records as CSV, cells as they are: no space is trimmed, empty texts are quoted and nulls are not.
+
+    Files are kept small, as one whose cells may hold line ends is read by one task.
+    """
     out = df.withColumn("hex_data", hex_cell(F.col("data"), most) if include_hex else F.lit("")).drop("data")
-    out.write.csv(path, header=True, quote='"', escape='"')
+    out.write.option("maxRecordsPerFile", rows_per_file).csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_indicator_lists(indicators: DataFrame, path: str) -> DataFrame:
