@@ -40,7 +40,7 @@ def pattern_literal(data: Column, cap: int | None = None) -> Column:
 
 
 def entropy(data: Column) -> Column:
-    """Shannon entropy over bytes, four decimals; 0 for none, null for null. Bytes are counted in Arrow batches."""
+    """Shannon entropy over bytes, four decimals, halves up as in SQL; 0 for none, null for null. Bytes are counted in Arrow batches."""
 
     @F.pandas_udf("double")
     def bits(values: pd.Series) -> pd.Series:
@@ -49,7 +49,7 @@ def entropy(data: Column) -> Column:
                 return None
             n = np.bincount(np.frombuffer(v, np.uint8))
             p = n[n > 0] / max(1, n.sum())
-            return abs(round(float(-(p * np.log2(p)).sum()), 4))
+            return float(np.floor(abs((p * np.log2(p)).sum()) * 1e4 + 0.5) / 1e4)
 
         return values.map(one, na_action="ignore").astype("float64")
 
